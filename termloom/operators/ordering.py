@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import order_key
-from termloom.session import checkpointed
+from termloom.session import pinned
 
 _LOCAL_BITS = 33  # documented layout of monotonically_increasing_id: partition, then row
 
 
 def _sorted_chunks(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
-    """Range-sort ``df`` and pin it, adding ``_chunk`` (sorted part) and ``_at`` (row in it).
+    """Range-sort ``df`` and write it, adding ``_chunk`` (sorted part) and ``_at`` (row in it).
 
     The sort key should identify a row; Spark's range partitioner then balances the
-    chunks whatever the value distribution. The checkpoint makes the chunk bounds stable,
-    so counting the chunks and reading them again agree even if an executor is lost.
+    chunks whatever the value distribution. Both numbers are written with the rows, so
+    counting the chunks and reading them again agree even if an executor is lost.
     """
-    pinned = checkpointed(df.orderBy(*order_by))
     row_id = F.monotonically_increasing_id()
-    return pinned.select("*", row_id.alias("_row")).select(
-        *pinned.columns,
+    numbered = df.orderBy(*order_by).select("*", row_id.alias("_row"))
+    return pinned(numbered, "sorted").select(
+        *df.columns,
         F.shiftright("_row", _LOCAL_BITS).alias("_chunk"),
         F.col("_row").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_at"),
     )

@@ -45,29 +45,31 @@ def positive_pairs(
     )
 
 
-def draw_others(
-    own: Column, total: Column, k: int, row_text: Column, seed: int
-) -> Column:
+def row_draws(row_text: Column, k: int, seed: int) -> Column:
+    """``k`` pseudo-random longs of a row, from md5 of its text and the draw number."""
+    numbered = [F.concat_ws("|", F.lit(str(seed)), row_text, F.lit(str(i + 1))) for i in range(k)]
+    return F.array(*[hash_int(text) for text in numbered])
+
+
+def draw_others(own: Column, total: Column, draws: Column, k: int) -> Column:
     """``min(k, total - 1)`` distinct ordinals below ``total``, never ``own``, uniform.
 
-    Floyd's subset draw over the ``total - 1`` other ordinals, with md5 of the row as the
-    random source; ordinals from ``own`` up are shifted by one to skip it.
+    Floyd's subset draw over the ``total - 1`` other ordinals; ordinals from ``own`` up
+    are shifted by one to skip it.
     """
     others = total - 1
     size = F.least(F.lit(k).cast("long"), others)
+    none = F.array().cast("array<bigint>")
 
     def step(picked: Column, i: Column) -> Column:
         upper = others - size + i
-        text = F.concat_ws("|", F.lit(str(seed)), row_text, (i + 1).cast("string"))
-        drawn = hash_int(text) % (upper + 1)
+        drawn = F.get(draws, i.cast("int")) % (upper + 1)
         return F.concat(
             picked, F.array(F.when(F.array_contains(picked, drawn), upper).otherwise(drawn))
         )
 
-    turns = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    picked = F.aggregate(turns, F.array().cast("array<bigint>"), step)
+    turns = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(none)
+    picked = F.aggregate(turns, none, step)
     return F.transform(picked, lambda p: p + F.when(p >= own, 1).otherwise(0))
 
 
@@ -87,10 +89,14 @@ def negative_pairs(
     """
     total = catalog.select(F.count("*")).scalar()
     row_text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in row_columns])
-    drawn = _own_entity(rows, catalog, entity).select(
+    owned = _own_entity(rows, catalog, entity).select(
         F.col(mention).alias("mention"),
-        F.explode(draw_others(F.col("own"), total, k, row_text, seed)).alias("ordinal"),
+        "own",
+        total.alias("total"),
+        row_draws(row_text, k, seed).alias("draws"),
     )
+    others = draw_others(F.col("own"), F.col("total"), F.col("draws"), k)
+    drawn = owned.select("mention", F.explode(others).alias("ordinal"))
     return drawn.join(catalog.select("entity_id", "rep_text", "ordinal"), "ordinal").select(
         "mention",
         "entity_id",

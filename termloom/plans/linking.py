@@ -11,6 +11,7 @@ from termloom.operators.catalog import build_catalog
 from termloom.operators.encode import encode_ngrams
 from termloom.operators.evaluate import evaluate_by_mention, evaluate_hits_and_mrr, fan_out
 from termloom.operators.search import search, search_one
+from termloom.session import pinned
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -46,7 +47,8 @@ class VectorLinker:
 
     def predict_batch(self, rows: DataFrame, top_k: int = 10) -> DataFrame:
         """(mention, entity_id, score, rank), every distinct mention ranked once."""
-        vectors = self.encode_mentions(rows)
+        # Counted to size the blocks, then searched: encode once.
+        vectors = pinned(self.encode_mentions(rows), "vectors")
         hits = search(vectors, self.catalog, top_k, query="mention")
         return hits.withColumnRenamed("query_id", "mention")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.operators.ordering import exact_split
 from termloom.operators.prepare import annotations, coverage, mention_table, split_report
-from termloom.session import checkpointed
+from termloom.session import pinned
 from termloom.sources.corpus import read_lines, read_mapping
 from termloom.sources.sinks import read_splits, write_splits
 
@@ -18,7 +18,7 @@ def split_mentions(lines: DataFrame, mapping: DataFrame, seed: int = 42) -> Data
 
     The table is pinned once, since finding the cuts reads it twice before the labels.
     """
-    table = checkpointed(mention_table(annotations(lines), mapping))
+    table = pinned(mention_table(annotations(lines), mapping), "mentions")
     return exact_split(table, ROW_COLUMNS, seed)
 
 

@@ -21,7 +21,7 @@ from termloom.operators.classify import (
 from termloom.operators.evaluate import evaluate_by_mention, fan_out
 from termloom.operators.pairs import labelled_pairs
 from termloom.plans.linking import Encoder, ngram_encoder
-from termloom.session import checkpointed
+from termloom.session import pinned
 
 
 @dataclass
@@ -35,7 +35,7 @@ class PairClassifierLinker:
     def predict_batch(self, rows: DataFrame, top_k: int = 5) -> DataFrame:
         """(mention, entity_id, score, rank), every distinct mention ranked once."""
         distinct = rows.select("mention").distinct().select("mention", F.col("mention").alias("text"))
-        vectors = self.encoder(distinct, "mention", "text")
+        vectors = pinned(self.encoder(distinct, "mention", "text"), "vectors")
         return score_all_candidates(self.model, vectors, self.entity_vectors, top_k)
 
     def predict_rows(self, rows: DataFrame, top_k: int = 5) -> DataFrame:
@@ -77,21 +77,21 @@ def train_pair_classifier(
     encode = encoder or ngram_encoder()
 
     def featured(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-        pairs = labelled_pairs(rows, catalog, negatives, seed)
+        pairs = pinned(labelled_pairs(rows, catalog, negatives, seed), "pairs")
         distinct = pairs.select("mention").distinct().select("mention", F.col("mention").alias("text"))
         vectors = encode(distinct, "mention", "text")
         return pair_features(pairs, vectors, encode(catalog, "entity_id", "rep_text"))
 
     catalog = build_catalog(train, rule)
     # Read once per optimiser step, so pinned.
-    training = checkpointed(featured(train, catalog).select("features", "label"))
+    training = pinned(featured(train, catalog).select("features", "label"), "training")
     model = fit_vector_classifier(training)
-    scored = checkpointed(score_features(model, featured(dev, build_catalog(dev, rule))))
-    linking_catalog = build_catalog(train, "mode")
+    scored = pinned(score_features(model, featured(dev, build_catalog(dev, rule))), "scored")
+    linking_vectors = encode(build_catalog(train, "mode"), "entity_id", "rep_text")
     return {
         "model": model,
         "scored_dev": scored,
         "auc": roc_auc(scored),
         "report": classification_report(scored),
-        "linker": PairClassifierLinker(model, encode(linking_catalog, "entity_id", "rep_text"), encode),
+        "linker": PairClassifierLinker(model, pinned(linking_vectors, "catalog"), encode),
     }

@@ -1,4 +1,4 @@
-"""Session helpers: shared work folder, checkpointing and recommended settings."""
+"""Session helpers: shared work folder, pinned tables and recommended settings."""
 
 from __future__ import annotations
 
@@ -52,7 +52,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    The table survives lost executors, cuts the lineage, is read column by column, and
+    tells the optimizer its size. The caller's folder policy removes it.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
