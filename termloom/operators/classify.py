@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,19 +103,18 @@ def roc_curve(scored: DataFrame, score: str = "score", label: str = "label") ->
     """
     counts = _score_counts(scored, score, label)
     running = with_running_sums(counts, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
-    totals = running.agg(F.max("tp").alias("p"), F.max("fp").alias("q"))
-    p, q = totals.select("p").scalar(), totals.select("q").scalar()
-    points = running.select(
-        F.col("score").cast("double").alias("threshold"),
-        F.try_divide("fp", q).alias("fpr"),
-        F.try_divide("tp", p).alias("tpr"),
-    )
-    origin = totals.where("p is not null").select(
-        F.lit(None).cast("double").alias("threshold"),
-        F.try_divide(F.lit(0.0), "q").alias("fpr"),
-        F.try_divide(F.lit(0.0), "p").alias("tpr"),
-    )
-    return origin.unionByName(points)
+
+    def point(threshold: Column, fp: Column, tp: Column) -> Column:
+        return F.struct(
+            threshold.cast("double").alias("threshold"),
+            F.try_divide(fp, F.col("fp_total")).alias("fpr"),
+            F.try_divide(tp, F.col("tp_total")).alias("tpr"),
+        )
+
+    own = point(F.col("score"), F.col("fp"), F.col("tp"))
+    origin = point(F.lit(None), F.lit(0.0), F.lit(0.0))
+    highest = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    return running.select(F.inline(F.when(highest, F.array(origin, own)).otherwise(F.array(own))))
 
 
 def roc_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:

@@ -50,13 +50,19 @@ def with_global_rank(
 def with_running_sums(
     df: DataFrame, order_by: Sequence[str | Column], sums: dict[str, str]
 ) -> DataFrame:
-    """Inclusive running sums along a global order; ``sums`` maps new name to column."""
+    """Inclusive running sums along a global order; ``sums`` maps new name to column.
+
+    Each sum also gets its grand total as ``<name>_total``.
+    """
     chunks = _sorted_chunks(df, order_by)
     totals = chunks.groupBy("_chunk").agg(
         *[F.sum(source).alias(f"_t_{name}") for name, source in sums.items()]
     )
+    every_chunk = Window.partitionBy(F.lit(1))
     starts = totals.select(
-        "_chunk", *[_before(F.col(f"_t_{name}")).alias(f"_s_{name}") for name in sums]
+        "_chunk",
+        *[_before(F.col(f"_t_{name}")).alias(f"_s_{name}") for name in sums],
+        *[F.sum(f"_t_{name}").over(every_chunk).alias(f"{name}_total") for name in sums],
     )
     local = (
         Window.partitionBy("_chunk")
@@ -69,6 +75,7 @@ def with_running_sums(
     return running.join(F.broadcast(starts), "_chunk").select(
         *df.columns,
         *[(F.col(f"_s_{name}") + F.col(f"_l_{name}")).alias(name) for name in sums],
+        *[f"{name}_total" for name in sums],
     )
 
 

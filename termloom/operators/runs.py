@@ -16,23 +16,25 @@ def last_before(
     order: str,
     value: str,
     name: str,
-    chunks: int = 1024,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` up to each row, per key, along a numeric ``order``.
 
     The order range is cut into equal chunks, so one busy key spreads over many tasks: a
     window runs within each (key, chunk), and the last value of each chunk, found by a
     plain aggregate, is carried to the later ones. ``order`` is unique per key and should
-    be a counter, so that equal ranges hold comparable numbers of rows.
+    be a counter, so that equal ranges hold comparable numbers of rows. By default a chunk
+    covers about a million rows of the whole table, and there are at least 1024.
     """
+    parts = str(chunks) if chunks else "greatest(1024, count(*) div 1000000)"
     low = events.select(F.min(order)).scalar()
     width = events.select(
-        F.expr(f"(cast(max({order}) as decimal(38,0)) - min({order})) div {chunks} + 1")
+        F.expr(f"(cast(max({order}) as decimal(38,0)) - min({order})) div {parts} + 1")
     ).scalar()
     chunk = F.floor((F.col(order) - low) / width).cast("long")
     placed = events.withColumn("_chunk", chunk)
 
-    # At most ``chunks`` rows per key reach this window.
+    # At most one row per key and chunk reaches this window.
     seen = placed.groupBy(*keys, "_chunk").agg(
         F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last")
     )

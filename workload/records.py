@@ -8,7 +8,7 @@ from termloom.operators import catalog as cat
 from termloom.operators import classify, runs, verdicts
 from termloom.operators.ranking import rank_verdicts, verdict_scores
 from termloom.plans.verdict_ranking import rank_attempts
-from termloom.session import work_path
+from termloom.session import pinned, work_path
 from termloom.sources import sinks
 from workload import standins as s
 from workload.linking import _REPORT, _ROC, _rounded
@@ -393,13 +393,15 @@ def r10(spark, sf):
     run = F.lit("all").alias("run")
     report = classify.classification_report(scored)
     whole = F.map_from_entries(F.collect_list(F.struct("row", F.struct("precision", "recall", "f1", "support"))))
+    counts = scored.agg(F.count("*").alias("validation_samples")).select(
+        run, F.lit(None).cast("long").alias("training_samples"), "validation_samples"
+    )
+    # The parts are recorded tables, as after a finished run.
     summary = runs.run_summary(
-        runs.fold_loss_log(s.loss_events(spark, sf, one_run=True)),
-        classify.roc_auc(scored).select(run, "auc"),
-        report.agg(F.to_json(whole).alias("report")).select(run, "report"),
-        scored.agg(F.count("*").alias("validation_samples")).select(
-            run, F.lit(None).cast("long").alias("training_samples"), "validation_samples"
-        ),
+        pinned(runs.fold_loss_log(s.loss_events(spark, sf, one_run=True))),
+        pinned(classify.roc_auc(scored).select(run, "auc")),
+        pinned(report.agg(F.to_json(whole).alias("report")).select(run, "report")),
+        pinned(counts),
     )
     f1 = F.get_json_object("classification_report", "$['macro avg'].f1").cast("double")
     return _rounded(
