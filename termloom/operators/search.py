@@ -21,7 +21,8 @@ _MIN_BLOCK = 256  # smaller query blocks are not worth another task
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
     vectors = table.column(column).combine_chunks()
     values = vectors.flatten().to_numpy(zero_copy_only=False)
-    if len(values) % max(len(vectors), 1):
+    lengths = pa.compute.min_max(pa.compute.list_value_length(vectors)).as_py()
+    if lengths["min"] != lengths["max"]:
         raise ValueError(f"vectors in {column} differ in length")
     if not np.isfinite(values).all():
         raise ValueError(f"vectors in {column} hold values that are not finite")
