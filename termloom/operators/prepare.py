@@ -30,8 +30,12 @@ def annotation_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def parse_fields(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Split stripped lines on tabs; short lines go, extra fields are ignored."""
-    fields = lines.select(F.split(strip(F.col(column)), "\t").alias("f"))
+    """Split stripped lines on tabs; short lines go, extra fields are ignored.
+
+    The one-element explode keeps later filters on the fields from being pushed below the
+    split, which would strip and split every line once per filter.
+    """
+    fields = lines.select(F.explode(F.array(F.split(strip(F.col(column)), "\t"))).alias("f"))
     return fields.where(F.size("f") >= len(FIELDS)).select(
         *[F.col("f")[i].alias(name) for i, name in enumerate(FIELDS)]
     )

@@ -47,16 +47,32 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_work(spark: SparkSession) -> int:
+    """Delete the work paths this program made; call it when their tables are done with."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
 
 
 def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The table survives lost executors, cuts the lineage, is read column by column, and
-    tells the optimizer its size. The caller's folder policy removes it.
+    tells the optimizer its size. ``remove_work`` deletes it.
     """
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from termloom.operators.runs import fold_loss_log
+from termloom.operators.runs import evaluations, upsert_epochs
 
 EVENT_SCHEMA = "run string, session string, seq long, epoch double, loss double, eval_loss double"
 
@@ -14,29 +14,29 @@ EVENT_SCHEMA = "run string, session string, seq long, epoch double, loss double,
 def fold_stream(
     events: DataFrame, path: str, checkpoint: str, buckets: int = 64
 ) -> StreamingQuery:
-    """Keep the history of every run current, late events included.
+    """Keep the evaluations of every run current, late events included.
 
     Each batch first goes to an event log, partitioned by batch and by a bucket of the
-    run, then the runs it touches are folded again from that log and written as the
-    batch's version of them. Both writes replace the batch's own folders, so a retried
-    batch leaves the same tables. Runs over what is available, then stops.
+    session. A training loss never reaches beyond its session, so only the sessions a
+    batch touches are worked out again from that log, and written as the batch's version
+    of them. Both writes replace the batch's own folders, so a retried batch leaves the
+    same tables. Runs over what is available, then stops.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("run"), F.lit(buckets))
+        bucket = F.pmod(F.xxhash64("run", "session"), F.lit(buckets))
         batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
             f"{path}/log/batch_id={batch_id}"
         )
         log = spark.read.schema(f"{EVENT_SCHEMA}, batch_id long, bucket long").parquet(f"{path}/log")
         # A retry must not see events of later batches.
         log = log.where(F.col("batch_id") <= batch_id)
-        touched = log.where(F.col("batch_id") == batch_id).select("run", "bucket").distinct()
+        keys = ["bucket", "run", "session"]
+        touched = log.where(F.col("batch_id") == batch_id).select(*keys).distinct()
         # The bucket is a partition column of the log: files of other buckets are skipped.
-        events_of_runs = log.join(touched, ["bucket", "run"], "left_semi")
-        fold_loss_log(events_of_runs.drop("batch_id", "bucket")).write.mode("overwrite").parquet(
-            f"{path}/history/batch_id={batch_id}"
-        )
+        sessions = log.join(touched, keys, "left_semi").drop("batch_id", "bucket")
+        evaluations(sessions).write.mode("overwrite").parquet(f"{path}/evals/batch_id={batch_id}")
 
     return (
         events.writeStream.foreachBatch(fold)
@@ -47,7 +47,7 @@ def fold_stream(
 
 
 def current_history(spark: SparkSession, path: str) -> DataFrame:
-    """Latest version of every run."""
-    versions = spark.read.parquet(f"{path}/history")
-    newest = versions.groupBy("run").agg(F.max("batch_id").alias("batch_id"))
-    return versions.join(newest, ["run", "batch_id"]).drop("batch_id")
+    """History from the latest version of every session."""
+    versions = spark.read.parquet(f"{path}/evals")
+    newest = versions.groupBy("run", "session").agg(F.max("batch_id").alias("batch_id"))
+    return upsert_epochs(versions.join(newest, ["run", "session", "batch_id"]))

@@ -195,7 +195,7 @@ def test_hot_concept_is_split_at_run_time(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.shuffle.partitions": "12",
+        "spark.sql.shuffle.partitions": "40",
     }
     session = apply_recommended_conf(spark.newSession())
     for k, v in settings.items():
