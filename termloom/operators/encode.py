@@ -21,19 +21,14 @@ def ngram_counts(
     dim: int = 64,
     n: int = 3,
     max_tokens: int | None = None,
-    tasks: int | None = None,
 ) -> DataFrame:
     """(key, bucket, n): hashed character n-grams; a key without any keeps a null bucket.
 
     The n-grams of one text are counted where the text is read, so at most ``dim`` rows
-    per text are shuffled however long the text is. ``tasks`` spreads the texts first, for
-    an input that comes in fewer splits than there are cores.
+    per text are shuffled however long the text is.
     """
-    source = texts.select(key, text)
-    if tasks:
-        source = source.repartition(tasks)
     word = F.explode_outer(tokens(F.col(text), max_tokens))
-    words = source.select(key, word.alias("word")).select(key, framed(F.col("word")).alias("word"))
+    words = texts.select(key, word.alias("word")).select(key, framed(F.col("word")).alias("word"))
     starts = words.select(key, "word", F.explode_outer(ngram_starts(F.col("word"), n)).alias("at"))
     gram = F.substring(F.col("word"), F.col("at"), F.lit(n))
     bucketed = starts.select(key, gram.alias("gram")).select(
@@ -50,13 +45,12 @@ def encode_ngrams(
     n: int = 3,
     max_tokens: int | None = None,
     name: str = "embedding",
-    tasks: int | None = None,
 ) -> DataFrame:
     """(key, embedding): L2-normalised hashed n-gram counts, whole texts by default.
 
     ``max_tokens`` is the input limit of an encoder; set it only to imitate one.
     """
-    counts = ngram_counts(texts, key, text, dim, n, max_tokens, tasks)
+    counts = ngram_counts(texts, key, text, dim, n, max_tokens)
     cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("double")))
     cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
     dense = F.transform(

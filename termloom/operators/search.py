@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from termloom.functions.vectors import dot
 from termloom.operators.ranking import top_k
 
 _TILE = 256  # query rows scored at once inside a task
+_PART = 1 << 22  # numbers gathered at once for the exact scores
 _MIN_BLOCK = 256  # smaller query blocks are not worth another task
 
 
@@ -29,19 +30,33 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
-def _ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise dot product, added left to right in double as the SQL expression does."""
-    acc = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        acc += a[:, j].astype(np.float64) * b[:, j].astype(np.float64)
-    return acc
+def _ordered_dot(q: np.ndarray, e: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Dot products of pairs, added left to right in double as the SQL expression does.
+
+    Worked in parts, since many equal vectors make many pairs.
+    """
+    out = np.zeros(len(rows))
+    part = max(_PART // q.shape[1], 1) if q.shape[1] else len(rows) + 1
+    for lo in range(0, len(rows), part):
+        a = q[rows[lo : lo + part]].astype(np.float64)
+        b = e[cols[lo : lo + part]].astype(np.float64)
+        for j in range(q.shape[1]):
+            out[lo : lo + part] += a[:, j] * b[:, j]
+    return out
+
+
+def _lengths(matrix: np.ndarray) -> np.ndarray:
+    """Row norms in double, with 1 in place of 0."""
+    norms = np.linalg.norm(matrix.astype(np.float64), axis=1)
+    return np.where(norms > 0, norms, 1.0)
 
 
 def _block_top_k(queries: pa.Table, entities: pa.Table, k: int) -> pa.Table:
-    """Best ``k`` entities of one block for every query of one block.
+    """Best ``k`` entities of one block for every query of one block, in rank order.
 
-    A float32 matrix product finds all pairs that can be among the best k, with a margin
-    above its rounding error; those are scored again in double and ranked on that score.
+    A float32 matrix product of vectors scaled to length 1 at most finds all pairs that
+    can be among the best k, with a margin above its rounding error; those are scored
+    again in double and ranked on that score.
     """
     q, e = _matrix(queries, "vec"), _matrix(entities, "vec")
     if q.shape[1] != e.shape[1]:
@@ -50,35 +65,36 @@ def _block_top_k(queries: pa.Table, entities: pa.Table, k: int) -> pa.Table:
     by_id = entities.column("entity_id").combine_chunks()
     order = pa.compute.sort_indices(by_id).to_numpy()
     e = e[order]
-    e32 = np.ascontiguousarray(e.astype(np.float32).T)
-    unit = (q.shape[1] + 4) * 2.0**-23
-    reach = np.linalg.norm(e.astype(np.float64), axis=1).max(initial=0.0)
-    slack = 2.0 * unit * reach * np.linalg.norm(q.astype(np.float64), axis=1) + 1e-30
+    e32 = np.ascontiguousarray((e / _lengths(e).max()).astype(np.float32).T)
+    q32 = (q / _lengths(q)[:, None]).astype(np.float32)
+    slack = 2.0 * (q.shape[1] + 8) * 2.0**-23
 
-    rows_out, cols_out, scores_out = [], [], []
+    rows_out, cols_out, scores_out, ranks_out = [], [], [], []
     for lo in range(0, len(q), _TILE):
-        tile = q[lo : lo + _TILE]
-        approx = tile.astype(np.float32) @ e32
+        approx = q32[lo : lo + _TILE] @ e32
         if approx.shape[1] > k:
             cut = approx.shape[1] - k
             floor = np.partition(approx, cut, axis=1)[:, cut].astype(np.float64)
-            rows, cols = np.nonzero(approx >= (floor - slack[lo : lo + _TILE])[:, None])
+            rows, cols = np.nonzero(approx >= (floor - slack)[:, None])
         else:
             rows, cols = (x.ravel() for x in np.indices(approx.shape))
-        exact = _ordered_dot(tile[rows], e[cols])
+        exact = _ordered_dot(q, e, rows + lo, cols)
         best = np.lexsort((cols, -exact, rows))
         rows, cols, exact = rows[best], cols[best], exact[best]
-        starts = np.searchsorted(rows, np.arange(len(tile)))
-        keep = np.arange(len(rows)) - starts[rows] < k
+        starts = np.searchsorted(rows, np.arange(len(approx)))
+        place = np.arange(len(rows)) - starts[rows]
+        keep = place < k
         rows_out.append(rows[keep] + lo)
         cols_out.append(order[cols[keep]])
         scores_out.append(exact[keep])
+        ranks_out.append(place[keep] + 1)
     rows, cols = np.concatenate(rows_out), np.concatenate(cols_out)
     return pa.table(
         {
             "query_id": queries.column("query_id").combine_chunks().take(pa.array(rows)),
             "entity_id": by_id.take(pa.array(cols)),
             "score": pa.array(np.concatenate(scores_out)),
+            "rank": pa.array(np.concatenate(ranks_out).astype(np.int32)),
         }
     )
 
@@ -92,44 +108,73 @@ def search(
     entity: str = "entity_id",
     entity_vec: str = "embedding",
     block_rows: int = 16384,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Exact top-k entities per query: (query_id, entity_id, score, rank).
 
-    Ids must be unique on each side. Both sides are hashed into blocks of about
-    ``block_rows``; each pair of blocks meets in one group, which returns only k rows per
-    query. Blocks, not single pairs, are what the shuffle carries: every query row is
-    sent once per entity block and every entity row once per query block.
+    Ids must be unique on each side. A catalog whose vectors are counted and found to fit
+    in ``broadcast_bytes`` goes to every executor, and the queries are ranked where they
+    are, without a shuffle. A larger one is searched block by block.
     """
-    cores = queries.sparkSession.sparkContext.defaultParallelism
     q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec"))
     e = catalog.select(F.col(entity).alias("entity_id"), F.col(entity_vec).alias("vec"))
     q, e = q.where("vec is not null"), e.where("vec is not null")
+    schema = T.StructType(
+        [
+            T.StructField("query_id", q.schema["query_id"].dataType),
+            T.StructField("entity_id", e.schema["entity_id"].dataType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("rank", T.IntegerType()),
+        ]
+    )
+    # Ids count with their text; 8 bytes a number covers float and double vectors.
+    width = F.size("vec") * 8 + F.octet_length(F.col("entity_id").cast("string"))
+    size = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    if 0 < size["bytes"] <= broadcast_bytes:
+        return _search_broadcast(q, e, k, schema)
+    return _search_blocks(q, e, size["n"], k, schema, block_rows)
+
+
+def _search_broadcast(q: DataFrame, e: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    """Rank each batch of queries against a catalog of checked size."""
+    shared = q.sparkSession.sparkContext.broadcast(e.toArrow())
 
-    n_q = queries.select(F.count("*")).scalar()
-    n_e = catalog.select(F.count("*")).scalar()
-    e_blocks = F.greatest(F.ceil(n_e / block_rows), F.lit(1))
+    def rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hits = _block_top_k(pa.Table.from_batches([batch]), shared.value, k)
+                yield from hits.to_batches()
+
+    return q.mapInArrow(rank_batches, schema)
+
+
+def _search_blocks(
+    q: DataFrame, e: DataFrame, n_e: int, k: int, schema: T.StructType, block_rows: int
+) -> DataFrame:
+    """Hash both sides into blocks of about ``block_rows`` and rank pairs of blocks.
+
+    Each pair of blocks meets in one group, which returns only k rows per query. The
+    shuffle carries every query row once per entity block and every entity row once per
+    query block, never a pair of rows.
+    """
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    n_q = q.select(F.count("*")).scalar()
+    e_blocks = max(-(-n_e // block_rows), 1)
     # A small catalog would give few groups: then cut the queries finer, up to the cores.
-    spread = F.least(F.ceil(n_q / _MIN_BLOCK), F.ceil(F.lit(cores) / e_blocks))
-    q_blocks = F.greatest(F.ceil(n_q / block_rows), spread, F.lit(1))
+    spread = F.least(F.ceil(n_q / _MIN_BLOCK), F.lit(-(-cores // e_blocks)))
+    q_blocks = F.greatest(F.ceil(n_q / block_rows), spread, F.lit(1)).cast("long")
     zero = F.lit(0).cast("long")
 
     left = q.select(
         "*",
         F.pmod(F.xxhash64("query_id"), q_blocks).alias("q_block"),
-        F.explode(F.sequence(zero, e_blocks - 1)).alias("e_block"),
+        F.explode(F.sequence(zero, F.lit(e_blocks - 1).cast("long"))).alias("e_block"),
     )
     right = e.select(
         "*",
-        F.pmod(F.xxhash64("entity_id"), e_blocks).alias("e_block"),
+        F.pmod(F.xxhash64("entity_id"), F.lit(e_blocks).cast("long")).alias("e_block"),
         F.explode(F.sequence(zero, q_blocks - 1)).alias("q_block"),
     )
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q.schema["query_id"].dataType),
-            T.StructField("entity_id", e.schema["entity_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
 
     def score_blocks(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         if not left_rows.num_rows or not right_rows.num_rows:
@@ -138,13 +183,14 @@ def search(
                     "query_id": left_rows.column("query_id").slice(0, 0),
                     "entity_id": right_rows.column("entity_id").slice(0, 0),
                     "score": pa.array([], pa.float64()),
+                    "rank": pa.array([], pa.int32()),
                 }
             )
         return _block_top_k(left_rows, right_rows, k)
 
     keys = ["q_block", "e_block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)
-    return top_k(hits, k)
+    return top_k(hits.drop("rank"), k)
 
 
 def search_one(

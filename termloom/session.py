@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,27 +50,44 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-_made: list[str] = []
+_local = threading.local()
+
+
+def _made() -> list[str]:
+    """Work paths made by this thread; every stream runs its batches on its own thread."""
+    if not hasattr(_local, "paths"):
+        _local.paths = []
+    return _local.paths
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     path = f"{shared_dir(spark)}/termloom-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made().append(path)
     return path
 
 
-def remove_work(spark: SparkSession) -> int:
-    """Delete the work paths this program made; call it when their tables are done with."""
+def remove_work(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the work paths of this thread but the first ``keep``, once they are done with."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     removed = 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    while len(_made()) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(_made().pop())
         removed += bool(path.getFileSystem(conf).delete(path, True))
     return removed
 
 
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the work paths made inside, for instance by one micro-batch."""
+    before = len(_made())
+    try:
+        yield
+    finally:
+        remove_work(spark, keep=before)
+
+
 def pinned(df: DataFrame, name: str = "pinned") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

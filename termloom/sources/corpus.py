@@ -29,11 +29,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Two-field tab-separated mapping; the last line of a repeated key wins."""
-    lines = spark.read.text(path).select(
-        F.split(strip(F.col("value")), "\t").alias("f"), file_order().alias("version")
+    """Two-field tab-separated mapping; the last line of a repeated key wins.
+
+    Blank lines are skipped, any other line without exactly two fields fails the job.
+    """
+    fields = F.split(strip(F.col("value")), "\t")
+    checked = F.when(F.size(fields) == 2, fields).otherwise(
+        F.raise_error(F.concat(F.lit("not a mapping line: "), F.col("value")))
     )
-    pairs = lines.where(F.size("f") == 2).select(
+    lines = spark.read.text(path).where(strip(F.col("value")) != "")
+    pairs = lines.select(checked.alias("f"), file_order().alias("version")).select(
         F.col("f")[0].alias("cui"), F.col("f")[1].alias("mondo_id"), "version"
     )
     return latest_mapping(pairs, "cui", "mondo_id", "version")

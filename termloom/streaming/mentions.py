@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.plans.linking import VectorLinker
+from termloom.session import pinned, work_scope
 
 
 def link_stream(
@@ -24,10 +25,9 @@ def link_stream(
     """
 
     def link(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
-        hits = linker.predict_rows(rows, top_k)
-        hits.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        rows.unpersist()
+        with work_scope(batch.sparkSession):
+            hits = linker.predict_rows(pinned(batch, "batch"), top_k)
+            hits.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         mentions.writeStream.foreachBatch(link)

@@ -32,8 +32,8 @@ def brute_force(q, e, k):
     return hits
 
 
-@pytest.mark.parametrize("block_rows", [16384, 40, 7])
-def test_search_is_exact_with_ties(spark, block_rows):
+@pytest.mark.parametrize("options", [{}, {"block_rows": 40}, {"block_rows": 7}])
+def test_search_is_exact_with_ties(spark, options):
     """Small whole numbers give many equal scores, and copies give equal vectors."""
     rng = np.random.default_rng(0)
     e = rng.integers(-2, 3, (90, 5))
@@ -41,7 +41,9 @@ def test_search_is_exact_with_ties(spark, block_rows):
     q = np.vstack([rng.integers(-2, 3, (59, 5)), np.zeros((1, 5))])
     queries = vectors(spark, q, "query")
     catalog = vectors(spark, e, "entity")
-    hits = search(queries, catalog, 10, block_rows=block_rows)
+    if options:
+        options = {**options, "broadcast_bytes": 0}
+    hits = search(queries, catalog, 10, **options)
     assert {tuple(r) for r in hits.collect()} == brute_force(q, e, 10)
 
 
@@ -50,8 +52,16 @@ def test_search_close_scores(spark):
     base = np.array([0.6, 0.8])
     e = np.array([base + np.array([i * 1e-12, 0.0]) for i in range(50)])
     catalog, query = vectors(spark, e, "entity"), vectors(spark, [base], "query")
-    best = [r.entity_id for r in search(query, catalog, 3).orderBy("rank").collect()]
-    assert best == ["entity0049", "entity0048", "entity0047"]
+    for limit in (0, 1 << 20):
+        hits = search(query, catalog, 3, broadcast_bytes=limit).orderBy("rank").collect()
+        assert [r.entity_id for r in hits] == ["entity0049", "entity0048", "entity0047"]
+
+
+def test_search_of_very_long_and_very_short_vectors(spark):
+    e = [[1e30, 0], [1e-30, 1e-30], [0, 2e30], [-1e30, 1]]
+    q = [[1e30, 1e30], [1e-30, 0]]
+    hits = search(vectors(spark, q, "query"), vectors(spark, e, "entity"), 3)
+    assert {tuple(r) for r in hits.collect()} == brute_force(q, e, 3)
 
 
 def test_search_few_entries_null_and_single(spark):
@@ -62,8 +72,16 @@ def test_search_few_entries_null_and_single(spark):
     assert search(queries, catalog, 5).count() == 2
     single = [tuple(r) for r in search_one(catalog, [1.0, 0.0], 5).collect()]
     assert single == [("entity0000", 1.0), ("entity0001", 0.0)]
-    empty = search(queries.where("false"), catalog, 5)
-    assert empty.count() == 0
+    for limit in (0, 1 << 20):
+        assert search(queries.where("false"), catalog, 5, broadcast_bytes=limit).count() == 0
+        assert search(queries, catalog.where("false"), 5, broadcast_bytes=limit).count() == 0
+
+
+def test_small_catalog_is_searched_without_a_shuffle(spark):
+    catalog = vectors(spark, [[1, 0], [0, 1]], "entity")
+    plan = search(catalog.withColumnRenamed("entity_id", "query_id"), catalog, 1)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "Exchange" not in text
 
 
 def test_search_rejects_bad_vectors(spark):

@@ -88,6 +88,9 @@ def test_mapping_order_and_conflicts(spark, tmp_path, rows):
         ("C2", "E2"),
         ("C3", "E3"),
     ]
+    (tmp_path / "bad.tsv").write_text("C1\tE1\tmore\n")
+    with pytest.raises(Exception, match="not a mapping line"):
+        corpus.read_mapping(spark, str(tmp_path / "bad.tsv")).collect()
     same = spark.createDataFrame([("C1", "E1"), ("C1", "E1")], "cui string, mondo_id string")
     assert rows(corpus.strict_mapping(same, "cui", "mondo_id")) == [("C1", "E1")]
     clash = spark.createDataFrame([("C1", "E1"), ("C1", "E2")], "cui string, mondo_id string")

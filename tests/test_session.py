@@ -6,12 +6,13 @@ from termloom import session
 def test_pinned_tables_live_in_the_shared_folder(spark):
     root = session.shared_dir(spark)
     assert root == spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    before, session._made[:] = list(session._made), []
-    try:
-        df = session.pinned(spark.range(10).withColumn("x", F.rand()))
-        assert df.collect() == df.collect()
-        assert all(f.startswith(f"file:{root}/termloom-") for f in df.inputFiles())
-        assert session.remove_work(spark) == 1
-        assert session.remove_work(spark) == 0
-    finally:
-        session._made[:] = before
+    before = len(session._made())
+    df = session.pinned(spark.range(10).withColumn("x", F.rand()))
+    assert df.collect() == df.collect()
+    assert all(f"{root}/termloom-pinned-" in f for f in df.inputFiles())
+    with session.work_scope(spark):
+        inner = session.pinned(spark.range(3))
+        assert inner.count() == 3
+    assert df.count() == 10
+    assert session.remove_work(spark, keep=before) == 1
+    assert session.remove_work(spark, keep=before) == 0

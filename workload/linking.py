@@ -73,7 +73,8 @@ def v3(spark, sf):
 def v3_blocks(spark, sf):
     """The same search over several blocks on each side."""
     vectors = s.table(spark, sf, "embeddings")
-    return _rounded(search(vectors, vectors, 10, query="vec_id", entity="vec_id", block_rows=200))
+    blocks = {"block_rows": 200, "broadcast_bytes": 0}
+    return _rounded(search(vectors, vectors, 10, query="vec_id", entity="vec_id", **blocks))
 
 
 @query(

@@ -434,7 +434,6 @@ def u1(spark, sf):
     "SELECT k AS doc_id, bucket, round(x, 6) AS x FROM dv",
 )
 def v1(spark, sf):
-    tasks = spark.sparkContext.defaultParallelism
-    vectors = encode_ngrams(s.table(spark, sf, "documents"), "doc_id", "text", tasks=tasks)
+    vectors = encode_ngrams(s.spread_table(spark, sf, "documents"), "doc_id", "text")
     cells = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "x"))
     return _nonzero(cells)

@@ -13,12 +13,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table that string work is done on, over all cores.
+
+    A test table is one file with one row group, which a single task would read and work
+    on. A table with more splits than cores is taken as it is.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- annotated corpus and mapping --------------------------------------------------------
 
 
 def corpus_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Annotation lines from lineitem, and title, abstract, comment and short lines."""
-    items = table(spark, sf, "lineitem").join(
+    items = spread_table(spark, sf, "lineitem").join(
         table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
     prefix = (
@@ -103,7 +114,7 @@ MAPPING = """mapping AS (
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """The mention table that the preparation of the corpus gives."""
     rows = (
-        table(spark, sf, "lineitem")
+        spread_table(spark, sf, "lineitem")
         .where("l_returnflag <> 'R'")
         .join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
@@ -235,7 +246,7 @@ SCORES = """scores AS (
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     """(index, mention, true_mondo, text): whole documents behind yes, no or an error."""
-    docs = table(spark, sf, "documents")
+    docs = spread_table(spark, sf, "documents")
     joined = docs.join(table(spark, sf, "labels"), "doc_id", "left")
     lead = (
         F.when(F.col("toxic") == 1, "ERROR: ")
