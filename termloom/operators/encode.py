@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termloom.functions.text import code_point_hash, framed, ngram_starts, tokens
-from termloom.functions.vectors import l2_normalise
+from termloom.functions.vectors import bind, l2_normalise
 
 
 def ngram_counts(
@@ -53,13 +53,12 @@ def encode_ngrams(
     counts = ngram_counts(texts, key, text, dim, n, max_tokens)
     cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("double")))
     cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    dense = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")),
-        lambda b: F.coalesce(F.col("_m")[b], F.lit(0.0)),
-    )
-    return cells.select(key, dense.alias("_v")).select(
-        key, l2_normalise(F.col("_v")).alias(name)
-    )
+    buckets = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+
+    def dense(cell_map: Column) -> Column:
+        return F.transform(buckets, lambda b: F.coalesce(cell_map[b], F.lit(0.0)))
+
+    return cells.select(key, l2_normalise(bind(F.col("_m"), dense)).alias(name))
 
 
 def encode_with(

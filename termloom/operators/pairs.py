@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import hash_int
+from termloom.functions.vectors import bind
 
 # Pair text separator, default number of negatives.
 SEPARATOR = " [SEP] "
@@ -61,16 +62,18 @@ def draw_others(own: Column, total: Column, draws: Column, k: int) -> Column:
     size = F.least(F.lit(k).cast("long"), others)
     none = F.array().cast("array<bigint>")
 
-    def step(picked: Column, i: Column) -> Column:
-        upper = others - size + i
-        drawn = F.get(draws, i.cast("int")) % (upper + 1)
-        return F.concat(
-            picked, F.array(F.when(F.array_contains(picked, drawn), upper).otherwise(drawn))
-        )
-
     turns = F.when(size > 0, F.sequence(F.lit(0).cast("long"), size - 1)).otherwise(none)
-    picked = F.aggregate(turns, none, step)
-    return F.transform(picked, lambda p: p + F.when(p >= own, 1).otherwise(0))
+
+    def subset(numbers: Column) -> Column:
+        def step(picked: Column, i: Column) -> Column:
+            upper = others - size + i
+            drawn = F.get(numbers, i.cast("int")) % (upper + 1)
+            fresh = F.when(F.array_contains(picked, drawn), upper).otherwise(drawn)
+            return F.concat(picked, F.array(fresh))
+
+        return F.aggregate(turns, none, step)
+
+    return F.transform(bind(draws, subset), lambda p: p + F.when(p >= own, 1).otherwise(0))
 
 
 def negative_pairs(

@@ -22,10 +22,10 @@ def last_before(
 
     The order range is cut into equal chunks, so one busy key spreads over many tasks: a
     window runs within each (key, chunk), and the last value of each chunk, found by a
-    plain aggregate, is carried to the later ones. Keys are not null;
-    ``order`` is unique per key and should be a counter, so that equal ranges hold
-    comparable numbers of rows. By default a chunk
-    covers about a million rows of the whole table, and there are at least 1024.
+    plain aggregate, is carried to the later ones. Keys are not null; ``order`` is unique
+    per key and should be a counter, so that equal ranges hold comparable numbers of rows.
+    By default a chunk covers about a million rows of the whole table, and there are at
+    least 1024.
     """
     parts = str(chunks) if chunks else "greatest(1024, count(*) div 1000000)"
     low = events.select(F.min(order)).scalar()

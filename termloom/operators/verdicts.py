@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import strip
+from termloom.functions.vectors import bind
 from termloom.operators.catalog import candidate_text
 
 # Markers and messages of the answer format.
@@ -64,11 +65,8 @@ def request_table(
 def assemble_text(parts: Column) -> Column:
     """One answer text from its parts; null parts are skipped."""
     joined = F.array_join(F.filter(parts, lambda p: p.isNotNull()), " ")
-    return (
-        F.when(parts.isNull() | (F.size(parts) == 0), F.lit(NO_RESPONSE))
-        .when(joined == "", F.lit(EMPTY_RESPONSE))
-        .otherwise(strip(joined))
-    )
+    text = bind(joined, lambda t: F.when(t == "", F.lit(EMPTY_RESPONSE)).otherwise(strip(t)))
+    return F.when(parts.isNull() | (F.size(parts) == 0), F.lit(NO_RESPONSE)).otherwise(text)
 
 
 def is_equivalent(text: Column) -> Column:
