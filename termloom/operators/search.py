@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,7 @@ _MIN_BLOCK = 256  # smaller query blocks are not worth another task
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
     vectors = table.column(column).combine_chunks()
     values = vectors.flatten().to_numpy(zero_copy_only=False)
-    lengths = pa.compute.min_max(pa.compute.list_value_length(vectors)).as_py()
+    lengths = pc.min_max(pc.list_value_length(vectors)).as_py()
     if lengths["min"] != lengths["max"]:
         raise ValueError(f"vectors in {column} differ in length")
     if not np.isfinite(values).all():
@@ -63,7 +63,7 @@ def _block_top_k(queries: pa.Table, entities: pa.Table, k: int) -> pa.Table:
         raise ValueError("query and entity vectors differ in length")
     # Positions in id order make the tie rule an integer comparison.
     by_id = entities.column("entity_id").combine_chunks()
-    order = pa.compute.sort_indices(by_id).to_numpy()
+    order = pc.sort_indices(by_id).to_numpy()
     e = e[order]
     e32 = np.ascontiguousarray((e / _lengths(e).max()).astype(np.float32).T)
     q32 = (q / _lengths(q)[:, None]).astype(np.float32)
