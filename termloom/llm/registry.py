@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 from termloom.llm import (
+    byte_cnn,
+    mixing,
+    ngram_join,
+    packing,
+    page_text,
     quality_rules,
+    rotated_codes,
+    suffix_dedup,
     token_counts,
 )
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op2_page_text": page_text.op2_page_text,
+    "op5_byte_cnn": byte_cnn.op5_byte_cnn,
+    "op6_rotated_codes": rotated_codes.op6_rotated_codes,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op6_rotated_codes": rotated_codes.OP6_SQL}

@@ -36,7 +36,7 @@ def _pieces(text: str, most: int) -> list[str]:
 
 
 def _words_counter(path: str):
-    memo = W.worker_cache(f"lengths:{path}", lambda: W.WordIds(path, lambda _, ids: len(ids)))
+    memo = W.worker_cache(f"lengths:{path}", lambda: W.WordIds(path, lambda _, ids: len(ids) // 4))
 
     def count(group: list[bytes]) -> list[int]:
         split = [text.split() for text in group]

@@ -9,12 +9,14 @@ is left to the library.
 from __future__ import annotations
 
 import json
+import struct
 import sys
 import types
+import unicodedata
 from collections.abc import Callable, Iterable
 
 ENCODE_BYTES = 1 << 20
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 800_000
 SENTENCE_ENDS = ".!?…。！？"
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -55,6 +57,41 @@ def drops_white_space(path: str) -> bool:
     return first.get("type") == "Split" and bool(removed) and "[^\\s" in pattern
 
 
+def keeps_letters(path: str) -> bool:
+    """True if words are lower-cased and letters reach the model as byte symbols, unchanged."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = spec.get("normalizer") or {}
+    for part in normal.get("normalizers", [normal] if normal else []):
+        white = part.get("type") == "Replace" and part["pattern"] == {"Regex": "\\s+"}
+        if part.get("type") not in ("NFC", "Lowercase") and not white:
+            return False
+    if "Lowercase" not in [part.get("type") for part in normal.get("normalizers", [normal])]:
+        return False
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s.get("type") for s in steps] == ["Split", "ByteLevel"]
+        and "|[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and spec["model"]["type"] == "BPE"
+    )
+
+
+class ByteSymbols(dict):
+    """Letter -> the symbols that stand for its bytes, as the library maps them."""
+
+    def __init__(self):
+        super().__init__()
+        from tokenizers import pre_tokenizers
+
+        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, letter: str) -> str:
+        symbols = self[letter] = self.level.pre_tokenize_str(letter)[0][0]
+        return symbols
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
 
@@ -65,13 +102,24 @@ def load_tokenizer(path: str):
 
 
 class WordIds(dict):
-    """word -> value made from its ids; filled by ``learn``, emptied when it grows too large."""
+    """word -> value made from its ids; filled by ``learn``, emptied when it grows too large.
 
-    def __init__(self, path: str, value: Callable[[bytes, list[int]], object]):
+    Ids are kept as little-endian unsigned 32-bit numbers. ``fixed`` is always there.
+    """
+
+    def __init__(
+        self,
+        path: str,
+        value: Callable[[bytes, bytes], object],
+        fixed: dict[bytes, object] | None = None,
+    ):
         super().__init__()
         self.tokenizer = load_tokenizer(path)
         self.value = value
-        self.cores: dict[bytes, list[int]] = {}
+        self.fixed = fixed or {}
+        self.cores: dict[bytes, bytes] = {}
+        self.symbols = ByteSymbols() if keeps_letters(path) else None
+        self.update(self.fixed)
 
     def __missing__(self, word: bytes):
         self.learn([word])
@@ -83,13 +131,37 @@ class WordIds(dict):
         Case and a full stop or comma behind an ASCII letter never change the rest of a
         word, as the vocabulary is lower case and letters and signs are cut apart.
         """
-        new = [w for w in set(words) if w not in self]
+        every = set(words)
+        new = [w for w in every if w not in self]
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
             self.cores.clear()
-            new = list(set(words))
+            self.update(self.fixed)
+            new = [w for w in every if w not in self]
         split = [self._core(w) for w in new]
-        wanted = list({part for parts in split for part in parts if part not in self.cores})
+        wanted = {part for parts in split for part in parts if part not in self.cores}
+        self._encode([part for part in wanted if not self._letters(part)])
+        cores = self.cores
+        for word, parts in zip(new, split, strict=True):
+            ids = cores[parts[0]] if len(parts) == 1 else cores[parts[0]] + cores[parts[1]]
+            self[word] = self.value(word, ids)
+
+    def _letters(self, part: bytes) -> bool:
+        """Give a run of lower-case letters straight to the model; False if it is none."""
+        if self.symbols is None:
+            return False
+        text = part.decode("utf-8")
+        if not text.isalpha() or text != text.lower():
+            return False
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                return False
+            text = "".join(map(self.symbols.__getitem__, text))
+        ids = [token.id for token in self.tokenizer.model.tokenize(text)]
+        self.cores[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return True
+
+    def _encode(self, wanted: list[bytes]) -> None:
         start = size = 0
         for at, part in enumerate(wanted):
             size += len(part)
@@ -98,18 +170,15 @@ class WordIds(dict):
                 found = self.tokenizer.encode_batch_fast(
                     [w.decode("utf-8") for w in batch], add_special_tokens=False
                 )
-                self.cores.update(zip(batch, [e.ids for e in found], strict=True))
+                for word, encoded in zip(batch, found, strict=True):
+                    ids = encoded.ids
+                    self.cores[word] = struct.pack(f"<{len(ids)}I", *ids)
                 start, size = at + 1, 0
-        cores = self.cores
-        for word, parts in zip(new, split, strict=True):
-            ids = cores[parts[0]] if len(parts) == 1 else cores[parts[0]] + cores[parts[1]]
-            self[word] = self.value(word, ids)
 
-    @staticmethod
-    def _core(word: bytes) -> tuple[bytes, ...]:
-        if b"<|" in word:
+    def _core(self, word: bytes) -> tuple[bytes, ...]:
+        if self.symbols is None or b"<|" in word:
             return (word,)
-        low = word.lower()
+        low = word.lower()  # of bytes, so A-Z only
         if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122:
             return (low[:-1], low[-1:])
         return (low,)
