@@ -176,7 +176,8 @@ def mixed_rows(
     text = F.when(F.col("_words").isNull(), F.col(text_column)).otherwise(
         leading_words(F.col(text_column), F.col("_words"))
     )
-    return out.withColumn(text_column, text).select(*df.columns)
+    mixed = [text.alias(c) if c == text_column else F.col(c) for c in df.columns]
+    return out.select(*mixed)
 
 
 def leading_words(text: Column, count: Column) -> Column:

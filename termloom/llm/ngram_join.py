@@ -57,6 +57,7 @@ PERCENT = 75
 GROUP_TOKENS = 3 << 20  # tokens that meet in one task
 BLOCK_TOKENS = 1 << 19  # tokens in a block of sets
 MEMO_WORDS = 1_000_000
+BROADCAST_IDS = 1_000_000
 LENGTHEN_PERCENT = 15  # first prefix: so much of the set beyond the shortest one
 LENGTHENINGS = (1, 2, 4, 8, 16, 32, 64)  # what a set chooses from in the second
 PAIR_COST = 0.05  # comparing a token of a pair, in rows of a prefix token
@@ -499,6 +500,31 @@ def join_components(
     )
 
 
+def one_of_each(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component, one for each id.
+
+    Only the ids to drop are joined. They are sent to the tasks if they are few, and joined
+    by key otherwise. Rows with a null id are no copies of each other and stay.
+    """
+    found = pinned(join_components(df, id_column, text_column), "components")
+    drop = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
+    repeated = found.groupBy(id_column).count().where("count > 1").select(id_column)
+    repeated = repeated.where(F.col(id_column).isNotNull())
+    kept = df.join(_few(pinned(drop, "copies")), id_column, "left_anti")
+    repeated = pinned(repeated, "repeated")
+    if repeated.isEmpty():
+        return kept.select(*df.columns)
+    again = kept.join(_few(repeated), id_column, "left_semi").dropDuplicates([id_column])
+    once = kept.join(_few(repeated), id_column, "left_anti")
+    return once.select(*df.columns).unionByName(again.select(*df.columns))
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _restored(value: Column) -> Column:
     return F.when(value != F.lit(int(NO_ID)), value)
 

@@ -269,15 +269,14 @@ def fit_rows(labelled: DataFrame, id_column: str = "id") -> np.ndarray:
     return features({n: part[n].to_numpy() for n in STATISTICS})
 
 
-def judge(
-    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
-    """Statistics, ``base_failed``, ``anomaly`` and ``kept`` of every row of ``df``.
+def _fit(
+    rows: DataFrame, labels: DataFrame, id_column: str
+) -> tuple[Forest, float | None]:
+    """Forest and cut from the statistics of all rows and the labels of some.
 
     ``labels`` has ``id_column`` and ``quality`` (1 good, 0 bad); other values and null ids
     are left out, and an id with both labels counts under each.
     """
-    rows = pinned(with_statistics(df, id_column, text_column), "statistics")
     marks = (
         labels.where(F.col("quality").isin(0, 1))
         .select(F.col(id_column).alias("id"), "quality")
@@ -285,7 +284,15 @@ def judge(
     )
     labelled = pinned(rows.join(marks, "id"), "labelled")
     forest = fit_forest(fit_rows(labelled))
-    cut = calibrate(with_scores(labelled, forest))
+    return forest, calibrate(with_scores(labelled, forest))
+
+
+def judge(
+    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Statistics, ``base_failed``, ``anomaly`` and ``kept`` of every row of ``df``."""
+    rows = pinned(with_statistics(df, id_column, text_column), "statistics")
+    forest, cut = _fit(rows, labels, id_column)
     scored = with_scores(rows, forest)
     passed = F.lit(True) if cut is None else F.col("anomaly") < F.lit(cut)
     return scored.withColumn("kept", ~F.col("base_failed") & passed).withColumnRenamed(
@@ -293,6 +300,26 @@ def judge(
     )
 
 
+def kept_rows(
+    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``df`` that are kept, judged where they are read; no text is shuffled."""
+    rows = pinned(with_statistics(df, id_column, text_column), "statistics")
+    forest, cut = _fit(rows, labels, id_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, group in by_bytes(batches, text_column, GROUP_BYTES):
+            found = np.array([text_statistics(t) for t in group], np.int64)
+            columns = dict(zip(STATISTICS, found.T, strict=True))
+            n, repeats = columns["n_words"], columns["n_repeat_words"]
+            kept = (n >= MIN_WORDS) & (100 * repeats <= REPEAT_PERCENT * n)
+            if cut is not None:
+                kept &= forest.score(features(columns)) < cut
+            yield batch.filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
         "doc_id",

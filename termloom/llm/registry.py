@@ -9,6 +9,7 @@ from termloom.llm import (
     packing,
     page_text,
     quality_rules,
+    quotations,
     rotated_codes,
     suffix_dedup,
     token_counts,
@@ -18,6 +19,8 @@ QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op2_page_text": page_text.op2_page_text,
+    "op3_quotations": quotations.op3_quotations,
+    "quoted_round_trip": quotations.quoted_round_trip,
     "op5_byte_cnn": byte_cnn.op5_byte_cnn,
     "op6_rotated_codes": rotated_codes.op6_rotated_codes,
     "op7_ngram_join": ngram_join.op7_ngram_join,
