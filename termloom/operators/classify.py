@@ -172,11 +172,14 @@ def pair_features(
     entity_vectors: DataFrame,
     mention: str = "mention",
 ) -> DataFrame:
-    """Attach the element-wise product of mention and entity vector as ``features``."""
+    """Attach the element-wise product of mention and entity vector as ``features``.
+
+    Every pair comes out; without either vector its features are null.
+    """
     m = mention_vectors.select(mention, F.col("embedding").alias("_m"))
     e = entity_vectors.select("entity_id", F.col("embedding").alias("_e"))
     product = hadamard(F.col("_m"), F.col("_e"))
-    joined = pairs.join(e, "entity_id").join(m, mention)
+    joined = pairs.join(e, "entity_id", "left").join(m, mention, "left")
     return joined.select(*pairs.columns, product.alias("features"))
 
 

@@ -25,7 +25,7 @@ def _own_entity(rows: DataFrame, catalog: DataFrame, entity: str) -> DataFrame:
         F.col("rep_text").alias("own_text"),
         F.col("ordinal").alias("own"),
     )
-    return rows.join(own, entity)
+    return rows.join(own, entity, "left")
 
 
 def positive_pairs(
@@ -56,9 +56,9 @@ def draw_others(own: Column, total: Column, draws: Column, k: int) -> Column:
     """``min(k, total - 1)`` distinct ordinals below ``total``, never ``own``, uniform.
 
     Floyd's subset draw over the ``total - 1`` other ordinals; ordinals from ``own`` up
-    are shifted by one to skip it.
+    are shifted by one to skip it. A null ``own`` has ``total`` others and no shift.
     """
-    others = total - 1
+    others = total - F.when(own.isNull(), 0).otherwise(1)
     size = F.least(F.lit(k).cast("long"), others)
     none = F.array().cast("array<bigint>")
 
@@ -87,6 +87,7 @@ def negative_pairs(
 ) -> DataFrame:
     """``k`` sampled wrong entities per row, label 0.0.
 
+    A row whose entity is outside the catalog draws from the whole catalog.
     ``row_columns`` identify a row and seed its draws. Work and shuffle are rows times k:
     drawn ordinals are uniform, so the join back to the catalog is balanced.
     """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from termloom.functions.vectors import dot
 from termloom.operators.ranking import top_k
 
+Encoder = Callable[[DataFrame, str, str], DataFrame]
+
 _TILE = 256  # query rows scored at once inside a task
 _PART = 1 << 22  # numbers gathered at once for the exact scores
 _MIN_BLOCK = 256  # smaller query blocks are not worth another task
@@ -208,6 +210,25 @@ def search_one(
     return scored.orderBy(F.col("score").desc(), "entity_id").limit(k)
 
 
+def with_outside_vectors(
+    pairs: DataFrame, vectors: DataFrame, encoder: Encoder | None, vec: str = "embedding"
+) -> DataFrame:
+    """(entity_id, vec) of the catalog and, encoded from their ids, of the other entities.
+
+    An entity outside the catalog is known by its id alone, as in ``candidate_text``.
+    Without an encoder it has no vector.
+    """
+    known = vectors.select("entity_id", F.col(vec).alias("embedding"))
+    if encoder is None:
+        return known
+    outside = pairs.select("entity_id").join(known, "entity_id", "left_anti").distinct()
+    texts = outside.select("entity_id", F.col("entity_id").cast("string").alias("text"))
+    encoded = encoder(texts, "entity_id", "text").select("entity_id", "embedding")
+    return known.select(
+        "entity_id", F.col("embedding").cast("array<double>").alias("embedding")
+    ).unionByName(encoded.withColumn("embedding", F.col("embedding").cast("array<double>")))
+
+
 def score_candidates(
     queries: DataFrame,
     catalog: DataFrame,
@@ -216,22 +237,35 @@ def score_candidates(
     query_vec: str = "embedding",
     entity: str = "entity_id",
     entity_vec: str = "embedding",
+    encoder: Encoder | None = None,
 ) -> DataFrame:
-    """Inner products of given (query, entity) pairs only, by two equi joins."""
+    """Inner products of given (query, entity) pairs only, by two equi joins.
+
+    Every pair comes out. A candidate outside the catalog is encoded from its id; without
+    an ``encoder``, as without a query vector, its score is null.
+    """
     q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_q"))
-    e = catalog.select(F.col(entity).alias("entity_id"), F.col(entity_vec).alias("_e"))
     pairs = candidates.select(
         F.col(query).alias("query_id"), F.col(entity).alias("entity_id")
     ).distinct()
-    joined = pairs.join(e, "entity_id").join(q, "query_id")
-    return joined.select("query_id", "entity_id", dot(F.col("_q"), F.col("_e")).alias("score"))
+    known = catalog.withColumnRenamed(entity, "entity_id")
+    vectors = with_outside_vectors(pairs, known, encoder, entity_vec)
+    joined = pairs.join(vectors, "entity_id", "left").join(q, "query_id", "left")
+    return joined.select(
+        "query_id", "entity_id", dot(F.col("_q"), F.col("embedding")).alias("score")
+    )
 
 
 def search_candidates(
-    queries: DataFrame, catalog: DataFrame, candidates: DataFrame, k: int = 10, **columns: str
+    queries: DataFrame,
+    catalog: DataFrame,
+    candidates: DataFrame,
+    k: int = 10,
+    encoder: Encoder | None = None,
+    **columns: str,
 ) -> DataFrame:
-    """Top-k restricted to the given candidates."""
-    return top_k(score_candidates(queries, catalog, candidates, **columns), k)
+    """Top-k restricted to the given candidates; those without a score come last."""
+    return top_k(score_candidates(queries, catalog, candidates, encoder=encoder, **columns), k)
 
 
 def search_mentions(

@@ -17,7 +17,7 @@ YES_MARK = "YES"
 NO_RESPONSE = "ERROR: No response generated"
 EMPTY_RESPONSE = "ERROR: Empty response content"
 RETRIES_EXCEEDED = "ERROR: Max retries exceeded"
-MAX_ATTEMPTS = 3
+RETRIES = 3
 # Message parts that mark a rate limit, and the wait factor, per model.
 RATE_LIMIT_PARTS = {"gpt": ("rate", "limit", "429"), "gemini": ("rate", "limit", "429", "quota")}
 RATE_LIMIT_FACTOR = {"gpt": 2, "gemini": 5}
@@ -87,16 +87,17 @@ def is_rate_limit(message: Column, model: str = "gpt") -> Column:
     return F.lower(message).rlike("|".join(RATE_LIMIT_PARTS[model]))
 
 
-def wait_seconds(model: str = "gpt") -> Column:
+def wait_seconds(model: str = "gpt", last: Column | None = None) -> Column:
     """Seconds waited after an attempt (columns ok, attempt, text).
 
-    A failure that is no rate limit waits only when another attempt follows.
+    A failure that is no rate limit waits only when another attempt follows; ``last`` is
+    the number of the last attempt that may be made.
     """
     base = F.pow(F.lit(2.0), F.col("attempt"))
     return (
         F.when(F.col("ok"), 0.0)
         .when(is_rate_limit(F.col("text"), model), base * RATE_LIMIT_FACTOR[model])
-        .when(F.col("attempt") < MAX_ATTEMPTS - 1, base)
+        .when(F.col("attempt") < (F.lit(RETRIES - 1) if last is None else last), base)
         .otherwise(0.0)
     )
 
@@ -112,42 +113,49 @@ def with_backoff(attempts: DataFrame, model: str = "gpt") -> DataFrame:
 
 
 def resolve_attempts(
-    attempts: DataFrame, request: str = "request_id", model: str = "gpt"
+    attempts: DataFrame,
+    request: str = "request_id",
+    model: str = "gpt",
+    retries: int | None = RETRIES,
 ) -> DataFrame:
-    """One text per request: its first success among the first attempts, else an error.
+    """One text per request: its first success among the first ``retries`` attempts, else an error.
 
     Input is (request, attempt from 0, ok, text). When all attempts fail, a rate limit at
-    the last one reads as retries exceeded, another failure carries its message.
+    the last one reads as retries exceeded, another failure carries its message. A request
+    with later attempts only has had no response. Without ``retries`` every recorded
+    attempt counts, and the last one recorded is the last.
     """
-    tried = attempts.where(F.col("attempt") < MAX_ATTEMPTS)
-    good = F.when(F.col("ok"), F.col("attempt"))
-    bad = F.when(~F.col("ok"), F.col("attempt"))
-    waits = [
-        F.max(F.when(F.col("attempt") == i, wait_seconds(model))).alias(f"_w{i}")
-        for i in range(MAX_ATTEMPTS)
-    ]
+    usable = F.lit(True) if retries is None else F.col("attempt") < retries
+    tried = attempts.withColumn("_usable", usable)
+    at = F.when(F.col("_usable"), F.col("attempt"))
+    good = F.when(F.col("ok"), at)
+    bad = F.when(~F.col("ok"), at)
     resolved = tried.groupBy(request).agg(
         F.min_by("text", good).alias("_good"),
         F.max_by("text", bad).alias("_bad"),
         F.min(good).alias("_at"),
-        F.max("attempt").alias("_last"),
-        *waits,
+        F.max(at).alias("_last"),
     )
-    found = F.col("_at").isNotNull()
-    exhausted = is_rate_limit(F.col("_bad"), model) & (F.col("_last") == MAX_ATTEMPTS - 1)
-    failure = F.when(exhausted, F.lit(RETRIES_EXCEEDED)).otherwise(
-        F.concat(F.lit("ERROR: "), F.coalesce("_bad", F.lit("")))
+    final = F.col("_last") if retries is None else F.lit(retries - 1)
+    ends = resolved.select(request, "_at", final.alias("_final"))
+    before = F.col("_usable") & (F.col("_at").isNull() | (F.col("attempt") < F.col("_at")))
+    waits = (
+        tried.join(ends, request)
+        .where(before)
+        .groupBy(request)
+        .agg(F.sum(wait_seconds(model, F.col("_final"))).alias("_waited"))
     )
-    waited = sum(
-        F.when(F.coalesce("_at", F.lit(MAX_ATTEMPTS)) > i, F.coalesce(f"_w{i}", F.lit(0.0)))
-        .otherwise(0.0)
-        for i in range(MAX_ATTEMPTS)
+    exhausted = is_rate_limit(F.col("_bad"), model) & (F.col("_last") == final)
+    failure = (
+        F.when(F.col("_last").isNull(), F.lit(NO_RESPONSE))
+        .when(exhausted, F.lit(RETRIES_EXCEEDED))
+        .otherwise(F.concat(F.lit("ERROR: "), F.coalesce("_bad", F.lit(""))))
     )
-    return resolved.select(
+    return resolved.join(waits, request, "left").select(
         request,
-        F.when(found, F.col("_good")).otherwise(failure).alias("text"),
-        (F.coalesce("_at", "_last") + 1).alias("attempts"),
-        waited.alias("wait_seconds"),
+        F.when(F.col("_at").isNotNull(), F.col("_good")).otherwise(failure).alias("text"),
+        (F.coalesce("_at", "_last", F.lit(-1)) + 1).alias("attempts"),
+        F.coalesce("_waited", F.lit(0.0)).alias("wait_seconds"),
     )
 
 

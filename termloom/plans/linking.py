@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.catalog import build_catalog
 from termloom.operators.encode import encode_ngrams
 from termloom.operators.evaluate import evaluate_by_mention, evaluate_hits_and_mrr, fan_out
-from termloom.operators.search import search, search_one
+from termloom.operators.search import Encoder, search, search_one
 from termloom.session import pinned
 
-Encoder = Callable[[DataFrame, str, str], DataFrame]
-
 
 def ngram_encoder(dim: int = 64, n: int = 3, max_tokens: int | None = None) -> Encoder:
     """Default encoder: (table, key, text) -> (key, embedding)."""

@@ -20,7 +20,8 @@ from termloom.operators.classify import (
 )
 from termloom.operators.evaluate import evaluate_by_mention, fan_out
 from termloom.operators.pairs import labelled_pairs
-from termloom.plans.linking import Encoder, ngram_encoder
+from termloom.operators.search import Encoder, with_outside_vectors
+from termloom.plans.linking import ngram_encoder
 from termloom.session import pinned
 
 
@@ -42,11 +43,19 @@ class PairClassifierLinker:
         return fan_out(rows, self.predict_batch(rows, top_k))
 
     def score_candidates(self, pairs: DataFrame) -> DataFrame:
-        """Probability of given (mention, entity_id) pairs."""
+        """Probability of given (mention, entity_id) pairs.
+
+        An entity outside the catalog is scored by its id.
+        """
         distinct = pairs.select("mention").distinct().select("mention", F.col("mention").alias("text"))
         vectors = self.encoder(distinct, "mention", "text")
-        featured = pair_features(pairs, vectors, self.entity_vectors)
-        return score_features(self.model, featured)
+        entities = with_outside_vectors(pairs, self.entity_vectors, self.encoder)
+        return score_features(self.model, pair_features(pairs, vectors, entities))
+
+    def predict(self, mention: str, top_k: int = 5) -> DataFrame:
+        """(entity_id, score, rank) of one mention text."""
+        row = self.entity_vectors.sparkSession.createDataFrame([(mention,)], "mention string")
+        return self.predict_batch(row, top_k).drop("mention")
 
     def evaluate(self, rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
         truth = rows.select("mention", F.col("mondo_id").alias("entity_id"))
@@ -80,7 +89,8 @@ def train_pair_classifier(
         pairs = pinned(labelled_pairs(rows, catalog, negatives, seed), "pairs")
         distinct = pairs.select("mention").distinct().select("mention", F.col("mention").alias("text"))
         vectors = encode(distinct, "mention", "text")
-        return pair_features(pairs, vectors, encode(catalog, "entity_id", "rep_text"))
+        entities = encode(catalog, "entity_id", "rep_text")
+        return pair_features(pairs, vectors, with_outside_vectors(pairs, entities, encode))
 
     catalog = build_catalog(train, rule)
     # Read once per optimiser step, so pinned.
@@ -90,6 +100,7 @@ def train_pair_classifier(
     linking_vectors = encode(build_catalog(train, "mode"), "entity_id", "rep_text")
     return {
         "model": model,
+        "training": training,
         "scored_dev": scored,
         "auc": roc_auc(scored),
         "report": classification_report(scored),

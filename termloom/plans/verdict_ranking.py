@@ -6,32 +6,22 @@ from pyspark.sql import DataFrame
 
 from termloom.operators.evaluate import evaluate_hits_and_mrr
 from termloom.operators.ranking import rank_verdicts
-from termloom.operators.verdicts import (
-    parse_verdicts,
-    request_table,
-    resolve_attempts,
-    verdict_metrics,
-    verdict_records,
-)
-
-__all__ = [
-    "evaluate_verdict_ranking",
-    "rank_attempts",
-    "request_table",
-    "verdict_metrics",
-    "verdict_records",
-]
+from termloom.operators.verdicts import RETRIES, parse_verdicts, resolve_attempts
 
 
 def rank_attempts(
-    attempts: DataFrame, requests: DataFrame, k: int = 10, model: str = "gpt"
+    attempts: DataFrame,
+    requests: DataFrame,
+    k: int = 10,
+    model: str = "gpt",
+    retries: int | None = RETRIES,
 ) -> DataFrame:
     """Attempt log to ranked lists.
 
     ``attempts`` is (request_id, attempt, ok, text); ``requests`` maps a request to
     (query_id, entity_id, ordinal).
     """
-    answers = parse_verdicts(resolve_attempts(attempts, "request_id", model))
+    answers = parse_verdicts(resolve_attempts(attempts, "request_id", model, retries))
     verdicts = requests.join(answers, "request_id", "left")
     return rank_verdicts(verdicts, k)
 
@@ -42,5 +32,6 @@ def evaluate_verdict_ranking(
     truth: DataFrame,
     k: int = 10,
     model: str = "gpt",
+    retries: int | None = RETRIES,
 ) -> DataFrame:
-    return evaluate_hits_and_mrr(truth, rank_attempts(attempts, requests, k, model))
+    return evaluate_hits_and_mrr(truth, rank_attempts(attempts, requests, k, model, retries))

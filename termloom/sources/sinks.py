@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from termloom.sources.corpus import MENTION_SCHEMA
 
+METADATA_SCHEMA = (
+    "model_name string, embedding_dim int, num_entities long, max_length int, "
+    "normalization string, indexing_method string"
+)
+
 
 def write_splits(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """One folder per split, so a reader of one split lists only its own files."""
@@ -49,6 +54,14 @@ def catalog_metadata(
     )
 
 
+def write_metadata(record: DataFrame, path: str) -> None:
+    record.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).json(path)
+
+
 def results_by_model(metrics: DataFrame) -> DataFrame:
     """One row per model with a metric map; a model has a handful of metrics."""
     entries = F.sort_array(F.collect_list(F.struct("metric", "value")))
@@ -57,13 +70,19 @@ def results_by_model(metrics: DataFrame) -> DataFrame:
 
 def results_document(metrics: DataFrame) -> DataFrame:
     """The nested model -> metric -> value document as one JSON string."""
-    models = F.sort_array(F.collect_list(F.struct("model", F.to_json("metrics").alias("m"))))
-    body = F.transform(
-        models, lambda e: F.concat(F.lit('"'), F.replace(e["model"], F.lit('"'), F.lit('\\"')), F.lit('":'), e["m"])
-    )
-    return results_by_model(metrics).agg(
-        F.concat(F.lit("{"), F.array_join(body, ","), F.lit("}")).alias("document")
+    sorted_models = F.sort_array(F.collect_list(F.struct("model", "metrics")))
+    models = F.map_from_entries(
+        F.transform(
+            sorted_models, lambda e: F.struct(e["model"], F.map_from_entries(e["metrics"]))
+        )
     )
+    return _with_sorted_metrics(metrics).agg(F.to_json(models).alias("document"))
+
+
+def _with_sorted_metrics(metrics: DataFrame) -> DataFrame:
+    """(model, metrics) with the metrics as an array, which sorts, then as a map."""
+    entries = F.sort_array(F.collect_list(F.struct("metric", "value")))
+    return metrics.groupBy("model").agg(entries.alias("metrics"))
 
 
 def write_results(metrics: DataFrame, path: str) -> None:

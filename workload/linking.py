@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from termloom.functions.vectors import l2_normalise
@@ -11,7 +12,7 @@ from termloom.operators.encode import encode_with
 from termloom.operators.ranking import rank_of_truth, ranked_lists, top_k
 from termloom.operators.search import search, search_candidates, search_mentions, search_one
 from termloom.plans.linking import VectorLinker, evaluate_vectors, ngram_encoder, vector_catalog
-from termloom.plans.training import train_pair_classifier
+from termloom.plans.training import score_features, train_pair_classifier
 from termloom.operators.ordering import exact_split
 from termloom.plans.preparation import ROW_COLUMNS
 from termloom.session import pinned
@@ -20,9 +21,10 @@ from workload.preparation import _TWO_MODELS, two_models
 from workload.registry import query
 
 _RANKED = s.ranked_sql()
-_TRUTH = _RANKED + """, truth AS (
-  SELECT q.vec_id AS query_id, q.label AS entity_id, r.rank FROM embeddings q LEFT JOIN ranked r
-  ON r.query_id = q.vec_id AND r.entity_id = q.label)"""
+_TRUTH = _RANKED + f""", truth AS (
+  SELECT q.vec_id AS query_id, CAST({s.VECTOR_ENTITY} AS BIGINT) AS entity_id, r.rank
+  FROM embeddings q LEFT JOIN ranked r
+  ON r.query_id = q.vec_id AND r.entity_id = r.own AND r.rank <= 10)"""
 _ALL_PAIRS = """pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS entity_id, list_dot_product(
     CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
@@ -90,29 +92,59 @@ def v3_single(spark, sf):
 
 @query(
     "j3_score_all_pairs",
-    f"WITH {_RANKED} SELECT query_id, entity_id, round(score, 6) AS score FROM ranked",
+    f"WITH {_RANKED} SELECT query_id, entity_id, round(score, 6) AS score FROM ranked WHERE rank <= 10",
 )
 def j3(spark, sf):
-    """Every query against every prototype; k is the catalog size."""
+    """Every query is scored against every prototype; the ten best come out."""
     queries, prototypes = s.queries_and_prototypes(spark, sf)
-    k = prototypes.count()
-    return _rounded(search(queries, prototypes, k)).drop("rank")
+    return _rounded(search(queries, prototypes, 10)).drop("rank")
 
 
 @query(
     "j4_given_candidates",
     f"""WITH {_RANKED} SELECT query_id, entity_id, round(score, 6) AS score, CAST(row_number() OVER (
       PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM ranked
-    WHERE entity_id IN (label, 9 - label)""",
+    WHERE entity_id IN (own, own // 10 * 10 + (own + 1) % 5)""",
 )
 def j4(spark, sf):
     queries, prototypes = s.queries_and_prototypes(spark, sf)
     candidates = queries.select(
-        "query_id", F.explode(F.array("label", 9 - F.col("label"))).alias("entity_id")
+        "query_id", F.explode(F.array("own", F.expr("own div 10 * 10 + (own + 1) % 5"))).alias("entity_id")
     )
     return _rounded(search_candidates(queries, prototypes, candidates, 10))
 
 
+_OUTSIDE = (
+    s.MODE_CATALOG
+    + """, known AS (SELECT entity_id, rep_text FROM catalog WHERE ordinal % 3 <> 0),
+spoken AS (SELECT DISTINCT mention FROM mentions),
+given AS (SELECT DISTINCT mention, mondo_id AS entity_id FROM mentions),
+named AS (SELECT DISTINCT entity_id, coalesce(rep_text, entity_id) AS rep_text
+  FROM given LEFT JOIN known USING (entity_id)), """
+    + s.encoded("spoken", "mention", "mention", "mv")
+    + ", "
+    + s.encoded("named", "entity_id", "rep_text", "ev")
+    + """, scored AS (SELECT mention, entity_id, list_sum(list_transform(range(1, 65),
+      lambda i: m.vec[i] * e.vec[i])) AS score
+    FROM given JOIN mv_vec m ON m.k = mention JOIN ev_vec e ON e.k = entity_id)"""
+)
+
+
+@query(
+    "j4_candidates_outside_catalog",
+    f"""WITH {_OUTSIDE} SELECT mention, entity_id, round(score, 6) AS score, CAST(row_number() OVER (
+      PARTITION BY mention ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM scored""",
+)
+def j4_outside(spark, sf):
+    """True pairs as candidates of a catalog that lacks every third entity."""
+    rows, linker = _linker(spark, sf)
+    part = linker.catalog.where("ordinal % 3 <> 0")
+    pairs_given = rows.select(F.col("mention").alias("query_id"), F.col("mondo_id").alias("entity_id"))
+    vectors = linker.encode_mentions(rows).withColumnRenamed("mention", "query_id")
+    hits = search_candidates(vectors, part, pairs_given, 1 << 30, ngram_encoder())
+    return _rounded(hits.withColumnRenamed("query_id", "mention"))
+
+
 @query("j5_truth_attach", f"WITH {_TRUTH} SELECT query_id, entity_id, rank FROM truth")
 def j5(spark, sf):
     queries, prototypes = s.queries_and_prototypes(spark, sf)
@@ -169,7 +201,12 @@ def j6(spark, sf):
     return linker.predict_rows(rows, 3).select("pmid", "mention", "cui", "entity_id", "rank")
 
 
-@query("v1_encoder_hook")
+@query(
+    "v1_encoder_hook",
+    """WITH points AS (SELECT doc_id, unicode(unnest(string_split(text, ''))) % 32 AS bucket FROM documents),
+      cells AS (SELECT doc_id, bucket, count(*) AS n FROM points GROUP BY ALL)
+    SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS x FROM cells""",
+)
 def v1_hook(spark, sf):
     """A user's encoder, run batch-wise: here code point counts as a stand-in model."""
 
@@ -177,15 +214,17 @@ def v1_hook(spark, sf):
         import numpy as np
 
         def encode(texts):
-            out = np.zeros((len(texts), 32))
-            for i, text in enumerate(texts):
-                points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-                out[i] = np.bincount(points % 32, minlength=32)
-            return out
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+            cell = np.repeat(np.arange(len(texts)) * 32, lengths) + points % 32
+            return np.bincount(cell, minlength=32 * len(texts)).reshape(-1, 32).astype(float)
 
         return encode
 
-    return encode_with(s.table(spark, sf, "documents"), "doc_id", "text", load)
+    vectors = encode_with(s.table(spark, sf, "documents"), "doc_id", "text", load)
+    cells = vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "x"))
+    kept = cells.where("x <> 0").withColumn("bucket", F.col("bucket").cast("long"))
+    return _rounded(kept, "x")
 
 
 # --- ranking and evaluation --------------------------------------------------------------
@@ -207,7 +246,7 @@ def o1(spark, sf):
 @query(
     "o1_ranked_lists",
     f"WITH {_RANKED} SELECT query_id, string_agg(entity_id, ',' ORDER BY rank) AS hits "
-    "FROM ranked GROUP BY query_id",
+    "FROM ranked WHERE rank <= 10 GROUP BY query_id",
 )
 def o1_lists(spark, sf):
     queries, prototypes = s.queries_and_prototypes(spark, sf)
@@ -350,30 +389,125 @@ def _train_dev(spark, sf):
     return rows.where("split = 'train'"), rows.where("split = 'dev'")
 
 
-@query("m1_fit_classifier")
+# Rows and pairs of the training and the dev split; a row has min(3, entities - 1) negatives.
+_SUPPORT = s.SPLIT + """, support AS (
+  SELECT split, count(*) AS positives,
+    count(*) * least(3, count(DISTINCT mondo_id) - 1) AS negatives,
+    count(DISTINCT mention) AS mentions, count(DISTINCT mondo_id) AS entities,
+    count(DISTINCT mention || '|' || mondo_id) AS links FROM split_rows GROUP BY split)"""
+
+
+@query(
+    "m1_fit_classifier",
+    f"""WITH {_SUPPORT} SELECT 1.0::DOUBLE AS label, positives AS support, TRUE AS converged
+      FROM support WHERE split = 'train'
+    UNION ALL SELECT 0.0, negatives, TRUE FROM support WHERE split = 'train'""",
+)
 def m1(spark, sf):
-    """Fit on the training pairs, then report on the dev pairs."""
+    """Supports of the training pairs, and whether the fitted loss has no slope left.
+
+    At the optimum the mean of (probability - label) * feature is balanced by the penalty
+    on the standardised coefficient, for every feature and for the intercept.
+    """
     train, dev = _train_dev(spark, sf)
-    return _rounded(train_pair_classifier(train, dev)["report"], "precision", "recall", "f1")
+    fitted = train_pair_classifier(train, dev)
+    training, model = fitted["training"], fitted["model"]
+    scored = pinned(score_features(model, training.withColumn("x", F.col("features"))), "scored")
+    error = F.col("score") - F.col("label")
+    cells = scored.select(error.alias("error"), F.posexplode("x").alias("j", "x"))
+    slopes = cells.groupBy("j").agg(
+        F.avg(F.col("error") * F.col("x")).alias("slope"),
+        F.var_samp("x").alias("var"),
+        F.avg("error").alias("bias"),
+    )
+    weights = spark.createDataFrame(
+        [(j, float(w)) for j, w in enumerate(model.coefficients)], "j int, w double"
+    )
+    reg = model.getOrDefault("regParam")
+    left = F.abs(F.col("slope") + reg * F.col("var") * F.col("w"))
+    # Scaled as the optimiser sees the feature; a constant feature has no slope.
+    scaled = F.when(F.col("var") > 0, left / F.sqrt("var")).otherwise(0.0)
+    worst = slopes.join(weights, "j").agg(
+        F.greatest(F.max(scaled), F.max(F.abs("bias"))).alias("worst")
+    )
+    converged = F.lit(worst.first()["worst"] < 1e-3)
+    return scored.groupBy("label").agg(F.count("*").alias("support")).withColumn("converged", converged)
 
 
-@query("m2_score_pairs")
+@query(
+    "m2_score_pairs",
+    f"""WITH {_SUPPORT} SELECT 1.0::DOUBLE AS label, positives AS pairs, positives AS agreeing
+      FROM support WHERE split = 'dev'
+    UNION ALL SELECT 0.0, negatives, negatives FROM support WHERE split = 'dev'""",
+)
 def m2(spark, sf):
-    """Fit on the pair texts of the training split and score the dev pairs."""
+    """Dev pairs, and those whose score is the sigmoid of weights times word counts, by hand."""
     train, dev = _train_dev(spark, sf)
-    fitted = classify.fit_text_classifier(
-        pairs.labelled_pairs(train, cat.build_catalog(train, "shortest"))
+    size = 1 << 12
+    training = pinned(pairs.labelled_pairs(train, cat.build_catalog(train, "shortest")), "pairs")
+    fitted = classify.fit_text_classifier(training, features=size)
+    dev_pairs = pinned(pairs.labelled_pairs(dev, cat.build_catalog(dev, "shortest")), "pairs")
+    scored = classify.score_pairs(fitted, dev_pairs)
+    *words, last = fitted.stages
+    counted = dev_pairs.select("input").distinct()
+    for stage in words:
+        counted = stage.transform(counted)
+    cells = counted.select("input", F.posexplode(vector_to_array("_features")).alias("j", "x"))
+    weights = spark.createDataFrame(
+        [(j, float(w)) for j, w in enumerate(last.coefficients.toArray())], "j int, w double"
+    )
+    logit = F.coalesce(F.sum(F.col("x") * F.col("w")), F.lit(0.0)) + F.lit(float(last.intercept))
+    by_hand = cells.where("x <> 0").join(weights, "j").groupBy("input").agg(logit.alias("logit"))
+    same = F.abs(F.col("score") - 1 / (1 + F.exp(-F.col("logit")))) < 1e-9
+    return (
+        scored.join(by_hand, "input", "left")
+        .groupBy("label")
+        .agg(F.count("*").alias("pairs"), F.count_if(same).alias("agreeing"))
     )
-    dev_pairs = pairs.labelled_pairs(dev, cat.build_catalog(dev, "shortest"))
-    return _rounded(classify.score_pairs(fitted, dev_pairs))
 
 
-@query("v4_score_all_candidates")
+@query(
+    "v4_score_all_candidates",
+    f"""WITH {_SUPPORT}, dev AS (SELECT *, (SELECT entities FROM support WHERE split = 'train') AS n
+      FROM support WHERE split = 'dev')
+    SELECT CAST(unnest(range(1, least(5, n) + 1)) AS INTEGER) AS rank, mentions AS n, mentions AS agreeing
+    FROM dev UNION ALL SELECT 0, links, links FROM dev""",
+)
 def v4(spark, sf):
-    """Five best entities per mention under the fitted classifier."""
+    """Five best entities per mention under the fitted classifier.
+
+    Per rank the mentions, and those whose score is that of the pair scored alone. Rank 0
+    counts the true pairs, and those that are in the list or score no more than its end.
+    """
     train, dev = _train_dev(spark, sf)
     linker = train_pair_classifier(train, dev)["linker"]
-    return _rounded(linker.predict_batch(dev, 5))
+    hits = pinned(linker.predict_batch(dev, 5), "hits")
+    alone = linker.score_candidates(hits.select("mention", "entity_id"))
+    alone = alone.withColumnRenamed("score", "alone")
+    same = F.abs(F.col("score") - F.col("alone")) < 1e-9
+    ranks = (
+        hits.join(alone, ["mention", "entity_id"])
+        .groupBy("rank")
+        .agg(F.count("*").alias("n"), F.count_if(same).alias("agreeing"))
+    )
+    true = dev.select("mention", F.col("mondo_id").alias("entity_id")).distinct()
+    ends = hits.groupBy("mention").agg(F.min("score").alias("end"))
+    listed = hits.select("mention", "entity_id", F.lit(True).alias("listed"))
+    judged = (
+        linker.score_candidates(true)
+        .join(ends, "mention")
+        .join(listed, ["mention", "entity_id"], "left")
+    )
+    # An entity that no training row names is no catalog entry.
+    known = linker.entity_vectors.select("entity_id", F.lit(True).alias("known"))
+    judged = judged.join(known, "entity_id", "left")
+    right = (
+        F.col("known").isNull()
+        | F.coalesce("listed", F.lit(False))
+        | (F.col("score") <= F.col("end") + 1e-12)
+    )
+    total = judged.agg(F.count("*").alias("n"), F.count_if(right).alias("agreeing"))
+    return ranks.unionByName(total.withColumn("rank", F.lit(0)))
 
 
 @query(

@@ -102,16 +102,20 @@ def s6(spark, sf):
     "'representative_mentions' AS indexing_method FROM embeddings",
 )
 def s7(spark, sf):
-    return sinks.catalog_metadata(
+    """The record is written as JSON and read back."""
+    path = work_path(spark, "metadata")
+    record = sinks.catalog_metadata(
         s.table(spark, sf, "embeddings"), "trigram hash", None, "representative_mentions"
     )
+    sinks.write_metadata(record, path)
+    return sinks.read_metadata(spark, path)
 
 
 _TWO_MODELS = f"""{s.ranked_sql("arg_min", "first_r")}, {s.ranked_sql("arg_max", "last_r")},
 first_truth AS (SELECT q.vec_id AS query_id, r.rank FROM embeddings q LEFT JOIN first_r r
-  ON r.query_id = q.vec_id AND r.entity_id = q.label),
+  ON r.query_id = q.vec_id AND r.entity_id = r.own AND r.rank <= 10),
 last_truth AS (SELECT q.vec_id AS query_id, r.rank FROM embeddings q LEFT JOIN last_r r
-  ON r.query_id = q.vec_id AND r.entity_id = q.label),
+  ON r.query_id = q.vec_id AND r.entity_id = r.own AND r.rank <= 10),
 metrics AS (
   SELECT 'first' AS model, * FROM ({s.metrics_sql("first_truth")})
   UNION ALL SELECT 'last' AS model, * FROM ({s.metrics_sql("last_truth", (1, 5, 10))}))"""
@@ -122,7 +126,7 @@ def two_models(spark, sf):
     queries, first = s.queries_and_prototypes(spark, sf)
     last = (
         s.table(spark, sf, "embeddings")
-        .groupBy(F.col("label").alias("entity_id"))
+        .groupBy(s.entity_of_vector().alias("entity_id"))
         .agg(F.max_by("embedding", "vec_id").alias("embedding"))
     )
     truth = s.truth(spark, sf)
@@ -142,6 +146,24 @@ def s8(spark, sf):
     return sinks.read_results(spark, path)
 
 
+@query(
+    "s8_results_document",
+    f"""WITH {_TWO_MODELS}, named AS (
+      SELECT model || ' "1"\\' AS model, metric, value FROM metrics)
+    SELECT model, metric, value FROM named""",
+)
+def s8_document(spark, sf):
+    """The nested document as JSON text, read back; model names hold quotes and backslashes."""
+    named = two_models(spark, sf).withColumn("model", F.concat("model", F.lit(' "1"\\')))
+    kind = "map<string,map<string,double>>"
+    models = F.from_json(sinks.results_document(named).select("document").scalar(), kind)
+    return (
+        spark.range(1)
+        .select(F.explode(models).alias("model", "metrics"))
+        .select("model", F.explode("metrics").alias("metric", "value"))
+    )
+
+
 # --- line rules --------------------------------------------------------------------------
 
 
@@ -393,6 +415,31 @@ def d2(spark, sf):
     return pairs.negative_pairs(rows, cat.build_catalog(rows, "shortest"))
 
 
+# The same draws from a catalog that lacks some entities; their rows have one more to draw from.
+_NEGATIVE_OUTSIDE = s.SHORTEST + f""", known AS (
+  SELECT entity_id, rep_text, row_number() OVER (ORDER BY entity_id) - 1 AS ordinal FROM reps
+  WHERE NOT ends_with(entity_id, '3')),
+owned AS (
+  SELECT m.*, ordinal AS own, (SELECT count(*) FROM known) - (CASE WHEN ordinal IS NULL THEN 0 ELSE 1 END) AS o
+  FROM mentions m LEFT JOIN known ON mondo_id = entity_id),
+d1 AS (SELECT *, {_draw(1)} % (o - 2) AS p1 FROM owned),
+d2 AS (SELECT *, CASE WHEN {_draw(2)} % (o - 1) = p1 THEN o - 2 ELSE {_draw(2)} % (o - 1) END AS p2 FROM d1),
+d3 AS (SELECT *, CASE WHEN {_draw(3)} % o IN (p1, p2) THEN o - 1 ELSE {_draw(3)} % o END AS p3 FROM d2),
+drawn AS (SELECT mention, own, unnest([p1, p2, p3]) AS p FROM d3),
+negative AS (
+  SELECT mention, entity_id, rep_text, mention || ' [SEP] ' || rep_text AS input,
+    CAST(0 AS DOUBLE) AS label
+  FROM drawn JOIN known ON ordinal = p + CASE WHEN p >= own THEN 1 ELSE 0 END)"""
+
+
+@query("d2_negative_pairs_outside_catalog", f"WITH {_NEGATIVE_OUTSIDE} SELECT * FROM negative")
+def d2_outside(spark, sf):
+    """Rows whose entity is not in the catalog have negatives too."""
+    rows = s.mentions(spark, sf)
+    known = cat.representative_by_length(rows).where("not endswith(entity_id, '3')")
+    return pairs.negative_pairs(rows, ordering.with_global_rank(known, ["entity_id"], "ordinal"))
+
+
 @query(
     "d3_pair_text",
     f"WITH {_POSITIVE} SELECT input, count(*) AS n FROM positive GROUP BY input",

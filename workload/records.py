@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from termloom.operators import catalog as cat
 from termloom.operators import classify, runs, verdicts
+from termloom.operators.ordering import with_global_rank
 from termloom.operators.ranking import rank_verdicts, verdict_scores
 from termloom.plans.verdict_ranking import rank_attempts
 from termloom.session import pinned, work_path
@@ -81,6 +82,28 @@ def l4(spark, sf):
     return verdicts.resolve_attempts(s.attempts(spark, sf)).withColumn("text", F.md5("text"))
 
 
+@query(
+    "l4_resolve_attempts_all",
+    f"WITH {s.resolved_sql(None, s.GEMINI_LIMITED, 5)} SELECT request_id, md5(text) AS text, attempts, "
+    "CAST(wait_seconds AS DOUBLE) AS wait_seconds FROM answered",
+)
+def l4_all(spark, sf):
+    """Every recorded attempt counts, under the second model's rules."""
+    resolved = verdicts.resolve_attempts(s.attempts(spark, sf), model="gemini", retries=None)
+    return resolved.withColumn("text", F.md5("text"))
+
+
+@query(
+    "l5_failure_backoff_gemini",
+    f"""WITH {s.ATTEMPTS} SELECT request_id, attempt, CASE WHEN ok THEN 'none'
+      WHEN {s.GEMINI_LIMITED} THEN 'rate_limit' ELSE 'other' END AS failure,
+      CAST({s.GEMINI_WAIT} AS DOUBLE) AS wait_seconds FROM attempts""",
+)
+def l5_gemini(spark, sf):
+    rows = verdicts.with_backoff(s.attempts(spark, sf), "gemini")
+    return rows.select("request_id", "attempt", "failure", "wait_seconds")
+
+
 @query(
     "l5_failure_backoff",
     f"""WITH {s.ATTEMPTS} SELECT request_id, attempt, CASE WHEN ok THEN 'none'
@@ -131,24 +154,33 @@ def l7(spark, sf):
 
 @query(
     "o8_input_order",
-    f"WITH {_RECORDS} SELECT index, prediction FROM records ORDER BY index",
+    f"WITH {_RECORDS} SELECT index, prediction, row_number() OVER (ORDER BY index) - 1 AS position "
+    "FROM records",
 )
 def o8(spark, sf):
-    return _records(spark, sf).select("index", "prediction").orderBy("index")
+    """The position comes from the order that the rows are written in."""
+    return with_global_rank(_records(spark, sf).select("index", "prediction"), ["index"])
 
 
 @query(
     "s9_verdict_sink",
-    f"WITH {_RECORDS} SELECT index, mention, true_mondo, prediction, md5(explanation) AS explanation, "
-    "prediction AS correct FROM records",
+    f"""WITH {_RECORDS}, totals AS (SELECT count(*) AS total_samples,
+      count(CASE WHEN prediction THEN 1 END) AS correct_predictions,
+      count(CASE WHEN starts_with(explanation, 'ERROR') THEN 1 END) AS errors FROM records)
+    SELECT index, mention, true_mondo, prediction, md5(explanation) AS explanation,
+      prediction AS correct, totals.*, round(correct_predictions / total_samples, 6) AS accuracy,
+      round(errors / total_samples, 6) AS error_rate FROM records, totals""",
 )
 def s9(spark, sf):
+    """Predictions and the metric record, both read back; each row carries the one record."""
     path = work_path(spark, "verdicts")
     records = _records(spark, sf)
     metrics = verdicts.verdict_metrics(records.withColumn("model", F.lit("gpt")))
     sinks.write_verdicts(records, metrics, path)
     back = spark.read.schema(records.schema).json(f"{path}/predictions")
-    return back.withColumn("explanation", F.md5("explanation"))
+    record = spark.read.schema(metrics.schema).json(f"{path}/metrics").drop("model").first()
+    back = back.withColumns({name: F.lit(record[name]) for name in record.asDict()})
+    return _rounded(back.withColumn("explanation", F.md5("explanation")), "accuracy", "error_rate")
 
 
 _METRICS = _RECORDS + """, metrics AS (
@@ -253,14 +285,10 @@ def j8_one_run(spark, sf):
 
 @query(
     "o12_epoch_upsert",
-    f"WITH {s.LOSS} SELECT run, epoch, val_loss FROM history",
+    f"WITH {s.LOSS} SELECT run, epoch, train_loss, val_loss FROM history",
 )
 def o12(spark, sf):
-    events = s.loss_events(spark, sf).where("eval_loss is not null")
-    evals = events.select(
-        "run", "epoch", "seq", F.col("loss").alias("train_loss"), F.col("eval_loss").alias("val_loss")
-    )
-    return runs.upsert_epochs(evals).select("run", "epoch", "val_loss")
+    return runs.upsert_epochs(runs.evaluations(s.loss_events(spark, sf)))
 
 
 @query("r2_fold_loss_log", f"WITH {s.LOSS} SELECT * FROM history")
@@ -287,10 +315,11 @@ def r3(spark, sf):
 
 @query(
     "o9_chronological",
-    f"WITH {s.LOSS} SELECT * FROM history ORDER BY run, epoch",
+    f"WITH {s.LOSS} SELECT *, row_number() OVER (ORDER BY run, epoch) - 1 AS position FROM history",
 )
 def o9(spark, sf):
-    return runs.chronological(runs.fold_loss_log(s.loss_events(spark, sf)))
+    history = runs.fold_loss_log(s.loss_events(spark, sf))
+    return with_global_rank(history, ["run", "epoch", "train_loss", "val_loss"])
 
 
 @query(

@@ -182,11 +182,21 @@ def encoded(source: str, key: str, text: str, name: str, dim: int = 64) -> str:
 # --- vectors -----------------------------------------------------------------------------
 
 
+VECTOR_ENTITY = "label * 10 + vec_id % 5"
+
+
+def entity_of_vector():
+    """Entity a vector stands for: five to a label, more than the largest K."""
+    return (F.col("label") * 10 + F.col("vec_id") % 5).cast("long")
+
+
 def queries_and_prototypes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors as queries, and the first vector of each label as its catalog entry."""
+    """All vectors as queries, and the first vector of each entity as its catalog entry."""
     vectors = table(spark, sf, "embeddings")
-    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", "label")
-    prototypes = vectors.groupBy(F.col("label").alias("entity_id")).agg(
+    queries = vectors.select(
+        F.col("vec_id").alias("query_id"), "embedding", entity_of_vector().alias("own")
+    )
+    prototypes = vectors.groupBy(entity_of_vector().alias("entity_id")).agg(
         F.min_by("embedding", "vec_id").alias("embedding")
     )
     return queries, prototypes
@@ -194,17 +204,17 @@ def queries_and_prototypes(spark: SparkSession, sf: str) -> tuple[DataFrame, Dat
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("query_id"), F.col("label").alias("entity_id")
+        F.col("vec_id").alias("query_id"), entity_of_vector().alias("entity_id")
     )
 
 
 def ranked_sql(pick: str = "arg_min", name: str = "ranked") -> str:
     return f"""{name}_proto AS (
-  SELECT label AS entity_id, {pick}(embedding, vec_id) AS emb FROM embeddings GROUP BY label),
+  SELECT {VECTOR_ENTITY} AS entity_id, {pick}(embedding, vec_id) AS emb FROM embeddings GROUP BY ALL),
 {name} AS (
   SELECT query_id, entity_id, score, CAST(row_number() OVER (
-    PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS rank, label
-  FROM (SELECT vec_id AS query_id, entity_id, label, list_dot_product(
+    PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS rank, own
+  FROM (SELECT vec_id AS query_id, entity_id, {VECTOR_ENTITY} AS own, list_dot_product(
       CAST(embedding AS DOUBLE[]), CAST(emb AS DOUBLE[])) AS score
     FROM embeddings, {name}_proto))"""
 
@@ -286,21 +296,37 @@ ATTEMPTS = """attempts AS (
 RATE_LIMITED = "regexp_matches(lower(text), 'rate|limit|429')"
 WAIT = f"""CASE WHEN ok THEN 0 WHEN {RATE_LIMITED} THEN 2.0 ** attempt * 2
   WHEN attempt < 2 THEN 2.0 ** attempt ELSE 0 END"""
-RESOLVED = ATTEMPTS + f""", tried AS (
-  SELECT *, {WAIT} AS wait, {RATE_LIMITED} AS limited,
+GEMINI_LIMITED = "regexp_matches(lower(text), 'rate|limit|429|quota')"
+GEMINI_WAIT = f"""CASE WHEN ok THEN 0 WHEN {GEMINI_LIMITED} THEN 2.0 ** attempt * 5
+  WHEN attempt < 2 THEN 2.0 ** attempt ELSE 0 END"""
+
+
+def resolved_sql(retries: int | None = 3, limited: str = RATE_LIMITED, factor: int = 2) -> str:
+    """SQL tables tried, resolved and answered; without retries the last attempt ends a request."""
+    last = "max(attempt) OVER (PARTITION BY request_id)" if retries is None else str(retries - 1)
+    usable = "TRUE" if retries is None else f"attempt < {retries}"
+    return ATTEMPTS + f""", ended AS (SELECT *, {last} AS final, {limited} AS limited FROM attempts),
+tried AS (
+  SELECT *, CASE WHEN ok THEN 0 WHEN limited THEN 2.0 ** attempt * {factor}
+      WHEN attempt < final THEN 2.0 ** attempt ELSE 0 END AS wait,
     min(CASE WHEN ok THEN attempt END) OVER (PARTITION BY request_id) AS first_ok
-  FROM attempts WHERE attempt < 3),
+  FROM ended WHERE {usable}),
 resolved AS (
-  SELECT request_id, max(first_ok) AS first_ok, max(attempt) AS last_attempt,
+  SELECT request_id, max(first_ok) AS first_ok, max(attempt) AS last_attempt, max(final) AS final,
     max(CASE WHEN attempt = first_ok THEN text END) AS good,
     arg_max(text, attempt) AS last_text, arg_max(limited, attempt) AS last_limited,
     sum(CASE WHEN first_ok IS NULL OR attempt < first_ok THEN wait ELSE 0 END) AS wait_seconds
   FROM tried GROUP BY request_id),
 answered AS (
-  SELECT request_id, CASE WHEN first_ok IS NOT NULL THEN good
-      WHEN last_limited AND last_attempt = 2 THEN 'ERROR: Max retries exceeded'
+  SELECT request_id, CASE WHEN last_attempt IS NULL THEN 'ERROR: No response generated'
+      WHEN first_ok IS NOT NULL THEN good
+      WHEN last_limited AND last_attempt = final THEN 'ERROR: Max retries exceeded'
       ELSE 'ERROR: ' || last_text END AS text,
-    coalesce(first_ok, last_attempt) + 1 AS attempts, wait_seconds FROM resolved)"""
+    coalesce(first_ok, last_attempt, -1) + 1 AS attempts, coalesce(wait_seconds, 0) AS wait_seconds
+  FROM (SELECT DISTINCT request_id FROM attempts) LEFT JOIN resolved USING (request_id))"""
+
+
+RESOLVED = resolved_sql()
 
 # --- training logs -----------------------------------------------------------------------
 
