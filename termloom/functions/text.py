@@ -29,27 +29,3 @@ def order_key(columns: Sequence[str], seed: int) -> Column:
     """Seeded pseudo-random sort key of a row; independent of partitioning."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-
-
-def tokens(text: Column, max_tokens: int | None = None) -> Column:
-    """Lower-cased whitespace tokens; ``max_tokens`` mirrors an encoder's input limit."""
-    words = F.filter(F.split(F.lower(text), TOKEN_GAP), lambda w: w != "")
-    return words if max_tokens is None else F.slice(words, 1, max_tokens)
-
-
-def framed(word: Column) -> Column:
-    """A word between ``<`` and ``>``, so that n-grams see its start and end."""
-    return F.concat(F.lit("<"), word, F.lit(">"))
-
-
-def ngram_starts(word: Column, n: int) -> Column:
-    """1-based start of each character n-gram; a shorter word is one n-gram itself."""
-    return F.sequence(F.lit(1), F.greatest(F.length(word) - F.lit(n - 1), F.lit(1)))
-
-
-def code_point_hash(gram: Column, n: int) -> Column:
-    """Polynomial hash of the first ``n`` code points, in [0, 2**31 - 1)."""
-    acc = F.lit(0).cast("long")
-    for i in range(1, n + 1):
-        acc = (acc * HASH_BASE + F.ascii(F.substring(gram, i, 1))) % HASH_MODULUS
-    return acc

@@ -2,39 +2,84 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.functions.text import code_point_hash, framed, ngram_starts, tokens
-from termloom.functions.vectors import bind, l2_normalise
+from termloom.functions.text import HASH_BASE, HASH_MODULUS, TOKEN_GAP
+from termloom.functions.vectors import l2_normalise
 
+_PART = 1 << 20  # characters counted at once
 
-def ngram_counts(
-    texts: DataFrame,
-    key: str,
+
+def ngram_matrix(texts: list[str | None], dim: int, n: int, max_tokens: int | None) -> np.ndarray:
+    """Counts of hashed n-grams of the framed words of lower-cased texts, a row per text.
+
+    All words of all texts are one run of code points; n-grams that reach into the next
+    word are left out. A framed word shorter than ``n`` is one n-gram itself.
+    """
+    split = [[w for w in re.split(TOKEN_GAP, t or "") if w][:max_tokens] for t in texts]
+    words = [f"<{w}>" for part in split for w in part]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(split)), [len(part) for part in split])
+    # Characters from here to the end of the word.
+    rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
+    whole = np.zeros(len(points), bool)
+    whole[np.cumsum(lengths)[lengths < n] - lengths[lengths < n]] = True
+    at = np.flatnonzero((rest >= n) | whole)
+    code = np.zeros(len(at), np.int64)
+    for i in range(n):
+        inside = rest[at] > i
+        point = np.where(inside, points[np.minimum(at + i, len(points) - 1)], 0)
+        code = (code * HASH_BASE + point) % HASH_MODULUS
+    row = np.repeat(owner, lengths)[at]
+    counts = np.bincount(row * dim + code % dim, minlength=dim * len(split))
+    return counts.reshape(len(split), dim).astype(np.float64)
+
+
+def add_ngrams(
+    df: DataFrame,
     text: str,
     dim: int = 64,
     n: int = 3,
     max_tokens: int | None = None,
+    name: str = "embedding",
 ) -> DataFrame:
-    """(key, bucket, n): hashed character n-grams; a key without any keeps a null bucket.
+    """Add ``name``: L2-normalised hashed n-gram counts of ``text``, whole texts by default.
 
-    The n-grams of one text are counted where the text is read, so at most ``dim`` rows
-    per text are shuffled however long the text is.
+    A value of one row only, so rows stay where they are. Null and empty text has the
+    zero vector. ``max_tokens`` is the input limit of an encoder; set it only to imitate one.
     """
-    word = F.explode_outer(tokens(F.col(text), max_tokens))
-    words = texts.select(key, word.alias("word")).select(key, framed(F.col("word")).alias("word"))
-    starts = words.select(key, "word", F.explode_outer(ngram_starts(F.col("word"), n)).alias("at"))
-    gram = F.substring(F.col("word"), F.col("at"), F.lit(n))
-    bucketed = starts.select(key, gram.alias("gram")).select(
-        key, (code_point_hash(F.col("gram"), n) % dim).alias("bucket")
-    )
-    return bucketed.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    columns = df.columns
+    # Lower case as SQL makes it.
+    ready = df.withColumn("_low", F.lower(text))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_low").to_pylist()
+            sizes = np.cumsum([len(t or "") for t in texts])
+            start = 0
+            while start < len(texts):
+                before = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, before + _PART, "right")))
+                counts = ngram_matrix(texts[start:stop], dim, n, max_tokens)
+                norm = np.sqrt((counts * counts).sum(1))[:, None]
+                cells = np.divide(counts, norm, out=counts, where=norm > 0)
+                edges = np.arange(len(cells) + 1, dtype=np.int32) * dim
+                vectors = pa.ListArray.from_arrays(pa.array(edges), pa.array(cells.ravel()))
+                kept = batch.slice(start, stop - start).select(columns)
+                yield pa.RecordBatch.from_arrays([*kept.columns, vectors], names=[*columns, name])
+                start = stop
+
+    return ready.mapInArrow(run, schema)
 
 
 def encode_ngrams(
@@ -46,19 +91,10 @@ def encode_ngrams(
     max_tokens: int | None = None,
     name: str = "embedding",
 ) -> DataFrame:
-    """(key, embedding): L2-normalised hashed n-gram counts, whole texts by default.
-
-    ``max_tokens`` is the input limit of an encoder; set it only to imitate one.
-    """
-    counts = ngram_counts(texts, key, text, dim, n, max_tokens)
-    cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("double")))
-    cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(cell)).alias("_m"))
-    buckets = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
-
-    def dense(cell_map: Column) -> Column:
-        return F.transform(buckets, lambda b: F.coalesce(cell_map[b], F.lit(0.0)))
-
-    return cells.select(key, l2_normalise(bind(F.col("_m"), dense)).alias(name))
+    """(key, embedding) of ``add_ngrams``, a row per text."""
+    picked = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    vectors = add_ngrams(picked, "text", dim, n, max_tokens, name)
+    return vectors.select(F.col("key").alias(key), name)
 
 
 def encode_with(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.catalog import build_catalog
-from termloom.operators.encode import encode_ngrams
+from termloom.operators.encode import add_ngrams, encode_ngrams
 from termloom.operators.evaluate import evaluate_by_mention, evaluate_hits_and_mrr, fan_out
 from termloom.operators.search import Encoder, search, search_one
 from termloom.session import pinned
@@ -23,10 +23,14 @@ def vector_catalog(
     encoder: Encoder | None = None,
     entity: str = "mondo_id",
 ) -> DataFrame:
-    """(entity_id, rep_text, ordinal, embedding) from a mention table."""
+    """(entity_id, rep_text, ordinal, embedding) from a mention table.
+
+    The default encoder adds its column to the catalog; any other is joined by entity.
+    """
     catalog = build_catalog(mentions, rule, entity)
-    vectors = (encoder or ngram_encoder())(catalog, "entity_id", "rep_text")
-    return catalog.join(vectors, "entity_id")
+    if encoder is None:
+        return add_ngrams(catalog, "rep_text")
+    return catalog.join(encoder(catalog, "entity_id", "rep_text"), "entity_id")
 
 
 class VectorLinker:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions.vectors import l2_normalise
 from termloom.operators import catalog as cat
 from termloom.operators import classify, evaluate, pairs
-from termloom.operators.encode import encode_ngrams, encode_with, ngram_counts
+from termloom.operators.encode import encode_ngrams, encode_with, ngram_matrix
 from termloom.operators.ranking import rank_of_truth, rank_verdicts, ranked_lists, top_k
 from termloom.operators.search import search, search_candidates, search_mentions, search_one
 from termloom.plans.linking import VectorLinker, vector_catalog
@@ -132,18 +132,22 @@ def ngrams(text, dim, n=3):
 @pytest.mark.parametrize("n", [2, 3, 4])
 def test_encoder_reads_whole_texts(spark, n):
     texts = ["Flu", "é ü x", "", "   ", "word " * 500 + "last", "a\tb\nc"]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
-    got = {}
-    for r in ngram_counts(df, "id", "text", 16, n).collect():
-        got.setdefault(r.id, {})
-        if r.bucket is not None:
-            got[r.id][r.bucket] = r.n
-    assert got == {i: ngrams(t, 16, n) for i, t in enumerate(texts)}
+    counts = ngram_matrix([t.lower() for t in texts], 16, n, None)
+    got = [{b: c for b, c in enumerate(row) if c} for row in counts.tolist()]
+    assert got == [ngrams(t, 16, n) for t in texts]
+    df = spark.createDataFrame([*enumerate(texts), (9, None)], "id int, text string")
     encoded = {r.id: r.embedding for r in encode_ngrams(df, "id", "text", 16, n).collect()}
-    assert encoded[2] == [0.0] * 16
+    assert encoded[2] == encoded[9] == [0.0] * 16
     assert math.isclose(sum(x * x for x in encoded[4]), 1.0)
-    cut = {r.id: r.bucket for r in ngram_counts(df.where("id = 5"), "id", "text", 16, n, 1).collect()}
-    assert set(cut.values()) <= set(ngrams("a", 16, n))
+    assert encoded[0] == pytest.approx((counts[0] / np.linalg.norm(counts[0])).tolist())
+    cut = ngram_matrix(["a b", "\u0130x"], 16, n, 1)
+    assert {b: c for b, c in enumerate(cut[0]) if c} == ngrams("a", 16, n)
+
+
+def test_encoder_moves_no_rows(spark):
+    df = spark.createDataFrame([(1, "some text")], "id int, text string")
+    plan = encode_ngrams(df, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_encoder_hook_runs_in_batches(spark):
