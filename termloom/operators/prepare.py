@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import strip
@@ -92,7 +92,8 @@ def coverage(annotated: DataFrame, mapping: DataFrame, key: str = "cui") -> Data
 def split_report(df: DataFrame) -> DataFrame:
     """Rows and percentage of each split."""
     counts = df.groupBy("split").agg(F.count("*").alias("n"))
-    total = df.select(F.count("*")).scalar()
+    # One row per split reaches this window.
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return counts.select("split", "n", (F.col("n") * 100.0 / total).alias("pct"))
 
 

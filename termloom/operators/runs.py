@@ -10,29 +10,53 @@ from pyspark.sql import functions as F
 STEP_PATTERN = r"checkpoint-(\d+)"
 
 
+SEGMENTS = 128  # each holds about the same number of rows, whatever the order's values
+INNER = 16  # equal ranges of a segment
+
+
+def order_chunks(events: DataFrame, order: str, segments: int = SEGMENTS) -> Column:
+    """Number of the chunk that a row's ``order`` falls in; chunks rise with the order.
+
+    Quantiles over all rows part the order into segments, so far or bunched values cannot
+    fill one with more than its share; each segment is cut into equal ranges. The segment
+    is found by comparisons in a tree.
+    """
+    shares = F.array(*[F.lit(i / segments) for i in range(segments + 1)])
+    marks = events.select(F.percentile_approx(order, shares, 10 * segments)).first()[0] or [0]
+    edges = sorted({int(m) for m in marks})
+    value = F.col(order)
+
+    def place(low: int, high: int) -> Column:
+        if high - low <= 1:
+            start = edges[low]
+            width = max(1, -(-(edges[high] - start) // INNER)) if high < len(edges) else 1
+            part = F.floor((value - F.lit(start)) / F.lit(width))
+            inside = F.greatest(F.lit(0), F.least(F.lit(INNER - 1), part)).cast("long")
+            return F.lit(low * INNER).cast("long") + inside
+        middle = (low + high) // 2
+        return F.when(value < F.lit(edges[middle]), place(low, middle)).otherwise(
+            place(middle, high)
+        )
+
+    return place(0, len(edges))
+
+
 def last_before(
     events: DataFrame,
     keys: Sequence[str],
     order: str,
     value: str,
     name: str,
-    chunks: int | None = None,
+    segments: int = SEGMENTS,
 ) -> DataFrame:
     """Latest non-null ``value`` up to each row, per key, along a numeric ``order``.
 
-    The order range is cut into equal chunks, so one busy key spreads over many tasks: a
-    window runs within each (key, chunk), and the last value of each chunk, found by a
-    plain aggregate, is carried to the later ones. Keys are not null; ``order`` is unique
-    per key and should be a counter, so that equal ranges hold comparable numbers of rows.
-    By default a chunk covers about a million rows of the whole table, and there are at
-    least 1024.
+    The order is cut into chunks of bounded share, so one busy key spreads over many tasks:
+    a window runs within each (key, chunk), and the last value of each chunk, found by a
+    plain aggregate, is carried to the later ones. Keys are not null; ``order`` is a whole
+    number, unique per key.
     """
-    parts = str(chunks) if chunks else "greatest(1024, count(*) div 1000000)"
-    low = events.select(F.min(order)).scalar()
-    width = events.select(
-        F.expr(f"(cast(max({order}) as decimal(38,0)) - min({order})) div {parts} + 1")
-    ).scalar()
-    chunk = F.floor((F.col(order) - low) / width).cast("long")
+    chunk = order_chunks(events, order, segments)
     placed = events.withColumn("_chunk", chunk)
 
     # At most one row per key and chunk reaches this window.

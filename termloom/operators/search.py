@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]
 
 _TILE = 256  # query rows scored at once inside a task
 _PART = 1 << 22  # numbers gathered at once for the exact scores
+_BLOCK_BYTES = 32 << 20  # vectors of a block of entities, in double
 _MIN_BLOCK = 256  # smaller query blocks are not worth another task
 
 
@@ -53,21 +55,32 @@ def _lengths(matrix: np.ndarray) -> np.ndarray:
     return np.where(norms > 0, norms, 1.0)
 
 
-def _block_top_k(queries: pa.Table, entities: pa.Table, k: int) -> pa.Table:
+class _Entities:
+    """Entity ids in order, their vectors, and these in single precision, scaled, as columns.
+
+    Positions in id order make the tie rule an integer comparison.
+    """
+
+    def __init__(self, table: pa.Table):
+        ids = table.column("entity_id").combine_chunks()
+        order = pc.sort_indices(ids)
+        self.ids = ids.take(order)
+        self.vectors = _matrix(table, "vec")[order.to_numpy()]
+        scaled = (self.vectors / _lengths(self.vectors).max()).astype(np.float32)
+        self.scaled = np.ascontiguousarray(scaled.T)
+
+
+def _block_top_k(queries: pa.Table, entities: _Entities, k: int) -> pa.Table:
     """Best ``k`` entities of one block for every query of one block, in rank order.
 
     A float32 matrix product of vectors scaled to length 1 at most finds all pairs that
     can be among the best k, with a margin above its rounding error; those are scored
     again in double and ranked on that score.
     """
-    q, e = _matrix(queries, "vec"), _matrix(entities, "vec")
+    q = _matrix(queries, "vec")
+    by_id, e, e32 = entities.ids, entities.vectors, entities.scaled
     if q.shape[1] != e.shape[1]:
         raise ValueError("query and entity vectors differ in length")
-    # Positions in id order make the tie rule an integer comparison.
-    by_id = entities.column("entity_id").combine_chunks()
-    order = pc.sort_indices(by_id).to_numpy()
-    e = e[order]
-    e32 = np.ascontiguousarray((e / _lengths(e).max()).astype(np.float32).T)
     q32 = (q / _lengths(q)[:, None]).astype(np.float32)
     slack = 2.0 * (q.shape[1] + 8) * 2.0**-23
 
@@ -87,7 +100,7 @@ def _block_top_k(queries: pa.Table, entities: pa.Table, k: int) -> pa.Table:
         place = np.arange(len(rows)) - starts[rows]
         keep = place < k
         rows_out.append(rows[keep] + lo)
-        cols_out.append(order[cols[keep]])
+        cols_out.append(cols[keep])
         scores_out.append(exact[keep])
         ranks_out.append(place[keep] + 1)
     rows, cols = np.concatenate(rows_out), np.concatenate(cols_out)
@@ -118,28 +131,64 @@ def search(
     in ``broadcast_bytes`` goes to every executor, and the queries are ranked where they
     are, without a shuffle. A larger one is searched block by block.
     """
-    q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec"))
-    e = catalog.select(F.col(entity).alias("entity_id"), F.col(entity_vec).alias("vec"))
-    q, e = q.where("vec is not null"), e.where("vec is not null")
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q.schema["query_id"].dataType),
-            T.StructField("entity_id", e.schema["entity_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-            T.StructField("rank", T.IntegerType()),
-        ]
-    )
-    # Ids count with their text; 8 bytes a number covers float and double vectors.
-    width = F.size("vec") * 8 + F.octet_length(F.col("entity_id").cast("string"))
-    size = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
-    if 0 < size["bytes"] <= broadcast_bytes:
-        return _search_broadcast(q, e, k, schema)
-    return _search_blocks(q, e, size["n"], k, schema, block_rows)
-
-
-def _search_broadcast(q: DataFrame, e: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+    index = CatalogIndex(catalog, entity, entity_vec, block_rows, broadcast_bytes)
+    return index.search(queries, k, query, query_vec)
+
+
+class CatalogIndex:
+    """A catalog made ready for any number of searches: counted once, and sent once if it fits."""
+
+    def __init__(
+        self,
+        catalog: DataFrame,
+        entity: str = "entity_id",
+        entity_vec: str = "embedding",
+        block_rows: int = 16384,
+        broadcast_bytes: int = 32 << 20,
+    ) -> None:
+        e = catalog.select(F.col(entity).alias("entity_id"), F.col(entity_vec).alias("vec"))
+        self.rows = e.where("vec is not null")
+        # Ids count with their text; 8 bytes a number covers float and double vectors.
+        width = F.size("vec") * 8 + F.octet_length(F.col("entity_id").cast("string"))
+        size = self.rows.agg(
+            F.count("*").alias("n"),
+            F.coalesce(F.sum(width), F.lit(0)).alias("bytes"),
+            F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("width"),
+        ).first()
+        self.count = size["n"]
+        # A block is bounded in bytes too, however wide the vectors are.
+        self.block_rows = max(1, min(block_rows, _BLOCK_BYTES // (8 * max(size["width"], 1))))
+        self.shared = None
+        if 0 < size["bytes"] <= broadcast_bytes:
+            self.shared = e.sparkSession.sparkContext.broadcast(_Entities(self.rows.toArrow()))
+
+    def search(
+        self, queries: DataFrame, k: int = 10, query: str = "query_id", query_vec: str = "embedding"
+    ) -> DataFrame:
+        q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec"))
+        q = q.where("vec is not null")
+        schema = T.StructType(
+            [
+                T.StructField("query_id", q.schema["query_id"].dataType),
+                T.StructField("entity_id", self.rows.schema["entity_id"].dataType),
+                T.StructField("score", T.DoubleType()),
+                T.StructField("rank", T.IntegerType()),
+            ]
+        )
+        if self.shared is not None:
+            return _search_broadcast(q, self.shared, k, schema)
+        return _search_blocks(q, self.rows, self.count, k, schema, self.block_rows)
+
+    def close(self) -> None:
+        """Take the sent catalog back from the executors."""
+        if self.shared is not None:
+            self.shared.unpersist()
+
+
+def _search_broadcast(
+    q: DataFrame, shared: Broadcast[_Entities], k: int, schema: T.StructType
+) -> DataFrame:
     """Rank each batch of queries against a catalog of checked size."""
-    shared = q.sparkSession.sparkContext.broadcast(e.toArrow())
 
     def rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +237,7 @@ def _search_blocks(
                     "rank": pa.array([], pa.int32()),
                 }
             )
-        return _block_top_k(left_rows, right_rows, k)
+        return _block_top_k(left_rows, _Entities(right_rows), k)
 
     keys = ["q_block", "e_block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from termloom.operators.catalog import build_catalog
 from termloom.operators.encode import add_ngrams, encode_ngrams
 from termloom.operators.evaluate import evaluate_by_mention, evaluate_hits_and_mrr, fan_out
-from termloom.operators.search import Encoder, search, search_one
+from termloom.operators.search import CatalogIndex, Encoder, search, search_one
 from termloom.session import pinned
 
 
@@ -39,6 +39,18 @@ class VectorLinker:
     def __init__(self, catalog: DataFrame, encoder: Encoder | None = None) -> None:
         self.catalog = catalog
         self.encoder = encoder or ngram_encoder()
+        self._index: CatalogIndex | None = None
+
+    def index(self) -> CatalogIndex:
+        """The catalog made ready for search, once per linker."""
+        if self._index is None:
+            self._index = CatalogIndex(self.catalog)
+        return self._index
+
+    def close(self) -> None:
+        if self._index is not None:
+            self._index.close()
+            self._index = None
 
     def encode_mentions(self, rows: DataFrame) -> DataFrame:
         """(mention, embedding) for the distinct mentions of ``rows``."""
@@ -49,7 +61,7 @@ class VectorLinker:
         """(mention, entity_id, score, rank), every distinct mention ranked once."""
         # Counted to size the blocks, then searched: encode once.
         vectors = pinned(self.encode_mentions(rows), "vectors")
-        hits = search(vectors, self.catalog, top_k, query="mention")
+        hits = self.index().search(vectors, top_k, query="mention")
         return hits.withColumnRenamed("query_id", "mention")
 
     def predict_rows(self, rows: DataFrame, top_k: int = 10) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.operators.runs import evaluations, upsert_epochs
+from termloom.streaming.triggers import AVAILABLE_NOW
 
 EVENT_SCHEMA = "run string, session string, seq long, epoch double, loss double, eval_loss double"
 
 
 def fold_stream(
-    events: DataFrame, path: str, checkpoint: str, buckets: int = 64
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    buckets: int = 64,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the evaluations of every run current, late events included.
 
@@ -20,7 +25,7 @@ def fold_stream(
     session. A training loss never reaches beyond its session, so only the sessions a
     batch touches are worked out again from that log, and written as the batch's version
     of them. Both writes replace the batch's own folders, so a retried batch leaves the
-    same tables. Runs over what is available, then stops.
+    same tables. By default runs over what is available, then stops.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -41,7 +46,7 @@ def fold_stream(
     return (
         events.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termloom.plans.linking import VectorLinker
 from termloom.session import pinned, work_scope
+from termloom.streaming.triggers import AVAILABLE_NOW
 
 
 def link_stream(
@@ -16,14 +17,18 @@ def link_stream(
     path: str,
     checkpoint: str,
     top_k: int = 10,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write the hits of every micro-batch of (query_id, mention) below ``path``.
 
     Ranking windows are not allowed on streams, so each batch is ranked as a table. Its
     output folder is named by the batch id and replaced on a retry, which makes the sink
-    idempotent. Runs over what is available, then stops.
+    idempotent. The linker's catalog is made ready once, before the first batch. By default
+    runs over what is available, then stops.
     """
 
+    linker.index()
+
     def link(batch: DataFrame, batch_id: int) -> None:
         with work_scope(batch.sparkSession):
             hits = linker.predict_rows(pinned(batch, "batch"), top_k)
@@ -32,7 +37,7 @@ def link_stream(
     return (
         mentions.writeStream.foreachBatch(link)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.operators.verdicts import parse_verdicts, verdict_metrics
+from termloom.streaming.triggers import AVAILABLE_NOW
 
 
-def write_verdict_stream(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_verdict_stream(
+    responses: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Parse answers as they come and append them to files; a restart continues."""
     return (
         parse_verdicts(responses)
@@ -16,20 +20,35 @@ def write_verdict_stream(responses: DataFrame, path: str, checkpoint: str) -> St
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
-def write_verdict_totals(responses: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running totals per model, kept complete in the in-memory table ``name``."""
+def write_verdict_totals(
+    responses: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Running totals per model; each batch writes its totals to its own folder.
+
+    A retried batch replaces its folder. ``verdict_totals`` reads the latest.
+    """
     records = parse_verdicts(responses).withColumnRenamed("is_equivalent", "correct")
+
+    def write(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     return (
         verdict_metrics(records)
-        .writeStream.format("memory")
-        .queryName(name)
+        .writeStream.foreachBatch(write)
         .outputMode("complete")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
+
+
+def verdict_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Totals after the latest batch."""
+    totals = spark.read.parquet(path)
+    latest = totals.agg(F.max("batch_id")).first()[0]
+    return totals.where(F.col("batch_id") == latest).drop("batch_id")

@@ -133,13 +133,27 @@ def test_fold_and_chunks(spark):
     events = random_events()
     df = spark.createDataFrame(events, EVENT_SCHEMA)
     assert {tuple(r) for r in runs.fold_loss_log(df).collect()} == fold(events)
-    for chunks in (1, 3, 5000):
+    for chunks in (1, 3, 200):
         rows = runs.last_before(df, ["run", "session"], "seq", "loss", "train_loss", chunks)
         evals = rows.where("eval_loss is not null")
         folded = runs.upsert_epochs(evals.withColumnRenamed("eval_loss", "val_loss"))
         assert {tuple(r) for r in folded.collect()} == fold(events)
 
 
+def test_far_and_bunched_orders_fill_no_chunk(spark):
+    """No chunk holds more than a segment's share, whatever the values of the order."""
+    n = 20000
+    far = F.when(F.col("id") % 4000 == 7, F.col("id") * 10**15).otherwise(F.col("id"))
+    bunched = F.when(F.col("id") < 100, F.col("id") * 10**12).otherwise(-F.col("id"))
+    for order in (F.col("id"), far, bunched, -F.col("id")):
+        df = spark.range(n).select(order.cast("long").alias("seq"))
+        placed = df.select("seq", runs.order_chunks(df, "seq").alias("chunk"))
+        counts = placed.groupBy("chunk").agg(F.count("*").alias("n"), F.min("seq"), F.max("seq"))
+        found = sorted(tuple(r) for r in counts.collect())
+        assert max(c[1] for c in found) <= 2 * n / runs.SEGMENTS + 50
+        assert all(a[3] < b[2] for a, b in zip(found, found[1:]))
+
+
 def test_history_queries(spark):
     history = spark.createDataFrame(
         [("a", 1.0, None, 0.9), ("a", 2.0, 0.5, 0.4), ("a", 3.0, 0.3, 0.4), ("b", 1.0, 0.2, 0.6)],

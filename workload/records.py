@@ -283,6 +283,17 @@ def j8_one_run(spark, sf):
     return runs.evaluations(s.loss_events(spark, sf, one_run=True))
 
 
+@query(
+    "j8_last_train_loss_sparse_order",
+    f"WITH {s.loss_sql(chr(39) + 'all' + chr(39), s.FAR_SEQ)} "
+    "SELECT run, session, seq, epoch, train_loss, val_loss FROM evals",
+)
+def j8_sparse(spark, sf):
+    """A single run with a few events far behind all others."""
+    events = s.loss_events(spark, sf, one_run=True)
+    return runs.evaluations(events.withColumn("seq", F.expr(s.FAR_SEQ.replace("event_id", "seq"))))
+
+
 @query(
     "o12_epoch_upsert",
     f"WITH {s.LOSS} SELECT run, epoch, train_loss, val_loss FROM history",

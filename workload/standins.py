@@ -17,11 +17,11 @@ def spread_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table that string work is done on, over all cores.
 
     A test table is one file with one row group, which a single task would read and work
-    on. A table with more splits than cores is taken as it is.
+    on. A table of several files is taken as it is; the scan splits it.
     """
     df = table(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    single = len(df.inputFiles()) == 1
+    return df.repartition(spark.sparkContext.defaultParallelism) if single else df
 
 
 # --- annotated corpus and mapping --------------------------------------------------------
@@ -344,10 +344,13 @@ def loss_events(spark: SparkSession, sf: str, one_run: bool = False) -> DataFram
     )
 
 
-def loss_sql(run: str = "CAST(user_id AS VARCHAR)") -> str:
+FAR_SEQ = "CASE WHEN event_id % 997 = 0 THEN event_id * 1000000000000 ELSE event_id END"
+
+
+def loss_sql(run: str = "CAST(user_id AS VARCHAR)", seq: str = "event_id") -> str:
     """SQL tables loss_events, evals and history."""
     return f"""loss_events AS (
-  SELECT {run} AS run, CAST((day(ts) - 1) // 10 AS VARCHAR) AS session, event_id AS seq,
+  SELECT {run} AS run, CAST((day(ts) - 1) // 10 AS VARCHAR) AS session, {seq} AS seq,
     CAST(day(ts) AS DOUBLE) AS epoch, CASE WHEN event_type = 'view' THEN value END AS loss,
     CASE WHEN event_type = 'purchase' THEN value END AS eval_loss FROM events),
 evals AS (SELECT * FROM (SELECT run, session, seq, epoch, last_value(loss IGNORE NULLS) OVER (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.session import pinned, work_path
 from termloom.streaming.losses import current_history, fold_stream
 from termloom.streaming.mentions import link_stream, linked
-from termloom.streaming.verdicts import write_verdict_stream, write_verdict_totals
+from termloom.streaming.verdicts import verdict_totals, write_verdict_stream, write_verdict_totals
 from termloom.plans.linking import VectorLinker, vector_catalog
 from workload import standins as s
 from workload.linking import _MENTION_HITS
@@ -71,9 +71,10 @@ def t3(spark, sf):
 def t3_totals(spark, sf):
     answers = s.answers(spark, sf).withColumnRenamed("mention", "model")
     stream = _as_stream(spark, answers, "index")
-    name = "verdict_totals_" + work_path(spark, "t").rsplit("-", 1)[1]
-    write_verdict_totals(stream, name, work_path(spark, "offsets")).awaitTermination()
-    return spark.table(name).select("model", "total_samples", "correct_predictions", "errors")
+    out = work_path(spark, "totals")
+    write_verdict_totals(stream, out, work_path(spark, "offsets")).awaitTermination()
+    totals = verdict_totals(spark, out)
+    return totals.select("model", "total_samples", "correct_predictions", "errors")
 
 
 @query(
