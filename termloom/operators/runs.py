@@ -30,7 +30,8 @@ def order_chunks(events: DataFrame, order: str, segments: int = SEGMENTS) -> Col
         if high - low <= 1:
             start = edges[low]
             width = max(1, -(-(edges[high] - start) // INNER)) if high < len(edges) else 1
-            part = F.floor((value - F.lit(start)) / F.lit(width))
+            # In double, which keeps the order of any two values and cannot overflow.
+            part = F.floor((value.cast("double") - F.lit(float(start))) / F.lit(float(width)))
             inside = F.greatest(F.lit(0), F.least(F.lit(INNER - 1), part)).cast("long")
             return F.lit(low * INNER).cast("long") + inside
         middle = (low + high) // 2

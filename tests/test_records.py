@@ -143,7 +143,7 @@ def test_fold_and_chunks(spark):
 def test_far_and_bunched_orders_fill_no_chunk(spark):
     """No chunk holds more than a segment's share, whatever the values of the order."""
     n = 20000
-    far = F.when(F.col("id") % 4000 == 7, F.col("id") * 10**15).otherwise(F.col("id"))
+    far = F.when(F.col("id") % 4000 == 7, F.col("id") * 10**14).otherwise(F.col("id"))
     bunched = F.when(F.col("id") < 100, F.col("id") * 10**12).otherwise(-F.col("id"))
     for order in (F.col("id"), far, bunched, -F.col("id")):
         df = spark.range(n).select(order.cast("long").alias("seq"))
