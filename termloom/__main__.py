@@ -3,7 +3,7 @@
 prepare        corpus and mapping to split mention tables
 build-catalog  training mentions to a catalog with vectors
 link           mentions to ranked entities
-evaluate       Hits@K and MRR of the vector linker and the pair classifier
+evaluate       Hits@K and MRR of the vector linker, the pair classifier and recorded answers
 train          fit the pair classifier, write its dev report
 requests       prompts for the true pairs of a mention table
 verdicts       metrics from recorded answers
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from termloom.operators import verdicts
 from termloom.operators.catalog import build_catalog
-from termloom.operators.evaluate import comparison_table, union_models
+from termloom.operators.evaluate import comparison_table
 from termloom.operators.ordering import first_rows
+from termloom.plans.evaluation import ANSWER_SCHEMA, evaluate_rankers
 from termloom.plans.linking import VectorLinker, vector_catalog
 from termloom.plans.preparation import prepare
 from termloom.plans.training import train_pair_classifier
-from termloom.session import apply_recommended_conf
+from termloom.session import apply_recommended_conf, use_local_dir, work_scope
 from termloom.sources import sinks
 from termloom.sources.corpus import read_mentions
 
@@ -43,7 +44,7 @@ def _build_catalog(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_catalog(vector_catalog(_read(spark, a.train), a.rule), a.output)
     catalog = sinks.read_catalog(spark, a.output)
     info = sinks.catalog_metadata(catalog, "hashed trigrams", None, f"representative by {a.rule}")
-    info.write.mode("overwrite").json(f"{a.output}_metadata")
+    sinks.write_metadata(info, f"{a.output}_metadata")
 
 
 def _link(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -57,13 +58,15 @@ def _link(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     test, ks = _read(spark, a.test, a.max_samples), (1, 3, 5, 10)
-    results = {}
+    linkers = {}
     if not a.skip_vectors:
-        results["vectors"] = VectorLinker(sinks.read_catalog(spark, a.catalog)).evaluate(test, ks)
+        linkers["vectors"] = VectorLinker(sinks.read_catalog(spark, a.catalog))
     if not a.skip_classifier:
         out = train_pair_classifier(_read(spark, a.train), _read(spark, a.dev), negatives=a.negatives)
-        results["classifier"] = out["linker"].evaluate(test, ks)
-    sinks.write_results(union_models(results), a.output)
+        linkers["classifier"] = out["linker"]
+    named = dict(answer.split("=", 1) for answer in a.answers)
+    answers = {name: spark.read.schema(ANSWER_SCHEMA).json(path) for name, path in named.items()}
+    sinks.write_results(evaluate_rankers(test, linkers, answers, ks), a.output)
     comparison_table(sinks.read_results(spark, a.output)).show(truncate=False)
 
 
@@ -126,6 +129,7 @@ def parser() -> argparse.ArgumentParser:
     sub = command("evaluate", _evaluate, "train", "dev", "test", "catalog", "output")
     sub.add_argument("--skip_vectors", action="store_true")
     sub.add_argument("--skip_classifier", action="store_true")
+    sub.add_argument("--answers", action="append", default=[], metavar="MODEL=PATH")
     sub.add_argument("--negatives", type=int, default=3)
     sub.add_argument("--max_samples", type=int)
     sub = command("train", _train, "train", "dev", "output")
@@ -140,7 +144,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"termloom {args.command}").getOrCreate()
-    args.run(apply_recommended_conf(spark), args)
+    use_local_dir(spark)
+    with work_scope(spark):
+        args.run(apply_recommended_conf(spark), args)
 
 
 if __name__ == "__main__":

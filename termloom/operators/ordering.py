@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import order_key
 from termloom.session import pinned
 
+_ONE_TASK_ROWS = 100_000
 _LOCAL_BITS = 33  # documented layout of monotonically_increasing_id: partition, then row
 
 
@@ -168,8 +169,16 @@ def batch_numbers(
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str | Column], n: int | None) -> DataFrame:
-    """First ``n`` rows in an explicit order; 0 or None means no limit."""
-    return df.orderBy(*order_by).limit(n) if n else df
+    """First ``n`` rows in an explicit order; 0 or None means no limit.
+
+    A limit ends in one task, so beyond ``_ONE_TASK_ROWS`` rows are taken by their global rank.
+    """
+    if not n:
+        return df
+    if n <= _ONE_TASK_ROWS:
+        return df.orderBy(*order_by).limit(n)
+    ranked = with_global_rank(df, order_by, "_position")
+    return ranked.where(F.col("_position") < n).drop("_position")
 
 
 __all__ = [

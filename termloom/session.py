@@ -31,8 +31,8 @@ def apply_recommended_conf(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder, because there the
-    driver and the executors share one machine.
+    Without that setting the session's checkpoint folder is taken, and without either the
+    work cannot be shared and an error is raised.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
@@ -43,11 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if current is not None:
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    root = tempfile.mkdtemp(prefix="termloom-")
-    sc.setCheckpointDir(root)
-    return root
+    raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+
+
+def use_local_dir(spark: SparkSession) -> None:
+    """For programs run by hand or by a test: a temporary folder, if there is none yet.
+
+    Only a local session gets one, because there the driver and the executors share one
+    machine; ``local-cluster`` is no local session.
+    """
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() is not None:
+        return
+    if sc.master == "local" or sc.master.startswith("local["):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
 
 
 _local = threading.local()

@@ -12,7 +12,8 @@ from termloom.operators.encode import encode_with
 from termloom.operators.ranking import rank_of_truth, ranked_lists, top_k
 from termloom.operators.search import search, search_candidates, search_mentions, search_one
 from termloom.plans.linking import VectorLinker, evaluate_vectors, ngram_encoder, vector_catalog
-from termloom.plans.training import score_features, train_pair_classifier
+from termloom.plans.evaluation import evaluate_rankers
+from termloom.plans.training import PairClassifierLinker, score_features, train_pair_classifier
 from termloom.operators.ordering import exact_split
 from termloom.plans.preparation import ROW_COLUMNS
 from termloom.session import pinned
@@ -37,6 +38,13 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns or ("score",)})
 
 
+class SetWeights:
+    """A classifier whose weights are set, so that its values can be compared."""
+
+    coefficients = [(i % 7 - 2) / 4.0 for i in range(1, 65)]
+    intercept = -1.0
+
+
 # --- search ------------------------------------------------------------------------------
 
 
@@ -323,6 +331,64 @@ def r1(spark, sf):
     return evaluate.comparison_table(two_models(spark, sf))
 
 
+def _ranker_sql(name: str, hits: str, picked: str = "") -> str:
+    """Truth ranks and metrics of one ranker whose hits are (mention, entity_id, rank)."""
+    return f"""{name}_ranks AS (SELECT m.mention, h.rank FROM mentions m LEFT JOIN {hits} h
+  ON h.mention = m.mention AND h.entity_id = m.mondo_id AND h.rank <= 10 {picked})"""
+
+
+_WEIGHTED_HITS = """weighted AS (
+  SELECT mention, entity_id, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity_id) AS rank
+  FROM (SELECT m.k AS mention, e.k AS entity_id, 1 / (1 + exp(-(list_dot_product(list_transform(m.vec,
+    lambda x, i: x * (i % 7 - 2) / 4.0), e.vec) - 1))) AS score FROM mv_vec m, ev_vec e))"""
+_ANSWERED_HITS = """asked AS (SELECT mention, entity_id, ordinal FROM (
+    SELECT DISTINCT mention, mondo_id AS entity_id FROM mentions) JOIN catalog USING (entity_id)),
+gpt_hits AS (SELECT mention, entity_id, row_number() OVER (PARTITION BY mention
+  ORDER BY CASE WHEN (length(mention) + ordinal) % 2 = 0 THEN 0 ELSE 1 END, ordinal) AS rank FROM asked),
+gemini_hits AS (SELECT mention, entity_id, row_number() OVER (PARTITION BY mention
+  ORDER BY CASE WHEN (length(mention) + ordinal) % 3 = 0 THEN 0 ELSE 1 END, ordinal) AS rank FROM asked)"""
+_RANKERS = {"vectors": "mention_hits", "classifier": "weighted", "gpt": "gpt_hits", "gemini": "gemini_hits"}
+_ALL_RANKERS = ", ".join(
+    [_MENTION_HITS, _WEIGHTED_HITS, _ANSWERED_HITS, *[_ranker_sql(n, h) for n, h in _RANKERS.items()]]
+)
+
+
+@query(
+    "r1_comparison_all_rankers",
+    f"WITH {_ALL_RANKERS}, metrics AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS model, * FROM ({s.metrics_sql(n + '_ranks')})" for n in _RANKERS
+    )
+    + """) SELECT model,
+      max(CASE WHEN metric = 'Hits@1' THEN value END) AS "Hits@1",
+      max(CASE WHEN metric = 'Hits@10' THEN value END) AS "Hits@10",
+      max(CASE WHEN metric = 'Hits@3' THEN value END) AS "Hits@3",
+      max(CASE WHEN metric = 'Hits@5' THEN value END) AS "Hits@5",
+      max(CASE WHEN metric = 'MRR' THEN value END) AS "MRR"
+    FROM metrics GROUP BY model""",
+)
+def r1_all(spark, sf):
+    """Vectors, a classifier with set weights, and the recorded answers of two models."""
+    rows, linker = _linker(spark, sf)
+    classifier = PairClassifierLinker(SetWeights(), linker.catalog, linker.encoder)
+    asked = (
+        rows.select("mention", F.col("mondo_id").alias("entity_id"))
+        .distinct()
+        .join(linker.catalog.select("entity_id", "ordinal"), "entity_id")
+    )
+    code = F.length("mention") + F.col("ordinal")
+
+    def answers(divisor, tries):
+        text = F.when(code % divisor == 0, "Yes, the same.").otherwise("No.")
+        failed = [F.struct(F.lit(i).alias("attempt"), F.lit(False).alias("ok"), F.lit("quota").alias("text")) for i in range(tries)]
+        last = F.struct(F.lit(tries).alias("attempt"), F.lit(True).alias("ok"), text.alias("text"))
+        return asked.select("mention", "entity_id", "ordinal", F.inline(F.array(*failed, last)))
+
+    recorded = {"gpt": answers(2, 0), "gemini": answers(3, 1)}
+    metrics = evaluate_rankers(rows, {"vectors": linker, "classifier": classifier}, recorded)
+    return evaluate.comparison_table(metrics.withColumn("value", F.round("value", 6)))
+
+
 # --- binary scores -----------------------------------------------------------------------
 
 
@@ -522,10 +588,6 @@ def v4(spark, sf):
 def v4_weighted(spark, sf):
     """The classifier ranking with set weights, so that the values can be compared."""
 
-    class Weights:
-        coefficients = [(i % 7 - 2) / 4.0 for i in range(1, 65)]
-        intercept = -1.0
-
     rows, linker = _linker(spark, sf)
     vectors = linker.encode_mentions(rows)
-    return _rounded(classify.score_all_candidates(Weights(), vectors, linker.catalog, 5))
+    return _rounded(classify.score_all_candidates(SetWeights(), vectors, linker.catalog, 5))

@@ -11,7 +11,7 @@ from termloom.operators.evaluate import evaluate_hits_and_mrr, union_models
 from termloom.operators.search import search
 from termloom.plans.linking import vector_catalog
 from termloom.plans.preparation import ROW_COLUMNS, split_mentions
-from termloom.session import work_path
+from termloom.session import pinned, work_path
 from termloom.sources import corpus, sinks
 from workload import standins as s
 from workload.registry import query
@@ -67,7 +67,8 @@ def s3(spark, sf):
 @query("s4_write_splits", f"WITH {s.SPLIT} SELECT * FROM split_rows")
 def s4(spark, sf):
     path = work_path(spark, "splits")
-    sinks.write_splits(ordering.exact_split(s.mentions(spark, sf), ROW_COLUMNS), path)
+    rows = pinned(s.mentions(spark, sf), "mentions")
+    sinks.write_splits(ordering.exact_split(rows, ROW_COLUMNS), path)
     return sinks.read_splits(spark, path)
 
 
@@ -315,7 +316,7 @@ def a6(spark, sf):
     "round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM split_rows GROUP BY split",
 )
 def a18(spark, sf):
-    split = ordering.exact_split(s.mentions(spark, sf), ROW_COLUMNS)
+    split = ordering.exact_split(pinned(s.mentions(spark, sf), "mentions"), ROW_COLUMNS)
     return prepare.split_report(split).withColumn("pct", F.round("pct", 6))
 
 
@@ -373,7 +374,7 @@ def o11(spark, sf):
     "INTERSECT SELECT pmid FROM split_rows WHERE split = 'test'",
 )
 def u4(spark, sf):
-    split = ordering.exact_split(s.mentions(spark, sf), ROW_COLUMNS)
+    split = ordering.exact_split(pinned(s.mentions(spark, sf), "mentions"), ROW_COLUMNS)
     return prepare.shared_values(split.where("split = 'dev'"), split.where("split = 'test'"), "pmid")
 
 

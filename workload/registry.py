@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.session import apply_recommended_conf
+from termloom.session import apply_recommended_conf, use_local_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def register(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            use_local_dir(spark)
             return build(apply_recommended_conf(spark), sf_dir)
 
         QUERIES[name] = run
