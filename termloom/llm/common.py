@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.session import use_local_dir
+
 # ASCII white space as the word pattern [^\x20\x09-\x0D]+ sees it; bytes.split() cuts at it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    use_local_dir(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -39,13 +43,25 @@ def by_bytes(
             yield batch.slice(start, batch.num_rows - start), group
 
 
+def slices_by_bytes(
+    batches: Iterator[pa.RecordBatch], column: str, most: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Like ``by_bytes``, with the texts left in the batch and only their lengths beside it."""
+    for batch in batches:
+        lengths = np.asarray(
+            pc.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()), np.int64
+        )
+        start = 0
+        while start < len(lengths):
+            total = np.cumsum(lengths[start : start + batch.num_rows])
+            count = max(1, int(np.searchsorted(total, most, "right")))
+            yield batch.slice(start, count), lengths[start : start + count]
+            start += count
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str,
 ) -> DataFrame:
     return df.mapInArrow(function, schema)
-
-
-def log(message: str) -> None:
-    print(message, file=sys.stderr, flush=True)

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import words as W
-from termloom.llm.common import by_bytes, map_arrow, table
+from termloom.llm.common import map_arrow, slices_by_bytes, table
 
 GROUP_BYTES = 4 << 20
 LONG_BYTES = 1 << 18
@@ -36,12 +36,13 @@ def _pieces(text: str, most: int) -> list[str]:
 
 
 def _words_counter(path: str):
-    memo = W.worker_cache(f"lengths:{path}", lambda: W.WordIds(path, lambda _, ids: len(ids) // 4))
+    memo = W.worker_cache(f"lengths:{path}", lambda: W.WordLengths(path))
 
-    def count(group: list[bytes]) -> list[int]:
-        split = [text.split() for text in group]
-        memo.learn(w for ws in split for w in ws)
-        return [sum(map(memo.__getitem__, ws)) for ws in split]
+    def count(texts: pa.Array) -> np.ndarray:
+        words, index, counts = W.split_words(texts)
+        sums = np.concatenate([[0], np.cumsum(memo.numbers(words)[index])])
+        stops = np.cumsum(counts)
+        return sums[stops] - sums[stops - counts]
 
     return count
 
@@ -50,16 +51,14 @@ def _batch_counter(path: str, split_words: bool):
     """Whole texts; long ones are split if a space between letters is a safe boundary."""
     tokenizer = W.worker_cache(f"tokenizer:{path}", lambda: W.load_tokenizer(path))
 
-    def count(group: list[bytes]) -> list[int]:
-        cut = [
-            _pieces(t.decode("utf-8"), LONG_BYTES) if split_words else [t.decode("utf-8")]
-            for t in group
-        ]
+    def count(texts: pa.Array) -> np.ndarray:
+        group = texts.fill_null("").to_pylist()
+        cut = [_pieces(t, LONG_BYTES) if split_words else [t] for t in group]
         flat = [p for pieces in cut for p in pieces]
         lengths = [len(e.ids) for e in tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
         ends = np.cumsum([0, *map(len, cut)])
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        return (sums[ends[1:]] - sums[ends[:-1]]).astype(int).tolist()
+        return sums[ends[1:]] - sums[ends[:-1]]
 
     return count
 
@@ -71,9 +70,9 @@ def _piece_counter(path: str):
         f"pieces:{path}", lambda: sentencepiece.SentencePieceProcessor(model_file=path)
     )
 
-    def count(group: list[bytes]) -> list[int]:
-        found = model.encode([t.decode("utf-8") for t in group], num_threads=1)
-        return [len(ids) for ids in found]
+    def count(texts: pa.Array) -> np.ndarray:
+        found = model.encode(texts.fill_null("").to_pylist(), num_threads=1)
+        return np.array([len(ids) for ids in found], np.int64)
 
     return count
 
@@ -103,12 +102,12 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(W.tokenizer_path(tokenizer))
-        for batch, group in by_bytes(batches, "text", GROUP_BYTES):
-            tokens = np.array(count(group), np.int64)
+        for batch, lengths in slices_by_bytes(batches, "text", GROUP_BYTES):
+            tokens = np.asarray(count(batch.column("text")), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([len(t) for t in group], pa.int64()),
+                    pa.array(lengths),
                     pa.array(tokens),
                     pa.array(tokens > limit),
                 ],

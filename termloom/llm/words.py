@@ -9,14 +9,18 @@ is left to the library.
 from __future__ import annotations
 
 import json
-import struct
 import sys
 import types
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 ENCODE_BYTES = 1 << 20
-MEMO_WORDS = 800_000
+MEMO_WORDS = 1_200_000
 SENTENCE_ENDS = ".!?…。！？"
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 
@@ -101,65 +105,106 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class WordIds(dict):
-    """word -> value made from its ids; filled by ``learn``, emptied when it grows too large.
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different words of some texts, the number of each word in order, and words per text."""
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    values = lists.flatten()
+    some = pc.not_equal(values, "")
+    filled = np.asarray(some.cast(pa.uint8()), np.int64)
+    edges = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+    before = np.concatenate([[0], np.cumsum(filled)])
+    coded = values.filter(some).dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    return words, np.asarray(coded.indices, np.int64), np.diff(before[edges])
 
-    Ids are kept as little-endian unsigned 32-bit numbers. ``fixed`` is always there.
-    """
 
-    def __init__(
-        self,
-        path: str,
-        value: Callable[[bytes, bytes], object],
-        fixed: dict[bytes, object] | None = None,
-    ):
+def lowered(text: str) -> str | None:
+    """The text in lower case where that is sure to be what the library makes of it."""
+    if text.isascii():
+        return text.lower()
+    low = text.lower()
+    if low != text and (max(text) >= "\u0180" or "\u0130" in text):
+        return None
+    return low if unicodedata.is_normalized("NFC", low) else None
+
+
+class Words(dict):
+    """word -> a number; filled by ``learn``, emptied when it grows too large."""
+
+    def __init__(self, path: str):
         super().__init__()
         self.tokenizer = load_tokenizer(path)
-        self.value = value
-        self.fixed = fixed or {}
-        self.cores: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.symbols = ByteSymbols() if keeps_letters(path) else None
-        self.update(self.fixed)
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
 
-    def __missing__(self, word: bytes):
-        self.learn([word])
-        return self[word]
+    def put(self, words: list[bytes], ids: list[list[int]]) -> None:
+        raise NotImplementedError
+
+    def put_joined(self, words: list[bytes], cores: list[bytes], tails: list[bytes]) -> None:
+        """Words whose ids are those of a core and a sign, which are known."""
+        raise NotImplementedError
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, once all are known."""
+        self.learn(words)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Encode the words not known yet, in batches balanced by bytes.
+        """Encode the words not known yet.
 
-        Case and a full stop or comma behind an ASCII letter never change the rest of a
-        word, as the vocabulary is lower case and letters and signs are cut apart.
+        As the vocabulary is lower case and letters and signs are cut apart, a run of
+        letters has the ids of its lower case, a full stop or comma behind letters has its
+        own, and lower-case letters may be given to the model as they are. All else goes
+        through the library in batches balanced by bytes.
         """
         every = set(words)
-        new = [w for w in every if w not in self]
+        new = every.difference(self)
         if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            self.cores.clear()
-            self.update(self.fixed)
-            new = [w for w in every if w not in self]
-        split = [self._core(w) for w in new]
-        wanted = {part for parts in split for part in parts if part not in self.cores}
-        self._encode([part for part in wanted if not self._letters(part)])
-        cores = self.cores
-        for word, parts in zip(new, split, strict=True):
-            ids = cores[parts[0]] if len(parts) == 1 else cores[parts[0]] + cores[parts[1]]
-            self[word] = self.value(word, ids)
-
-    def _letters(self, part: bytes) -> bool:
-        """Give a run of lower-case letters straight to the model; False if it is none."""
+            self.reset()
+            new = every.difference(self)
+        letters: dict[bytes, str] = {}
+        alike: list[tuple[bytes, bytes]] = []
+        joined: list[tuple[bytes, bytes, bytes]] = []
+        other: list[bytes] = []
         if self.symbols is None:
-            return False
-        text = part.decode("utf-8")
-        if not text.isalpha() or text != text.lower():
-            return False
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                return False
-            text = "".join(map(self.symbols.__getitem__, text))
-        ids = [token.id for token in self.tokenizer.model.tokenize(text)]
-        self.cores[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return True
+            other = list(new)
+            new = set()
+        for word in new:
+            text = word.decode("utf-8")
+            low = lowered(text)
+            if low is None:
+                other.append(word)
+            elif low.isalpha():
+                core = low.encode("utf-8")
+                letters[core] = low
+                if core != word:
+                    alike.append((word, core))
+            elif low[-1] in ".," and low[:-1].isalpha():
+                core = low[:-1].encode("utf-8")
+                letters[core] = low[:-1]
+                joined.append((word, core, word[-1:]))
+            else:
+                other.append(word)
+        for core in self.keys() & letters.keys():
+            del letters[core]
+        self._from_model(letters)
+        self._encode([*other, *{tail for _, _, tail in joined if tail not in self}.difference(other)])
+        for word, core in alike:
+            self[word] = self[core]
+        if joined:
+            self.put_joined(*map(list, zip(*joined, strict=True)))
+
+    def _from_model(self, letters: dict[bytes, str]) -> None:
+        tokenize, symbols = self.model.tokenize, self.symbols
+        found = [
+            tokenize(text if text.isascii() else "".join(map(symbols.__getitem__, text)))
+            for text in letters.values()
+        ]
+        self.put(list(letters), [[token.id for token in tokens] for tokens in found])
 
     def _encode(self, wanted: list[bytes]) -> None:
         start = size = 0
@@ -170,18 +215,81 @@ class WordIds(dict):
                 found = self.tokenizer.encode_batch_fast(
                     [w.decode("utf-8") for w in batch], add_special_tokens=False
                 )
-                for word, encoded in zip(batch, found, strict=True):
-                    ids = encoded.ids
-                    self.cores[word] = struct.pack(f"<{len(ids)}I", *ids)
+                self.put(batch, [encoded.ids for encoded in found])
                 start, size = at + 1, 0
 
-    def _core(self, word: bytes) -> tuple[bytes, ...]:
-        if self.symbols is None or b"<|" in word:
-            return (word,)
-        low = word.lower()  # of bytes, so A-Z only
-        if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122:
-            return (low[:-1], low[-1:])
-        return (low,)
+
+class WordLengths(Words):
+    """word -> how many ids it has."""
+
+    def put(self, words: list[bytes], ids: list[list[int]]) -> None:
+        self.update(zip(words, map(len, ids), strict=True))
+
+    def put_joined(self, words: list[bytes], cores: list[bytes], tails: list[bytes]) -> None:
+        for word, core, tail in zip(words, cores, tails, strict=True):
+            self[word] = self[core] + self[tail]
+
+
+class Column:
+    """Numbers in an array that grows by doubling."""
+
+    def __init__(self, kind: str):
+        self.cells = np.zeros(1024, kind)
+        self.size = 0
+
+    def extend(self, values) -> None:
+        need = self.size + len(values)
+        if need > len(self.cells):
+            grown = np.zeros(max(need, 2 * len(self.cells)), self.cells.dtype)
+            grown[: self.size] = self.cells[: self.size]
+            self.cells = grown
+        self.cells[self.size : need] = values
+        self.size = need
+
+
+class WordIds(Words):
+    """word -> its place in arrays of first ids, lengths and sentence ends.
+
+    The empty word, at place 0, stands for the end of a document and has the id ``end_id``.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        self.end_id = end_id
+        super().__init__(path)
+
+    def reset(self) -> None:
+        self.clear()
+        self.ids = Column("u4")
+        self.first, self.length, self.ends = Column("i8"), Column("i8"), Column("?")
+        self.put([b""], [[self.end_id]])
+
+    def put(self, words: list[bytes], ids: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self._add(words, lengths, flat)
+
+    def put_joined(self, words: list[bytes], cores: list[bytes], tails: list[bytes]) -> None:
+        both = chain.from_iterable(zip(cores, tails, strict=True))
+        places = np.fromiter(map(self.__getitem__, both), np.int64, 2 * len(words))
+        flat, _, _ = self.stream(places)
+        self._add(words, self.length.cells[places].reshape(-1, 2).sum(1), flat)
+
+    def _add(self, words: list[bytes], lengths: np.ndarray, flat: np.ndarray) -> None:
+        start = self.first.size
+        self.update(zip(words, range(start, start + len(words)), strict=True))
+        self.first.extend(self.ids.size + np.cumsum(lengths) - lengths)
+        self.length.extend(lengths)
+        self.ends.extend([bool(word) and ends_sentence(word) for word in words])
+        self.ids.extend(flat)
+
+    def stream(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of known words one after the other, the end of each word, and sentence ends."""
+        lengths = self.length.cells[places]
+        ends = np.cumsum(lengths)
+        shift = self.first.cells[places] - (ends - lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids.cells[np.repeat(shift, lengths) + np.arange(total)]
+        return ids, ends, self.ends.cells[places]
 
 
 def ends_sentence(word: bytes) -> bool:
