@@ -12,12 +12,9 @@ columns are ignored; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import words as W
-from termloom.llm.common import by_bytes, map_arrow, table
+from termloom.llm.common import map_arrow, slices_by_bytes, table
 
 GROUP_BYTES = 4 << 20  # documents whose cuts are chosen together
 SEQUENCE = 2048
@@ -35,6 +32,7 @@ STEP = 32  # a longer sentence may be cut after every so many ids
 SEQUENCE_COST = 4.0
 SENTENCE_PENALTY = 8.0
 INNER_PENALTY = 24.0
+LEAST_POWER = 256  # shorter sequences are not looked up
 ROOM_SHARE = 0.25  # of the room that a sequence at a power of two leaves
 _SEQUENCE_BITS = 33
 
@@ -70,7 +68,7 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, most: int = SEQUENCE)
     """Ends of the sequences with the least cost, among the candidates, from 0 to the last."""
     n = len(position)
     exact: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    length = 1
+    length = min(LEAST_POWER, most)
     while length <= most:
         at = np.searchsorted(position, position - length)
         found = position[np.minimum(at, n - 1)] == position - length
@@ -140,34 +138,23 @@ def pack(
     """
     picked = df.select(df[id_column].alias("id"), df[text_column].alias("text"))
     id_type = picked.schema["id"].dataType.simpleString()
-    end_bytes = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = W.tokenizer_path(tokenizer)
         if not W.drops_white_space(path):
             raise ValueError(f"{tokenizer} does not cut texts at white space")
-        # A word's value: twice its number of ids, plus 1 if it ends a sentence; its ids.
-        memo = W.worker_cache(
-            f"pack:{path}:{end_id}",
-            lambda: W.WordIds(
-                path,
-                lambda word, ids: (len(ids) // 2 + W.ends_sentence(word), ids),
-                {b"": (2, end_bytes)},
-            ),
-        )
+        memo = W.worker_cache(f"pack:{path}:{end_id}", lambda: W.WordIds(path, end_id))
         sequences = TaskContext.get().partitionId() << _SEQUENCE_BITS
-        for batch, group in by_bytes(batches, "text", GROUP_BYTES):
-            split = [[*text.split(), b""] for text in group]
-            memo.learn(chain.from_iterable(split))
-            values = list(map(memo.__getitem__, chain.from_iterable(split)))
-            codes = np.fromiter(map(itemgetter(0), values), np.int64, len(values))
-            ids = b"".join(map(itemgetter(1), values))
-            del values
-            place = np.cumsum(codes >> 1)
-            last = np.cumsum([len(words) for words in split]) - 1
-            ends = place[last]
+        for batch, _ in slices_by_bytes(batches, "text", GROUP_BYTES):
+            words, index, counts = W.split_words(batch.column("text"))
+            stops = np.cumsum(counts)
+            # The empty word, number 0, behind each document.
+            places = np.insert(memo.numbers(words)[index], stops, 0)
+            stream, place, sentences = memo.stream(places)
+            ids = stream.astype("<u4").tobytes()
+            ends = place[stops + np.arange(len(stops))]
             document, start, length, sequence, offset = pack_stream(
-                ends, place[(codes & 1) == 1], most
+                ends, place[sentences], most
             )
             begins = np.concatenate([[0], ends[:-1]])
             view = memoryview(ids)
