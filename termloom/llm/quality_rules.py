@@ -28,7 +28,8 @@ TREES = 100
 SUBSAMPLE = 256
 STEPS = 5  # shares are seen in steps of a fifth, so that noise within clean text is no split
 GOOD_LOSS = 0.005  # share of labelled good rows that the cut may reject
-FEATURES = ("symbol_rate", "sign_rate", "upper_share", "repeat_share")
+# What the base rule does not judge; repeated words are its own and rare among good rows.
+FEATURES = ("symbol_rate", "sign_rate", "upper_share")
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -126,7 +127,6 @@ def features(statistics: dict[str, np.ndarray]) -> np.ndarray:
         statistics["n_symbols"] / words,
         statistics["n_signs"] / words,
         statistics["n_upper"] / np.maximum(statistics["n_letters"], 1),
-        statistics["n_repeat_words"] / words,
     ]
     return np.floor(np.stack(rates, 1) * STEPS + 1e-9) / STEPS
 
