@@ -101,6 +101,7 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     """Fit by Adam on cross entropy; gradients pass the maximum at its place only."""
     random = np.random.default_rng(seed)
     n_classes = len(languages)
+    epochs = EPOCHS if len(rows) else 0
     p: dict = {"e": random.normal(0, 0.3, (256, EMBEDDING))}
     for w in WIDTHS:
         p[f"w{w}"] = random.normal(0, 1 / np.sqrt(w * EMBEDDING), (w, EMBEDDING, FILTERS))
@@ -111,7 +112,7 @@ def train(rows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for part in np.array_split(random.permutation(len(rows)), max(1, len(rows) // BATCH)):
             x, y = rows[part], labels[part]
             n = len(x)

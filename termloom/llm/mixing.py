@@ -154,30 +154,37 @@ def mixed_rows(
     their source where they are; texts are not shuffled.
     """
     _, cuts = take(df, n_words(df[text_column]), id_column, source_column, **options)
-    cuts = cuts.withColumnRenamed("source", "_source").withColumnRenamed("epochs", "_epochs")
-    cuts = cuts.withColumnRenamed("cut", "_cut")
-    keyed = df.withColumn("_key", random_key(df[id_column], options.get("seed", SEED)))
-    joined = keyed.join(_small(cuts), keyed[source_column].eqNullSafe(cuts["_source"]))
-    here = F.struct(F.col("_key").alias("key"), F.col(id_column).alias("id"))
-    cut = F.struct(F.col("_cut.key").alias("key"), F.col("_cut.id").alias("id"))
+    cuts = cuts.withColumnRenamed("source", "cut_source")
+    # The row as one column, so that its names cannot meet those used here.
+    packed = df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("row"),
+        random_key(df[id_column], options.get("seed", SEED)).alias("key"),
+        df[id_column].alias("id"),
+        df[source_column].alias("source"),
+        df[text_column].alias("text"),
+    )
+    joined = packed.join(_small(cuts), packed["source"].eqNullSafe(cuts["cut_source"]))
+    here = F.struct("key", "id")
+    cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"))
     # A source with no cut is taken in whole epochs only.
     more = F.coalesce((here < cut).cast("int"), F.lit(0))
-    words = F.when(here == cut, F.col("_cut._part")).otherwise(0)
+    part = F.when(here == cut, F.col("cut._part")).otherwise(0)
     whole = F.transform(
-        F.sequence(F.lit(0), F.col("_epochs") + more), lambda _: F.lit(None).cast("long")
+        F.sequence(F.lit(0), F.col("epochs") + more), lambda _: F.lit(None).cast("long")
     )
     copies = F.concat(
-        F.slice(whole, F.lit(1), (F.col("_epochs") + more).cast("int")),
-        F.when(F.coalesce(words, F.lit(0)) > 0, F.array(words)).otherwise(
+        F.slice(whole, F.lit(1), (F.col("epochs") + more).cast("int")),
+        F.when(F.coalesce(part, F.lit(0)) > 0, F.array(part)).otherwise(
             F.array().cast("array<bigint>")
         ),
     )
-    out = joined.withColumn("_words", F.explode(copies))
-    text = F.when(F.col("_words").isNull(), F.col(text_column)).otherwise(
-        leading_words(F.col(text_column), F.col("_words"))
+    out = joined.select("row", "text", F.explode(copies).alias("words"))
+    text = F.when(F.col("words").isNull(), F.col("text")).otherwise(
+        leading_words(F.col("text"), F.col("words"))
+    )
+    return out.select(
+        *[(text if c == text_column else F.col("row")[c]).alias(c) for c in df.columns]
     )
-    mixed = [text.alias(c) if c == text_column else F.col(c) for c in df.columns]
-    return out.select(*mixed)
 
 
 def leading_words(text: Column, count: Column) -> Column:
