@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
 from termloom.llm.common import table
-from termloom.session import pinned
+from termloom.session import pinned, use_local_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,24 +17,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of linked documents."""
+    use_local_dir(spark)
     return ngram_join.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of earlier documents; a text of which nothing is left goes."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = suffix_dedup.dedup(docs, extra=[c for c in rest if c != "doc_id"], with_text=True)
+    use_local_dir(spark)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"column_{i}_of_documents" for i, c in enumerate(others)}
+    found = suffix_dedup.dedup(
+        docs.withColumnsRenamed(names), extra=list(names.values()), with_text=True
+    )
     found = found.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
-    changed = F.col("n_removed") > 0
-    cells = {
-        "text": F.col("kept_text"),
-        "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
-    }
-    return found.select(*[cells.get(c, F.col(c)).alias(c) for c in docs.columns])
+    cells = {c: F.col(name) for c, name in names.items()}
+    cells |= {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    n_chars = F.length("kept_text").cast("long")
+    cells["n_chars"] = F.when(F.col("n_removed") > 0, n_chars).otherwise(cells["n_chars"])
+    return found.select(*[cells[c].alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's share takes it; the last one cut to fit."""
+    use_local_dir(spark)
     mixed = mixing.mixed_rows(docs)
     n_chars = F.length("text").cast("long")
     return mixed.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
