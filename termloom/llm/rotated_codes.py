@@ -3,9 +3,9 @@
 Vectors are taken relative to a centre, scaled to unit length and rotated at random; a code
 is the signs of the rotated components. With the code's own inner product with the vector as
 correction, packed bits give an unbiased estimate of the inner product with any query, and
-its error is within ``BOUND / sqrt(dimension)`` of a known scale but for a tiny chance. A
-vector is compared exactly only if the lower bound of its distance is within the upper bounds
-of the nearest found.
+its error is within ``BOUND / sqrt(bits)`` of a known scale but for a tiny chance (with 4, one
+in 30,000). A vector is compared exactly only if the lower bound of its distance is within
+the k-th true distance found so far.
 
 Vectors that are null, zero or hold null or non-finite components take no part. Only vectors
 of the query's dimension are candidates. Candidates never include the query's own row's id;
@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import map_arrow, table
+from termloom.llm.words import worker_cache
 from termloom.session import pinned
 
-BLOCK_VALUES = 1 << 20  # vector components in a block
+BLOCK_VALUES = 1 << 19  # vector components in a block
 QUERY_VALUES = 1 << 16  # query components in a block
+QUERY_TILE = 64  # queries compared at once
+LEAST_BITS = 256
+FIRST_COMPARED = 8  # times k vectors whose true distances set the first limit
 CENTRE_ROWS = 4096  # the centre is the mean of so many vectors; any centre is right
-BOUND = 6.0
+BOUND = 4.0
 SEED = 11
 
 
@@ -43,11 +47,21 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def code_bits(dimension: int) -> int:
+    """Bits of a code: short vectors are filled up with zeros, which tightens the bounds."""
+    return max(dimension, LEAST_BITS)
+
+
 def rotation(dimension: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same wherever it is made."""
-    draw = np.random.default_rng((seed, dimension)).standard_normal((dimension, dimension))
-    q, r = np.linalg.qr(draw)
-    return q * np.sign(np.diag(r))
+    """Columns of a random orthogonal matrix, the same wherever it is made."""
+
+    def draw() -> np.ndarray:
+        bits = code_bits(dimension)
+        normal = np.random.default_rng((seed, dimension)).standard_normal((bits, bits))
+        q, r = np.linalg.qr(normal)
+        return (q * np.sign(np.diag(r)))[:, :dimension]
+
+    return worker_cache(f"rotation:{dimension}:{seed}", draw)
 
 
 def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,12 +70,19 @@ def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndar
     length = np.sqrt((moved * moved).sum(1))
     unit = moved / np.where(length > 0, length, 1)[:, None]
     turned = unit @ rotation(vectors.shape[1]).T
-    correction = np.abs(turned).sum(1) / math.sqrt(vectors.shape[1])
+    correction = np.abs(turned).sum(1) / math.sqrt(turned.shape[1])
     return np.packbits(turned > 0, axis=1), length, correction
 
 
+def unpacked(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Signs of a code as columns of 1 and -1."""
+    return np.ascontiguousarray(
+        (np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1).T
+    )
+
+
 def distance_bounds(
-    codes: np.ndarray,
+    signs: np.ndarray,
     length: np.ndarray,
     correction: np.ndarray,
     queries: np.ndarray,
@@ -72,15 +93,14 @@ def distance_bounds(
     The inner product of two unit vectors is estimated by that of the query and the code
     over the correction; what the code leaves out is spread over the other directions.
     """
-    d = queries.shape[1]
+    bits = len(signs)
     moved = queries - centre
     reach = np.sqrt((moved * moved).sum(1))
-    turned = (moved @ rotation(d).T) / np.where(reach > 0, reach, 1)[:, None]
-    signs = np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
-    dots = (turned.astype(np.float32) @ signs.T).astype(np.float64) / math.sqrt(d)
+    turned = (moved @ rotation(queries.shape[1]).T) / np.where(reach > 0, reach, 1)[:, None]
+    dots = (turned.astype(np.float32) @ signs).astype(np.float64) / math.sqrt(bits)
     scale = np.where(correction > 0, correction, 1)
     inner = dots / scale
-    slack = np.sqrt(np.maximum(1 - correction**2, 0)) / scale * (BOUND / math.sqrt(max(d - 1, 1)))
+    slack = np.sqrt(np.maximum(1 - correction**2, 0)) / scale * (BOUND / math.sqrt(bits - 1))
     slack = slack + 1e-5  # single precision in the product above
     both = 2 * reach[:, None] * length
     base = reach[:, None] ** 2 + length**2
@@ -97,26 +117,36 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_in_block(block: dict, queries: dict, centre: np.ndarray, k: int):
-    """Query number, vector number and squared distance of the k nearest of each query."""
-    low, high = distance_bounds(
-        block["codes"], block["length"], block["correction"], queries["vectors"], centre
-    )
-    own = queries["ids"][:, None] == block["ids"][None, :]
-    low[own] = np.inf
-    high[own] = np.inf
-    if high.shape[1] > k:
-        limit = np.partition(high, k - 1, axis=1)[:, k - 1]
-    else:
-        limit = np.full(len(high), np.inf)
-    query, vector = np.nonzero((low <= limit[:, None]) & ~own)
-    squared = squared_distances(
-        block["vectors"][vector].astype(np.float64), queries["vectors"][query]
-    )
-    order = np.lexsort((block["ids"][vector], squared, query))
-    query, vector, squared = query[order], vector[order], squared[order]
-    starts = np.searchsorted(query, query)
-    kept = np.arange(len(query)) - starts < k
-    return query[kept], vector[kept], squared[kept]
+    """Query number, vector number and squared distance of the k nearest of each query.
+
+    The vectors with the smallest estimates are compared first; the k-th of their true
+    distances is the limit that the lower bound of any other must not exceed.
+    """
+    signs = unpacked(block["codes"], code_bits(len(centre)))
+    found = []
+    for start in range(0, len(queries["ids"]), QUERY_TILE):
+        part = slice(start, start + QUERY_TILE)
+        asked = queries["vectors"][part]
+        low, high = distance_bounds(signs, block["length"], block["correction"], asked, centre)
+        own = queries["ids"][part, None] == block["ids"][None, :]
+        low[own] = np.inf
+        few = FIRST_COMPARED * k
+        if low.shape[1] > few:
+            middle = np.where(own, np.inf, low + high)
+            first = np.argpartition(middle, few - 1, axis=1)[:, :few]
+            row = np.repeat(np.arange(len(asked)), few)
+            true = squared_distances(block["vectors"][first.ravel()], asked[row])
+            true = np.where(own[row, first.ravel()], np.inf, true).reshape(-1, few)
+            limit = np.partition(true, k - 1, axis=1)[:, k - 1]
+        else:
+            limit = np.full(len(asked), np.inf)
+        query, vector = np.nonzero((low <= limit[:, None]) & ~own)
+        squared = squared_distances(block["vectors"][vector], asked[query])
+        order = np.lexsort((block["ids"][vector], squared, query))
+        query, vector, squared = query[order], vector[order], squared[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        found.append((query[kept] + start, vector[kept], squared[kept]))
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
 def _rows(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -231,7 +261,7 @@ def search(
                 block = {
                     "ids": np.frombuffer(value["ids"], np.int64),
                     "vectors": np.frombuffer(value["vectors"]).reshape(-1, d),
-                    "codes": np.frombuffer(value["codes"], np.uint8).reshape(-1, (d + 7) // 8),
+                    "codes": np.frombuffer(value["codes"], np.uint8).reshape(-1, (code_bits(d) + 7) // 8),
                     "length": np.frombuffer(value["length"]),
                     "correction": np.frombuffer(value["correction"]),
                 }
