@@ -297,7 +297,10 @@ def _resolve(group: pa.Table) -> pa.Table:
     number, least, length = (np.concatenate([r[i] for r in rows]) for i in range(3))
     data = np.frombuffer(b"".join(v.as_py() for v in group.column("body")), np.uint8)
     begin = np.cumsum(length) - length
-    marks = rolling(data, LENGTH)
+    marks = np.empty(max(len(data) - LENGTH + 1, 0), np.uint64)
+    for at in range(0, len(marks), SLICE):  # of all at once, the steps would take most memory
+        stop = min(at + SLICE, len(marks))
+        marks[at:stop] = rolling(data[at : stop + LENGTH - 1], LENGTH)
     order = np.lexsort((number, row, least))
     levels = Levels(data)
     answers: list[list[np.ndarray]] = [[] for _ in rows]
