@@ -49,19 +49,18 @@ from termloom.llm.blocks import (
 )
 from termloom.llm.common import map_arrow, table
 from termloom.llm.components import contract
-from termloom.llm.words import worker_cache
 from termloom.session import pinned
 
 WIDTH = 5
 PERCENT = 75
 GROUP_TOKENS = 3 << 20  # tokens that meet in one task
 BLOCK_TOKENS = 1 << 19  # tokens in a block of sets
-MEMO_WORDS = 1_000_000
 BROADCAST_IDS = 1_000_000
 LENGTHEN_PERCENT = 15  # first prefix: so much of the set beyond the shortest one
-LENGTHENINGS = (1, 2, 4, 8, 16, 32, 64)  # what a set chooses from in the second
-PAIR_COST = 0.05  # comparing a token of a pair, in rows of a prefix token
-ROUNDS = 3  # comparisons with one other set before all pairs left are compared
+LENGTHENINGS = (1, 2, 3, 4)  # shared tokens that a set may ask for in the second
+PAIR_COST = 0.01  # comparing a token of a pair, in rows of a prefix token
+COMPARED = 4  # sets that a set is compared with in a later round
+ROUNDS = 4  # comparisons with one other set before all pairs left are compared
 _MIX = np.array(
     [
         0x9E3779B97F4A7C15,
@@ -74,22 +73,13 @@ _MIX = np.array(
 )
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def shingles(text: bytes) -> np.ndarray:
     """Sorted hashes of the different shingles of a text."""
     words = text.lower().split()  # of bytes, so A-Z only
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    memo = worker_cache("word_hashes", WordHashes)
-    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     width = min(n, WIDTH)
     total = hashes[: n - width + 1] * _MIX[0]
     for i in range(1, width):
@@ -277,8 +267,8 @@ def choose_prefix(n: int, counts: np.ndarray) -> tuple[int, int]:
     """How many of the shared tokens in order of rarity to take, and how many must match.
 
     ``counts`` are the ascending numbers of sets that hold each shared token. A prefix
-    lengthened by k - 1 costs its rows; its candidates are at most rows / k and cost the
-    comparison of n tokens each.
+    lengthened by k - 1 costs its rows. Its candidates are about as many as hold one of its
+    tokens, less by k, and each costs the comparison of n tokens.
     """
     alone = n - len(counts)
     rows = np.concatenate([[0], np.cumsum(counts)])
@@ -289,14 +279,18 @@ def choose_prefix(n: int, counts: np.ndarray) -> tuple[int, int]:
         take = n - need(n) + k - alone
         if take <= 0:
             return 0, k
-        cost = rows[take] * (1 + PAIR_COST * n / k)
+        cost = rows[take] * (1 + PAIR_COST * n / (k * take))
         if best is None or cost < best[0]:
             best = (cost, take, k)
     return best[1], best[2]
 
 
 def _prefix_rows(joined: DataFrame) -> DataFrame:
-    """The chosen prefix of each set, a row per token."""
+    """The chosen prefix of each set, a row per token.
+
+    ``at`` is the token's place in the set's order of rarity, which begins with the
+    ``alone`` tokens that no other set holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +305,7 @@ def _prefix_rows(joined: DataFrame) -> DataFrame:
                 lengths = np.frombuffer(value["lengths"], np.int64)
                 edges = np.concatenate([[0], np.cumsum(lengths)])
                 body = np.frombuffer(value["body"], np.uint64)
-                columns: list[list[np.ndarray]] = [[], [], [], []]
+                columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
                 for i, node in enumerate(ids.tolist()):
                     tokens = body[edges[i] : edges[i + 1]]
                     n = len(tokens)
@@ -322,27 +316,42 @@ def _prefix_rows(joined: DataFrame) -> DataFrame:
                     rare = np.lexsort((shared, count))
                     take, k = choose_prefix(n, count[rare])
                     part = shared[rare[:take]]
-                    for column, cells in zip(
-                        columns,
-                        (part.view(np.int64), [node] * take, [n] * take, [k] * take),
-                        strict=True,
-                    ):
+                    alone = n - len(shared)
+                    same = [[v] * take for v in (node, n, k, alone)]
+                    cells_of = (part.view(np.int64), *same, alone + np.arange(take))
+                    for column, cells in zip(columns, cells_of, strict=True):
                         column.append(np.asarray(cells, np.int64))
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(c)) for c in columns],
-                        names=["token", "node", "n", "k"],
+                        names=["token", "node", "n", "k", "alone", "at"],
                     )
 
     return map_arrow(
         joined.select("block", "ids", "lengths", "body", "answers"),
         run,
-        "token long, node long, n long, k long",
+        "token long, node long, n long, k long, alone long, at long",
     )
 
 
-def _may_link(n: Column, m: Column) -> Column:
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _may_link(a: str, b: str) -> Column:
+    """Whether sets of which a shared token is given can be linked, and this row tells it.
+
+    A linked pair shares ``needed`` tokens, so k of them are among the first n - needed + k
+    of each set. Up to the given token both can share what is not alone in either, behind
+    it what is left of the shorter rest.
+    """
+    n, m, at, bt = (F.col(c) for c in (f"n{a}", f"n{b}", f"at{a}", f"at{b}"))
+    k = F.least(f"k{a}", f"k{b}")
+    needed = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    up_to = F.least(at - F.col(f"alone{a}"), bt - F.col(f"alone{b}")) + 1
+    behind = F.least(n - at, m - bt) - 1
+    return (
+        (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+        & (at < n - needed + k)
+        & (bt < m - needed + k)
+        & (up_to + behind >= needed)
+    )
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -371,27 +380,30 @@ def _components(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Smallest node of the component of every node that has a link, as (v, p)."""
     here = rows.withColumn("part", F.col("node"))
     labels = None
+    carried = ("node", "part", "n", "k", "alone", "at")
     for number in range(ROUNDS):
-        drawn = F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node", "part", "n")
+        # One set for all tokens first; then one for each token, which also finds near relatives.
+        by = [F.col("node"), F.lit(number), *([F.col("token")] if number else [])]
+        drawn = F.struct(F.xxhash64(*by).alias("h"), *carried)
         hubs = (
             here.groupBy("token")
             .agg(F.min(drawn).alias("hub"), F.min("part").alias("low"), F.max("part").alias("high"))
             .where(F.col("low") < F.col("high"))
             .select("token", "hub.*")
-            .select("token", *[F.col(c).alias(f"hub_{c}") for c in ("node", "part", "n")])
+            .select("token", *[F.col(c).alias(f"{c}_hub") for c in carried])
         )
-        met = here.join(hubs, "token").where(
-            (F.col("part") != F.col("hub_part")) & _may_link(F.col("n"), F.col("hub_n"))
+        met = here.withColumnsRenamed({c: f"{c}_own" for c in carried}).join(hubs, "token")
+        met = met.where((F.col("part_own") != F.col("part_hub")) & _may_link("_own", "_hub"))
+        counted = met.groupBy("node_own", "part_own", "node_hub", "part_hub").count()
+        met_by = F.sort_array(F.collect_list(F.struct("count", "node_hub", "part_hub")), False)
+        best = counted.groupBy("node_own", "part_own").agg(
+            F.slice(met_by, 1, COMPARED if number else 1).alias("all")
         )
-        counted = met.groupBy("node", "part", "hub_node", "hub_part").count()
-        best = counted.groupBy("node", "part").agg(
-            F.max(F.struct("count", "hub_node", "hub_part")).alias("best")
-        )
-        pairs = best.select(
-            F.col("node").alias("a"),
-            F.col("best.hub_node").alias("b"),
-            F.col("part").alias("pa"),
-            F.col("best.hub_part").alias("pb"),
+        pairs = best.select("*", F.explode("all").alias("best")).select(
+            F.col("node_own").alias("a"),
+            F.col("best.node_hub").alias("b"),
+            F.col("part_own").alias("pa"),
+            F.col("best.part_hub").alias("pb"),
         )
         links = pinned(_linked(pairs, nodes), "links")
         merged = contract(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
@@ -407,11 +419,9 @@ def _components(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         .select("token")
     )
     left = pinned(here.join(mixed, "token"), "unresolved")
-    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "k", "part")])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "k", "part")])
-    met = x.join(y, "token").where(
-        (F.col("part_a") < F.col("part_b")) & _may_link(F.col("n_a"), F.col("n_b"))
-    )
+    x = left.withColumnsRenamed({c: f"{c}_a" for c in carried})
+    y = left.withColumnsRenamed({c: f"{c}_b" for c in carried})
+    met = x.join(y, "token").where((F.col("part_a") < F.col("part_b")) & _may_link("_a", "_b"))
     pairs = (
         met.groupBy("node_a", "node_b")
         .agg(
