@@ -144,22 +144,25 @@ def _threads(parents: DataFrame) -> DataFrame:
         "threads",
     )
     steps = steps.select("message", F.coalesce("up", "message").alias("up"), "depth")
-    while True:
+    steps = pinned(steps, "threads")
+    active = steps.where(F.col("up") != F.col("message"))
+    while not active.isEmpty():
         above = steps.select(
             F.col("message").alias("up"),
             F.col("up").alias("further"),
             F.col("depth").alias("more"),
         )
-        moved = steps.join(above, "up").select(
+        moved = active.join(above, "up").select(
             "message",
             F.col("further").alias("up"),
             (F.col("depth") + F.col("more")).alias("depth"),
             (F.col("more") > 0).alias("moved"),
         )
-        moved = pinned(moved, "threads")
-        if moved.where("moved").isEmpty():
-            return moved.select("message", F.col("up").alias("root"), "depth")
-        steps = moved.drop("moved")
+        moved = pinned(moved, "moved")
+        rest = steps.join(moved.select("message"), "message", "left_anti")
+        steps = pinned(rest.unionByName(moved.drop("moved")), "threads")
+        active = moved.where("moved").drop("moved")  # the others have reached their roots
+    return steps.select("message", F.col("up").alias("root"), "depth")
 
 
 def link_quotations(
