@@ -1,8 +1,10 @@
 """Quality rules: rule statistics per document, an isolation forest over them, and a verdict.
 
-Path lengths over random splits tell how alone a document stands; the cut is calibrated on
-all labelled rows. Null text has no words and fails the base rule. Repeated rows get the same
-verdict each. A table without labels of both kinds has no cut: only the base rule rejects.
+Path lengths over random splits tell how alone a document stands. The forest sees how far each
+rate lies outside the range that is usual among labelled good rows; the ranges and the cut are
+calibrated on all labelled rows. Null text has no words and fails the base rule. Repeated rows
+get the same verdict each. A table without labels of both kinds has no cut: only the base rule
+rejects.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,21 @@ WINDOW = 8
 SAMPLE_ROWS = 4096  # the forest is fitted on at most so many labelled rows
 TREES = 100
 SUBSAMPLE = 256
-STEPS = 5  # shares are seen in steps of a fifth, so that noise within clean text is no split
+STEPS = 1000  # rates are counted in steps of a thousandth
+MOST = 100  # rates above are seen as this
 GOOD_LOSS = 0.005  # share of labelled good rows that the cut may reject
-# What the base rule does not judge; repeated words are its own and rare among good rows.
-FEATURES = ("symbol_rate", "sign_rate", "upper_share")
+RATES = (
+    "symbol_rate",
+    "sign_rate",
+    "upper_share",
+    "dup_line_share",
+    "repeat_share",
+    "same_word_share",
+    "mean_word_chars",
+)
+# Every rate may be too high; only the mean length of words may be too low.
+LOW = [RATES.index("mean_word_chars")]
+SIDES = len(RATES) + len(LOW)
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,6 +68,8 @@ STATISTICS = (
     "n_signs",
     "n_upper",
     "n_letters",
+    "n_lines",
+    "n_same_words",
 )
 
 
@@ -95,6 +112,8 @@ def text_statistics(text: bytes) -> tuple[int, ...]:
         int(seen[_SIGN].sum()),
         int(seen[_UPPER].sum()),
         int(seen[_UPPER].sum() + seen[_LOWER].sum()),
+        len(lines),
+        sum(map(eq, words, islice(words, 1, None))),  # words equal to the one before
     )
 
 
@@ -120,15 +139,59 @@ def with_statistics(df: DataFrame, id_column: str, text_column: str) -> DataFram
     )
 
 
-def features(statistics: dict[str, np.ndarray]) -> np.ndarray:
-    """Rates by word or letter, in steps."""
+def rates(statistics: dict[str, np.ndarray]) -> np.ndarray:
+    """The values named in RATES, in whole steps."""
     words = np.maximum(statistics["n_words"], 1)
-    rates = [
+    found = [
         statistics["n_symbols"] / words,
         statistics["n_signs"] / words,
         statistics["n_upper"] / np.maximum(statistics["n_letters"], 1),
+        statistics["n_dup_lines"] / np.maximum(statistics["n_lines"], 1),
+        statistics["n_repeat_words"] / words,
+        statistics["n_same_words"] / words,
+        statistics["word_chars"] / words,
     ]
-    return np.floor(np.stack(rates, 1) * STEPS + 1e-9) / STEPS
+    return np.floor(np.minimum(np.stack(found, 1), MOST) * STEPS + 1e-9).astype(np.int64)
+
+
+def features(statistics: dict[str, np.ndarray], usual: np.ndarray) -> np.ndarray:
+    """How far each rate is outside its usual range, in doublings of a step; 0 inside."""
+    found = rates(statistics)
+    low, high = usual
+    outside = np.concatenate([found - high, (low - found)[:, LOW]], 1)
+    return np.floor(np.log2(1 + np.maximum(outside, 0)))
+
+
+def usual_ranges(labelled: DataFrame) -> np.ndarray:
+    """Lowest and highest usual step of each rate, from all labelled good rows.
+
+    Each side leaves out its part of ``GOOD_LOSS`` at most, so all sides together do not reject
+    more. The counts are ``MOST * STEPS`` numbers a rate at most, whatever the number of rows.
+    """
+    good = labelled.where(~F.col("base_failed") & (F.col("quality") == 1)).select(*STATISTICS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in STATISTICS}
+            for i, column in enumerate(rates(columns).T):
+                steps, counts = np.unique(column, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(steps), i)), pa.array(steps), pa.array(counts)],
+                    names=["rate", "step", "rows"],
+                )
+
+    counted = map_arrow(good, run, "rate long, step long, rows long")
+    counts = counted.groupBy("rate", "step").agg(F.sum("rows").alias("rows")).toPandas()
+    usual = np.array([[0] * len(RATES), [MOST * STEPS] * len(RATES)], np.int64)
+    for i, part in counts.sort_values("step").groupby("rate"):
+        steps, rows = part["step"].to_numpy(), part["rows"].to_numpy()
+        spared = GOOD_LOSS * rows.sum() / SIDES
+        up = np.cumsum(rows)
+        usual[0, i] = steps[np.searchsorted(up, spared, "right")]
+        usual[1, i] = steps[np.flatnonzero(up[-1] - up <= spared)[0]]
+    return usual
 
 
 @dataclass
@@ -168,8 +231,8 @@ def _expected(n: int) -> float:
     return 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit_forest(rows: np.ndarray, seed: int = 7) -> Forest:
-    """Trees of random splits, each over ``SUBSAMPLE`` of the rows."""
+def fit_forest(rows: np.ndarray, seed: int = 7, every: np.ndarray | None = None) -> Forest:
+    """Trees of random splits, each over ``SUBSAMPLE`` of the rows and the rows of ``every``."""
     random = np.random.default_rng(seed)
     feature: list[int] = []
     value: list[float] = []
@@ -194,8 +257,9 @@ def fit_forest(rows: np.ndarray, seed: int = 7) -> Forest:
                     child[at] = [grow(part[~right], depth + 1), grow(part[right], depth + 1)]
         return at
 
+    more = rows[:0] if every is None else every
     roots = [
-        grow(rows[random.choice(len(rows), size, replace=False)], 0)
+        grow(np.concatenate([rows[random.choice(len(rows), size, replace=False)], more]), 0)
         for _ in range(TREES if size else 0)
     ]
     return Forest(
@@ -207,7 +271,7 @@ def fit_forest(rows: np.ndarray, seed: int = 7) -> Forest:
     )
 
 
-def with_scores(rows: DataFrame, forest: Forest) -> DataFrame:
+def with_scores(rows: DataFrame, forest: Forest, usual: np.ndarray) -> DataFrame:
     """Add ``anomaly``, the forest's score of each row's statistics."""
     names = rows.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -217,7 +281,7 @@ def with_scores(rows: DataFrame, forest: Forest) -> DataFrame:
             if not batch.num_rows:
                 continue
             columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in STATISTICS}
-            scores = forest.score(features(columns))
+            scores = forest.score(features(columns, usual))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(scores)], names=[*names, "anomaly"]
             )
@@ -229,7 +293,7 @@ def calibrate(scored: DataFrame) -> float | None:
     """Cut between two scores that best parts labelled good from labelled bad rows.
 
     All labelled rows that pass the base rule count. Scores come in steps, so the table of
-    their counts is bounded by the forest's distinct leaves over stepped rates.
+    their counts is bounded by the forest's distinct leaves over whole doublings.
     """
     counts = (
         scored.where(~F.col("base_failed"))
@@ -257,7 +321,7 @@ def calibrate(scored: DataFrame) -> float | None:
     return cut
 
 
-def fit_rows(labelled: DataFrame, id_column: str = "id") -> np.ndarray:
+def fit_rows(labelled: DataFrame, usual: np.ndarray, id_column: str = "id") -> np.ndarray:
     """Features of the ``SAMPLE_ROWS`` labelled rows that come first by hash of their id."""
     part = (
         labelled.where(~F.col("base_failed"))
@@ -266,13 +330,16 @@ def fit_rows(labelled: DataFrame, id_column: str = "id") -> np.ndarray:
         .select(*STATISTICS)
         .toPandas()
     )
-    return features({n: part[n].to_numpy() for n in STATISTICS})
+    return features({n: part[n].to_numpy() for n in STATISTICS}, usual)
 
 
 def _fit(
     rows: DataFrame, labels: DataFrame, id_column: str
-) -> tuple[Forest, float | None]:
-    """Forest and cut from the statistics of all rows and the labels of some.
+) -> tuple[Forest, np.ndarray, float | None]:
+    """Forest, usual ranges and cut from the statistics of all rows and the labels of some.
+
+    Each tree also sees a row per side that is as far outside as can be, so that every rate is
+    split even where the sample has nothing unusual.
 
     ``labels`` has ``id_column`` and ``quality`` (1 good, 0 bad); other values and null ids
     are left out, and an id with both labels counts under each.
@@ -283,8 +350,10 @@ def _fit(
         .distinct()
     )
     labelled = pinned(rows.join(marks, "id"), "labelled")
-    forest = fit_forest(fit_rows(labelled))
-    return forest, calibrate(with_scores(labelled, forest))
+    usual = usual_ranges(labelled)
+    far = np.eye(SIDES) * math.floor(math.log2(1 + MOST * STEPS))
+    forest = fit_forest(fit_rows(labelled, usual), every=far)
+    return forest, usual, calibrate(with_scores(labelled, forest, usual))
 
 
 def judge(
@@ -292,8 +361,8 @@ def judge(
 ) -> DataFrame:
     """Statistics, ``base_failed``, ``anomaly`` and ``kept`` of every row of ``df``."""
     rows = pinned(with_statistics(df, id_column, text_column), "statistics")
-    forest, cut = _fit(rows, labels, id_column)
-    scored = with_scores(rows, forest)
+    forest, usual, cut = _fit(rows, labels, id_column)
+    scored = with_scores(rows, forest, usual)
     passed = F.lit(True) if cut is None else F.col("anomaly") < F.lit(cut)
     return scored.withColumn("kept", ~F.col("base_failed") & passed).withColumnRenamed(
         "id", id_column
@@ -305,7 +374,7 @@ def kept_rows(
 ) -> DataFrame:
     """The rows of ``df`` that are kept, judged where they are read; no text is shuffled."""
     rows = pinned(with_statistics(df, id_column, text_column), "statistics")
-    forest, cut = _fit(rows, labels, id_column)
+    forest, usual, cut = _fit(rows, labels, id_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in by_bytes(batches, text_column, GROUP_BYTES):
@@ -314,7 +383,7 @@ def kept_rows(
             n, repeats = columns["n_words"], columns["n_repeat_words"]
             kept = (n >= MIN_WORDS) & (100 * repeats <= REPEAT_PERCENT * n)
             if cut is not None:
-                kept &= forest.score(features(columns)) < cut
+                kept &= forest.score(features(columns, usual)) < cut
             yield batch.filter(pa.array(kept))
 
     return df.mapInArrow(run, df.schema)

@@ -62,6 +62,31 @@ def test_verdict_without_labels_or_rows(spark):
     assert quality_rules.judge(documents(spark, []), labels).collect() == []
 
 
+def test_every_rate_is_judged(spark):
+    rng = np.random.default_rng(3)
+
+    def clean(n):
+        return [f"w{rng.integers(10**6):06d}" for _ in range(n)]
+
+    def lines(words):
+        return "\n".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6))
+
+    rows = [(i, lines(clean(60)), None) for i in range(300)]
+    stuttered = [" ".join(w for w in clean(10) for _ in range(6)) for _ in range(6)]
+    symbols = [" ".join(f"#{w}" if j % 12 == 0 else w for j, w in enumerate(clean(60))) for _ in range(6)]
+    twice = [lines([w for j in range(9) for w in clean(6)]) + "\nx y" * 6 for _ in range(6)]
+    odd = stuttered + symbols + twice + [" ".join(w * 3 for w in clean(60)), "a b c d e f g " * 2 + lines(clean(40))]
+    rows += [(1000 + i, t, None) for i, t in enumerate(odd)]
+    # One of each kind has no label.
+    bad = [1000 + i for i in range(len(odd)) if i not in (5, 11, 17)]
+    marks = [(i, 1) for i in range(300)] + [(i, 0) for i in bad]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    judged = {r["doc_id"]: r for r in quality_rules.judge(documents(spark, rows), labels).collect()}
+    assert not any(judged[i]["base_failed"] for i in range(1000, 1019))
+    assert [i for i in judged if i >= 1000 and judged[i]["kept"]] == []
+    assert sum(judged[i]["kept"] for i in range(300)) >= 298
+
+
 def test_forest_finds_what_stands_alone():
     rng = np.random.default_rng(1)
     crowd = rng.normal(0, 1, (500, 4))
