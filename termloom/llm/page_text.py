@@ -3,8 +3,10 @@
 A page is read as a row of words and tags. Words score positive and tags negative, with
 weights learned from pages that label their own content with an article or main element. One
 linear scan finds the contiguous region with the highest sum; its words, in blocks, are the
-text. Elements that say they are something else (menus, notices, adverts, forms, comments and
-the like, by tag, role, id or class) are a single negative token each and give no words.
+text. Elements that say they are something else by tag or role, or whose class or id is the whole
+name of a menu, an advert, comments and the like, are a single negative token each and give no
+words. Other marked names are negative tokens too, but what is inside is scored: a box is read if
+it holds more than the rest of the page, or if it stands inside the region and has a positive sum.
 
 Null html is empty. A page without a region of positive score has the empty text. Repeated
 rows are read each; other columns are ignored; without labelled pages the prior weights stay.
@@ -71,6 +73,26 @@ MARKS = {
     "copyright", "disclaimer", "complementary", "contentinfo", "search", "hidden",
 }
 NOT_MARKS = {"has", "with", "no", "without"}
+# Whole names made of these are no content wherever they stand, but may be about it in an id.
+STRONG = {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "sponsor", "sponsored",
+    "breadcrumb", "breadcrumbs", "navbar", "nav", "menu", "masthead", "footer", "cookie", "cookies",
+    "consent", "gdpr", "popup", "modal", "newsletter", "signup", "login", "comment", "comments",
+    "commentlist", "disqus", "respond", "replies", "pagination", "pager", "paywall", "complementary",
+    "contentinfo", "hidden",
+}
+# Boxes of these names may be part of an article, as may whatever has its name by id.
+MAYBE = {
+    "header", "notice", "notices", "alert", "related", "search", "social", "promotion",
+    "disclaimer", "copyright", "recommended", "recommendations", "subscription", "notification",
+}
+BOX = {
+    "area", "bar", "block", "blog", "bottom", "box", "col", "column", "container", "global", "group",
+    "inner", "item", "items", "links", "list", "main", "outer", "page", "panel", "section",
+    "site", "slot", "top", "unit", "wrap", "wrapper",
+}
+OF_CONTENT = {"entry", "post", "article", "story", "content", "title", "text", "body"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 TAGS = sorted(
     INLINE | ENDS_P | ENDS_SAME | CONTENT | OTHER | VOID
     | {"body", "html", "tbody", "thead", "tfoot", "figcaption", "summary", "caption", "center"}
@@ -83,22 +105,46 @@ PRIOR_INLINE, PRIOR_TAG, PRIOR_OTHER = -0.1, -0.3, -3.0
 WORD_RANGE, LINKED_RANGE, TAG_RANGE, OTHER_RANGE = (0.5, 1.0), (-1.0, 0.5), (-1.5, -0.1), (-3.0, -1.0)
 
 
-def is_other(name: str, rest: str) -> bool:
-    """True if the element says that it is not content."""
+def mark(name: str, rest: str) -> tuple[str, str] | None:
+    """How much the element says that it is not content, and by which name.
+
+    ``other``: it is left out. ``maybe`` and ``box``: it is left out if its sum says so; a ``box``
+    is read only if it holds more than the rest of the page. ``soft``: a negative token.
+    """
     if name in OTHER:
-        return True
+        return "other", name
     if name in CONTENT or name in ("html", "body") or "=" not in rest:
-        return False
+        return None
+    found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(rest):
         key = m["name"].lower()
         if key == "hidden" or key == "aria-hidden" and "true" in m[0]:
-            return True
-        if key in ("class", "id", "role"):
-            for word in (m["a"] or m["b"] or m["c"] or "").split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if MARKS.intersection(parts) and not NOT_MARKS.intersection(parts):
-                    return True
-    return False
+            return "other", "marked"
+        if key not in ("class", "id", "role") or key == "id" and name in HEADINGS:
+            continue
+        for word in (m["a"] or m["b"] or m["c"] or "").split():
+            parts = {p.lower() for p in _PART.findall(word)}
+            marks = MARKS & parts
+            if not marks or NOT_MARKS & parts:
+                continue
+            whole = all(p in MARKS or p in BOX or p.isdigit() for p in parts)
+            strong = STRONG & marks
+            if key == "class" and strong:  # "post-comments"
+                whole = whole or all(
+                    p in MARKS or p in BOX or p in OF_CONTENT or p.isdigit() for p in parts
+                )
+            first = min(marks)
+            if name in HEADINGS:
+                found.setdefault("soft", first)
+            elif key == "role" or whole and strong:
+                return "other", min(strong, default=first)
+            elif whole and (key == "id" or marks <= MAYBE):
+                found.setdefault("maybe", first)
+            elif key == "id" or "header" in marks and OF_CONTENT & parts:
+                found.setdefault("soft", first)
+            else:
+                found.setdefault("maybe" if marks <= MAYBE else "box", first)
+    return next(((grade, found[grade]) for grade in ("box", "maybe", "soft") if grade in found), None)
 
 
 class Page:
@@ -109,6 +155,7 @@ class Page:
         self.counts: list[int] = []
         self.texts: list[str | None] = []
         self.labelled: list[bool] = []  # inside an article or main element
+        self.boxes: dict[int, tuple[int, bool]] = {}  # first token: end, and whether it is a maybe
         self._read(source)
 
     def _add(self, kind: str, count: int, text: str | None, inside: bool) -> None:
@@ -120,6 +167,13 @@ class Page:
     def _read(self, source: str) -> None:
         lower = None
         stack: list[str] = []
+        open_boxes: list[tuple[int, int, bool]] = []  # depth of the stack, first token, maybe
+
+        def end_boxes() -> None:
+            while open_boxes and len(stack) < open_boxes[-1][0]:
+                _, first, maybe = open_boxes.pop()
+                self.boxes[first] = (len(self.kinds), maybe)
+
         skip = 0  # depth of the stack at which an element that is no content began
         inside = linked = 0
         at, size = 0, len(source)
@@ -153,6 +207,7 @@ class Page:
                         break
                 if not skipped:
                     self._tag(name, inside > 0)
+                end_boxes()
                 continue
             rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
             if name in RAW:
@@ -170,6 +225,7 @@ class Page:
                 stack.pop()
                 if skip and len(stack) < skip:
                     skip = 0
+                end_boxes()
             if rest.endswith("/") and name not in ENDS_P:
                 if not skip:
                     self._tag(name, inside > 0)
@@ -179,14 +235,22 @@ class Page:
             linked += name == "a"
             if skip:
                 continue
-            if is_other(name, rest) and last_content < at and not (name == "header" and inside):
-                skip = len(stack)
-                self._add(f"other {name if name in OTHER else 'marked'}", 1, None, inside > 0)
-            elif is_other(name, rest) and not self._holds_content(source, at, name, last_content):
-                skip = len(stack)
-                self._add(f"other {name if name in OTHER else 'marked'}", 1, None, inside > 0)
-            else:
-                self._tag(name, inside > 0)
+            grade, said = mark(name, rest) or (None, None)
+            if grade and (
+                last_content < at
+                and not (name == "header" and inside)
+                or not self._holds_content(source, at, name, last_content)
+            ):
+                if grade == "other":
+                    skip = len(stack)
+                elif grade != "soft":
+                    open_boxes.append((len(stack), len(self.kinds), grade == "maybe"))
+                if grade != "soft" or name not in INLINE:
+                    self._add(f"other {said}", 1, None, inside > 0)
+                    continue
+            self._tag(name, inside > 0)
+        stack.clear()
+        end_boxes()
 
     @staticmethod
     def _raw_end(lower: str, name: str, at: int) -> int:
@@ -209,23 +273,62 @@ class Page:
         text = None if name in INLINE and name not in SPACE else ("" if name not in SPACE else " ")
         self._add(f"tag {name}" if name in _KNOWN else "tag ?", 1, text, inside)
 
-    def region(self, weights: dict[str, float]) -> tuple[int, int]:
-        """First token and end of the contiguous run with the highest sum; empty if none."""
-        best, span = 0.0, (0, 0)
-        total, start = 0.0, 0
-        for i, (kind, count) in enumerate(zip(self.kinds, self.counts, strict=True)):
+    def _best(
+        self, weights: dict[str, float], first: int, end: int, opened: set[int]
+    ) -> tuple[float, tuple[int, int]]:
+        """Highest sum of a contiguous run, and its first token and end.
+
+        A box that is not opened counts as its first token.
+        """
+        best, span = 0.0, (first, first)
+        total, start = 0.0, first
+        i = first
+        while i < end:
             if total <= 0:
                 total, start = 0.0, i
-            total += weights.get(kind, PRIOR_TAG) * count
+            total += weights.get(self.kinds[i], PRIOR_TAG) * self.counts[i]
+            after = self.boxes[i][0] if i in self.boxes and i not in opened else i + 1
             if total > best:
-                best, span = total, (start, i + 1)
-        return span
+                best, span = total, (start, after)
+            i = after
+        return best, span
+
+    def _closed(self, first: int, end: int, opened: set[int]) -> list[int]:
+        """Boxes of a run that are not opened, without those inside another."""
+        out: list[int] = []
+        for i in sorted(i for i in self.boxes if first <= i < end and i not in opened):
+            if not out or i >= self.boxes[out[-1]][0]:
+                out.append(i)
+        return out
+
+    def _opened(self, weights: dict[str, float]) -> set[int]:
+        """Boxes whose words are read."""
+        opened: set[int] = set()
+        while self.boxes:
+            best, (first, end) = self._best(weights, 0, len(self.kinds), opened)
+            more = set()
+            for i in self._closed(0, len(self.kinds), opened):
+                after, maybe = self.boxes[i]
+                own = weights.get(self.kinds[i], PRIOR_TAG)
+                own += self._best(weights, i + 1, after, opened)[0]
+                if own > best or maybe and own > 0 and first <= i and after <= end:
+                    more.add(i)
+            if not more:
+                break
+            opened |= more
+        return opened
+
+    def region(self, weights: dict[str, float]) -> tuple[int, int]:
+        """First token and end of the contiguous run with the highest sum; empty if none."""
+        return self._best(weights, 0, len(self.kinds), self._opened(weights))[1]
 
     def text(self, weights: dict[str, float]) -> str:
-        first, end = self.region(weights)
+        opened = self._opened(weights)
+        first, end = self._best(weights, 0, len(self.kinds), opened)[1]
         blocks: list[str] = []
         held: list[str] = []
-        for i in range(first, end):
+        i = first
+        while i < end:
             kind, text = self.kinds[i], self.texts[i]
             if kind in (WORD, LINKED):
                 held.append(text)
@@ -234,9 +337,18 @@ class Page:
             elif text == "" or kind.startswith("other"):
                 blocks.append(" ".join("".join(held).split()))
                 held = []
+            i = self.boxes[i][0] if i in self.boxes and i not in opened else i + 1
         blocks.append(" ".join("".join(held).split()))
         return "\n\n".join(block for block in blocks if block)
 
+    def outside_boxes(self) -> list[int]:
+        """Tokens that are in no box, and the first of each."""
+        out, i = [], 0
+        while i < len(self.kinds):
+            out.append(i)
+            i = self.boxes[i][0] if i in self.boxes else i + 1
+        return out
+
 
 _KNOWN = set(TAGS)
 
@@ -255,10 +367,9 @@ def learn_weights(pages: DataFrame, html_column: str = "html") -> dict[str, floa
                 page = Page(source.decode("utf-8"))
                 if not any(page.labelled):
                     continue
-                for kind, count, inside in zip(
-                    page.kinds, page.counts, page.labelled, strict=True
-                ):
-                    counts.setdefault(kind, [0, 0])[0 if inside else 1] += count
+                for i in page.outside_boxes():
+                    side = 0 if page.labelled[i] else 1
+                    counts.setdefault(page.kinds[i], [0, 0])[side] += page.counts[i]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(list(counts), pa.string()),
@@ -276,7 +387,7 @@ def learn_weights(pages: DataFrame, html_column: str = "html") -> dict[str, floa
     weights |= {
         f"tag {name}": PRIOR_INLINE if name in INLINE else PRIOR_TAG for name in [*TAGS, "?"]
     }
-    weights |= {f"other {name}": PRIOR_OTHER for name in [*OTHER, "marked"]}
+    weights |= {f"other {name}": PRIOR_OTHER for name in [*OTHER, *MARKS, "marked"]}
     for row in totals.collect():
         kind = row["kind"]
         odds = math.log((row["inside"] + 1) / (row["outside"] + 1))

@@ -285,6 +285,35 @@ def test_page_without_label(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found) and len(found) == len(rows)
 
 
+def test_marked_names_inside_content_are_read():
+    weights = dict(page_text.PRIOR)
+    weights |= {f"other {m}": page_text.PRIOR_OTHER for m in page_text.MARKS | page_text.OTHER}
+    prose = "<p>" + "many words of the article itself " * 5 + "</p>"
+    whole = " ".join(["many words of the article itself"] * 5)
+
+    def blocks(html):
+        return page_text.Page(html).text(weights).split("\n\n")
+
+    inside = (
+        f'<h1>Title</h1>{prose}<h2 id="related-work">Related work</h2>{prose}<section id="search">'
+        f'<h2 id="search">Search</h2>{prose}</section><section id="hidden-markov-models">{prose}'
+        f'</section><div class="alert alert-info">{prose}</div><div class="ad">Buy {whole}</div>{prose}'
+    )
+    wanted = ["Title", whole, "Related work", whole, "Search", whole, whole, whole, whole]
+    for html in (
+        f"<body>{inside}</body>",
+        f"<body><article>{inside}</article></body>",
+        f'<div class="layout sidebar-left">{inside}</div><div class="sidebar">see also this</div>',
+        f'<div class="widget Blog">{inside}</div><div class="widget"><a href=x>one two</a></div>',
+    ):
+        assert blocks(html) == wanted
+    head = '<div class="entry-header"><h1>The long title of an article</h1></div>'
+    assert blocks(f"<body>{head}{prose}</body>") == ["The long title of an article", whole]
+    around = f'<div class="widget">{prose}</div><div id="comments">{prose * 9}</div>'
+    around += f'<div class="post-comments">{prose * 9}</div>'
+    assert blocks(f"<body>{prose * 2}{around}</body>") == [whole, whole]
+
+
 def test_given_pages_give_their_articles(spark, sf_dir):
     import html
     import re
