@@ -42,6 +42,10 @@ _ATTRIBUTE = regex.compile(
 _PART = regex.compile(r"[a-z]+|[A-Z][a-z]*|[0-9]+")
 
 RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head"}
+# Searched in the source as it is: lower case may have more characters.
+_ENDS = regex.ASCII | regex.IGNORECASE
+_RAW_END = {name: regex.compile(rf"</{name}(?=[\s/>]|\Z)", _ENDS) for name in RAW}
+_BODY = regex.compile("<body", _ENDS)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 # Inside a block; every other tag ends one.
 INLINE = {
@@ -165,7 +169,6 @@ class Page:
         self.labelled.append(inside)
 
     def _read(self, source: str) -> None:
-        lower = None
         stack: list[str] = []
         open_boxes: list[tuple[int, int, bool]] = []  # depth of the stack, first token, maybe
 
@@ -211,10 +214,7 @@ class Page:
                 continue
             rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
             if name in RAW:
-                if lower is None:
-                    lower = source.lower()
-                end = self._raw_end(lower, name, at)
-                at = end
+                at = self._raw_end(source, name, at)
                 continue
             if name in VOID:
                 if not skip:
@@ -253,15 +253,15 @@ class Page:
         end_boxes()
 
     @staticmethod
-    def _raw_end(lower: str, name: str, at: int) -> int:
-        end = lower.find(f"</{name}", at)
-        if end < 0:
+    def _raw_end(source: str, name: str, at: int) -> int:
+        m = _RAW_END[name].search(source, at)
+        if m is None:
             if name == "head":  # a head left open ends where the body begins
-                end = lower.find("<body", at)
-                return end if end >= 0 else at
-            return len(lower)
-        end = lower.find(">", end)
-        return len(lower) if end < 0 else end + 1
+                m = _BODY.search(source, at)
+                return m.start() if m else at
+            return len(source)
+        end = source.find(">", m.end())
+        return len(source) if end < 0 else end + 1
 
     @staticmethod
     def _holds_content(source: str, at: int, name: str, last: int) -> bool:

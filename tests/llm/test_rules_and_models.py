@@ -314,6 +314,15 @@ def test_marked_names_inside_content_are_read():
     assert blocks(f"<body>{prose * 2}{around}</body>") == [whole, whole]
 
 
+def test_raw_elements_end_where_they_end():
+    dotted = "\u0130" * 2
+    for head in (f"<HEAD><title>{dotted}</title></HEAD>", f"<head><title>{dotted}</title>"):
+        html = f"{head}<body><p>{dotted}stanbul one <svg><path/></SVG>two three</p>"
+        page = page_text.Page(f"{html}<script>var x</script>four five</body>")
+        text = page.text(dict(page_text.PRIOR))
+        assert text == f"{dotted}stanbul one two three\n\nfour five"
+
+
 def test_given_pages_give_their_articles(spark, sf_dir):
     import html
     import re
