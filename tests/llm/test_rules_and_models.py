@@ -1,6 +1,7 @@
 """Quality rules, mixing, language, neighbours, pages and quotations."""
 
 import math
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -385,6 +386,48 @@ def test_quotations_are_linked(spark):
             assert above["thread"] == r["thread"] and above["position"] < r["position"]
 
 
+def test_quotations_wrapped_anew_and_deeper(spark):
+    long = "one paragraph that goes on for more than a line of a mail, so that " * 3 + "it is wrapped"
+    wrapped = "> one paragraph that goes on\n> for more than a line of a mail, so that one\n> paragraph that"
+    other = "Some first words. Then there is\na short one! The last sentence follows here."
+    rows = [
+        (1, 0, "user", long),
+        (1, 1, "assistant", "Nothing is quoted here."),
+        (1, 2, "user", other),
+        (1, 3, "assistant", "Neither is it here."),
+        (1, 4, "user", "> " + "\n> ".join(textwrap.wrap(long, 60)) + "\n\nI mean the first."),
+        (1, 5, "user", wrapped + "\nCut in the middle."),
+        (1, 6, "user", "> Then there is a\n> short one!\nThat one."),
+        (1, 7, "user", ">> " + "\n>> ".join(textwrap.wrap(other, 20)) + "\nTwo levels."),
+        (1, 8, "user", ">>> Then there is a short one!\nThree levels."),
+        (2, 0, "user", "The question of it all"),
+        (2, 1, "user", "Something else"),
+        (2, 2, "user", "An answer without any quotation"),
+        (2, 3, "user", "> An answer without any quotation\n>> The question of it all\nThanks."),
+    ]
+    found = quotations.link_quotations(clashing(messages(spark, rows))).collect()
+    by_key = {(r["conv_id"], r["turn"]): r for r in found}
+    parent = {k: (r["parent_conv"], r["parent_turn"], r["linked"]) for k, r in by_key.items()}
+    assert parent[1, 4] == (1, 0, True)
+    assert by_key[1, 4]["n_quoted"] == by_key[1, 4]["n_linked"] == 4
+    assert parent[1, 5] == (1, 0, True)
+    assert parent[1, 6] == (1, 2, True)
+    assert parent[1, 7] == (1, 6, True)  # quotes at the first level what is here at the second
+    assert parent[1, 8] == (1, 7, True)
+    assert parent[2, 3] == (2, 2, True)
+    assert parent[2, 2] == (2, 0, True)  # as the message behind it tells
+    assert parent[1, 3] == (1, 2, False) and parent[2, 1] == (2, 0, False)
+
+
+def test_common_words_meet_wherever_lines_end():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 60)]
+        start = int(rng.integers(0, 49))
+        part = ["x"] * int(rng.integers(0, 5)) + words[start : start + 11] + ["y"] * 3
+        assert set(quotations.windows(words)[1]) & set(quotations.windows(part)[1])
+
+
 def test_quotations_of_nothing(spark):
     assert quotations.link_quotations(messages(spark, [])).collect() == []
 
