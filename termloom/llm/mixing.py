@@ -5,9 +5,9 @@ of their sizes are taken across the sorted chunks, and each source is cut at its
 budget above the source's size takes whole epochs first.
 
 Null text has size 0. Null is a source of its own and comes last. Rows with one id have one
-key; equal keys are ordered by id and size, so rows that are equal in all three may change
-places without changing the result. Sources of size 0 have target 0. An empty table gives an
-empty one; other columns are ignored by ``take`` and carried by ``mixed_rows``.
+key; equal keys are ordered by id and size, in ``mixed_rows`` then by a hash of the row, so rows
+that change places are equal and do not change the result. Sources of size 0 have target 0. An
+empty table gives an empty one; other columns are ignored by ``take`` and carried by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -85,19 +85,24 @@ def take(
     share: float = SHARE,
     most: float = MOST,
     seed: int = SEED,
+    tie: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """How much the mix takes of every row, and where each source is cut.
 
+    ``tie`` orders rows of equal key, id and size.
+
     The first table has ``id``, ``source``, ``size``, ``key``, ``source_size``, ``target`` and
-    ``taken``. The second has a row per source: ``epochs`` taken whole, and the key, id and
-    part of the row at which the last epoch ends.
+    ``taken``. The second has a row per source: ``epochs`` taken whole, and the key, id, size, tie
+    and part of the row at which the last epoch ends, and how many equal rows are ``whole`` before.
     """
+    ties = {} if tie is None else {"tie": tie}
     rows = pinned(
         df.select(
             df[id_column].alias("id"),
             df[source_column].alias("source"),
             size.alias("size"),
             random_key(df[id_column], seed).alias("key"),
+            *[column.alias(name) for name, column in ties.items()],
         ),
         "sizes",
     )
@@ -119,7 +124,7 @@ def take(
         .withColumn("_rest", F.col("_budget") - F.col("epochs") * F.col("source_size")),
         "targets",
     )
-    summed = with_running_sums(rows, ["source", "key", "id", "size"], {"_run": "size"})
+    summed = with_running_sums(rows, ["source", "key", "id", "size", *ties], {"_run": "size"})
     joined = summed.join(_small(targets), summed["source"].eqNullSafe(targets["_source"]))
     before = F.col("_run") - F.col("size") - F.col("_start")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - before))
@@ -134,9 +139,23 @@ def take(
         (F.col("epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"),
     )
     last = joined.where((before <= F.col("_rest")) & (before + F.col("size") > F.col("_rest")))
-    at = last.groupBy("source").agg(F.min(F.struct("key", "id", "_part")).alias("cut"))
+    place = F.struct("key", "id", "size", *ties)
+    at = last.groupBy("source").agg(F.min(F.struct("key", "id", "size", *ties, "_part")).alias("cut"))
+    if ties:
+        at = pinned(at, "cuts")
+        ends_at = at.select(F.col("source").alias("_cut_source"), "cut")
+        met = joined.join(_small(ends_at), joined["source"].eqNullSafe(ends_at["_cut_source"]))
+        same = F.struct(*[F.col(f"cut.{c}").alias(c) for c in ("key", "id", "size", *ties)])
+        whole = met.where((place == same) & (before + F.col("size") <= F.col("_rest")))
+        whole = whole.groupBy("source").agg(F.count("*").alias("whole"))
+        whole = whole.withColumnRenamed("source", "_cut_source")
+        at = at.join(whole, at["source"].eqNullSafe(whole["_cut_source"]), "left").select(
+            "source", "cut", F.coalesce("whole", F.lit(0)).alias("whole")
+        )
+    else:
+        at = at.withColumn("whole", F.lit(0))
     cuts = targets.join(at, targets["_source"].eqNullSafe(at["source"]), "left").select(
-        F.col("_source").alias("source"), "epochs", "cut"
+        F.col("_source").alias("source"), "epochs", "cut", "whole"
     )
     return taken, cuts
 
@@ -151,9 +170,16 @@ def mixed_rows(
     """The mix itself: every row as often as its source's epochs take it.
 
     The row at which a source is cut keeps its first words. Rows are compared with the cut of
-    their source where they are; texts are not shuffled.
+    their source where they are; only texts at a cut are shuffled.
     """
-    _, cuts = take(df, n_words(df[text_column]), id_column, source_column, **options)
+    # JSON for what has no hash of its own; the hash decides only between rows of one id and size.
+    hashed = [
+        F.to_json(F.struct(df[c])) if kind.startswith(("map", "array", "struct")) else df[c]
+        for c, kind in df.dtypes
+    ]
+    tie = F.xxhash64(*hashed)
+    size = n_words(df[text_column])
+    _, cuts = take(df, size, id_column, source_column, tie=tie, **options)
     cuts = cuts.withColumnRenamed("source", "cut_source")
     # The row as one column, so that its names cannot meet those used here.
     packed = df.select(
@@ -162,23 +188,28 @@ def mixed_rows(
         df[id_column].alias("id"),
         df[source_column].alias("source"),
         df[text_column].alias("text"),
+        size.alias("size"),
+        tie.alias("tie"),
     )
     joined = packed.join(_small(cuts), packed["source"].eqNullSafe(cuts["cut_source"]))
-    here = F.struct("key", "id")
-    cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"))
+    names = ("key", "id", "size", "tie")
+    here = F.struct(*names)
+    cut = F.struct(*[F.col(f"cut.{c}").alias(c) for c in names])
+    none = F.lit(None).cast("long")
     # A source with no cut is taken in whole epochs only.
     more = F.coalesce((here < cut).cast("int"), F.lit(0))
-    part = F.when(here == cut, F.col("cut._part")).otherwise(0)
-    whole = F.transform(
-        F.sequence(F.lit(0), F.col("epochs") + more), lambda _: F.lit(None).cast("long")
+    copies = F.array_repeat(none, (F.col("epochs") + more).cast("int"))
+    out = joined.select("row", "text", F.explode(copies).alias("words"))
+    # Rows equal to the cut are one row here: some are whole once more, one is cut.
+    part = F.col("cut._part")
+    last = F.concat(
+        F.array_repeat(none, F.col("whole").cast("int")),
+        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")),
     )
-    copies = F.concat(
-        F.slice(whole, F.lit(1), (F.col("epochs") + more).cast("int")),
-        F.when(F.coalesce(part, F.lit(0)) > 0, F.array(part)).otherwise(
-            F.array().cast("array<bigint>")
-        ),
+    at = joined.where(here == cut).groupBy("source").agg(
+        F.first(F.struct("row", "text", last.alias("words"))).alias("at")
     )
-    out = joined.select("row", "text", F.explode(copies).alias("words"))
+    out = out.unionByName(at.select("at.row", "at.text", F.explode("at.words").alias("words")))
     text = F.when(F.col("words").isNull(), F.col("text")).otherwise(
         leading_words(F.col("text"), F.col("words"))
     )

@@ -156,6 +156,30 @@ def test_mixed_rows_take_what_was_decided(spark, given):
     assert dict(got) == wanted
 
 
+@pytest.mark.parametrize("share", [0.9, 1.3])
+def test_mixed_rows_of_one_id_take_what_was_decided(spark, share):
+    rows = [(None, f"n{i} " * (1 + i % 5) + "end", "x", "s") for i in range(40)]
+    rows += [(None, "the very same words again", "x", "s")] * 30 + [(7, "a b c", None, "t")] * 9
+    df = clashing(documents(spark, rows))
+    taken, _ = mixing.take(df, mixing.n_words(df["text"]), share=share)
+    wanted = defaultdict(int)
+    for r in taken.collect():
+        wanted[r["source"], r["size"]] += r["taken"]
+    sizes = {t: len(t.split()) for _, t, _, _ in rows}
+    got, cut = defaultdict(int), 0
+    for r in mixing.mixed_rows(df, share=share).collect():
+        n = len(r["text"].split())
+        source = next(t for t in sizes if t.split()[:n] == r["text"].split())
+        cut += n < sizes[source]
+        got[r["source"], sizes[source]] += n
+    assert sum(got.values()) == sum(wanted.values())
+    for source in "st":
+        assert sum(v for (s, _), v in got.items() if s == source) == sum(
+            v for (s, _), v in wanted.items() if s == source
+        )
+    assert cut <= 2  # one row of each source at most
+
+
 def test_mixing_of_nothing(spark):
     df = documents(spark, [])
     taken, _ = mixing.take(df, mixing.n_words(df["text"]))
