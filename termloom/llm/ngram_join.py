@@ -47,7 +47,7 @@ from termloom.llm.blocks import (
     text_blocks,
     with_answers,
 )
-from termloom.llm.common import map_arrow, table
+from termloom.llm.common import map_arrow, table, texts
 from termloom.llm.components import contract
 from termloom.session import pinned
 
@@ -461,6 +461,11 @@ def join_components(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """Id, ``n_shingles`` and ``component_id`` of every row."""
+    return _joined(df, id_column, text_column).drop("node", "root")
+
+
+def _joined(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """What ``join_components`` gives, with the ``node`` of every row's set and its ``root``."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks, name = stored(text_blocks(df, id_column, text_column, ()), least)
@@ -499,7 +504,7 @@ def join_components(
     )
     named = pinned(named, "classes")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(smallest, "root").select("node", "component")
+    named = named.join(smallest, "root").select("node", "component", "root")
     out = sets.select("id", "n", "node").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     kind = df.schema[id_column].dataType
@@ -507,28 +512,71 @@ def join_components(
         _restored(F.col("id")).cast(kind).alias(id_column),
         F.col("n").alias("n_shingles"),
         _restored(component).cast(kind).alias("component_id"),
+        "node",
+        "root",
     )
 
 
+def _with_nodes(df: DataFrame, text_column: str) -> DataFrame:
+    """Every row of ``df`` as ``row``, with the ``digest`` of its text's set."""
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text_column].alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t) for t in texts(batch.column("text"))]
+            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(digests, pa.binary())], names=["row", "text", "digest"]
+            )
+
+    return map_arrow(rows, run, f"row {kind}, text string, digest binary")
+
+
 def one_of_each(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their component, one for each id.
+    """One row of ``df`` for each component: that of the smallest id.
 
     Only the ids to drop are joined. They are sent to the tasks if they are few, and joined
-    by key otherwise. Rows with a null id are no copies of each other and stay.
+    by key otherwise. Rows with a null id are no copies of each other and stay. Where an id is
+    there more than once, its rows are told apart by their sets of shingles: of a component's rows
+    of the smallest id the smallest set is kept, of equal sets the smallest text. Rows without
+    words are one for each id.
     """
-    found = pinned(join_components(df, id_column, text_column), "components")
+    found = pinned(_joined(df, id_column, text_column), "components")
     drop = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
     repeated = found.groupBy(id_column).count().where("count > 1").select(id_column)
-    repeated = repeated.where(F.col(id_column).isNotNull())
-    kept = df.join(_few(pinned(drop, "copies")), id_column, "left_anti")
-    repeated = pinned(repeated, "repeated")
+    repeated = pinned(repeated.where(F.col(id_column).isNotNull()), "repeated")
     if repeated.isEmpty():
+        kept = df.join(_few(pinned(drop, "copies")), id_column, "left_anti")
         return kept.select(*df.columns)
-    again = kept.join(_few(repeated), id_column, "left_semi").dropDuplicates([id_column])
-    once = kept.join(_few(repeated), id_column, "left_anti")
-    return once.select(*df.columns).unionByName(again.select(*df.columns))
+    few = _few(repeated)
+    # A repeated id may be dropped for one of its texts only.
+    drop = pinned(drop.join(few, id_column, "left_anti"), "copies")
+    once = df.join(_few(drop), id_column, "left_anti").join(few, id_column, "left_anti")
+    # The sets to keep. An id that is there once is the smallest of its component here too.
+    first = found.where(F.col("root").isNull() | (F.col(id_column) == F.col("component_id")))
+    group = F.when(F.col("root").isNull(), F.col(id_column).cast("long")).otherwise(F.col("root"))
+    chosen = (
+        first.join(few, id_column, "left_semi")
+        .groupBy(F.col("root").isNull().alias("_empty"), group.alias("_group"))
+        .agg(F.min("node").alias("_node"), F.min(id_column).alias("_id"))
+        .select("_id", "_node")
+    )
+    again = _with_nodes(df.join(few, id_column, "left_semi").select(*df.columns), text_column)
+    again = again.withColumn("node", F.xxhash64("digest"))
+    again = again.join(
+        pinned(chosen, "chosen"),
+        (F.col("row")[id_column] == F.col("_id")) & (F.col("node") == F.col("_node")),
+    )
+    rest = [F.col("row")[c].cast("string") for c in df.columns]
+    again = again.groupBy("_id", "_node").agg(
+        F.min_by("row", F.struct("text", F.xxhash64(*rest))).alias("row")
+    )
+    return once.select(*df.columns).unionByName(
+        again.select(*[F.col("row")[c].alias(c) for c in df.columns])
+    )
 
 
 def _few(ids: DataFrame) -> DataFrame:

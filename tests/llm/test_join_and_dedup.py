@@ -84,6 +84,15 @@ def test_one_of_each(spark):
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_one_of_each_text_of_an_id(spark):
+    """An id's text without a copy stays, whatever the id's other texts are."""
+    a, b, c, d = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x", "1 2 3 4 5 6 7 8")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, d), (6, c.upper()), (7, b), (8, None), (8, "")]
+    out = ngram_join.one_of_each(clashing(documents(spark, rows)))
+    got = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
+    assert got == [(1, a), (5, b), (6, d), (6, c.upper()), (8, "")]
+
+
 def test_large_group_needs_few_comparisons(spark, monkeypatch):
     """Near copies by the hundred are compared with one of them, not with each other."""
     rng = random.Random(3)
