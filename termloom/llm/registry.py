@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from termloom.llm import (
     byte_cnn,
+    filter_audit,
     mixing,
     ngram_join,
     packing,
@@ -13,6 +14,7 @@ from termloom.llm import (
     rotated_codes,
     suffix_dedup,
     token_counts,
+    toxicity,
 )
 
 QUERIES = {
@@ -27,6 +29,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
-SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op6_rotated_codes": rotated_codes.OP6_SQL}
+SQL: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op6_rotated_codes": rotated_codes.OP6_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+}
