@@ -32,11 +32,11 @@ from termloom.llm.common import by_bytes, map_arrow, table
 from termloom.llm.words import worker_cache
 from termloom.session import pinned
 
-WIDTHS = (4, 5, 6)
-BUCKET_BITS = 22
-FEATURES = 1 << 15
+WIDTHS = (4, 5)
+BUCKET_BITS = 21
+FEATURES = 1 << 13
 MIN_ROWS = 4  # labelled rows that must hold a feature
-SAMPLE_ROWS = 6000  # rows of each class that the weights are fitted on, at most
+SAMPLE_ROWS = 4000  # rows of each class that the weights are fitted on, at most
 STEPS = 150
 PENALTY = 0.3
 SMOOTHING = 1.0
@@ -59,13 +59,13 @@ def buckets(text: str) -> Iterator[np.ndarray]:
             key = key[:-1] * _FACTOR + codes[width - 1 :]
             if width in WIDTHS:
                 mixed = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+                yield (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def present(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
     """Different buckets of a text, only those that are ``wanted`` if a mask is given."""
     found = [np.unique(b if wanted is None else b[wanted[b]]) for b in buckets(text)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 def held_out(id_column: Column) -> Column:
@@ -77,7 +77,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     """Rows of each class that hold a feature: (bucket, toxic, clean), over all of ``labelled``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        sums = np.zeros((2, 1 << BUCKET_BITS), np.int32)  # a task has fewer rows than that holds
         for batch, group in by_bytes(batches, "text", GROUP_BYTES):
             for text, toxic in zip(group, batch.column("toxic").to_pylist(), strict=True):
                 sums[toxic, present(text.decode("utf-8"))] += 1
@@ -89,7 +89,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
             )
 
     counted = map_arrow(
-        labelled.select("text", "toxic"), run, "bucket int, toxic long, clean long"
+        labelled.select("text", "toxic"), run, "bucket int, toxic int, clean int"
     )
     return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -117,10 +117,9 @@ def fit(
     ``rows`` holds the feature numbers of each row. Accelerated gradient steps on the mean
     loss with a penalty on the squared weights.
     """
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    values = ratios[flat]
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    values = ratios.astype(np.float32)[flat]
     share = row_weights / row_weights.sum()
     squares = np.bincount(owner, values**2, len(rows)) + 1
     step = 4 / (share @ squares + 1e-12)
@@ -140,9 +139,13 @@ def fit(
     return weights * ratios, float(constant)
 
 
-def _feature_rows(sample: DataFrame, picked: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature numbers and label of each row of a bounded sample, in a fixed order."""
+def _feature_rows(
+    labelled: DataFrame, picked: np.ndarray, last: dict[int, int]
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Feature numbers and class of the rows whose hash is at most the ``last`` of their class."""
     packed = picked.astype(np.int32).tobytes()
+    chosen = F.when(F.col("toxic") == 1, last[1]).otherwise(last[0])
+    sample = labelled.where(F.col("draw") <= chosen).select("text", "toxic", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(packed, np.int32)
@@ -150,19 +153,23 @@ def _feature_rows(sample: DataFrame, picked: np.ndarray) -> tuple[list[np.ndarra
         wanted[own] = True
         for batch, group in by_bytes(batches, "text", GROUP_BYTES):
             found = [np.searchsorted(own, present(t.decode("utf-8"), wanted)) for t in group]
+            cells = pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([f.astype(np.int32).tobytes() for f in found])],
-                names=["toxic", "cells"],
+                [batch.column("toxic"), batch.column("draw"), cells],
+                names=["toxic", "draw", "cells"],
             )
 
-    got = map_arrow(sample.select("text", "toxic"), run, "toxic int, cells binary").toArrow()
-    pairs = sorted(zip(got.column("toxic").to_pylist(), got.column("cells").to_pylist(), strict=True))
-    rows = [np.frombuffer(cells, np.int32).astype(np.int64) for _, cells in pairs]
-    return rows, np.array([toxic for toxic, _ in pairs], float)
+    features = map_arrow(sample, run, "toxic int, draw long, cells binary")
+    # Rows that are repeated count once, so that the sample stays within its bound.
+    once = features.groupBy("toxic", "draw").agg(F.first("cells").alias("cells"))
+    got = once.toArrow().sort_by([("toxic", "ascending"), ("draw", "ascending")])
+    rows = [np.frombuffer(cells, np.int32) for cells in got.column("cells").to_pylist()]
+    return rows, np.asarray(got.column("toxic"), float)
 
 
 def learn(labelled: DataFrame) -> Classifier:
     """Fit on ``id``, ``text`` and ``toxic`` (0 or 1)."""
+    labelled = labelled.withColumn("draw", F.xxhash64("id", "text"))
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     nothing = np.zeros(0, np.int64)
     if len(n) < 2:
@@ -176,10 +183,14 @@ def learn(labelled: DataFrame) -> Classifier:
     toxic, clean = (np.asarray(best.column(c), float) for c in ("toxic", "clean"))
     ratios, _ = log_ratio(toxic, clean, n[1], n[0])
 
-    order = [F.xxhash64("id"), F.xxhash64("text")]
-    parts = [labelled.where(f"toxic = {c}").orderBy(*order).limit(SAMPLE_ROWS) for c in (0, 1)]
-    rows, labels = _feature_rows(parts[0].unionByName(parts[1]), picked)
-    each = {c: n[c] / min(n[c], SAMPLE_ROWS) for c in (0, 1)}
+    # The cut of each class: the last of its smallest different hashes.
+    draws = labelled.select("toxic", "draw").distinct()
+    last, kept = {}, {}
+    for c in (0, 1):
+        smallest = draws.where(F.col("toxic") == c).orderBy("draw").limit(SAMPLE_ROWS)
+        last[c], kept[c] = smallest.agg(F.max("draw"), F.count("*")).first()
+    rows, labels = _feature_rows(labelled, picked, last)
+    each = {c: n[c] / kept[c] for c in (0, 1)}
     weights, constant = fit(rows, labels, np.where(labels > 0, each[1], each[0]), ratios)
     return Classifier(picked, weights, constant)
 
@@ -226,6 +237,8 @@ def toxicity(
     marks = marks.groupBy(F.col(id_column).alias("id")).agg(
         F.max(F.when(F.col(label_column) == 1, 1).otherwise(0)).alias("toxic")
     )
+    # A written table has a known size: few labels are sent to the texts, many are met by key.
+    marks = pinned(marks, "labels")
     texts = df.where(~held_out(df[id_column])).select(
         df[id_column].alias("id"), F.coalesce(df[text_column], F.lit("")).alias("text")
     )
