@@ -13,6 +13,7 @@ from termloom.llm import (
     quotations,
     rotated_codes,
     suffix_dedup,
+    token_alignment,
     token_counts,
     toxicity,
 )
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_toxicity": toxicity.op13_toxicity,
 }

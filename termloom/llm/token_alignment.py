@@ -12,21 +12,22 @@ A text that is null or empty, or whose tokens of A or of B do not spell a space
 has no tokens: zeros and the empty string, and it counts no pair. Strings of special tokens
 inside a text are plain text. Repeated rows count each. Ties for the highest count of an id of
 B all count as best. Very long texts are cut between two letters with a space in between, which
-neither vocabulary joins, and are aligned in segments of ``SEGMENT_BYTES``; a stretch without such a
-place is one segment. An empty table gives an empty one; other columns are ignored.
+neither vocabulary joins, and are worked on in parts; a stretch without such a place is one part.
+For the same reason words are encoded once per part, however often they stand in it. An empty table
+gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,16 @@ from termloom.session import pinned
 
 A_TOKENIZER = "byte_bpe_50k.json"
 B_TOKENIZER = "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20
-SEGMENT_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20  # of text, in a row of the stored blocks
+PART_CHARS = 4 << 20  # encoded at once
+SEGMENT_CHARS = 1 << 20  # aligned at once
 PIECE_CHARS = 1 << 16
+JOINED_CHARS = 1 << 17
 SPACE_SIGN = "▁"
-_BETWEEN_LETTERS = regex.compile(r"\p{L} \p{L}")
-_BYTE_PIECE = regex.compile(r"<0x[0-9A-F]{2}>")
+# A space between two of these characters begins a token in both vocabularies.
+_SAFE_SPACE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_SAFE_PLACE = re.compile(r"[!-~\w] [!-~\w]")
+_BYTE_PIECE = re.compile(r"<0x[0-9A-F]{2}>")
 STATISTICS = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -61,6 +66,48 @@ class Vocabulary:
         self.sizes = pa.array([len(s) for s in spelled], pa.int64())
         self.numbers = pa.array([str(i) for i in range(len(spelled))])
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
+        raise NotImplementedError
+
+    def spell(self, ids: pa.Array) -> bytes:
+        return self.bytes.take(ids).buffers()[2].to_pybytes() if len(ids) else b""
+
+    def lists(self, units: list[str], joined: int) -> tuple[pa.LargeListArray, np.ndarray]:
+        """Ids of every unit, and whether they spell it; the first ``joined`` ones may be joined.
+
+        Joined units are encoded as one text and told apart by their byte ends.
+        """
+        sizes = np.array([len(u.encode("utf-8")) + 1 for u in units], np.int64)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        flat, lengths, right = [], [np.zeros(0, np.int64)], np.ones(len(units), bool)
+        start = 0
+        while start < len(units):
+            most = edges[start] + JOINED_CHARS
+            stop = int(min(len(units), max(start + 1, np.searchsorted(edges, most, "right") - 1)))
+            if start < joined:
+                stop = min(stop, joined)
+                text = " ".join(units[start:stop])
+                ids = pa.array(self.encode([text])[0], pa.int32())
+                ends = np.cumsum(np.asarray(self.sizes.take(ids)))
+                at = np.searchsorted(ends, edges[start + 1 : stop + 1] - edges[start])
+                if self.spell(ids) == b" " + text.encode("utf-8") and np.array_equal(
+                    ends[at], edges[start + 1 : stop + 1] - edges[start]
+                ):
+                    flat.append(ids)
+                    lengths.append(np.diff(at, prepend=-1))
+                    start = stop
+                    continue
+            for i, own in enumerate(self.encode(units[start:stop]), start):
+                ids = pa.array(own, pa.int32())
+                right[i] = self.spell(ids) == b" " + units[i].encode("utf-8")
+                flat.append(ids)
+                lengths.append(np.array([len(ids)], np.int64))
+            start = stop
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+        values = pa.concat_arrays(flat) if flat else pa.array([], pa.int32())
+        return pa.LargeListArray.from_arrays(pa.array(offsets), values), right
+
 
 class ByteLevel(Vocabulary):
     """Encodes with a .json file of tokenizers."""
@@ -80,8 +127,8 @@ class ByteLevel(Vocabulary):
         #: A cut before a space is safe if that is where words are cut anyway.
         self.cuts_before_space = steps.get("type") == "ByteLevel" and steps.get("use_regex", True)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        spaced = [" " + piece for piece in pieces]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        spaced = [" " + text for text in texts]
         found = self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)
         return [encoded.ids for encoded in found]
 
@@ -104,15 +151,15 @@ class SentencePieces(Vocabulary):
         )
         self.cuts_before_space = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for p in pieces)
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return self.model.encode(pieces, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def cut(text: str, most: int = PIECE_CHARS) -> list[str]:
-    """Pieces of a long text; a space between two letters was between any two of them."""
+    """Pieces of a long text; a space was between any two of them."""
     pieces, start = [], 0
     while len(text) - start > most:
-        found = _BETWEEN_LETTERS.search(text, start + most)
+        found = _SAFE_PLACE.search(text, start + most)
         if not found:
             break
         pieces.append(text[start : found.start() + 1])
@@ -120,6 +167,77 @@ def cut(text: str, most: int = PIECE_CHARS) -> list[str]:
     return [*pieces, text[start:]]
 
 
+def _safe(unit: str) -> bool:
+    """True if a space before or behind the unit is a safe one, seen from the unit."""
+    if not unit:
+        return False
+    first, last = unit[0], unit[-1]
+    return (first.isalnum() or "!" <= first <= "~") and (last.isalnum() or "!" <= last <= "~")
+
+
+def split_units(pieces: list[str]) -> tuple[list[str], int, np.ndarray, np.ndarray]:
+    """Different units of the pieces, between safe spaces; units by place; edges of the pieces.
+
+    The units that may be joined with others come first, so many as the second value says.
+    """
+    listed = pc.split_pattern(pa.array(pieces, pa.large_string()), " ")
+    coded = listed.flatten().dictionary_encode()
+    units = coded.dictionary.to_pylist()
+    safe = np.array([_safe(u) for u in units], bool)
+    places = np.asarray(coded.indices, np.int64)
+    edges = np.asarray(listed.offsets, np.int64)
+    owner = np.repeat(np.arange(len(pieces)), np.diff(edges))
+    odd = np.bincount(owner[~safe[places]], minlength=len(pieces)) > 0
+    if odd.any():
+        number = {u: i for i, u in enumerate(units)}
+        parts = np.split(places, edges[1:-1])
+        for i in np.flatnonzero(odd).tolist():
+            own = _SAFE_SPACE.split(pieces[i])
+            parts[i] = np.array([number.setdefault(u, len(number)) for u in own], np.int64)
+        places = np.concatenate(parts)
+        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        units = list(number)
+        safe = np.array([_safe(u) for u in units], bool)
+    used = np.zeros(len(units), bool)
+    used[places] = True
+    order = np.concatenate([np.flatnonzero(used & safe), np.flatnonzero(used & ~safe)])
+    moved = np.zeros(len(units), np.int64)
+    moved[order] = np.arange(len(order))
+    joined = int((used & safe).sum())
+    return [units[i] for i in order.tolist()], joined, moved[places], edges
+
+
+@dataclass
+class Encoded:
+    """Ids of pieces, flat, the edges of each piece in them, and whether they spell it."""
+
+    ids: pa.Array
+    edges: np.ndarray
+    right: np.ndarray
+
+    def piece_lists(self, start: int, stop: int) -> pa.LargeListArray:
+        low, high = int(self.edges[start]), int(self.edges[stop])
+        offsets = pa.array(self.edges[start : stop + 1] - low)
+        return pa.LargeListArray.from_arrays(offsets, self.ids.slice(low, high - low))
+
+
+def encode_pieces(pieces: list[str], vocabularies: list[Vocabulary], whole: bool) -> list[Encoded]:
+    """The pieces in each vocabulary; their different units are encoded once unless ``whole``."""
+    if whole:
+        units, joined = pieces, 0
+        places, edges = np.arange(len(pieces)), np.arange(len(pieces) + 1)
+    else:
+        units, joined, places, edges = split_units(pieces)
+    found = []
+    for vocabulary in vocabularies:
+        lists, right = vocabulary.lists(units, joined)
+        taken = lists.take(pa.array(places))
+        own_edges = np.asarray(taken.offsets, np.int64)[edges]
+        wrong = np.concatenate([[0], np.cumsum(~right[places])])[edges]
+        found.append(Encoded(taken.values, own_edges, np.diff(wrong) == 0))
+    return found
+
+
 @dataclass
 class Tokens:
     """Flat tokens of a segment: document, id, and byte end within the document's part."""
@@ -129,8 +247,9 @@ class Tokens:
     ends: np.ndarray
 
     @classmethod
-    def of(cls, lists: list[list[int]], owners: pa.Array, sizes: pa.Array, n_docs: int) -> Tokens:
-        listed = pa.array(lists, pa.large_list(pa.int32()))
+    def of(
+        cls, listed: pa.LargeListArray, owners: pa.Array, sizes: pa.Array, n_docs: int
+    ) -> Tokens:
         ids = pc.list_flatten(listed)
         docs = np.asarray(owners.take(pc.list_parent_indices(listed)))
         size = sizes.take(ids)
@@ -157,23 +276,6 @@ class Tokens:
         return np.flatnonzero(ends)
 
 
-def spelled_right(
-    lists: list[list[int]], owners: np.ndarray, vocabulary: Vocabulary, pieces: list[bytes], n_docs: int
-) -> np.ndarray:
-    """Mask of the documents whose pieces are spelled by their tokens."""
-    right = np.ones(n_docs, bool)
-    listed = pa.array(lists, pa.large_list(pa.int32()))
-    ids = listed.flatten()
-    joined = vocabulary.bytes.take(ids).buffers()[2] if len(ids) else None
-    joined = joined.to_pybytes() if joined is not None else b""
-    size = np.concatenate([[0], np.cumsum(np.asarray(vocabulary.sizes.take(ids)))])
-    ends = size[np.asarray(listed.offsets)]
-    for i, piece in enumerate(pieces):
-        if joined[ends[i] : ends[i + 1]] != piece:
-            right[owners[i]] = False
-    return right
-
-
 @dataclass
 class Document:
     """What is known of a document so far; long ones come in several segments."""
@@ -202,24 +304,29 @@ def _group_texts(tokens: Tokens, ends: np.ndarray, vocabulary: Vocabulary) -> pa
 
 
 def align_segment(
-    owners: list[int], pieces: list[str], a: Vocabulary, b: Vocabulary, docs: list[Document]
+    owners: np.ndarray,
+    in_a: pa.LargeListArray,
+    in_b: pa.LargeListArray,
+    right: np.ndarray,
+    a: Vocabulary,
+    b: Vocabulary,
+    docs: list[Document],
 ) -> pa.Table:
     """Add a segment to its documents; number of links by (doc, a, b).
 
-    ``owners`` holds each piece's document in rising order.
+    ``owners`` holds each piece's document in rising order; ``right`` tells for each whether both
+    vocabularies spell it.
     """
-    first = owners[0]
-    n_docs = owners[-1] - first + 1
-    local = np.array(owners) - first
-    spelled = [b" " + p.encode("utf-8") for p in pieces]
-    found = []
-    right = np.array([d.right for d in docs[first : first + n_docs]])
-    lists = [v.encode(pieces) for v in (a, b)]
-    for v, ids in zip((a, b), lists, strict=True):
-        right &= spelled_right(ids, local, v, spelled, n_docs)
-    for v, ids in zip((a, b), lists, strict=True):
-        found.append(Tokens.of(ids, pa.array(local), v.sizes, n_docs).where(right))
-    in_a, in_b = found
+    first = int(owners[0])
+    n_docs = int(owners[-1]) - first + 1
+    local = owners - first
+    for i in np.unique(local[~right]).tolist():
+        docs[first + i].right = False
+    alive = np.array([d.right for d in docs[first : first + n_docs]])
+    in_a, in_b = (
+        Tokens.of(listed, pa.array(local), v.sizes, n_docs).where(alive)
+        for listed, v in ((in_a, a), (in_b, b))
+    )
     links = in_a.table("a").join(
         in_b.table("b"), keys=["doc", "end"], join_type="inner", use_threads=False
     )
@@ -240,18 +347,15 @@ def align_segment(
         ],
         axis=1,
     )
-    for i in range(n_docs):
-        document = docs[first + i]
-        document.right = bool(right[i])
-        if document.right and counts[i].any():
-            document.add(counts[i], texts[i])
+    for i in np.flatnonzero(counts.any(1)).tolist():
+        docs[first + i].add(counts[i], texts[i])
     summed = links.group_by(["doc", "a", "b"], use_threads=False).aggregate([([], "count_all")])
     doc = pc.add(summed.column("doc"), first)
     return pa.table([doc, summed["a"], summed["b"], summed["count_all"]], ["doc", "a", "b", "n"])
 
 
-def _segments(texts: list[bytes], whole: bool) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of the texts with their documents, about SEGMENT_BYTES at once."""
+def _parts(texts: list[bytes], whole: bool) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Pieces of the texts with their documents, about PART_CHARS at once."""
     owners: list[int] = []
     pieces: list[str] = []
     size = 0
@@ -259,15 +363,26 @@ def _segments(texts: list[bytes], whole: bool) -> Iterator[tuple[list[int], list
         if not text:
             continue
         decoded = text.decode("utf-8")
-        for piece in [decoded] if whole else cut(decoded):
-            if pieces and size + len(piece) > SEGMENT_BYTES:
-                yield owners, pieces
+        for piece in [decoded] if whole else cut(decoded, PIECE_CHARS):
+            if pieces and size + len(piece) > PART_CHARS:
+                yield np.array(owners), pieces
                 owners, pieces, size = [], [], 0
             owners.append(i)
             pieces.append(piece)
             size += len(piece)
     if pieces:
-        yield owners, pieces
+        yield np.array(owners), pieces
+
+
+def _segments(pieces: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of about SEGMENT_CHARS."""
+    edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    start = 0
+    while start < len(pieces):
+        stop = int(np.searchsorted(edges, edges[start] + SEGMENT_CHARS, "right")) - 1
+        stop = max(start + 1, stop)
+        yield start, stop
+        start = stop
 
 
 def _packed(rows: pa.Table) -> bytes:
@@ -286,7 +401,15 @@ def align_block(ids: pa.Array, texts: list[bytes], a: Vocabulary, b: Vocabulary)
     """Documents of a block, their links by pair, and the block's number of links of each pair."""
     docs = [Document() for _ in texts]
     whole = not (a.cuts_before_space and b.cuts_before_space)
-    parts = [align_segment(owners, p, a, b, docs) for owners, p in _segments(texts, whole)]
+    parts = []
+    for owners, pieces in _parts(texts, whole):
+        in_a, in_b = encode_pieces(pieces, [a, b], whole)
+        right = in_a.right & in_b.right
+        for low, high in _segments(pieces):
+            lists = [e.piece_lists(low, high) for e in (in_a, in_b)]
+            parts.append(
+                align_segment(owners[low:high], *lists, right[low:high], a, b, docs)
+            )
     right = np.array([d.right for d in docs], bool)
     doc, pair, n = (np.zeros(0, np.int64) for _ in range(3))
     if parts:

@@ -215,7 +215,8 @@ def predict(df: DataFrame, model: Classifier, id_column: str, text_column: str)
         for batch, group in by_bytes(batches, "text", GROUP_BYTES):
             found = [np.searchsorted(own, present(t.decode("utf-8"), wanted)) for t in group]
             logits = np.array([weights[f].sum() for f in found]) + constant
-            scores = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
+            with np.errstate(over="ignore"):
+                scores = 1 / (1 + np.exp(-logits))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                 names=["id", "score", "predicted"],
