@@ -1,18 +1,19 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 A text is lower-cased, white space is folded to one space, and its n-grams of a few widths are
-hashed into buckets; a feature is 1 if the text has the n-gram anywhere. The log ratio of a
-feature between toxic and clean texts is counted over all labelled rows that are not held out;
-the features whose ratio is best proved by its counts are kept. A logistic regression on the
-features, each times its ratio, is fitted in numpy on at most ``SAMPLE_ROWS`` labelled rows of
-each class, those with the smallest hash, weighted so that the classes keep their shares.
+hashed into buckets; a feature is 1 if the text has the n-gram anywhere. The classifier is fitted
+on at most ``SAMPLE_ROWS`` labelled ids of each class, those with the smallest hash among the
+labelled documents that are not held out. The log ratio of a feature between toxic and clean texts
+is counted by Spark; the features whose ratio is best proved by its counts are kept, and a
+logistic regression on them, each times its ratio, is fitted in numpy, with rows weighted so that
+the classes keep the shares that they have among all labelled documents.
 
 Whole texts are read, in slices, so a very long text needs memory for itself and its different
 features only. Null text counts as empty and gets the score of a text without features. A row
 without label, or with a null id, teaches nothing; an id labelled twice counts as toxic if one
-label says so. Repeated rows are learned from and scored each. Without labelled rows of both
-classes every score is the share of the one that is there, 0 for none. An empty table gives an
-empty one; other columns are ignored.
+label says so, and an id with several texts teaches by one of them. Repeated rows are scored
+each. Without labelled rows of both classes every score is the share of the one that is there, 0
+for none. An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ WIDTHS = (4, 5)
 BUCKET_BITS = 21
 FEATURES = 1 << 13
 MIN_ROWS = 4  # labelled rows that must hold a feature
-SAMPLE_ROWS = 4000  # rows of each class that the weights are fitted on, at most
+SAMPLE_ROWS = 3000  # labelled ids of each class that are learned from, at most
 STEPS = 150
 PENALTY = 0.3
 SMOOTHING = 1.0
@@ -74,7 +75,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """Rows of each class that hold a feature: (bucket, toxic, clean), over all of ``labelled``."""
+    """Rows of each class that hold a feature: (bucket, toxic, clean), of ``labelled``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BUCKET_BITS), np.int32)  # a task has fewer rows than that holds
@@ -94,11 +95,10 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_ratio(toxic, clean, n_toxic: int, n_clean: int):
-    """Log of the feature's share among toxic texts over that among clean ones, and its error."""
-    a, b = toxic + SMOOTHING, clean + SMOOTHING
-    ratio = np.log(a / (n_toxic + 2 * SMOOTHING)) - np.log(b / (n_clean + 2 * SMOOTHING))
-    return ratio, np.sqrt(1 / a + 1 / b)
+def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log of a feature's share among toxic texts over that among clean ones."""
+    of_toxic = (toxic + SMOOTHING) / (n_toxic + 2 * SMOOTHING)
+    return np.log(of_toxic) - np.log((clean + SMOOTHING) / (n_clean + 2 * SMOOTHING))
 
 
 @dataclass
@@ -140,12 +140,10 @@ def fit(
 
 
 def _feature_rows(
-    labelled: DataFrame, picked: np.ndarray, last: dict[int, int]
+    labelled: DataFrame, picked: np.ndarray
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature numbers and class of the rows whose hash is at most the ``last`` of their class."""
+    """Feature numbers and class of every row, in the order of their ids' hashes."""
     packed = picked.astype(np.int32).tobytes()
-    chosen = F.when(F.col("toxic") == 1, last[1]).otherwise(last[0])
-    sample = labelled.where(F.col("draw") <= chosen).select("text", "toxic", "draw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(packed, np.int32)
@@ -159,39 +157,49 @@ def _feature_rows(
                 names=["toxic", "draw", "cells"],
             )
 
-    features = map_arrow(sample, run, "toxic int, draw long, cells binary")
-    # Rows that are repeated count once, so that the sample stays within its bound.
-    once = features.groupBy("toxic", "draw").agg(F.first("cells").alias("cells"))
-    got = once.toArrow().sort_by([("toxic", "ascending"), ("draw", "ascending")])
+    got = map_arrow(labelled, run, "toxic int, draw long, cells binary").toArrow()
+    got = got.sort_by([("toxic", "ascending"), ("draw", "ascending")])
     rows = [np.frombuffer(cells, np.int32) for cells in got.column("cells").to_pylist()]
     return rows, np.asarray(got.column("toxic"), float)
 
 
-def learn(labelled: DataFrame) -> Classifier:
-    """Fit on ``id``, ``text`` and ``toxic`` (0 or 1)."""
-    labelled = labelled.withColumn("draw", F.xxhash64("id", "text"))
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def sampled(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic, draw) of at most SAMPLE_ROWS ids of each class, and each class's ids.
+
+    ``texts`` is (id, text), ``marks`` (id, toxic) with different ids. Ids alone are joined; only
+    the texts of the chosen ones are moved.
+    """
+    known = marks.join(texts.select("id"), "id", "left_semi")
+    known = pinned(known.select("id", "toxic", F.xxhash64("id").alias("draw")), "labels")
+    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    parts = [
+        known.where(F.col("toxic") == c).orderBy("draw", "id").limit(SAMPLE_ROWS) for c in (0, 1)
+    ]
+    # Two times SAMPLE_ROWS rows at most.
+    chosen = F.broadcast(pinned(parts[0].unionByName(parts[1]), "chosen"))
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    picked = texts.join(chosen, "id").groupBy("id", "toxic", "draw").agg(one)
+    return pinned(picked.select("text", "toxic", "draw"), "sample"), n
+
+
+def learn(labelled: DataFrame, n: dict[int, int]) -> Classifier:
+    """Fit on ``text``, ``toxic`` (0 or 1) and ``draw``; ``n`` counts the labelled ids they stand for."""
     nothing = np.zeros(0, np.int64)
     if len(n) < 2:
         return Classifier(nothing, np.zeros(0), np.inf if 1 in n else -np.inf)
+    seen = {c: min(n[c], SAMPLE_ROWS) for c in (0, 1)}
     counts = class_counts(labelled).where(F.col("toxic") + F.col("clean") >= MIN_ROWS)
     a, b = F.col("toxic") + F.lit(SMOOTHING), F.col("clean") + F.lit(SMOOTHING)
-    shift = float(np.log((n[1] + 2 * SMOOTHING) / (n[0] + 2 * SMOOTHING)))
+    shift = float(np.log((seen[1] + 2 * SMOOTHING) / (seen[0] + 2 * SMOOTHING)))
     proved = F.abs(F.log(a) - F.log(b) - F.lit(shift)) / F.sqrt(1 / a + 1 / b)
     best = counts.orderBy(proved.desc(), "bucket").limit(FEATURES).toArrow().sort_by("bucket")
     picked = np.asarray(best.column("bucket"), np.int64)
     toxic, clean = (np.asarray(best.column(c), float) for c in ("toxic", "clean"))
-    ratios, _ = log_ratio(toxic, clean, n[1], n[0])
-
-    # The cut of each class: the last of its smallest different hashes.
-    draws = labelled.select("toxic", "draw").distinct()
-    last, kept = {}, {}
-    for c in (0, 1):
-        smallest = draws.where(F.col("toxic") == c).orderBy("draw").limit(SAMPLE_ROWS)
-        last[c], kept[c] = smallest.agg(F.max("draw"), F.count("*")).first()
-    rows, labels = _feature_rows(labelled, picked, last)
-    each = {c: n[c] / kept[c] for c in (0, 1)}
-    weights, constant = fit(rows, labels, np.where(labels > 0, each[1], each[0]), ratios)
+    ratios = log_ratio(toxic, clean, seen[1], seen[0])
+
+    rows, labels = _feature_rows(labelled, picked)
+    row_weights = np.where(labels > 0, n[1] / seen[1], n[0] / seen[0])
+    weights, constant = fit(rows, labels, row_weights, ratios)
     return Classifier(picked, weights, constant)
 
 
@@ -238,13 +246,10 @@ def toxicity(
     marks = marks.groupBy(F.col(id_column).alias("id")).agg(
         F.max(F.when(F.col(label_column) == 1, 1).otherwise(0)).alias("toxic")
     )
-    # A written table has a known size: few labels are sent to the texts, many are met by key.
-    marks = pinned(marks, "labels")
     texts = df.where(~held_out(df[id_column])).select(
         df[id_column].alias("id"), F.coalesce(df[text_column], F.lit("")).alias("text")
     )
-    labelled = pinned(texts.join(marks, "id"), "labelled")
-    out = predict(df, learn(labelled), id_column, text_column)
+    out = predict(df, learn(*sampled(texts, marks)), id_column, text_column)
     return out.select(
         id_column, held_out(F.col(id_column)).alias("held_out"), "score", "predicted"
     )
