@@ -1,58 +1,161 @@
-"""Fold a stream of loss events into a history table."""
+"""Fold a stream of loss events into a history table.
+
+The state is keyed by (run, session, segment), a segment being a range of ``width`` places of the
+log. As places are whole numbers, a segment holds ``width`` events at most, so one busy
+session spreads over many keys, and a batch reads and writes the segments its events fall
+into, however long the log has become. Within its segment an evaluation follows from the
+losses there. One before the first loss of its segment takes the last loss of an earlier
+segment, which is looked up when the history is read; so a late loss rewrites nothing beyond
+the next loss in its own segment.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from termloom.operators.runs import evaluations, upsert_epochs
+from termloom.operators.runs import upsert_epochs
 from termloom.streaming.triggers import AVAILABLE_NOW
 
 EVENT_SCHEMA = "run string, session string, seq long, epoch double, loss double, eval_loss double"
+WIDTH = 1024  # places of a segment, and so its events at most
+_KEYS = ["run", "session", "segment"]
+_LOSS, _EVAL = 1, 2  # bits of ``known``: pandas cannot tell a missing loss from one that is NaN
+_CHANGES = """run string, session string, segment long, seq long, epoch double, train_loss double,
+  val_loss double, known int, read long"""
+
+
+class Segment:
+    """Events of a segment in order; later ones replace those of the same place."""
+
+    def __init__(self, packed: bytes | None):
+        self.events = pickle.loads(packed) if packed else {}
+
+    def packed(self) -> bytes:
+        return pickle.dumps(self.events)
+
+    def add(self, part: pd.DataFrame) -> None:
+        columns = (part[c].tolist() for c in ("seq", "epoch", "loss", "eval_loss", "known"))
+        for seq, epoch, loss, eval_loss, known in zip(*columns, strict=True):
+            loss = loss if known & _LOSS else None
+            self.events[seq] = (epoch, loss, eval_loss if known & _EVAL else None)
+
+    def evaluations(self) -> dict[int | None, tuple]:
+        """(epoch, last loss, evaluation loss) by place; without place, the segment's last loss."""
+        found, last = {}, None
+        for seq in sorted(self.events):
+            epoch, loss, eval_loss = self.events[seq]
+            last = last if loss is None else loss
+            if eval_loss is not None:
+                found[seq] = (epoch, last, eval_loss)
+        return {**found, None: (None, last, None)}
+
+
+def _fold_segment(
+    key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Merge new events into a segment; what changed of its evaluations and last loss.
+
+    ``read`` counts the events that were taken from the state, once per segment and batch.
+    """
+    segment = Segment(state.get[0] if state.exists else None)
+    read = len(segment.events)
+    before = segment.evaluations() if read else {}
+    for part in parts:
+        segment.add(part)
+    after = segment.evaluations()
+    state.update((segment.packed(),))
+    # By their text, as a loss that is NaN is not equal to itself.
+    rows = [(seq, *c) for seq, c in after.items() if repr(c) != repr(before.get(seq))]
+    # A repeated event may take an evaluation away: then its loss is not known.
+    rows += [(seq, before[seq][0], None, None) for seq in before.keys() - after.keys()]
+    rows = rows or [(None, *after[None])]
+    out = pd.DataFrame(rows, columns=["seq", "epoch", "train_loss", "val_loss"])
+    out["known"] = [(c[2] is not None) * _LOSS + (c[3] is not None) * _EVAL for c in rows]
+    out["read"] = [0] * (len(rows) - 1) + [read]
+    for i, name in enumerate(_KEYS):
+        out.insert(i, name, [key[i]] * len(rows))
+    yield out.astype({"seq": "Int64", "epoch": float, "train_loss": float, "val_loss": float})
 
 
 def fold_stream(
     events: DataFrame,
     path: str,
     checkpoint: str,
-    buckets: int = 64,
+    width: int = WIDTH,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep the evaluations of every run current, late events included.
 
-    Each batch first goes to an event log, partitioned by batch and by a bucket of the
-    session. A training loss never reaches beyond its session, so only the sessions a
-    batch touches are worked out again from that log, and written as the batch's version
-    of them. Both writes replace the batch's own folders, so a retried batch leaves the
-    same tables. By default runs over what is available, then stops.
+    Each batch writes what it changed to its own folder, which a retry replaces; the state of
+    the batch before is taken from the checkpoint, so a retried batch leaves the same tables.
+    An event that comes again replaces the one of its place. Events without run, session or
+    place are left out. By default runs over what is available, then stops.
     """
+    placed = events.dropna(subset=["run", "session", "seq"]).withColumn(
+        "segment", F.expr(f"(seq - pmod(seq, {int(width)})) div {int(width)}")
+    )
+    known = F.when(F.col("loss").isNotNull(), _LOSS).otherwise(0)
+    known = known + F.when(F.col("eval_loss").isNotNull(), _EVAL).otherwise(0)
+    placed = placed.withColumn("known", known)
+    changes = placed.groupBy(*_KEYS).applyInPandasWithState(
+        _fold_segment, _CHANGES, "events binary", "update", GroupStateTimeout.NoTimeout
+    )
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("run", "session"), F.lit(buckets))
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{path}/log/batch_id={batch_id}"
-        )
-        log = spark.read.schema(f"{EVENT_SCHEMA}, batch_id long, bucket long").parquet(f"{path}/log")
-        # A retry must not see events of later batches.
-        log = log.where(F.col("batch_id") <= batch_id)
-        keys = ["bucket", "run", "session"]
-        touched = log.where(F.col("batch_id") == batch_id).select(*keys).distinct()
-        # The bucket is a partition column of the log: files of other buckets are skipped.
-        sessions = log.join(touched, keys, "left_semi").drop("batch_id", "bucket")
-        evaluations(sessions).write.mode("overwrite").parquet(f"{path}/evals/batch_id={batch_id}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
     return (
-        events.writeStream.foreachBatch(fold)
+        changes.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
+def _changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_CHANGES}, batch_id long").parquet(f"{path}/changes")
+
+
+def events_read(spark: SparkSession, path: str) -> DataFrame:
+    """Events that each batch took from the state: (batch_id, events)."""
+    return _changes(spark, path).groupBy("batch_id").agg(F.sum("read").alias("events"))
+
+
+def current_evaluations(spark: SparkSession, path: str) -> DataFrame:
+    """Latest version of every evaluation, as ``operators.runs.evaluations`` gives it."""
+
+    def where_known(name: str, bit: int):
+        nan = F.coalesce(F.col(name), F.lit(float("nan")))
+        return F.when(F.col("known").bitwiseAND(F.lit(bit)) > 0, nan).alias(name)
+
+    cells = F.struct("epoch", where_known("train_loss", _LOSS), where_known("val_loss", _EVAL))
+    newest = _changes(spark, path).groupBy(*_KEYS, "seq").agg(F.max_by(cells, "batch_id").alias("c"))
+    newest = newest.select(*_KEYS, "seq", "c.*")
+    # One row per segment reaches this window.
+    earlier = Window.partitionBy("run", "session").orderBy("segment")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    carried = newest.where("seq is null").select(
+        *_KEYS, F.last("train_loss", ignorenulls=True).over(earlier).alias("carried")
+    )
+    known = newest.where("seq is not null and val_loss is not null")
+    return known.join(carried, _KEYS).select(
+        "run",
+        "session",
+        "seq",
+        "epoch",
+        F.coalesce("train_loss", "carried").alias("train_loss"),
+        "val_loss",
+    )
+
+
 def current_history(spark: SparkSession, path: str) -> DataFrame:
-    """History from the latest version of every session."""
-    versions = spark.read.parquet(f"{path}/evals")
-    newest = versions.groupBy("run", "session").agg(F.max("batch_id").alias("batch_id"))
-    return upsert_epochs(versions.join(newest, ["run", "session", "batch_id"]))
+    """One row per run and epoch from the latest version of every evaluation."""
+    return upsert_epochs(current_evaluations(spark, path))

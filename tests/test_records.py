@@ -6,7 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import runs, verdicts
-from termloom.streaming.losses import EVENT_SCHEMA, current_history, fold_stream
+from termloom.streaming.losses import (
+    EVENT_SCHEMA,
+    current_evaluations,
+    current_history,
+    events_read,
+    fold_stream,
+)
 from termloom.streaming.verdicts import write_verdict_stream
 
 
@@ -206,10 +212,64 @@ def test_late_events_and_retry(spark, tmp_path):
         part = spark.createDataFrame(shuffled[lo : lo + 100], EVENT_SCHEMA).coalesce(1)
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(EVENT_SCHEMA).parquet(source)
-        fold_stream(stream, out, offsets, buckets=4).awaitTermination()
+        fold_stream(stream, out, offsets, width=16).awaitTermination()
         assert {tuple(r) for r in current_history(spark, out).collect()} == fold(shuffled[: lo + 100])
 
 
+def fold_parts(spark, tmp_path, parts, width):
+    """Feed parts one after the other, a batch each; the folders used."""
+    source, out, offsets = (str(tmp_path / d) for d in ("in", "out", "offsets"))
+    for part in parts:
+        spark.createDataFrame(part, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(EVENT_SCHEMA).parquet(source)
+        fold_stream(stream, out, offsets, width=width).awaitTermination()
+    return source, out, offsets
+
+
+def test_a_batch_reads_its_segments_and_not_the_log(spark, tmp_path):
+    """One session that grows: what a batch takes from the state stays the same."""
+    events = [
+        ("r", "s", i, float(i // 7), i / 2 if i % 3 else None, float(i) if i % 5 == 0 else None)
+        for i in range(240)
+    ]
+    late = [("r", "s", 3, 0.0, 99.0, None), ("r", "s", 200, 28.0, 77.0, None)]
+    parts = [events[i : i + 20] for i in range(0, 240, 20)]
+    _, out, _ = fold_parts(spark, tmp_path, [*parts, late], 32)
+    read = {r.batch_id: r.events for r in events_read(spark, out).collect()}
+    assert len(read) == 13
+    assert max(read.values()) <= 2 * 32  # two segments at most, at any length of the log
+    assert read[11] <= max(read[1], read[2], read[3])
+    # The late loss repairs the evaluations up to the next loss, and nothing else.
+    changed = spark.read.parquet(f"{out}/changes/batch_id=12").where("seq is not null")
+    assert {r.seq for r in changed.collect()} <= {3, 5, 200}
+
+
+def test_a_retried_batch_and_repeated_events(spark, tmp_path):
+    nan = float("nan")
+    first = [("r", "s", 1, 0.0, 1.0, None), ("r", "s", 70, 0.0, None, 5.0), ("q", "s", -5, 0.0, None, 2.0)]
+    second = [
+        ("r", "s", 40, 1.0, nan, None),  # a loss that is NaN is a loss
+        ("r", "s", 70, 2.0, None, 6.0),  # replaces the event of its place
+        ("r", "s", 90, 2.0, None, nan),
+        ("r", None, 3, 0.0, 1.0, 1.0),
+        ("q", "s", -40, 0.0, 8.0, None),
+    ]
+    third = [("q", "s", -5, 0.0, 4.0, None)]  # no evaluation any more
+    source, out, offsets = fold_parts(spark, tmp_path, [first, second, third], 32)
+
+    def now():
+        return sorted(map(repr, map(tuple, current_evaluations(spark, out).collect())))
+
+    expected = [("r", "s", 70, 2.0, nan, 6.0), ("r", "s", 90, 2.0, nan, nan)]
+    assert now() == sorted(map(repr, expected))
+    for name in ("2", ".2.crc"):  # as if the last batch had not been committed
+        (tmp_path / "offsets" / "commits" / name).unlink(missing_ok=True)
+    fold_stream(
+        spark.readStream.schema(EVENT_SCHEMA).parquet(source), out, offsets, width=32
+    ).awaitTermination()
+    assert now() == sorted(map(repr, expected))
+
+
 def test_verdict_stream_recovers(spark, tmp_path):
     source, out, offsets = (str(tmp_path / d) for d in ("in", "out", "offsets"))
     schema = "index long, text string"
