@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -9,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.functions.vectors import hadamard, sigmoid
+from termloom.functions.vectors import hadamard
 from termloom.operators.ordering import with_running_sums
 from termloom.operators.search import search
 
@@ -205,12 +209,24 @@ def score_all_candidates(
 
     The logit of a pair is the inner product of the weighted mention vector with the
     entity vector plus a constant, so the exact blocked search ranks all candidates and
-    no table of pairs is built. The sigmoid keeps that order.
+    no table of pairs is built. Equal scores rank by id, also where their logits differ.
     """
     weights = F.array(*[F.lit(float(w)) for w in model.coefficients])
     weighted = mention_vectors.select(
         mention, hadamard(F.col("embedding"), weights).alias("embedding")
     )
-    hits = search(weighted, entity_vectors, k, query=mention, **search_options)
-    logit = F.col("score") + F.lit(float(model.intercept))
-    return hits.withColumn("score", sigmoid(logit)).withColumnRenamed("query_id", mention)
+    link = logistic(float(model.intercept))
+    hits = search(weighted, entity_vectors, k, query=mention, link=link, **search_options)
+    return hits.withColumnRenamed("query_id", mention)
+
+
+def logistic(intercept: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Probability from an inner product."""
+
+    def link(products: np.ndarray) -> np.ndarray:
+        # The exp of the C library, one value at a time: numpy's differs in the last place, and
+        # with it which scores are equal.
+        powers = [math.exp(min(-x, 709.0)) for x in (products + intercept).ravel().tolist()]
+        return 1.0 / (1.0 + np.array(powers, float).reshape(products.shape))
+
+    return link

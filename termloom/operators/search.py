@@ -16,6 +16,8 @@ from termloom.functions.vectors import dot
 from termloom.operators.ranking import top_k
 
 Encoder = Callable[[DataFrame, str, str], DataFrame]
+# A function from inner products to the scores that are returned; it never falls.
+Link = Callable[[np.ndarray], np.ndarray]
 
 _TILE = 256  # query rows scored at once inside a task
 _PART = 1 << 22  # numbers gathered at once for the exact scores
@@ -66,22 +68,44 @@ class _Entities:
         order = pc.sort_indices(ids)
         self.ids = ids.take(order)
         self.vectors = _matrix(table, "vec")[order.to_numpy()]
-        scaled = (self.vectors / _lengths(self.vectors).max()).astype(np.float32)
+        self.longest = float(_lengths(self.vectors).max()) if len(self.vectors) else 1.0
+        scaled = (self.vectors / self.longest).astype(np.float32)
         self.scaled = np.ascontiguousarray(scaled.T)
 
 
-def _block_top_k(queries: pa.Table, entities: _Entities, k: int) -> pa.Table:
+def _lowest_alike(scores: np.ndarray, link: Link) -> np.ndarray:
+    """For each inner product a value at or just below the least one with the same link."""
+    goal = link(scores)
+    step = np.maximum(np.abs(scores), 1.0) * 2.0**-52
+    while True:  # the range that holds the edge, then its halves
+        alike = link(scores - step) >= goal
+        if not alike.any() or not np.isfinite(step).all():
+            break
+        step = np.where(alike, 2 * step, step)
+    low, high = scores - step, scores.copy()
+    for _ in range(64):
+        middle = low + (high - low) / 2
+        alike = link(middle) >= goal
+        high, low = np.where(alike, middle, high), np.where(alike, low, middle)
+    return low
+
+
+def _block_top_k(
+    queries: pa.Table, entities: _Entities, k: int, link: Link | None = None
+) -> pa.Table:
     """Best ``k`` entities of one block for every query of one block, in rank order.
 
     A float32 matrix product of vectors scaled to length 1 at most finds all pairs that
     can be among the best k, with a margin above its rounding error; those are scored
-    again in double and ranked on that score.
+    again in double and ranked on that score. With a ``link``, which can give unequal products
+    one score, all entities with the score of the k-th one are among them.
     """
     q = _matrix(queries, "vec")
     by_id, e, e32 = entities.ids, entities.vectors, entities.scaled
     if q.shape[1] != e.shape[1]:
         raise ValueError("query and entity vectors differ in length")
-    q32 = (q / _lengths(q)[:, None]).astype(np.float32)
+    lengths = _lengths(q)
+    q32 = (q / lengths[:, None]).astype(np.float32)
     slack = 2.0 * (q.shape[1] + 8) * 2.0**-23
 
     rows_out, cols_out, scores_out, ranks_out = [], [], [], []
@@ -89,11 +113,17 @@ def _block_top_k(queries: pa.Table, entities: _Entities, k: int) -> pa.Table:
         approx = q32[lo : lo + _TILE] @ e32
         if approx.shape[1] > k:
             cut = approx.shape[1] - k
-            floor = np.partition(approx, cut, axis=1)[:, cut].astype(np.float64)
-            rows, cols = np.nonzero(approx >= (floor - slack)[:, None])
+            floor = np.partition(approx, cut, axis=1)[:, cut].astype(np.float64) - slack
+            if link is not None:
+                # No k-th best product is below the floor; what is scored like it counts too.
+                scale = lengths[lo : lo + _TILE] * entities.longest
+                floor = np.minimum(floor, _lowest_alike(floor * scale, link) / scale - slack)
+            rows, cols = np.nonzero(approx >= floor[:, None])
         else:
             rows, cols = (x.ravel() for x in np.indices(approx.shape))
         exact = _ordered_dot(q, e, rows + lo, cols)
+        if link is not None:
+            exact = link(exact)
         best = np.lexsort((cols, -exact, rows))
         rows, cols, exact = rows[best], cols[best], exact[best]
         starts = np.searchsorted(rows, np.arange(len(approx)))
@@ -124,15 +154,19 @@ def search(
     entity_vec: str = "embedding",
     block_rows: int = 16384,
     broadcast_bytes: int = 32 << 20,
+    link: Link | None = None,
 ) -> DataFrame:
     """Exact top-k entities per query: (query_id, entity_id, score, rank).
 
+    With a ``link`` the score is its value of the inner product, and the rank is the rank of that
+    score.
+
     Ids must be unique on each side. A catalog whose vectors are counted and found to fit
     in ``broadcast_bytes`` goes to every executor, and the queries are ranked where they
     are, without a shuffle. A larger one is searched block by block.
     """
     index = CatalogIndex(catalog, entity, entity_vec, block_rows, broadcast_bytes)
-    return index.search(queries, k, query, query_vec)
+    return index.search(queries, k, query, query_vec, link)
 
 
 class CatalogIndex:
@@ -160,10 +194,16 @@ class CatalogIndex:
         self.block_rows = max(1, min(block_rows, _BLOCK_BYTES // (8 * max(size["width"], 1))))
         self.shared = None
         if 0 < size["bytes"] <= broadcast_bytes:
-            self.shared = e.sparkSession.sparkContext.broadcast(_Entities(self.rows.toArrow()))
+            # A plain table: an executor without this package could not load an object of it.
+            self.shared = e.sparkSession.sparkContext.broadcast(self.rows.toArrow())
 
     def search(
-        self, queries: DataFrame, k: int = 10, query: str = "query_id", query_vec: str = "embedding"
+        self,
+        queries: DataFrame,
+        k: int = 10,
+        query: str = "query_id",
+        query_vec: str = "embedding",
+        link: Link | None = None,
     ) -> DataFrame:
         q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec"))
         q = q.where("vec is not null")
@@ -176,8 +216,8 @@ class CatalogIndex:
             ]
         )
         if self.shared is not None:
-            return _search_broadcast(q, self.shared, k, schema)
-        return _search_blocks(q, self.rows, self.count, k, schema, self.block_rows)
+            return _search_broadcast(q, self.shared, k, schema, link)
+        return _search_blocks(q, self.rows, self.count, k, schema, self.block_rows, link)
 
     def close(self) -> None:
         """Take the sent catalog back from the executors."""
@@ -186,21 +226,29 @@ class CatalogIndex:
 
 
 def _search_broadcast(
-    q: DataFrame, shared: Broadcast[_Entities], k: int, schema: T.StructType
+    q: DataFrame, shared: Broadcast[pa.Table], k: int, schema: T.StructType, link: Link | None
 ) -> DataFrame:
     """Rank each batch of queries against a catalog of checked size."""
 
     def rank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entities = None
         for batch in batches:
             if batch.num_rows:
-                hits = _block_top_k(pa.Table.from_batches([batch]), shared.value, k)
+                entities = entities or _Entities(shared.value)
+                hits = _block_top_k(pa.Table.from_batches([batch]), entities, k, link)
                 yield from hits.to_batches()
 
     return q.mapInArrow(rank_batches, schema)
 
 
 def _search_blocks(
-    q: DataFrame, e: DataFrame, n_e: int, k: int, schema: T.StructType, block_rows: int
+    q: DataFrame,
+    e: DataFrame,
+    n_e: int,
+    k: int,
+    schema: T.StructType,
+    block_rows: int,
+    link: Link | None = None,
 ) -> DataFrame:
     """Hash both sides into blocks of about ``block_rows`` and rank pairs of blocks.
 
@@ -237,7 +285,7 @@ def _search_blocks(
                     "rank": pa.array([], pa.int32()),
                 }
             )
-        return _block_top_k(left_rows, _Entities(right_rows), k)
+        return _block_top_k(left_rows, _Entities(right_rows), k, link)
 
     keys = ["q_block", "e_block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)

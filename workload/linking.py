@@ -9,6 +9,7 @@ from termloom.functions.vectors import l2_normalise
 from termloom.operators import catalog as cat
 from termloom.operators import classify, evaluate, pairs
 from termloom.operators.encode import encode_with
+from termloom.operators.pivots import PivotIndex
 from termloom.operators.ranking import rank_of_truth, ranked_lists, top_k
 from termloom.operators.search import search, search_candidates, search_mentions, search_one
 from termloom.plans.linking import VectorLinker, evaluate_vectors, ngram_encoder, vector_catalog
@@ -87,6 +88,18 @@ def v3_blocks(spark, sf):
     return _rounded(search(vectors, vectors, 10, query="vec_id", entity="vec_id", **blocks))
 
 
+@query(
+    "v3_search_pivots",
+    f"WITH {_ALL_PAIRS} SELECT query_id, entity_id, round(score, 6) AS score, rank "
+    "FROM hits WHERE rank <= 10",
+)
+def v3_pivots(spark, sf):
+    """The same search over many small blocks around pivots; blocks are skipped by their bound."""
+    vectors = s.table(spark, sf, "embeddings")
+    index = PivotIndex(vectors, "vec_id", block_rows=16)
+    return _rounded(index.search(vectors, 10, query="vec_id"))
+
+
 @query(
     "v3_search_single",
     f"WITH {_ALL_PAIRS} SELECT entity_id, round(score, 6) AS score FROM hits "
@@ -291,7 +304,8 @@ def a8(spark, sf):
     labels = vectors.select(F.col("vec_id").alias("entity_id"), "label")
     named = hits.where("query_id <> entity_id").join(labels, "entity_id")
     ranked = named.select("query_id", F.col("label").alias("entity_id"), "rank")
-    metrics = evaluate.evaluate_hits_and_mrr(s.truth(spark, sf), ranked)
+    truth = vectors.select(F.col("vec_id").alias("query_id"), F.col("label").alias("entity_id"))
+    metrics = evaluate.evaluate_hits_and_mrr(truth, ranked)
     return _rounded(metrics.where("metric = 'MRR'"), "value")
 
 
