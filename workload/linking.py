@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.vectors import l2_normalise
 from termloom.operators import catalog as cat
-from termloom.operators import classify, evaluate, pairs
+from termloom.operators import classify, evaluate, pairs, shared_terms
 from termloom.operators.encode import encode_with
 from termloom.operators.pivots import PivotIndex
 from termloom.operators.ranking import rank_of_truth, ranked_lists, top_k
@@ -605,3 +605,39 @@ def v4_weighted(spark, sf):
     rows, linker = _linker(spark, sf)
     vectors = linker.encode_mentions(rows)
     return _rounded(classify.score_all_candidates(SetWeights(), vectors, linker.catalog, 5))
+
+
+def _words_sql(name, key, source):
+    return f"""{name} AS (SELECT {key} AS k, list_distinct(list_filter(regexp_split_to_array(lower(text),
+      '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS ws FROM {source})"""
+
+
+@query(
+    "v4_shared_terms",
+    f"""WITH {_words_sql("asked", "item_id", "benchmark")}, {_words_sql("held", "doc_id", "documents")},
+      a AS (SELECT k, unnest(ws) AS w FROM asked), b AS (SELECT k, unnest(ws) AS w FROM held),
+      common AS (SELECT a.k AS m, b.k AS e, sum(CASE WHEN length(a.w) = 4 THEN -1
+          ELSE length(a.w) * length(a.w) END / 8.0) AS s FROM a JOIN b ON a.w = b.w GROUP BY ALL),
+      scored AS (SELECT asked.k AS mention, held.k AS entity_id,
+          (coalesce(len(asked.ws), 0) % 3) / 4.0 - coalesce(len(held.ws), 0) / 64.0
+          + coalesce(s, 0) AS logit
+        FROM asked CROSS JOIN held LEFT JOIN common ON m = asked.k AND e = held.k)
+    SELECT mention, entity_id, CAST(logit AS DOUBLE) AS logit, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY mention ORDER BY logit DESC, entity_id)
+        AS INTEGER) AS rank FROM scored) WHERE rank <= 5""",
+)
+def v4_shared_terms(spark, sf):
+    """Every benchmark item ranks all documents by the words they share, with set weights."""
+
+    def with_terms(name, key, own):
+        rows = s.table(spark, sf, name)
+        terms = F.coalesce(shared_terms.distinct_words(F.col("text")), F.array().cast("array<string>"))
+        return rows.select(F.col(key), terms.alias("terms")).withColumn("own", own)
+
+    n = F.size("terms")
+    mentions = pinned(with_terms("benchmark", "item_id", (n % 3) / 4)).withColumnRenamed("item_id", "mention")
+    entities = with_terms("documents", "doc_id", -n / 64).withColumnRenamed("doc_id", "entity_id")
+    words = mentions.select(F.explode("terms").alias("term")).distinct()
+    length = F.length("term")
+    weights = words.withColumn("weight", F.when(length == 4, -1).otherwise(length * length) / 8)
+    return shared_terms.rank_by_shared_terms(mentions, entities, weights, 5)
