@@ -4,42 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP_PATTERN = r"checkpoint-(\d+)"
 
 
-SEGMENTS = 128  # each holds about the same number of rows, whatever the order's values
-INNER = 16  # equal ranges of a segment
+SEGMENTS = 1024  # at least; each holds about the same number of rows, whatever the order's values
+_MOST_SEGMENTS = 1 << 16
 
 
-def order_chunks(events: DataFrame, order: str, segments: int = SEGMENTS) -> Column:
-    """Number of the chunk that a row's ``order`` falls in; chunks rise with the order.
+def with_chunks(events: DataFrame, order: str, segments: int | None = None) -> DataFrame:
+    """Add ``_chunk``, the number of the segment that a row's ``order`` falls in.
 
-    Quantiles over all rows part the order into segments, so far or bunched values cannot
-    fill one with more than its share; each segment is cut into equal ranges. The segment
-    is found by comparisons in a tree.
+    Quantiles over all rows part the order, so far or bunched values cannot fill a segment with
+    more than its share. The segment is found by binary search in their list. There are two
+    segments per shuffle partition, so that they shrink as a larger job is cut finer.
     """
-    shares = F.array(*[F.lit(i / segments) for i in range(segments + 1)])
-    marks = events.select(F.percentile_approx(order, shares, 10 * segments)).first()[0] or [0]
-    edges = sorted({int(m) for m in marks})
-    value = F.col(order)
-
-    def place(low: int, high: int) -> Column:
-        if high - low <= 1:
-            start = edges[low]
-            width = max(1, -(-(edges[high] - start) // INNER)) if high < len(edges) else 1
-            # In double, which keeps the order of any two values and cannot overflow.
-            part = F.floor((value.cast("double") - F.lit(float(start))) / F.lit(float(width)))
-            inside = F.greatest(F.lit(0), F.least(F.lit(INNER - 1), part)).cast("long")
-            return F.lit(low * INNER).cast("long") + inside
-        middle = (low + high) // 2
-        return F.when(value < F.lit(edges[middle]), place(low, middle)).otherwise(
-            place(middle, high)
-        )
-
-    return place(0, len(edges))
+    if segments is None:
+        tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        segments = max(SEGMENTS, min(2 * tasks, _MOST_SEGMENTS))
+    shares = F.array(*[F.lit(i / segments) for i in range(1, segments)])
+    marks = events.select(F.percentile_approx(order, shares, 4 * segments)).first()[0] or []
+    # In double, which keeps the order of any two values: those it cannot tell apart stay together.
+    edges = sorted({float(m) for m in marks})
+    placed = events.withColumn("_order", F.col(order).cast("double"))
+    splits = [float("-inf"), *edges, float("inf")]
+    if len(splits) < 3:
+        return placed.withColumn("_chunk", F.lit(0.0)).drop("_order")
+    found = Bucketizer(splits=splits, inputCol="_order", outputCol="_chunk").transform(placed)
+    return found.drop("_order")
 
 
 def last_before(
@@ -48,7 +43,7 @@ def last_before(
     order: str,
     value: str,
     name: str,
-    segments: int = SEGMENTS,
+    segments: int | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` up to each row, per key, along a numeric ``order``.
 
@@ -57,8 +52,7 @@ def last_before(
     plain aggregate, is carried to the later ones. Keys are not null; ``order`` is a whole
     number, unique per key.
     """
-    chunk = order_chunks(events, order, segments)
-    placed = events.withColumn("_chunk", chunk)
+    placed = with_chunks(events, order, segments)
 
     # At most one row per key and chunk reaches this window.
     seen = placed.groupBy(*keys, "_chunk").agg(
