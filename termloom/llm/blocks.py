@@ -20,6 +20,7 @@ from termloom.llm.common import by_bytes, map_arrow
 from termloom.session import shared_dir, work_path
 
 BLOCK_BYTES = 4 << 20
+BATCH_BYTES = "8m"  # of an Arrow batch, in sessions that work on blocks
 NO_ID = np.iinfo(np.int64).max  # stands for a null id, behind all others
 
 
@@ -80,6 +81,8 @@ def stored(rows: DataFrame, buckets: int, column: str = "block") -> tuple[DataFr
     Returns the table and its name, for ``drop_stored``.
     """
     spark = rows.sparkSession
+    # A row is some MB, so the usual 64 MB of an Arrow batch would be there several times a task.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = work_path(spark, "blocks")
     name = "blocks_" + path.rsplit("-", 1)[1]
     writer = rows.write.format("parquet").option("path", path).option("compression", "none")

@@ -61,6 +61,7 @@ LENGTHENINGS = (1, 2, 3, 4)  # shared tokens that a set may ask for in the secon
 PAIR_COST = 0.01  # comparing a token of a pair, in rows of a prefix token
 COMPARED = 4  # sets that a set is compared with in a later round
 ROUNDS = 4  # comparisons with one other set before all pairs left are compared
+EARLY = 48  # tokens before a shared one that are looked through for another shared one
 _MIX = np.array(
     [
         0x9E3779B97F4A7C15,
@@ -418,29 +419,57 @@ def _components(rows: DataFrame, nodes: DataFrame) -> DataFrame:
         .where(F.col("low") < F.col("high"))
         .select("token")
     )
-    left = pinned(here.join(mixed, "token"), "unresolved")
-    x = left.withColumnsRenamed({c: f"{c}_a" for c in carried})
-    y = left.withColumnsRenamed({c: f"{c}_b" for c in carried})
-    met = x.join(y, "token").where((F.col("part_a") < F.col("part_b")) & _may_link("_a", "_b"))
-    pairs = (
-        met.groupBy("node_a", "node_b")
-        .agg(
-            F.count("*").alias("shared"),
-            *[F.first(c).alias(c) for c in ("k_a", "k_b", "part_a", "part_b")],
-        )
-        .where(F.col("shared") >= F.least("k_a", "k_b"))
-        .select(
-            F.col("node_a").alias("a"),
-            F.col("node_b").alias("b"),
-            F.col("part_a").alias("pa"),
-            F.col("part_b").alias("pb"),
-        )
-    )
+    pairs = _pairs_left(here.join(mixed, "token"))
     links = pinned(_linked(pairs, nodes), "links")
     merged = contract(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     return merged if labels is None else _joined_labels(labels, merged)
 
 
+def _pairs_left(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different parts (pa, pb) that share enough prefix tokens.
+
+    Tokens are in one order in all prefixes. A pair is taken where it shares its first token, if
+    that is among the EARLY first ones of both, so a pair is one row and not one for each shared
+    token; only then are its prefixes met and all shared tokens counted.
+    """
+    facts = ("n", "k", "alone", "part")
+    prefix = F.sort_array(F.collect_list(F.struct("at", "token"))).alias("prefix")
+    # One document's prefix at most.
+    lists = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in facts], prefix)
+    lists = pinned(lists, "unresolved")
+    placed = lists.select("node", *facts, "prefix", F.posexplode("prefix").alias("i", "c"))
+    early = F.slice(F.col("prefix.token"), 1, F.least("i", F.lit(EARLY)))
+    left = placed.select("node", *facts, "c.at", "c.token", early.alias("early"))
+    left = pinned(left, "tokens")
+    carried = ("node", *facts, "at", "early")
+    x = left.withColumnsRenamed({c: f"{c}_a" for c in carried})
+    y = left.withColumnsRenamed({c: f"{c}_b" for c in carried})
+    met = x.join(y, "token").where(
+        (F.col("part_a") < F.col("part_b"))
+        & _may_link("_a", "_b")
+        & ~F.arrays_overlap("early_a", "early_b")
+    )
+    once = met.select("node_a", "node_b").distinct()
+    for side in ("_a", "_b"):
+        own = lists.withColumnsRenamed({c: f"{c}{side}" for c in ("node", *facts, "prefix")})
+        once = once.join(own, f"node{side}")
+    k = F.least("k_a", "k_b")
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * PERCENT / (100 + PERCENT))
+
+    def inside(side: str) -> Column:
+        stop = F.col(f"n{side}") - needed + k
+        cells = F.filter(f"prefix{side}", lambda c: c["at"] < stop)
+        return F.transform(cells, lambda c: c["token"])
+
+    shared = F.size(F.array_intersect(inside("_a"), inside("_b")))
+    return once.where(shared >= k).select(
+        F.col("node_a").alias("a"),
+        F.col("node_b").alias("b"),
+        F.col("part_a").alias("pa"),
+        F.col("part_b").alias("pb"),
+    )
+
+
 def _relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     new = labels.select(F.col("v").alias("part"), F.col("p").alias("_new"))
     return rows.join(new, "part", "left").select(
