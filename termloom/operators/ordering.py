@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import order_key
 from termloom.session import pinned
 
 _ONE_TASK_ROWS = 100_000
+_CUT_ROWS = 10_000  # rows that one task ranks to find a cut
+_DIGITS = 3  # of a key that one histogram tells apart
 _LOCAL_BITS = 33  # documented layout of monotonically_increasing_id: partition, then row
 
 
@@ -87,55 +90,96 @@ def seeded_shuffle(df: DataFrame, columns: Sequence[str], seed: int = 42) -> Dat
     return ranked.drop("_key")
 
 
+def cut_keys(
+    keyed: DataFrame, cuts: Sequence[int], most: int = _CUT_ROWS, digits: int = _DIGITS
+) -> list[Row | None]:
+    """The rows at the 0-based positions ``cuts`` along the hex string ``_key.k``, then ``_key``.
+
+    A selection without a sort: a histogram over the next digits of the key finds the range that
+    holds a cut, and only its rows are looked at further, until a range has at most ``most`` rows
+    or its key has no more digits, that is, all its rows have one key. So at most ``most`` rows with
+    different keys are ranked for a cut, however many rows there are; each step brings
+    ``16 ** digits`` counts of a cut to the driver at most. A position past the end gives None.
+    """
+    key = F.col("_key.k")
+    ranges = {i: ("", 0, None) for i in range(len(cuts))}  # prefix, rows before it, rows in it
+
+    def within(i: int) -> Column:
+        return key.startswith(ranges[i][0])
+
+    def open_cuts() -> list[int]:
+        return [i for i, (p, _, n) in ranges.items() if n is None or (n > most and len(p) < 32)]
+
+    while todo := open_cuts():
+        width = len(ranges[todo[0]][0]) + digits
+        todo = [i for i in todo if len(ranges[i][0]) + digits == width]
+        wanted = functools.reduce(lambda x, y: x | y, [within(i) for i in todo])
+        found = keyed.where(wanted).groupBy(F.substring(key, 1, width).alias("p")).count()
+        counts = sorted((r["p"], r["count"]) for r in found.collect())
+        for i in todo:
+            prefix, before, _ = ranges[i]
+            for p, n in counts:
+                if not p.startswith(prefix):
+                    continue
+                if before + n > cuts[i]:
+                    ranges[i] = (p, before, n)
+                    break
+                before += n
+            else:
+                del ranges[i]  # past the end
+    if not ranges:
+        return [None] * len(cuts)
+    # Two cuts may share a range; its rows are ranked once.
+    prefixes = sorted({p for p, _, _ in ranges.values()})
+    label = F.lit(None).cast("string")
+    for p in prefixes:
+        label = F.when(key.startswith(p), p).otherwise(label)
+    border = keyed.select("_key", label.alias("p")).where("p is not null")
+    ranked = border.groupBy("p", "_key").count()  # equal rows are one
+    running = Window.partitionBy("p").orderBy("_key")
+    ranked = ranked.select(
+        "p", "_key", "count", (F.sum("count").over(running) - F.col("count")).alias("start")
+    )
+    held = F.lit(False)
+    for i, (p, before, _) in ranges.items():
+        at = F.lit(cuts[i] - before)
+        own = (F.col("start") <= at) & (at < F.col("start") + F.col("count"))
+        held = held | ((F.col("p") == p) & own)
+    rows = ranked.where(held).collect()
+    out: list[Row | None] = [None] * len(cuts)
+    for i, (p, before, _) in ranges.items():
+        for r in rows:
+            if r["p"] == p and r["start"] <= cuts[i] - before < r["start"] + r["count"]:
+                out[i] = r["_key"]
+    return out
+
+
 def exact_split(
     df: DataFrame,
     columns: Sequence[str],
     seed: int = 42,
     tenths: Sequence[tuple[str, int]] = (("train", 8), ("dev", 1), ("test", 1)),
-    digits: int = 4,
 ) -> DataFrame:
     """Split into exact shares along the seeded order, without sorting the rows.
 
-    A histogram over key prefixes finds the prefix that holds each cut; only the rows of
-    those prefixes (one in ``16 ** digits``) are ranked to get the key at the cut. Every
-    row is then labelled by comparing its key with the cut keys. ``columns`` must
-    identify a row.
+    The keys at the cuts are selected from histograms, and every row is labelled by comparing its key
+    with them. ``columns`` must identify a row; equal rows come to the same split.
     """
     keyed = df.withColumn("_key", F.struct(order_key(columns, seed).alias("k"), *columns))
-    keyed = keyed.withColumn("_prefix", F.substring("_key.k", 1, digits))
-
-    histogram = keyed.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    by_prefix = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    # At most 16 ** digits histogram rows reach these two windows.
-    spans = histogram.select(
-        "_prefix",
-        "_n",
-        F.coalesce(F.sum("_n").over(by_prefix), F.lit(0)).alias("_start"),
-        F.sum("_n").over(everything).alias("_total"),
-    )
+    total = df.count()
     names = [name for name, _ in tenths]
     shares = [share for _, share in tenths]
-    cuts = [sum(shares[: i + 1]) for i in range(len(shares) - 1)]
-    cut_rows = spans.select(
-        "*", F.posexplode(F.array(*[F.lit(c) for c in cuts])).alias("_cut", "_share")
-    ).withColumn("_target", F.expr("_total * _share div 10"))
-    cut_rows = cut_rows.where(
-        (F.col("_target") >= F.col("_start")) & (F.col("_target") < F.col("_start") + F.col("_n"))
-    ).select("_prefix", "_cut", "_start", "_target")
-
-    # One row per cut.
-    border = keyed.select("_prefix", "_key").join(F.broadcast(cut_rows), "_prefix")
-    in_cut = Window.partitionBy("_cut").orderBy("_key")
-    cut_keys = border.withColumn("_rank", F.row_number().over(in_cut) - 1).where(
-        F.col("_rank") + F.col("_start") == F.col("_target")
-    )
+    cuts = [total * sum(shares[: i + 1]) // 10 for i in range(len(shares) - 1)]
+    kinds = {f.name: f.dataType for f in keyed.schema["_key"].dataType.fields}
 
     label = F.lit(names[-1])
-    for i in reversed(range(len(cuts))):
-        threshold = cut_keys.where(F.col("_cut") == i).select("_key").scalar()
-        label = F.when(F.col("_key") < threshold, F.lit(names[i])).otherwise(label)
-    return keyed.withColumn("split", label).drop("_key", "_prefix")
+    for i, row in reversed(list(enumerate(cut_keys(keyed, cuts)))):
+        if row is None:  # nothing lies at or behind the cut
+            label = F.lit(names[i])
+            continue
+        border = F.struct(*[F.lit(row[c]).cast(kind).alias(c) for c, kind in kinds.items()])
+        label = F.when(F.col("_key") < border, F.lit(names[i])).otherwise(label)
+    return keyed.withColumn("split", label).drop("_key")
 
 
 def hash_split(
@@ -183,6 +227,7 @@ def first_rows(df: DataFrame, order_by: Sequence[str | Column], n: int | None) -
 
 __all__ = [
     "batch_numbers",
+    "cut_keys",
     "exact_split",
     "first_rows",
     "hash_split",

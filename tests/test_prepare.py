@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from termloom.operators import catalog as cat
 from termloom.operators import ordering, prepare
 from termloom.plans.preparation import ROW_COLUMNS, prepare as run_preparation
-from termloom.session import apply_recommended_conf
+from termloom.session import apply_recommended_conf, pinned
 from termloom.sources import corpus, sinks
 
 
@@ -132,6 +132,21 @@ def test_split_follows_the_shuffle_and_ignores_partitioning(spark):
             assert r.split == ("train" if p < 400 else "dev" if p < 450 else "test")
 
 
+def test_cuts_are_refined_until_their_range_is_small(spark, monkeypatch):
+    """However many rows share the first digits, few are ranked; equal rows need no ranking."""
+    rows = [(*[str(i)] * (len(ROW_COLUMNS) - 1), None) for i in [*range(500), *[7] * 120]]
+    df = pinned(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ROW_COLUMNS)))
+    key = F.struct(ordering.order_key(ROW_COLUMNS, 42).alias("k"), *ROW_COLUMNS)
+    keyed = pinned(df.withColumn("_key", key))
+    ordered = [tuple(r["_key"]) for r in keyed.orderBy("_key").select("_key").collect()]
+    cuts = [0, 5, 170, 460, len(ordered) - 1, len(ordered)]
+    at_seven = ordered.index(tuple(keyed.where("pmid = '7'").first()["_key"]))
+    cuts += [at_seven, at_seven + 100]
+    for most, digits in ((1, 8), (3, 1), (100000, 3)):
+        found = ordering.cut_keys(keyed, cuts, most, digits)
+        assert [r and tuple(r) for r in found] == [ordered[c] if c < len(ordered) else None for c in cuts]
+
+
 def test_global_rank_with_a_heavy_value(spark):
     """A third of the rows share one sort value; the tie column still spreads them."""
     df = spark.range(30000).select(
