@@ -49,7 +49,7 @@ LENGTH = 50
 KEY = 20
 WINDOW = LENGTH - KEY + 1  # keys that a window of LENGTH bytes holds
 SLICE = 1 << 17  # windows worked on at once
-GROUP_KEYS = 3 << 20  # keys that meet in one task
+GROUP_KEYS = 1 << 19  # keys that meet in one group; their stretches take some 30 times the bytes
 LEVEL_BATCH = 1 << 12  # stretches in a batch
 _POSITION = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
