@@ -204,12 +204,13 @@ def run_summary(
     auc: DataFrame,
     report: DataFrame,
     pair_counts: DataFrame,
+    model_info: DataFrame,
     resumed: bool = False,
 ) -> DataFrame:
     """One record per run from the single results.
 
-    ``auc`` is (run, auc), ``report`` is (run, report) with the report as a JSON string,
-    ``pair_counts`` is (run, training_samples, validation_samples).
+    ``auc`` is (run, auc), ``report`` is (run, report) and ``model_info`` (run, model_info), both as
+    JSON strings, ``pair_counts`` is (run, training_samples, validation_samples).
     """
     best = best_epochs(history)
     span = history_summary(history)
@@ -220,8 +221,11 @@ def run_summary(
     )
     joined = span.join(best, "run", "left").join(auc, "run", "left")
     joined = joined.join(report, "run", "left").join(pair_counts, "run", "left")
+    joined = joined.join(model_info, "run", "left")
+    # The names of the record's fields.
     return joined.select(
         "run",
+        "model_info",
         F.col("auc").alias("roc_auc"),
         "best_epoch",
         F.col("best_val_loss").alias("best_validation_loss"),
@@ -232,4 +236,6 @@ def run_summary(
         F.col("epochs").alias("total_epochs_trained"),
         epoch_range.alias("epoch_range"),
         F.lit("resumed" if resumed else "fresh_start").alias("training_sessions"),
+        F.lit("global_across_all_epochs").alias("best_model_selection"),
+        F.col("best_epoch").alias("globally_best_epoch"),
     )

@@ -123,14 +123,17 @@ def j3(spark, sf):
 
 @query(
     "j4_given_candidates",
-    f"""WITH {_RANKED} SELECT query_id, entity_id, round(score, 6) AS score, CAST(row_number() OVER (
-      PARTITION BY query_id ORDER BY score DESC, entity_id) AS INTEGER) AS rank FROM ranked
-    WHERE entity_id IN (own, own // 10 * 10 + (own + 1) % 5)""",
+    f"""WITH {_RANKED}, owners AS (SELECT vec_id AS query_id, {s.VECTOR_ENTITY} AS own FROM embeddings),
+      asked AS (SELECT query_id, own AS entity_id FROM owners
+        UNION ALL SELECT query_id, own // 100 * 100 + (own + 1) % 10 FROM owners)
+    SELECT query_id, entity_id, round(score, 6) AS score, CAST(row_number() OVER (
+      PARTITION BY query_id ORDER BY score DESC NULLS LAST, entity_id) AS INTEGER) AS rank
+    FROM asked LEFT JOIN ranked USING (query_id, entity_id)""",
 )
 def j4(spark, sf):
     queries, prototypes = s.queries_and_prototypes(spark, sf)
     candidates = queries.select(
-        "query_id", F.explode(F.array("own", F.expr("own div 10 * 10 + (own + 1) % 5"))).alias("entity_id")
+        "query_id", F.explode(F.array("own", F.expr("own div 100 * 100 + (own + 1) % 10"))).alias("entity_id")
     )
     return _rounded(search_candidates(queries, prototypes, candidates, 10))
 

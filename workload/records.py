@@ -413,28 +413,43 @@ def m3_loss(spark, sf):
     return _rounded(s.binary_scores(spark, sf).agg(classify.log_loss().alias("log_loss")), "log_loss")
 
 
+_REPORT_CELLS = [
+    (row, metric, f"{row.replace(' ', '_').replace('.', '_')}_{metric}")
+    for row in ("0.0", "1.0", "accuracy", "macro avg", "weighted avg")
+    for metric in ("precision", "recall", "f1", "support")
+]
+
+
 @query(
     "r10_run_summary",
     f"""WITH {s.loss_sql(chr(39) + 'all' + chr(39))}, {_ROC}, {_REPORT.split(s.SCORES + ", ")[1]},
     best AS (SELECT epoch, val_loss FROM history ORDER BY val_loss, epoch LIMIT 1)
     SELECT 'all' AS run,
+      '{{"model_name":"set weights","events":' || (SELECT count(*) FROM events) || '}}' AS model_info,
       (SELECT round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) FROM running) AS roc_auc,
       (SELECT epoch FROM best) AS best_epoch, (SELECT val_loss FROM best) AS best_validation_loss,
       arg_max_null(train_loss, epoch) AS final_training_loss,
-      (SELECT round(f1, 6) FROM report WHERE "row" = 'macro avg') AS macro_f1,
+      {", ".join(f"""(SELECT round(CAST({m} AS DOUBLE), 6) FROM report WHERE "row" = '{r}') AS "{n}" """
+                 for r, m, n in _REPORT_CELLS)},
+      (SELECT count(*) FROM documents) - (SELECT count(*) FROM scores) AS total_training_samples,
       (SELECT count(*) FROM scores) AS total_validation_samples,
       count(*) AS total_epochs_trained,
       CAST(min(epoch)::INTEGER AS VARCHAR) || '-' || CAST(max(epoch)::INTEGER AS VARCHAR) AS epoch_range,
-      'fresh_start' AS training_sessions FROM history""",
+      'fresh_start' AS training_sessions, 'global_across_all_epochs' AS best_model_selection,
+      (SELECT epoch FROM best) AS globally_best_epoch FROM history""",
 )
 def r10(spark, sf):
-    """All events as one run, joined with the report and AUC of the binary scores."""
+    """All events as one run; labelled documents validate, the others train; the report unfolded."""
     scored = s.binary_scores(spark, sf)
     run = F.lit("all").alias("run")
     report = classify.classification_report(scored)
     whole = F.map_from_entries(F.collect_list(F.struct("row", F.struct("precision", "recall", "f1", "support"))))
+    every = s.table(spark, sf, "documents").select(F.count("*")).scalar()
     counts = scored.agg(F.count("*").alias("validation_samples")).select(
-        run, F.lit(None).cast("long").alias("training_samples"), "validation_samples"
+        run, (every - F.col("validation_samples")).alias("training_samples"), "validation_samples"
+    )
+    info = s.table(spark, sf, "events").agg(F.count("*").alias("events")).select(
+        run, F.to_json(F.struct(F.lit("set weights").alias("model_name"), "events")).alias("model_info")
     )
     # The parts are recorded tables, as after a finished run.
     summary = runs.run_summary(
@@ -442,10 +457,11 @@ def r10(spark, sf):
         pinned(classify.roc_auc(scored).select(run, "auc")),
         pinned(report.agg(F.to_json(whole).alias("report")).select(run, "report")),
         pinned(counts),
+        pinned(info),
     )
-    f1 = F.get_json_object("classification_report", "$['macro avg'].f1").cast("double")
-    return _rounded(
-        summary.withColumn("macro_f1", f1).drop("classification_report", "total_training_samples"),
-        "roc_auc",
-        "macro_f1",
-    )
+    cells = {
+        name: F.get_json_object("classification_report", f"$['{row}'].{metric}").cast("double")
+        for row, metric, name in _REPORT_CELLS
+    }
+    unfolded = summary.withColumns(cells).drop("classification_report")
+    return _rounded(unfolded, "roc_auc", *cells)

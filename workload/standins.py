@@ -182,12 +182,12 @@ def encoded(source: str, key: str, text: str, name: str, dim: int = 64) -> str:
 # --- vectors -----------------------------------------------------------------------------
 
 
-VECTOR_ENTITY = "label * 10 + vec_id % 5"
+VECTOR_ENTITY = "CAST(vec_id // 40 * 100 + label AS BIGINT)"
 
 
 def entity_of_vector():
-    """Entity a vector stands for: five to a label, more than the largest K."""
-    return (F.col("label") * 10 + F.col("vec_id") % 5).cast("long")
+    """Entity a vector stands for: a label's vectors among 40 in a row, so the catalog grows."""
+    return F.expr("vec_id div 40 * 100 + label").cast("long")
 
 
 def queries_and_prototypes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -369,12 +369,10 @@ BEST = LOSS + """, best AS (
 
 
 def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoint paths of a run from its signups, and paths without a step from errors."""
-    events = table(spark, sf, "events").where("event_type in ('signup', 'error')")
-    tail = F.when(
-        F.col("event_type") == "signup", F.concat(F.lit("checkpoint-"), "event_id")
-    ).otherwise("final")
-    return events.select(
+    """A checkpoint path of every event's run; those of errors have no step."""
+    step = F.concat(F.lit("checkpoint-"), "event_id")
+    tail = F.when(F.col("event_type") == "error", "final").otherwise(step)
+    return table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("run"),
         F.concat(F.lit("runs/"), "user_id", F.lit("/"), tail).alias("path"),
         F.expr("case when value >= 5 then day(ts) + 0.25 end").cast("double").alias("state_epoch"),
@@ -383,9 +381,9 @@ def checkpoints(spark: SparkSession, sf: str) -> DataFrame:
 
 CHECKPOINTS = """checkpoint_paths AS (
   SELECT CAST(user_id AS VARCHAR) AS run, 'runs/' || user_id || '/' || CASE
-    WHEN event_type = 'signup' THEN 'checkpoint-' || event_id ELSE 'final' END AS path,
+    WHEN event_type = 'error' THEN 'final' ELSE 'checkpoint-' || event_id END AS path,
     CASE WHEN value >= 5 THEN day(ts) + 0.25 END AS state_epoch
-  FROM events WHERE event_type IN ('signup', 'error')),
+  FROM events),
 steps AS (
   SELECT run, path, CAST(regexp_extract(path, 'checkpoint-(\\d+)', 1) AS BIGINT) AS step,
     coalesce(CAST(floor(state_epoch) AS INTEGER), 0) AS epoch
