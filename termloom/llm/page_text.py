@@ -9,13 +9,17 @@ words. Other marked names are negative tokens too, but what is inside is scored:
 it holds more than the rest of the page, or if it stands inside the region and has a positive sum.
 
 Null html is empty. A page without a region of positive score has the empty text. Repeated
-rows are read each; other columns are ignored; without labelled pages the prior weights stay.
+rows are read each; other columns are ignored; without labelled pages the prior weights stay. An
+empty table gives an empty one. A page is read in time that grows with its length, whatever is left
+open or nested in it; a very long one needs some times its own size of memory.
 """
 
 from __future__ import annotations
 
 import html
 import math
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,8 @@ RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "ma
 _ENDS = regex.ASCII | regex.IGNORECASE
 _RAW_END = {name: regex.compile(rf"</{name}(?=[\s/>]|\Z)", _ENDS) for name in RAW}
 _BODY = regex.compile("<body", _ENDS)
+_TAG_START = regex.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_CONTENT_START = regex.compile(r"<(?:article|main)(?=[\s/>])", _ENDS)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "wbr"}
 # Inside a block; every other tag ends one.
 INLINE = {
@@ -151,6 +157,37 @@ def mark(name: str, rest: str) -> tuple[str, str] | None:
     return next(((grade, found[grade]) for grade in ("box", "maybe", "soft") if grade in found), None)
 
 
+class Elements:
+    """Where elements end, by the depth of their name, and where content begins."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.content = [m.start() for m in _CONTENT_START.finditer(source)]
+        self._ends: dict[int, int] | None = None
+
+    def end(self, start: int) -> int:
+        """Where the end tag of the element that starts there begins, or the page's end."""
+        if self._ends is None:  # all in one pass, when first asked for
+            self._ends = {}
+            opened: dict[str, list[int]] = defaultdict(list)
+            for m in _TAG_START.finditer(self.source):
+                own = opened[m[2].lower()]
+                if not m[1]:
+                    own.append(m.start())
+                elif own:
+                    self._ends[own.pop()] = m.start()
+        return self._ends.get(start, len(self.source))
+
+    def holds_content(self, start: int) -> bool:
+        """True if labelled content begins inside the element."""
+        at = bisect_right(self.content, start)
+        return at < len(self.content) and self.content[at] < self.end(start)
+
+    def holds_most(self, start: int) -> bool:
+        """True if the element is more than half of the page."""
+        return 2 * (self.end(start) - start) > len(self.source)
+
+
 class Page:
     """Tokens of a page in order: kind, score count, and text where it is a word run."""
 
@@ -181,10 +218,11 @@ class Page:
         inside = linked = 0
         at, size = 0, len(source)
         # An element around the labelled content is never left out.
-        last_content = max(source.rfind("<article"), source.rfind("<main"))
+        elements = Elements(source)
+        opened: Counter[str] = Counter()  # names in the stack
         while at < size:
             m = _TOKEN.match(source, at)
-            at = m.end()
+            begin, at = at, m.end()
             text = m["text"]
             if text is not None:
                 if not skip:
@@ -197,11 +235,12 @@ class Page:
                 continue
             name = name.lower()
             if m["close"] or m["close2"]:
-                if name not in stack:
+                if not opened[name]:
                     continue
                 skipped = skip
                 while stack:
                     top = stack.pop()
+                    opened[top] -= 1
                     inside -= top in CONTENT
                     linked -= top == "a"
                     if skip and len(stack) < skip:
@@ -222,7 +261,7 @@ class Page:
                 continue
             closes = "p" if name in ENDS_P else name if name in ENDS_SAME else None
             if closes and stack and stack[-1] == closes:
-                stack.pop()
+                opened[stack.pop()] -= 1
                 if skip and len(stack) < skip:
                     skip = 0
                 end_boxes()
@@ -231,16 +270,15 @@ class Page:
                     self._tag(name, inside > 0)
                 continue
             stack.append(name)
+            opened[name] += 1
             inside += name in CONTENT
             linked += name == "a"
             if skip:
                 continue
             grade, said = mark(name, rest) or (None, None)
-            if grade and (
-                last_content < at
-                and not (name == "header" and inside)
-                or not self._holds_content(source, at, name, last_content)
-            ):
+            if name == "form" and grade and elements.holds_most(begin):
+                grade = None  # a page that is one form as a whole
+            if grade and not elements.holds_content(begin):
                 if grade == "other":
                     skip = len(stack)
                 elif grade != "soft":
@@ -263,12 +301,6 @@ class Page:
         end = source.find(">", m.end())
         return len(source) if end < 0 else end + 1
 
-    @staticmethod
-    def _holds_content(source: str, at: int, name: str, last: int) -> bool:
-        """True if labelled content begins before the element's own end tag."""
-        end = source.find(f"</{name}", at)
-        return 0 <= last and (last < end or end < 0) and last > at
-
     def _tag(self, name: str, inside: bool) -> None:
         text = None if name in INLINE and name not in SPACE else ("" if name not in SPACE else " ")
         self._add(f"tag {name}" if name in _KNOWN else "tag ?", 1, text, inside)
