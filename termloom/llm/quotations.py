@@ -61,12 +61,13 @@ def levels(text: str) -> list[tuple[int, str]]:
         m = _MARK.match(line)
         found.append((m[1].count(">"), line[m.end() :]) if m else (0, line))
     out = []
-    for i, (level, line) in enumerate(found):
-        deeper = next((later for later, rest in found[i + 1 :] if rest.strip()), 0)
-        if deeper > level and _ANNOUNCES.match(line):
-            continue
-        out.append((level, line))
-    return out
+    behind = 0  # level of the next line that is not blank
+    for level, line in reversed(found):
+        if not (behind > level and _ANNOUNCES.match(line)):
+            out.append((level, line))
+        if line.strip():
+            behind = level
+    return out[::-1]
 
 
 def normalised(line: str) -> str:
