@@ -5,8 +5,11 @@ length, and a softmax over the learned languages; trained in numpy on windows of
 texts. Every window of a text is classified and the mean of their probabilities, weighted by
 their letters, decides.
 
-The sample is bounded: about ``ROWS_PER_LANG`` rows of each language and ``WINDOWS_PER_ROW``
-windows at random places of each. Rows with a null label are not learned from. Null text and
+The sample is bounded: ``ROWS_PER_LANG`` ids of each language at most, those with the smallest
+hash, of the ``MAX_LANGS`` languages with most rows, and ``WINDOWS_PER_ROW`` windows at random
+places of each; an id with several texts teaches by one of them. Rows with a null label or a null
+id are not learned from. An empty table gives an empty one. A very long text is read in rows of
+windows, so it needs some times its own size of memory. Null text and
 text without letters is ``und`` with score 0; so is every text if nothing could be learned.
 Repeated rows are classified each; other columns are ignored.
 """
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.common import by_bytes, map_arrow, table
@@ -29,6 +32,7 @@ from termloom.llm.words import worker_cache
 
 WINDOW = 128
 ROWS_PER_LANG = 1500
+MAX_LANGS = 200
 WINDOWS_PER_ROW = 2
 EMBEDDING = 8
 FILTERS = 16
@@ -165,23 +169,19 @@ def held_out(id_column: Column) -> Column:
 
 
 def sample(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows and label numbers from a bounded part of ``id``, ``text``, ``lang``.
-
-    Rows are chosen by a hash of their id, at a rate by language from counts over all rows.
-    """
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    languages = sorted(counts)
+    """Windows and label numbers from a bounded part of ``id``, ``text``, ``lang``."""
+    counts = labelled.groupBy("lang").count()
+    most = counts.orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    languages = sorted(r["lang"] for r in most)
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    rates = F.create_map(
-        *[
-            F.lit(v)
-            for name, count in counts.items()
-            for v in (name, min(1 << 20, ROWS_PER_LANG * (1 << 20) // count))
-        ]
-    )
-    chosen = labelled.where(draw < rates[F.col("lang")])
+    known = labelled.where(F.col("lang").isin(languages) & F.col("id").isNotNull())
+    place = Window.partitionBy("lang").orderBy("draw", "id")
+    ids = known.select("id", "lang", F.xxhash64("id").alias("draw")).distinct()
+    ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= ROWS_PER_LANG)
+    # MAX_LANGS times ROWS_PER_LANG rows at most.
+    chosen = known.join(F.broadcast(ids.select("id", "lang")), ["id", "lang"])
+    chosen = chosen.groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, group in by_bytes(batches, "text", GROUP_BYTES):
@@ -200,6 +200,8 @@ def sample(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
     found = map_arrow(chosen.select("text", "lang"), run, "lang string, cell binary")
     cells = found.orderBy("lang", "cell").collect()
+    if not cells:
+        return np.zeros((0, WINDOW), np.uint8), np.zeros(0, int), []
     rows = np.concatenate([windows(bytes(r["cell"])) for r in cells])
     numbers = {name: i for i, name in enumerate(languages)}
     return rows, np.array([numbers[r["lang"]] for r in cells]), languages
