@@ -2,6 +2,7 @@
 
 import math
 import textwrap
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -348,6 +349,69 @@ def test_raw_elements_end_where_they_end():
         assert text == f"{dotted}stanbul one two three\n\nfour five"
 
 
+ARTICLE = "<p>The first paragraph of the article has some words.</p><p>And a second one.</p>"
+ARTICLE_TEXT = "The first paragraph of the article has some words.\n\nAnd a second one."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='menu-wrapper'><article>{}</article></div>",
+        "<form id=f><article>{}</article></form>",
+        "<div class='menu'><div>a child</div><article>{}</article></div>",
+        "<div class='sidebar'><ARTICLE>{}</ARTICLE></div>",
+        "<nav><ul><li>x</ul></nav><aside><nav>y</nav><main>{}</main></aside>",
+        "<form action=post.aspx>{}</form>",
+        "<nav>a menu</nav><div>{}</div><form>your name</form>",
+    ],
+)
+def test_articles_in_wrappers_of_any_name_are_found(page):
+    found = page_text.Page(f"<html><body>{page.format(ARTICLE)}</body></html>")
+    weights = dict(page_text.PRIOR)
+    weights |= {f"other {m}": page_text.PRIOR_OTHER for m in page_text.MARKS | page_text.OTHER}
+    assert ARTICLE_TEXT in found.text(weights)
+    assert "your name" not in found.text(weights)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 40000 + "</b>" * 40000,
+        "<div class='menu'>" * 20000 + "<article>some words here</article>",
+        "<x class='menu'>a</x>" * 20000 + "<main>some words here</main>",
+        "<p>word " * 200000,
+    ],
+)
+def test_long_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    page_text.Page(page).text(dict(page_text.PRIOR))
+    assert time.process_time() - start < 20
+
+
+def test_long_messages_take_time_in_proportion():
+    start = time.process_time()
+    assert len(quotations.levels("\n" * 300000)) == 300001
+    assert len(quotations.levels("> quoted\nA wrote:\n> more\n" * 100000)) == 200001
+    assert time.process_time() - start < 20
+
+
+def test_languages_with_few_and_many_rows_are_learned(spark, monkeypatch):
+    """A sample of fixed size per language, whatever its number of rows; none without windows."""
+    monkeypatch.setattr(byte_cnn, "ROWS_PER_LANG", 5)
+    rows = [(i, f"some english words {i}", "en") for i in range(300)]
+    rows += [(1000 + i, f"einige deutsche Worte {i}", "de") for i in range(3)]
+    rows += [(7, "another text of one id", "en"), (None, "no id", "fr")]
+    labelled = documents(spark, rows).select(F.col("doc_id").alias("id"), "text", "lang")
+    windows, numbers, languages = byte_cnn.sample(labelled)
+    assert languages == ["de", "en", "fr"]
+    counts = np.bincount(numbers, minlength=3) / byte_cnn.WINDOWS_PER_ROW
+    assert counts.tolist() == [3, 5, 0] and len(windows) == len(numbers)
+    monkeypatch.setattr(byte_cnn, "MAX_LANGS", 1)
+    assert byte_cnn.sample(labelled)[2] == ["en"]
+    windows, _, languages = byte_cnn.sample(labelled.where("id is null"))
+    assert (len(windows), languages) == (0, [])
+
+
 def test_given_pages_give_their_articles(spark, sf_dir):
     import html
     import re
