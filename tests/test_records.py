@@ -13,7 +13,12 @@ from termloom.streaming.losses import (
     events_read,
     fold_stream,
 )
-from termloom.streaming.verdicts import write_verdict_stream
+from termloom.streaming.verdicts import (
+    distinct_answers,
+    verdict_totals,
+    write_verdict_stream,
+    write_verdict_totals,
+)
 
 
 @pytest.mark.parametrize(
@@ -280,3 +285,34 @@ def test_verdict_stream_recovers(spark, tmp_path):
             write_verdict_stream(stream, out, offsets).awaitTermination()
     done = {r["index"]: r.is_equivalent for r in spark.read.parquet(out).collect()}
     assert done == {1: True, 2: False, 3: False} and spark.read.parquet(out).count() == 3
+
+
+def test_partial_results_are_closed_by_count(spark, tmp_path):
+    """Parts hold so many records but the last; files that no batch committed are not read."""
+    import pyarrow.parquet as pq
+
+    source, out, offsets = (str(tmp_path / d) for d in ("in", "out", "offsets"))
+    rows = [(i, "YES") for i in range(250)]
+    spark.createDataFrame(rows, "index long, text string").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("index long, text string").parquet(source)
+    write_verdict_stream(stream, out, offsets).awaitTermination()
+    parts = list((tmp_path / "out").glob("*.parquet"))
+    assert sorted(pq.read_metadata(p).num_rows for p in parts) == [50, 100, 100]
+    (tmp_path / "out" / "part-left-by-an-aborted-batch.parquet").write_bytes(parts[0].read_bytes())
+    assert spark.read.parquet(out).count() == 250
+
+
+@pytest.mark.parametrize("timed", [False, True])
+def test_answers_sent_again_count_once(spark, tmp_path, timed):
+    source, out, offsets = (str(tmp_path / d) for d in ("in", "out", "offsets"))
+    schema = "index long, model string, text string, at timestamp"
+    batches = [[(1, "a", "YES"), (2, "a", "no"), (1, "a", "YES")], [(2, "a", "no"), (3, "b", "YES")]]
+    for i, part in enumerate([*batches, [(1, "a", "YES"), (3, "b", "YES"), (4, "b", "ERROR: x")]]):
+        df = spark.createDataFrame(part, "index long, model string, text string")
+        df = df.withColumn("at", F.timestamp_seconds(F.lit(60 * i)))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        once = distinct_answers(stream, ["index"], "at" if timed else None)
+        write_verdict_totals(once, out, offsets).awaitTermination()
+    found = {r.model: (r.total_samples, r.correct_predictions) for r in verdict_totals(spark, out).collect()}
+    assert found == {"a": (2, 1), "b": (2, 1)}

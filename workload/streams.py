@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from termloom.session import pinned, work_path
 from termloom.streaming.losses import current_history, fold_stream
 from termloom.streaming.mentions import link_stream, linked
-from termloom.streaming.verdicts import verdict_totals, write_verdict_stream, write_verdict_totals
+from termloom.streaming.verdicts import (
+    distinct_answers,
+    verdict_totals,
+    write_verdict_stream,
+    write_verdict_totals,
+)
 from termloom.plans.linking import VectorLinker, vector_catalog
 from workload import standins as s
 from workload.linking import _MENTION_HITS
@@ -62,13 +67,29 @@ def t3(spark, sf):
     return done.select("index", "is_equivalent", F.md5("explanation").alias("explanation"))
 
 
-@query(
-    "t3_verdict_totals",
-    f"""WITH {s.VERDICTS} SELECT mention AS model, count(*) AS total_samples,
+_TOTALS = f"""WITH {s.VERDICTS} SELECT mention AS model, count(*) AS total_samples,
       count(CASE WHEN is_equivalent THEN 1 END) AS correct_predictions,
       count(CASE WHEN starts_with(text, 'ERROR') THEN 1 END) AS errors
-    FROM verdicts GROUP BY mention""",
-)
+    FROM verdicts GROUP BY mention"""
+
+
+@query("t3_repeated_answers", _TOTALS)
+def t3_repeated(spark, sf):
+    """Two thirds of the answers come again in a later batch; totals count each once."""
+    answers = s.answers(spark, sf).withColumnRenamed("mention", "model")
+    later = answers.select(F.max("index") + 1).scalar()
+    sent = answers.withColumn("sent", F.col("index"))
+    for again in (1, 2):
+        copies = answers.where(F.col("index") % 3 == again)
+        sent = sent.unionByName(copies.withColumn("sent", F.col("index") + again * later))
+    stream = distinct_answers(_as_stream(spark, sent, "sent"), ["index"])
+    out = work_path(spark, "totals")
+    write_verdict_totals(stream, out, work_path(spark, "offsets")).awaitTermination()
+    totals = verdict_totals(spark, out)
+    return totals.select("model", "total_samples", "correct_predictions", "errors")
+
+
+@query("t3_verdict_totals", _TOTALS)
 def t3_totals(spark, sf):
     answers = s.answers(spark, sf).withColumnRenamed("mention", "model")
     stream = _as_stream(spark, answers, "index")
