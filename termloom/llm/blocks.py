@@ -41,8 +41,18 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def text_blocks(df: DataFrame, id_column: str, text_column: str, extra: Sequence[str]) -> DataFrame:
-    """Rows of about BLOCK_BYTES of text: ids, lengths, compressed texts and other columns."""
+def text_blocks(
+    df: DataFrame,
+    id_column: str,
+    text_column: str,
+    extra: Sequence[str],
+    block_bytes: int | None = None,
+) -> DataFrame:
+    """Rows of about ``block_bytes`` of text: ids, lengths, compressed texts and other columns.
+
+    A task works on one block at a time, with some 60 times its bytes; BLOCK_BYTES if not given.
+    """
+    most = block_bytes or BLOCK_BYTES
     picked = df.select(
         df[id_column].alias("id"),
         F.coalesce(df[id_column].cast("long"), F.lit(int(NO_ID))).alias("order"),
@@ -53,7 +63,7 @@ def text_blocks(df: DataFrame, id_column: str, text_column: str, extra: Sequence
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         press = zstandard.ZstdCompressor(level=3)
-        for batch, group in by_bytes(batches, "text", BLOCK_BYTES):
+        for batch, group in by_bytes(batches, "text", most):
             rest = batch.drop_columns(["order", "text"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as writer:

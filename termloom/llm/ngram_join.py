@@ -493,11 +493,13 @@ def join_components(
     return _joined(df, id_column, text_column).drop("node", "root")
 
 
-def _joined(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _joined(
+    df: DataFrame, id_column: str, text_column: str, block_bytes: int | None = None
+) -> DataFrame:
     """What ``join_components`` gives, with the ``node`` of every row's set and its ``root``."""
     spark = df.sparkSession
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks, name = stored(text_blocks(df, id_column, text_column, ()), least)
+    blocks, name = stored(text_blocks(df, id_column, text_column, (), block_bytes), least)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(size / 16 / GROUP_TOKENS), min(least, size >> 22))
     shared = _first_keys(blocks, buckets).groupBy("bucket").applyInArrow(
@@ -563,7 +565,10 @@ def _with_nodes(df: DataFrame, text_column: str) -> DataFrame:
 
 
 def one_of_each(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    df: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """One row of ``df`` for each component: that of the smallest id.
 
@@ -573,7 +578,7 @@ def one_of_each(
     of the smallest id the smallest set is kept, of equal sets the smallest text. Rows without
     words are one for each id.
     """
-    found = pinned(_joined(df, id_column, text_column), "components")
+    found = pinned(_joined(df, id_column, text_column, block_bytes), "components")
     drop = found.where(F.col(id_column) != F.col("component_id")).select(id_column).distinct()
     repeated = found.groupBy(id_column).count().where("count > 1").select(id_column)
     repeated = pinned(repeated.where(F.col(id_column).isNotNull()), "repeated")

@@ -403,6 +403,7 @@ def dedup(
     text_column: str = "text",
     extra: Sequence[str] = (),
     with_text: bool = False,
+    block_bytes: int | None = None,
 ) -> DataFrame:
     """Id, ``extra`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``.
 
@@ -412,7 +413,7 @@ def dedup(
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     rest = [f"id {kinds[id_column]}", *[f"x{i} {kinds[n]}" for i, n in enumerate(extra)]]
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    blocks, _ = stored(text_blocks(df, id_column, text_column, extra), least)
+    blocks, _ = stored(text_blocks(df, id_column, text_column, extra, block_bytes), least)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, math.ceil(size * 2 / (WINDOW + 1) / GROUP_KEYS), min(least, size >> 22))
 
