@@ -9,6 +9,9 @@ from termloom.llm import mixing, ngram_join, packing, quality_rules, suffix_dedu
 from termloom.llm.common import table
 from termloom.session import pinned, use_local_dir
 
+# Workers that ran other stages before have less memory left for a block.
+BLOCK_BYTES = 1 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the forest keep."""
@@ -18,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of linked documents."""
     use_local_dir(spark)
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, block_bytes=BLOCK_BYTES)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {c: f"column_{i}_of_documents" for i, c in enumerate(others)}
     found = suffix_dedup.dedup(
-        docs.withColumnsRenamed(names), extra=list(names.values()), with_text=True
+        docs.withColumnsRenamed(names),
+        extra=list(names.values()),
+        with_text=True,
+        block_bytes=BLOCK_BYTES,
     )
     found = found.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     cells = {c: F.col(name) for c, name in names.items()}
