@@ -313,9 +313,12 @@ def _threads(parents: DataFrame) -> DataFrame:
     )
     steps = steps.select("message", F.coalesce("up", "message").alias("up"), "depth")
     steps = pinned(steps, "threads")
+    # Messages that have reached their root are set aside as they are, so a round makes rows for
+    # those only that are still on their way.
+    finished = steps.where(F.col("up") == F.col("message"))
     active = steps.where(F.col("up") != F.col("message"))
     while not active.isEmpty():
-        above = steps.select(
+        above = finished.unionByName(active).select(
             F.col("message").alias("up"),
             F.col("up").alias("further"),
             F.col("depth").alias("more"),
@@ -327,10 +330,9 @@ def _threads(parents: DataFrame) -> DataFrame:
             (F.col("more") > 0).alias("moved"),
         )
         moved = pinned(moved, "moved")
-        rest = steps.join(moved.select("message"), "message", "left_anti")
-        steps = pinned(rest.unionByName(moved.drop("moved")), "threads")
-        active = moved.where("moved").drop("moved")  # the others have reached their roots
-    return steps.select("message", F.col("up").alias("root"), "depth")
+        finished = finished.unionByName(moved.where("not moved").drop("moved"))
+        active = moved.where("moved").drop("moved")
+    return finished.select("message", F.col("up").alias("root"), "depth")
 
 
 def link_quotations(
