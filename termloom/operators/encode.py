@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +99,16 @@ def encode_ngrams(
     return vectors.select(F.col("key").alias(key), name)
 
 
+def _kept_by_worker(mark: str, make: Callable):
+    """What ``make`` returns, made once in this worker; only the latest is kept."""
+    # A module of its own, as functions of this one are sent by value with every task.
+    holder = sys.modules.setdefault("termloom_models", types.ModuleType("termloom_models"))
+    if getattr(holder, "mark", None) != mark:
+        holder.model = make()
+        holder.mark = mark
+    return holder.model
+
+
 def encode_with(
     texts: DataFrame,
     key: str,
@@ -107,16 +119,26 @@ def encode_with(
 ) -> DataFrame:
     """Hook for a neural encoder.
 
-    ``encoder`` is called once per task and returns a function from a list of texts to a
-    matrix with one row per text. Rows are L2-normalised.
+    ``encoder`` is called once per Python worker, which keeps what it returns for all its tasks: a
+    function from a list of texts to a matrix with one row per text. Texts of like length are
+    encoded together, so that a batch needs little padding, and come out in their own order. Rows
+    are L2-normalised.
     """
+    mark = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _kept_by_worker(mark, encoder)
         for batch in batches:
-            for lo in range(0, len(batch), batch_size):
-                part = batch.iloc[lo : lo + batch_size]
-                yield pd.DataFrame({key: part[key], name: list(encode(part[text].tolist()))})
+            values = batch.column("text").to_pylist()
+            order = sorted(range(len(values)), key=lambda i: len(values[i] or ""))
+            rows: list = [None] * len(values)
+            for lo in range(0, len(order), batch_size):
+                part = order[lo : lo + batch_size]
+                found = np.asarray(encode([values[i] for i in part]), np.float64)
+                for i, row in zip(part, found, strict=True):
+                    rows[i] = row
+            vectors = pa.array(rows, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), vectors], names=[key, name])
 
     schema = T.StructType(
         [
@@ -124,5 +146,6 @@ def encode_with(
             T.StructField(name, T.ArrayType(T.DoubleType())),
         ]
     )
-    vectors = texts.select(key, text).mapInPandas(run, schema)
+    picked = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    vectors = picked.mapInArrow(run, schema)
     return vectors.select(key, l2_normalise(F.col(name)).alias(name))

@@ -167,6 +167,34 @@ def test_encoder_hook_runs_in_batches(spark):
     assert got[3] == pytest.approx([3 / math.sqrt(10), 1 / math.sqrt(10)])
 
 
+def test_encoder_is_loaded_once_per_worker(spark, tmp_path):
+    """Many tasks, texts of all lengths: a load per worker, batches of like lengths, own order."""
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def encode(texts):
+            lengths = [len(t or "") for t in texts]
+            assert max(lengths) - min(lengths) <= 40
+            return np.array([[n, 1.0] for n in lengths])
+
+        return encode
+
+    text = F.when(F.col("id") % 50 != 0, F.repeat(F.lit("x"), (F.col("id") * 37 % 200).cast("int")))
+    df = spark.range(0, 2000, 1, 40).select("id", text.alias("t"))
+    got = {r.id: r.embedding for r in encode_with(df, "id", "t", load, 8).collect()}
+    for i in range(2000):
+        n = 0 if i % 50 == 0 else i * 37 % 200
+        assert got[i] == pytest.approx([n / math.hypot(n, 1), 1 / math.hypot(n, 1)])
+    workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(workers) == len(set(workers)) < 40
+
+
 # --- metrics -----------------------------------------------------------------------------
 
 
