@@ -404,10 +404,12 @@ def dedup(
     extra: Sequence[str] = (),
     with_text: bool = False,
     block_bytes: int | None = None,
+    group_keys: int = GROUP_KEYS,
 ) -> DataFrame:
     """Id, ``extra`` columns, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``.
 
-    ``with_text`` adds ``kept_text``: the remaining bytes without code points cut in two.
+    ``with_text`` adds ``kept_text``: the remaining bytes without code points cut in two. A task
+    works on one block of ``block_bytes`` or on one group of ``group_keys`` keys at a time.
     """
     spark = df.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -415,7 +417,7 @@ def dedup(
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     blocks, _ = stored(text_blocks(df, id_column, text_column, extra, block_bytes), least)
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(1, math.ceil(size * 2 / (WINDOW + 1) / GROUP_KEYS), min(least, size >> 22))
+    buckets = max(1, math.ceil(size * 2 / (WINDOW + 1) / group_keys), min(least, size >> 22))
 
     shared = _keys(blocks, buckets).groupBy("bucket").applyInArrow(
         shared_keys, "block long, keys binary"
