@@ -9,8 +9,9 @@ from termloom.llm import mixing, ngram_join, packing, quality_rules, suffix_dedu
 from termloom.llm.common import table
 from termloom.session import pinned, use_local_dir
 
-# Workers that ran other stages before have less memory left for a block.
+# Workers that ran other stages before have less memory left for a block or a group.
 BLOCK_BYTES = 1 << 20
+GROUP_KEYS = 1 << 17
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +35,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         extra=list(names.values()),
         with_text=True,
         block_bytes=BLOCK_BYTES,
+        group_keys=GROUP_KEYS,
     )
     found = found.where((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
     cells = {c: F.col(name) for c, name in names.items()}
