@@ -7,6 +7,10 @@ into, however long the log has become. Within its segment an evaluation follows
 losses there. One before the first loss of its segment takes the last loss of an earlier
 segment, which is looked up when the history is read; so a late loss rewrites nothing beyond
 the next loss in its own segment.
+
+A log of many sessions with a few events each would be a state for each few events. With
+``spread`` a state holds the sessions of one of so many parts, by the hash of run and session,
+so there are ``spread`` states at most for a segment; their results are the same.
 """
 
 from __future__ import annotations
@@ -32,19 +36,10 @@ _CHANGES = """run string, session string, segment long, seq long, epoch double,
 
 
 class Segment:
-    """Events of a segment in order; later ones replace those of the same place."""
-
-    def __init__(self, packed: bytes | None):
-        self.events = pickle.loads(packed) if packed else {}
+    """Events of a session in a segment, in order; later ones replace those of the same place."""
 
-    def packed(self) -> bytes:
-        return pickle.dumps(self.events)
-
-    def add(self, part: pd.DataFrame) -> None:
-        columns = (part[c].tolist() for c in ("seq", "epoch", "loss", "eval_loss", "known"))
-        for seq, epoch, loss, eval_loss, known in zip(*columns, strict=True):
-            loss = loss if known & _LOSS else None
-            self.events[seq] = (epoch, loss, eval_loss if known & _EVAL else None)
+    def __init__(self, events: dict[int, tuple]):
+        self.events = events
 
     def evaluations(self) -> dict[int | None, tuple]:
         """(epoch, last loss, evaluation loss) by place; without place, the segment's last loss."""
@@ -56,31 +51,48 @@ class Segment:
                 found[seq] = (epoch, last, eval_loss)
         return {**found, None: (None, last, None)}
 
+    def added(self, events: dict[int, tuple]) -> list[tuple]:
+        """Add events; (place, evaluation) of what changed of the evaluations and the last loss."""
+        before = self.evaluations() if self.events else {}
+        self.events.update(events)
+        after = self.evaluations()
+        # By their text, as a loss that is NaN is not equal to itself.
+        rows = [(seq, *c) for seq, c in after.items() if repr(c) != repr(before.get(seq))]
+        # A repeated event may take an evaluation away: then its loss is not known.
+        return rows + [(seq, before[seq][0], None, None) for seq in before.keys() - after.keys()]
+
+
+def _new_events(parts: Iterator[pd.DataFrame]) -> dict[tuple[str, str], dict[int, tuple]]:
+    """Events by session and place."""
+    found: dict[tuple[str, str], dict[int, tuple]] = {}
+    names = ("run", "session", "seq", "epoch", "loss", "eval_loss", "known")
+    for part in parts:
+        columns = (part[c].tolist() for c in names)
+        for run, session, seq, epoch, loss, eval_loss, known in zip(*columns, strict=True):
+            loss = loss if known & _LOSS else None
+            event = (epoch, loss, eval_loss if known & _EVAL else None)
+            found.setdefault((run, session), {})[seq] = event
+    return found
+
 
 def _fold_segment(
     key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    """Merge new events into a segment; what changed of its evaluations and last loss.
+    """Merge new events into the sessions of a state; what changed in those they belong to.
 
-    ``read`` counts the events that were taken from the state, once per segment and batch.
+    ``read`` counts the events that were taken from the state, once per state and batch.
     """
-    segment = Segment(state.get[0] if state.exists else None)
-    read = len(segment.events)
-    before = segment.evaluations() if read else {}
-    for part in parts:
-        segment.add(part)
-    after = segment.evaluations()
-    state.update((segment.packed(),))
-    # By their text, as a loss that is NaN is not equal to itself.
-    rows = [(seq, *c) for seq, c in after.items() if repr(c) != repr(before.get(seq))]
-    # A repeated event may take an evaluation away: then its loss is not known.
-    rows += [(seq, before[seq][0], None, None) for seq in before.keys() - after.keys()]
-    rows = rows or [(None, *after[None])]
-    out = pd.DataFrame(rows, columns=["seq", "epoch", "train_loss", "val_loss"])
-    out["known"] = [(c[2] is not None) * _LOSS + (c[3] is not None) * _EVAL for c in rows]
+    held = pickle.loads(state.get[0]) if state.exists else {}
+    read = sum(map(len, held.values()))
+    rows = []
+    for session, events in _new_events(parts).items():
+        segment = Segment(held.setdefault(session, {}))
+        changed = segment.added(events) or [(None, *segment.evaluations()[None])]
+        rows += [(*session, key[-1], *row) for row in changed]
+    state.update((pickle.dumps(held),))
+    out = pd.DataFrame(rows, columns=[*_KEYS, "seq", "epoch", "train_loss", "val_loss"])
+    out["known"] = [(c[5] is not None) * _LOSS + (c[6] is not None) * _EVAL for c in rows]
     out["read"] = [0] * (len(rows) - 1) + [read]
-    for i, name in enumerate(_KEYS):
-        out.insert(i, name, [key[i]] * len(rows))
     yield out.astype({"seq": "Int64", "epoch": float, "train_loss": float, "val_loss": float})
 
 
@@ -90,6 +102,7 @@ def fold_stream(
     checkpoint: str,
     width: int = WIDTH,
     trigger: dict | None = None,
+    spread: int | None = None,
 ) -> StreamingQuery:
     """Keep the evaluations of every run current, late events included.
 
@@ -97,6 +110,10 @@ def fold_stream(
     the batch before is taken from the checkpoint, so a retried batch leaves the same tables.
     An event that comes again replaces the one of its place. Events without run, session or
     place are left out. By default runs over what is available, then stops.
+
+    With ``spread`` sessions share so many states for a segment; choose it so that the events of all
+    sessions in a segment, divided by it, fit a task. Without it each session has its own. A
+    checkpoint goes on with the ``spread`` it began with.
     """
     placed = events.dropna(subset=["run", "session", "seq"]).withColumn(
         "segment", F.expr(f"(seq - pmod(seq, {int(width)})) div {int(width)}")
@@ -104,7 +121,11 @@ def fold_stream(
     known = F.when(F.col("loss").isNotNull(), _LOSS).otherwise(0)
     known = known + F.when(F.col("eval_loss").isNotNull(), _EVAL).otherwise(0)
     placed = placed.withColumn("known", known)
-    changes = placed.groupBy(*_KEYS).applyInPandasWithState(
+    keys = _KEYS
+    if spread is not None:
+        keys = ["part", "segment"]
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("run", "session"), F.lit(int(spread))))
+    changes = placed.groupBy(*keys).applyInPandasWithState(
         _fold_segment, _CHANGES, "events binary", "update", GroupStateTimeout.NoTimeout
     )
 

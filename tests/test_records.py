@@ -249,6 +249,29 @@ def test_a_batch_reads_its_segments_and_not_the_log(spark, tmp_path):
     assert {r.seq for r in changed.collect()} <= {3, 5, 200}
 
 
+def test_sessions_share_states(spark, tmp_path):
+    """Many short sessions: few states for a segment, the results of a state for each session."""
+    draw = random.Random(8)
+    cells = [(f"r{i % 40}", str(i % 3), i, float(i // 50), i / 2, None) for i in range(400)]
+    events = [(*e[:4], None, e[4]) if draw.random() < 0.4 else e for e in cells]
+    nan = float("nan")
+    late = [(*e[:4], nan, None) for e in events[:90]] + [("r1", "9", 5, 1.0, None, 2.0)]
+    draw.shuffle(events)
+    found = {}
+    for name, options in (("own", {}), ("shared", {"spread": 4})):
+        folder = tmp_path / name
+        source, out, offsets = (str(folder / d) for d in ("in", "out", "offsets"))
+        for part in (events[:200], events[200:], late):
+            df = spark.createDataFrame(part, EVENT_SCHEMA)
+            df.coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(EVENT_SCHEMA).parquet(source)
+            fold_stream(stream, out, offsets, width=200, **options).awaitTermination()
+        found[name] = sorted(map(repr, map(tuple, current_evaluations(spark, out).collect())))
+        states = spark.read.parquet(f"{out}/changes/batch_id=1").where("read > 0").count()
+        assert states <= 8 if options else states > 50
+    assert found["own"] == found["shared"] and len(found["own"]) > 50
+
+
 def test_a_retried_batch_and_repeated_events(spark, tmp_path):
     nan = float("nan")
     first = [("r", "s", 1, 0.0, 1.0, None), ("r", "s", 70, 0.0, None, 5.0), ("q", "s", -5, 0.0, None, 2.0)]

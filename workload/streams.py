@@ -50,8 +50,10 @@ def t2(spark, sf):
     """Events reach the stream by value, not by time, so many are late."""
     stream = _as_stream(spark, s.loss_events(spark, sf), F.coalesce("loss", "eval_loss"))
     out = work_path(spark, "history")
-    # Places are spread over all runs here, so a wide segment still holds few events.
-    fold_stream(stream, out, work_path(spark, "offsets"), width=1 << 16).awaitTermination()
+    # Places are spread over all runs here, so a wide segment still holds few events, of many
+    # sessions.
+    offsets = work_path(spark, "offsets")
+    fold_stream(stream, out, offsets, width=1 << 16, spread=16).awaitTermination()
     return current_history(spark, out)
 
 
