@@ -63,3 +63,25 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_a_batch_of_a_stream_is_many_files(spark, tmp_path):
+    """No task writes or reads a whole batch of a table of some MB; rows come in several batches."""
+    from pyspark.sql import functions as F
+
+    from workload import streams
+
+    df = spark.range(300000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    for table, most in ((df, 300000 / 3 - 1), (df.limit(7), 3)):
+        stream = streams._as_stream(spark, table, "id")
+        seen = {}
+
+        def count(batch, batch_id):
+            files = batch.groupBy(F.input_file_name()).count().collect()
+            seen[batch_id] = [r["count"] for r in files]
+
+        writer = stream.writeStream.foreachBatch(count).trigger(availableNow=True)
+        writer.option("checkpointLocation", str(tmp_path / str(most))).start().awaitTermination()
+        assert 3 <= len(seen) <= 5
+        assert sum(map(sum, seen.values())) == table.count()
+        assert max(map(max, seen.values())) <= most

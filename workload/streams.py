@@ -21,14 +21,21 @@ from workload import standins as s
 from workload.linking import _MENTION_HITS
 from workload.registry import query
 
-_FILES = 3
+_BATCHES = 3
 
 
 def _as_stream(spark, df, *order):
-    """Write ``df`` as files in order, and read them as a stream of one file per batch."""
+    """Write ``df`` as files in order, and read them as a stream of ``_BATCHES`` batches or few more.
+
+    A file holds that share of the rows at most, and the files of a large table are those of its range
+    partitions, whose number the session sets, so that no task writes or reads a whole batch.
+    """
     path = work_path(spark, "source")
-    df.repartitionByRange(_FILES, *order).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = max(-(-df.count() // _BATCHES), 1)
+    df.repartitionByRange(*order).write.option("maxRecordsPerFile", rows).parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    source = spark.readStream.schema(df.schema)
+    return source.option("maxFilesPerTrigger", max(files // _BATCHES, 1)).parquet(path)
 
 
 @query(
