@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from termloom.functions.vectors import hadamard
 from termloom.operators.ordering import with_running_sums
 from termloom.operators.search import search
+from termloom.session import pinned
 
 THRESHOLD = 0.5
 
@@ -143,7 +144,11 @@ def log_loss(score: str = "score", label: str = "label") -> Column:
 def fit_text_classifier(
     pairs: DataFrame, features: int = 1 << 18, max_iter: int = 50, reg: float = 1e-4
 ) -> PipelineModel:
-    """Logistic regression on hashed words of ``input``; one logit per pair."""
+    """Logistic regression on hashed words of ``input``; one logit per pair.
+
+    Equal pairs are one row with their count as weight.
+    """
+    counted, reg = counted_rows(pairs, ["input", "label"], reg)
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="input", outputCol="_words", pattern=r"\s+"),
@@ -154,11 +159,29 @@ def fit_text_classifier(
                 probabilityCol="_probability",
                 rawPredictionCol="_raw",
                 predictionCol="_predicted",
+                weightCol="_n",
                 maxIter=max_iter,
                 regParam=reg,
             ),
         ]
-    ).fit(pairs)
+    ).fit(counted)
+
+
+def counted_rows(
+    rows: DataFrame, columns: Sequence[str], reg: float, count: str | None = None
+) -> tuple[DataFrame, float]:
+    """Distinct rows of ``columns`` with their number as ``_n``, and the penalty to fit them with.
+
+    ``count`` names a column with the number of rows that a row stands for. Spark divides the
+    squared deviations of weighted rows by W - sum(w^2) / W where single rows have n - 1; the
+    penalty, which counts in standard deviations, is scaled so that both fits have one optimum.
+    """
+    number = F.count("*") if count is None else F.sum(count)
+    counted = pinned(rows.groupBy(*columns).agg(number.cast("double").alias("_n")), "counted")
+    total, squares = counted.agg(F.sum("_n"), F.sum(F.col("_n") * F.col("_n"))).first()
+    if not total or total <= 1:
+        return counted, reg
+    return counted, reg * max(total - squares / total, 0.0) / (total - 1)
 
 
 def score_pairs(model: PipelineModel, pairs: DataFrame) -> DataFrame:
@@ -188,12 +211,17 @@ def pair_features(
 
 
 def fit_vector_classifier(
-    featured: DataFrame, max_iter: int = 50, reg: float = 1e-4
+    featured: DataFrame, max_iter: int = 50, reg: float = 1e-4, count: str | None = None
 ) -> LogisticRegressionModel:
-    """Logistic regression on the vector product: a learned weighted inner product."""
-    rows = featured.select(array_to_vector("features").alias("_x"), "label")
+    """Logistic regression on the vector product: a learned weighted inner product.
+
+    Equal rows are one row with their count as weight; ``count`` names a column with the number of
+    pairs that a row stands for.
+    """
+    counted, reg = counted_rows(featured, ["features", "label"], reg, count)
+    rows = counted.select(array_to_vector("features").alias("_x"), "label", "_n")
     return LogisticRegression(
-        featuresCol="_x", labelCol="label", maxIter=max_iter, regParam=reg
+        featuresCol="_x", labelCol="label", weightCol="_n", maxIter=max_iter, regParam=reg
     ).fit(rows)
 
 

@@ -81,22 +81,34 @@ def train_pair_classifier(
 ) -> dict[str, object]:
     """Fit on the training pairs and report on the dev pairs.
 
-    The dev pairs come from a catalog of their own mentions, as the training pairs do.
+    The dev pairs come from a catalog of their own mentions, as the training pairs do. ``training``
+    has a row for each different features and label, and the number ``n`` of its pairs.
     """
     encode = encoder or ngram_encoder()
 
-    def featured(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-        pairs = pinned(labelled_pairs(rows, catalog, negatives, seed), "pairs")
-        distinct = pairs.select("mention").distinct().select("mention", F.col("mention").alias("text"))
-        vectors = encode(distinct, "mention", "text")
+    def featured(rows: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs, and the features of each different one with the number ``n`` of its rows."""
+        pairs = labelled_pairs(rows, catalog, negatives, seed)
+        counted = pairs.groupBy("mention", "entity_id", "label").agg(F.count("*").alias("n"))
+        counted = pinned(counted, "pairs")
+        distinct = counted.select("mention").distinct()
+        vectors = encode(distinct.withColumn("text", F.col("mention")), "mention", "text")
         entities = encode(catalog, "entity_id", "rep_text")
-        return pair_features(pairs, vectors, with_outside_vectors(pairs, entities, encode))
+        vectors = pair_features(counted, vectors, with_outside_vectors(counted, entities, encode))
+        return pairs, vectors
 
     catalog = build_catalog(train, rule)
-    # Read once per optimiser step, so pinned.
-    training = pinned(featured(train, catalog).select("features", "label"), "training")
-    model = fit_vector_classifier(training)
-    scored = pinned(score_features(model, featured(dev, build_catalog(dev, rule))), "scored")
+    _, vectors = featured(train, catalog)
+    # Pairs of equal features are one row with their number: read once per optimiser step.
+    training = vectors.groupBy("features", "label").agg(F.sum("n").alias("n"))
+    training = pinned(training, "training")
+    model = fit_vector_classifier(training, count="n")
+    dev_pairs, vectors = featured(dev, build_catalog(dev, rule))
+    known = score_features(model, vectors).select("mention", "entity_id", "label", "score")
+    known = pinned(known.withColumnsRenamed({c: f"_{c}" for c in known.columns}), "scores")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("mention", "entity_id", "label")]
+    scored = dev_pairs.join(known, same, "left")
+    scored = pinned(scored.select(*dev_pairs.columns, F.col("_score").alias("score")), "scored")
     linking_vectors = encode(build_catalog(train, "mode"), "entity_id", "rep_text")
     return {
         "model": model,

@@ -384,3 +384,30 @@ def test_vector_linker(spark):
     assert metrics["Hits@1"] == 1.0
     info = sinks.catalog_metadata(linker.catalog, "trigram", None, "mode").first()
     assert (info.embedding_dim, info.num_entities) == (64, 2)
+
+
+def test_equal_pairs_are_fitted_once_with_their_count(spark):
+    """The fit on counted rows is the fit on all rows, the penalty included."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    cells = [([1.0, 2.0], 1.0, 7), ([1.0, 2.0], 0.0, 2), ([0.5, -1.0], 0.0, 9), ([3.0, 0.0], 1.0, 1)]
+    few = spark.createDataFrame(cells, "features array<double>, label double, n long")
+    every = few.select("features", "label", F.explode(F.expr("sequence(1L, n)"))).drop("col")
+    plain = LogisticRegression(featuresCol="x", regParam=0.3, maxIter=100, tol=1e-10).fit(
+        every.select(array_to_vector("features").alias("x"), "label")
+    )
+    for rows, count in ((every, None), (few, "n")):
+        model = classify.fit_vector_classifier(rows, 100, 0.3, count)
+        assert list(model.coefficients) == pytest.approx(list(plain.coefficients), abs=1e-4)
+        assert model.intercept == pytest.approx(plain.intercept, abs=1e-4)
+    counted, _ = classify.counted_rows(every, ["features", "label"], 0.3)
+    assert counted.count() == 4 and counted.agg(F.sum("_n")).first()[0] == 19
+
+
+def test_training_holds_different_pairs_only(spark):
+    data = [(str(i), f"m{i % 3}", "C", f"E{i % 3}") for i in range(300)]
+    table = spark.createDataFrame(data, "pmid string, mention string, cui string, mondo_id string")
+    out = train_pair_classifier(table, table)
+    assert out["training"].count() <= 9 and out["training"].agg(F.sum("n")).first()[0] == 900
+    assert out["scored_dev"].count() == 900 and out["scored_dev"].where("score is null").count() == 0

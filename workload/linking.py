@@ -497,11 +497,24 @@ def m1(spark, sf):
     training, model = fitted["training"], fitted["model"]
     scored = pinned(score_features(model, training.withColumn("x", F.col("features"))), "scored")
     error = F.col("score") - F.col("label")
-    cells = scored.select(error.alias("error"), F.posexplode("x").alias("j", "x"))
-    slopes = cells.groupBy("j").agg(
-        F.avg(F.col("error") * F.col("x")).alias("slope"),
-        F.var_samp("x").alias("var"),
-        F.avg("error").alias("bias"),
+    cells = scored.select(error.alias("error"), "n", F.posexplode("x").alias("j", "x"))
+    # Every row stands for n pairs.
+    n, x = F.col("n"), F.col("x")
+    sums = cells.groupBy("j").agg(
+        F.sum("n").alias("n"),
+        F.sum(n * F.col("error") * x).alias("slope"),
+        F.sum(n * F.col("error")).alias("bias"),
+        F.sum(n * x).alias("x"),
+    )
+    means = sums.select("j", (x / n).alias("mean"))
+    spread = cells.join(F.broadcast(means), "j").groupBy("j").agg(
+        F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))).alias("squares")
+    )
+    slopes = sums.join(spread, "j").select(
+        "j",
+        (F.col("slope") / n).alias("slope"),
+        F.try_divide("squares", n - 1).alias("var"),
+        (F.col("bias") / n).alias("bias"),
     )
     weights = spark.createDataFrame(
         [(j, float(w)) for j, w in enumerate(model.coefficients)], "j int, w double"
@@ -514,7 +527,7 @@ def m1(spark, sf):
         F.greatest(F.max(scaled), F.max(F.abs("bias"))).alias("worst")
     )
     converged = F.lit(worst.first()["worst"] < 1e-3)
-    return scored.groupBy("label").agg(F.count("*").alias("support")).withColumn("converged", converged)
+    return scored.groupBy("label").agg(F.sum("n").alias("support")).withColumn("converged", converged)
 
 
 @query(
@@ -527,9 +540,10 @@ def m2(spark, sf):
     """Dev pairs, and those whose score is the sigmoid of weights times word counts, by hand."""
     train, dev = _train_dev(spark, sf)
     size = 1 << 12
-    training = pinned(pairs.labelled_pairs(train, cat.build_catalog(train, "shortest")), "pairs")
+    training = pairs.labelled_pairs(train, cat.build_catalog(train, "shortest"))
     fitted = classify.fit_text_classifier(training, features=size)
-    dev_pairs = pinned(pairs.labelled_pairs(dev, cat.build_catalog(dev, "shortest")), "pairs")
+    dev_pairs = pairs.labelled_pairs(dev, cat.build_catalog(dev, "shortest"))
+    dev_pairs = pinned(dev_pairs.groupBy("input", "label").agg(F.count("*").alias("n")), "pairs")
     scored = classify.score_pairs(fitted, dev_pairs)
     *words, last = fitted.stages
     counted = dev_pairs.select("input").distinct()
@@ -545,7 +559,7 @@ def m2(spark, sf):
     return (
         scored.join(by_hand, "input", "left")
         .groupBy("label")
-        .agg(F.count("*").alias("pairs"), F.count_if(same).alias("agreeing"))
+        .agg(F.sum("n").alias("pairs"), F.coalesce(F.sum(F.when(same, F.col("n"))), F.lit(0)).alias("agreeing"))
     )
 
 
