@@ -3,8 +3,10 @@
 Entities are gathered around pivots. With a block's pivot p, its radius r (the farthest entity
 from p) and its longest entity m, no inner product of a query q with the block exceeds
 ``min(q·p + |q| r, |q| m)``. A query is first scored in its most promising blocks, whose k-th
-best score is a floor; then it travels only to the blocks whose bound reaches that floor. The rows
-are those of ``operators.search.search``, whatever the pivots are.
+best score is a floor; then it is scored in the blocks whose bound reaches that floor. Blocks of
+near pivots share an area of bounded size: a query travels once to each area that holds such a block,
+with a bit for each block there, so what is sent does not grow with the number of blocks. The rows are
+those of ``operators.search.search``, whatever the pivots are.
 
 Pivots are means of a bounded sample (``MAX_PIVOTS`` times ``ROWS_PER_PIVOT`` rows at most); all
 entities are assigned, counted and searched. A block has about ``block_rows`` entities: a
@@ -31,6 +33,8 @@ MAX_BLOCKS = 1 << 18
 PIVOT_BYTES = 16 << 20
 ROWS_PER_PIVOT = 32
 ROUNDS = 3
+AREA_ROWS = 16384  # entities that meet a part of the queries in one task
+AREA_BYTES = 32 << 20
 _CELLS = 1 << 22  # cells of a matrix of bounds or distances made at once
 
 
@@ -80,7 +84,11 @@ class _Bounds:
 
     def first_blocks(self, bounds: np.ndarray, k: int) -> np.ndarray:
         """Mask of each query's best blocks that hold ``k`` entities together."""
-        order = np.argsort(-bounds, axis=1, kind="stable")
+        order = np.arange(bounds.shape[1])[None, :].repeat(len(bounds), 0)
+        if bounds.shape[1] > k:  # a block holds one entity at least
+            order = np.sort(np.argpartition(-bounds, k - 1, axis=1)[:, :k], axis=1)
+        best = np.argsort(-np.take_along_axis(bounds, order, axis=1), axis=1, kind="stable")
+        order = np.take_along_axis(order, best, axis=1)
         held = np.cumsum(self.blocks["n"][order], axis=1) - self.blocks["n"][order]
         mask = np.zeros(bounds.shape, bool)
         np.put_along_axis(mask, order, held < k, axis=1)
@@ -118,6 +126,26 @@ class PivotIndex:
         )
         table = stats.toArrow().sort_by("block")
         self.blocks = {c: table.column(c).to_numpy() for c in table.column_names}
+        area_rows = max(1, min(AREA_ROWS, AREA_BYTES // (8 * width)))
+        # Where the blocks of each area are, and its blocks in order.
+        self.areas = self._areas(area_rows)
+        ends = [(a, at, b) for a, part in enumerate(self.areas) for at, b in enumerate(part)]
+        columns = np.array(ends, np.int64).reshape(-1, 3).T
+        placed = {"area": columns[0], "at": columns[1], "block": self.blocks["block"][columns[2]]}
+        placed = pa.table({c: pa.array(v, pa.int64()) for c, v in placed.items()})
+        # One row per block.
+        self.placed = catalog.sparkSession.createDataFrame(placed)
+
+    def _areas(self, area_rows: int) -> list[np.ndarray]:
+        """Positions of the blocks of each area; about ``area_rows`` entities are in one."""
+        held, pivot = self.blocks["n"], self.blocks["pivot"]
+        if not len(held):
+            return []
+        coarse = min(-(-self.count // area_rows), len(self.pivots))
+        near, _ = _nearest(self.pivots, _means(self.pivots, coarse))
+        order = np.lexsort((pivot, near[pivot]))
+        area = (np.cumsum(held[order]) - held[order]) // area_rows
+        return np.split(order, np.flatnonzero(np.diff(area)) + 1)
 
     def _blocks(self, e: DataFrame, block_rows: int) -> DataFrame:
         """Entities with their pivot, the distance to it, their length, and their block."""
@@ -150,34 +178,37 @@ class PivotIndex:
         self, queries: DataFrame, k: int = 10, query: str = "query_id", query_vec: str = "embedding"
     ) -> DataFrame:
         """Exact top-k entities per query: (query_id, entity_id, score, rank)."""
-        _, early, later = self._pairs(queries, k, query, query_vec)
-        return top_k(early.drop("rank").unionByName(self._scored(later, k).drop("rank")), k)
+        return self._scored(self._pairs(queries, k, query, query_vec)[1], k)
 
     def block_pairs(
         self, queries: DataFrame, k: int = 10, query: str = "query_id", query_vec: str = "embedding"
     ) -> DataFrame:
         """One row: pairs of a query and a block, those that were scored, and the share skipped."""
-        first, _, later = self._pairs(queries, k, query, query_vec)
+        first, later = self._pairs(queries, k, query, query_vec)
         n = queries.where(F.col(query_vec).isNotNull()).select(F.count("*")).scalar()
         every = n * F.lit(len(self.blocks["n"]))
-        both = first.select("block").unionByName(later.select("block"))
-        counted = both.agg(F.count("*").alias("scored")).select(every.alias("pairs"), "scored")
+        both = first.select("fresh").unionByName(later.select("fresh"))
+        scored = F.coalesce(F.sum("fresh"), F.lit(0)).alias("scored")
+        counted = both.agg(scored).select(every.alias("pairs"), "scored")
         return counted.withColumn("skipped", 1 - F.try_divide(F.col("scored"), F.col("pairs")))
 
     def _pairs(
         self, queries: DataFrame, k: int, query: str, query_vec: str
-    ) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Queries with the blocks they are scored in first, the hits there, and the later blocks."""
+    ) -> tuple[DataFrame, DataFrame]:
+        """Queries with the blocks they are scored in first, and with all that reach their floor."""
         q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("vec"))
         q = q.where("vec is not null")
         first = self._sent(q.withColumn("floor", F.lit(None).cast("double")), k)
-        early = pinned(self._scored(first, k), "first_hits")
+        early = self._scored(first, k)
         floors = early.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        return first, early, self._sent(q.join(floors, "query_id", "left"), k, later=True)
+        return first, self._sent(q.join(floors, "query_id", "left"), k, later=True)
 
     def _sent(self, q: DataFrame, k: int, later: bool = False) -> DataFrame:
-        """(query_id, vec, block) of the first blocks, or of the later ones that reach the floor."""
-        pivots, blocks = self.pivots, self.blocks
+        """(query_id, vec, area, reach, fresh) of the first blocks, or of all that reach the floor.
+
+        ``reach`` has a bit for each block of the area; ``fresh`` counts those not taken before.
+        """
+        pivots, blocks, areas = self.pivots, self.blocks, self.areas
         kinds = {f.name: f.dataType.simpleString() for f in q.schema}
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,23 +221,34 @@ class PivotIndex:
                     raise ValueError("query and entity vectors differ in length")
                 floor = batch.column("floor").fill_null(-np.inf).to_numpy(zero_copy_only=False)
                 for lo, upper in bounds.tiles(vectors):
-                    mask = bounds.first_blocks(upper, k)
+                    mask = new = bounds.first_blocks(upper, k)
                     if later:
-                        mask = ~mask & (upper >= floor[lo : lo + len(upper), None])
-                    rows, cols = np.nonzero(mask)
-                    taken = batch.select(["query_id", "vec"]).take(pa.array(rows + lo))
-                    yield pa.RecordBatch.from_arrays(
-                        [*taken.columns, pa.array(blocks["block"][cols])],
-                        names=["query_id", "vec", "block"],
-                    )
-
-        schema = f"query_id {kinds['query_id']}, vec {kinds['vec']}, block long"
+                        mask = upper >= floor[lo : lo + len(upper), None]
+                        new = mask & ~new
+                    for number, inside in enumerate(areas):
+                        part = mask[:, inside]
+                        rows = np.flatnonzero(part.any(1))
+                        if not len(rows):
+                            continue
+                        bits = np.packbits(part[rows], axis=1)
+                        ends = np.arange(len(rows) + 1, dtype=np.int32) * bits.shape[1]
+                        sides = [None, pa.py_buffer(ends), pa.py_buffer(bits.tobytes())]
+                        reach = pa.Array.from_buffers(pa.binary(), len(rows), sides)
+                        fresh = new[:, inside][rows].sum(1)
+                        taken = batch.select(["query_id", "vec"]).take(pa.array(rows + lo))
+                        area = np.full(len(rows), number)
+                        yield pa.RecordBatch.from_arrays(
+                            [*taken.columns, pa.array(area), reach, pa.array(fresh)],
+                            names=["query_id", "vec", "area", "reach", "fresh"],
+                        )
+
+        schema = f"query_id {kinds['query_id']}, vec {kinds['vec']}, area long, reach binary, fresh long"
         return q.select("query_id", "vec", "floor").mapInArrow(choose, schema)
 
-    def _scored(self, sent: DataFrame, k: int, query_rows: int = 4096) -> DataFrame:
-        """Best ``k`` of each query in each of its blocks.
+    def _scored(self, sent: DataFrame, k: int, query_rows: int = 16384) -> DataFrame:
+        """Best ``k`` of each query in the blocks it reaches.
 
-        A block that many queries come to meets them in parts of about ``query_rows``.
+        An area that many queries come to meets them in parts of about ``query_rows``.
         """
         schema = T.StructType(
             [
@@ -217,15 +259,25 @@ class PivotIndex:
             ]
         )
         sent = pinned(sent, "sent")
-        parts = sent.groupBy("block").agg(F.ceil(F.count("*") / query_rows).alias("parts"))
-        # One row per block.
-        left = sent.join(F.broadcast(parts), "block").select(
-            "query_id", "vec", "block", F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part")
+        # Few areas would give few groups: then the queries are cut finer, up to the cores.
+        cores = sent.sparkSession.sparkContext.defaultParallelism
+        spread = F.least(F.ceil(F.count("*") / 256), F.lit(-(-cores // max(len(self.areas), 1))))
+        count = F.greatest(F.ceil(F.count("*") / query_rows), spread).cast("long")
+        parts = sent.groupBy("area").agg(count.alias("parts"))
+        # One row per area, and one per block.
+        left = sent.join(F.broadcast(parts), "area").select(
+            "query_id",
+            "vec",
+            "reach",
+            "area",
+            F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"),
         )
-        right = self.rows.join(F.broadcast(parts), "block").select(
+        placed = self.rows.join(F.broadcast(self.placed), "block")
+        right = placed.join(F.broadcast(parts), "area").select(
             "entity_id",
             "vec",
-            "block",
+            "at",
+            "area",
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         )
 
@@ -239,8 +291,15 @@ class PivotIndex:
                         "rank": pa.array([], pa.int32()),
                     }
                 )
-            return _block_top_k(left_rows, _Entities(right_rows), k)
-
-        keys = ["block", "part"]
+            packed = b"".join(left_rows.column("reach").to_pylist())
+            bits = np.frombuffer(packed, np.uint8).reshape(left_rows.num_rows, -1)
+            # Queries that reach the same blocks are scored together.
+            order = np.lexsort(bits.T[::-1]) if bits.shape[1] < 512 else bits.argmax(1).argsort()
+            entities = _Entities(right_rows)
+            at = right_rows.column("at").to_numpy()[entities.order]
+            queries = left_rows.select(["query_id", "vec"]).take(pa.array(order))
+            return _block_top_k(queries, entities, k, None, (bits[order], at))
+
+        keys = ["area", "part"]
         hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, schema)
         return top_k(hits.drop("rank"), k)

@@ -20,9 +20,12 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]
 Link = Callable[[np.ndarray], np.ndarray]
 
 _TILE = 256  # query rows scored at once inside a task
+_LEAST = np.finfo(np.float32).min
 _PART = 1 << 22  # numbers gathered at once for the exact scores
 _BLOCK_BYTES = 32 << 20  # vectors of a block of entities, in double
 _MIN_BLOCK = 256  # smaller query blocks are not worth another task
+_JOINED_ROWS = 16384  # small blocks of a large table are joined up to so many rows,
+_COPIES = 16  # once it would be cut into more blocks than this
 
 
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
@@ -67,7 +70,8 @@ class _Entities:
         ids = table.column("entity_id").combine_chunks()
         order = pc.sort_indices(ids)
         self.ids = ids.take(order)
-        self.vectors = _matrix(table, "vec")[order.to_numpy()]
+        self.order = order.to_numpy()
+        self.vectors = _matrix(table, "vec")[self.order]
         self.longest = float(_lengths(self.vectors).max()) if len(self.vectors) else 1.0
         scaled = (self.vectors / self.longest).astype(np.float32)
         self.scaled = np.ascontiguousarray(scaled.T)
@@ -90,8 +94,24 @@ def _lowest_alike(scores: np.ndarray, link: Link) -> np.ndarray:
     return low
 
 
+def _low_bound(approx: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that ``k`` of its cells reach, and few more.
+
+    The k-th best of the highest cells of groups; neighbours are in different groups.
+    """
+    deep = max(1, min(64, approx.shape[1] // (8 * k)))
+    groups = approx.shape[1] // deep
+    if deep > 1:
+        approx = approx[:, : groups * deep].reshape(len(approx), deep, groups).max(1)
+    return np.partition(approx, groups - k, axis=1)[:, groups - k].astype(np.float64)
+
+
 def _block_top_k(
-    queries: pa.Table, entities: _Entities, k: int, link: Link | None = None
+    queries: pa.Table,
+    entities: _Entities,
+    k: int,
+    link: Link | None = None,
+    reach: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> pa.Table:
     """Best ``k`` entities of one block for every query of one block, in rank order.
 
@@ -99,6 +119,8 @@ def _block_top_k(
     can be among the best k, with a margin above its rounding error; those are scored
     again in double and ranked on that score. With a ``link``, which can give unequal products
     one score, all entities with the score of the k-th one are among them.
+
+    ``reach`` restricts the pairs: for each query a bit for each part, and the part of each entity.
     """
     q = _matrix(queries, "vec")
     by_id, e, e32 = entities.ids, entities.vectors, entities.scaled
@@ -110,17 +132,26 @@ def _block_top_k(
 
     rows_out, cols_out, scores_out, ranks_out = [], [], [], []
     for lo in range(0, len(q), _TILE):
-        approx = q32[lo : lo + _TILE] @ e32
+        used, seen = None, None
+        if reach is not None:
+            bits, part = reach
+            mask = np.unpackbits(bits[lo : lo + _TILE], axis=1, count=int(part.max()) + 1).view(bool)
+            if not mask.all():
+                used = np.flatnonzero(mask.any(0)[part])
+                seen = mask[:, part[used]]
+        approx = q32[lo : lo + _TILE] @ (e32 if used is None else e32[:, used])
+        if seen is not None:
+            approx[~seen] = -np.inf
+        floor = np.full(len(approx), float(_LEAST))
         if approx.shape[1] > k:
-            cut = approx.shape[1] - k
-            floor = np.partition(approx, cut, axis=1)[:, cut].astype(np.float64) - slack
+            floor = np.maximum(_low_bound(approx, k) - slack, floor)
             if link is not None:
                 # No k-th best product is below the floor; what is scored like it counts too.
                 scale = lengths[lo : lo + _TILE] * entities.longest
                 floor = np.minimum(floor, _lowest_alike(floor * scale, link) / scale - slack)
-            rows, cols = np.nonzero(approx >= floor[:, None])
-        else:
-            rows, cols = (x.ravel() for x in np.indices(approx.shape))
+        rows, cols = np.nonzero(approx >= floor[:, None])
+        if used is not None:
+            cols = used[cols]
         exact = _ordered_dot(q, e, rows + lo, cols)
         if link is not None:
             exact = link(exact)
@@ -163,7 +194,9 @@ def search(
 
     Ids must be unique on each side. A catalog whose vectors are counted and found to fit
     in ``broadcast_bytes`` goes to every executor, and the queries are ranked where they
-    are, without a shuffle. A larger one is searched block by block.
+    are, without a shuffle. A larger one is searched block by block. Every row is sent once to
+    each block of the other side, so blocks of ``block_rows`` are joined, up to a bounded size,
+    where there would be more than a few.
     """
     index = CatalogIndex(catalog, entity, entity_vec, block_rows, broadcast_bytes)
     return index.search(queries, k, query, query_vec, link)
@@ -191,7 +224,9 @@ class CatalogIndex:
         ).first()
         self.count = size["n"]
         # A block is bounded in bytes too, however wide the vectors are.
-        self.block_rows = max(1, min(block_rows, _BLOCK_BYTES // (8 * max(size["width"], 1))))
+        self.most_rows = max(1, _BLOCK_BYTES // (8 * max(size["width"], 1)))
+        joined = max(block_rows, min(_JOINED_ROWS, -(-self.count // _COPIES)))
+        self.block_rows = min(joined, self.most_rows)
         self.shared = None
         if 0 < size["bytes"] <= broadcast_bytes:
             # A plain table: an executor without this package could not load an object of it.
@@ -217,7 +252,8 @@ class CatalogIndex:
         )
         if self.shared is not None:
             return _search_broadcast(q, self.shared, k, schema, link)
-        return _search_blocks(q, self.rows, self.count, k, schema, self.block_rows, link)
+        sizes = (self.block_rows, min(_JOINED_ROWS, self.most_rows))
+        return _search_blocks(q, self.rows, self.count, k, schema, sizes, link)
 
     def close(self) -> None:
         """Take the sent catalog back from the executors."""
@@ -247,21 +283,27 @@ def _search_blocks(
     n_e: int,
     k: int,
     schema: T.StructType,
-    block_rows: int,
+    sizes: tuple[int, int],
     link: Link | None = None,
 ) -> DataFrame:
-    """Hash both sides into blocks of about ``block_rows`` and rank pairs of blocks.
+    """Hash both sides into blocks of about ``sizes[0]`` rows and rank pairs of blocks.
+
+    Many blocks of queries are joined, up to ``sizes[1]`` rows.
 
     Each pair of blocks meets in one group, which returns only k rows per query. The
     shuffle carries every query row once per entity block and every entity row once per
     query block, never a pair of rows.
     """
     cores = q.sparkSession.sparkContext.defaultParallelism
+    block_rows, joined = sizes
     n_q = q.select(F.count("*")).scalar()
     e_blocks = max(-(-n_e // block_rows), 1)
     # A small catalog would give few groups: then cut the queries finer, up to the cores.
     spread = F.least(F.ceil(n_q / _MIN_BLOCK), F.lit(-(-cores // e_blocks)))
-    q_blocks = F.greatest(F.ceil(n_q / block_rows), spread, F.lit(1)).cast("long")
+    # In blocks of ``block_rows`` if these are few, else in ``_COPIES`` or in joined ones.
+    few = F.greatest(F.lit(_COPIES), F.ceil(n_q / max(block_rows, joined)))
+    q_blocks = F.least(F.ceil(n_q / block_rows), few)
+    q_blocks = F.greatest(q_blocks, spread, F.lit(1)).cast("long")
     zero = F.lit(0).cast("long")
 
     left = q.select(

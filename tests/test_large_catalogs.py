@@ -60,6 +60,31 @@ def test_pivot_search_of_odd_catalogs(spark):
     assert PivotIndex(equal).search(queries.where("query_id < 0"), 6).count() == 0
 
 
+def test_small_blocks_send_no_row_to_every_block(spark):
+    """Rows travel once per area or joined block, not once per block; the hits are the same."""
+    from termloom.operators import pivots
+    from termloom.operators.search import CatalogIndex
+
+    rows = np.random.default_rng(4).normal(0, 1, (900, 6))
+    catalog, queries = vectors(spark, rows, name="entity_id"), vectors(spark, rows[:400], name="query_id")
+    plain = hits(search(queries, catalog, 5))
+    index = CatalogIndex(catalog, block_rows=2, broadcast_bytes=0)
+    assert index.block_rows >= 900 / 16 and hits(index.search(queries, 5)) == plain
+    blocks = PivotIndex(catalog, block_rows=2)
+    assert len(blocks.blocks["n"]) > 200
+    first, later = blocks._pairs(queries, 5, "query_id", "embedding")
+    assert first.count() <= 400 and later.count() <= 400  # one area
+    assert hits(blocks.search(queries, 5)) == plain
+    pivots.AREA_ROWS, whole = 100, pivots.AREA_ROWS
+    try:
+        cut = PivotIndex(catalog, block_rows=2)
+    finally:
+        pivots.AREA_ROWS = whole
+    assert len(cut.areas) > 5 and hits(cut.search(queries, 5)) == plain
+    report = cut.block_pairs(queries, 5).first()
+    assert report.scored <= report.pairs
+
+
 def test_bounds_hold(spark):
     rows = clusters(6, 30, 5)
     index = PivotIndex(vectors(spark, rows, name="entity_id"), block_rows=11)
