@@ -26,13 +26,17 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import map_arrow, table
 from termloom.llm.words import worker_cache
+from termloom.operators.search import every_pair
 from termloom.session import pinned
 
 BLOCK_VALUES = 1 << 19  # vector components in a block
-QUERY_VALUES = 1 << 16  # query components in a block
+QUERY_VALUES = 1 << 16  # query components in a block, and distances kept for its queries
+QUERY_BLOCKS = 32  # blocks of queries a task holds
 QUERY_TILE = 64  # queries compared at once
+PAIRS = 1 << 16  # pairs compared exactly at once
 LEAST_BITS = 256
 FIRST_COMPARED = 8  # times k vectors whose true distances set the first limit
+TASKS_PER_CORE = 4  # parts of the queries, as far as there are tiles
 CENTRE_ROWS = 4096  # the centre is the mean of so many vectors; any centre is right
 BOUND = 4.0
 SEED = 11
@@ -107,22 +111,31 @@ def distance_bounds(
     return base - both * np.minimum(inner + slack, 1), base - both * np.maximum(inner - slack, -1)
 
 
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double, components added in order."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        gap = a[:, j] - b[:, j]
-        total += gap * gap
+def squared_distances(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Of pairs of columns of ``a`` and ``b``, in double, components added in order."""
+    total = np.zeros(len(at))
+    for lo in range(0, len(at), PAIRS):
+        part = slice(lo, lo + PAIRS)
+        for x, y in zip(a, b, strict=True):
+            gap = x.take(at[part]) - y.take(to[part])
+            total[part] += gap * gap
     return total
 
 
-def nearest_in_block(block: dict, queries: dict, centre: np.ndarray, k: int):
+def nearest_in_block(
+    block: dict, queries: dict, centre: np.ndarray, k: int, best: np.ndarray | None = None
+):
     """Query number, vector number and squared distance of the k nearest of each query.
 
-    The vectors with the smallest estimates are compared first; the k-th of their true
-    distances is the limit that the lower bound of any other must not exceed.
+    ``best`` holds the k smallest squared distances of each query in the blocks before, and is
+    brought up to date. Where there are not yet as many, the vectors with the smallest estimates
+    are compared first. The k-th true distance is the limit that the lower bound of any other
+    must not exceed.
     """
+    if best is None:
+        best = np.full((len(queries["ids"]), k), np.inf)
     signs = unpacked(block["codes"], code_bits(len(centre)))
+    vectors, points = (np.ascontiguousarray(x["vectors"].T) for x in (block, queries))
     found = []
     for start in range(0, len(queries["ids"]), QUERY_TILE):
         part = slice(start, start + QUERY_TILE)
@@ -130,22 +143,28 @@ def nearest_in_block(block: dict, queries: dict, centre: np.ndarray, k: int):
         low, high = distance_bounds(signs, block["length"], block["correction"], asked, centre)
         own = queries["ids"][part, None] == block["ids"][None, :]
         low[own] = np.inf
+        limit = best[part].max(1)
         few = FIRST_COMPARED * k
-        if low.shape[1] > few:
+        if low.shape[1] > few and np.isinf(limit).any():
             middle = np.where(own, np.inf, low + high)
             first = np.argpartition(middle, few - 1, axis=1)[:, :few]
             row = np.repeat(np.arange(len(asked)), few)
-            true = squared_distances(block["vectors"][first.ravel()], asked[row])
+            true = squared_distances(vectors, first.ravel(), points, row + start)
             true = np.where(own[row, first.ravel()], np.inf, true).reshape(-1, few)
-            limit = np.partition(true, k - 1, axis=1)[:, k - 1]
-        else:
-            limit = np.full(len(asked), np.inf)
+            limit = np.minimum(limit, np.partition(true, k - 1, axis=1)[:, k - 1])
         query, vector = np.nonzero((low <= limit[:, None]) & ~own)
-        squared = squared_distances(block["vectors"][vector], asked[query])
+        squared = squared_distances(vectors, vector, points, query + start)
+        near = squared <= limit[query]
+        query, vector, squared = query[near], vector[near], squared[near]
         order = np.lexsort((block["ids"][vector], squared, query))
         query, vector, squared = query[order], vector[order], squared[order]
-        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
-        found.append((query[kept] + start, vector[kept], squared[kept]))
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = place < k
+        query, vector, squared = query[kept], vector[kept], squared[kept]
+        both = np.concatenate([best[part], np.full((len(asked), k), np.inf)], axis=1)
+        both[query, place[kept] + k] = squared
+        best[part] = np.partition(both, k - 1, axis=1)[:, :k]
+        found.append((query + start, vector, squared))
     return tuple(np.concatenate(column) for column in zip(*found, strict=True))
 
 
@@ -158,8 +177,13 @@ def _rows(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, values: int, centres: dict[int, np.ndarray] | None) -> DataFrame:
-    """Rows of about ``values`` components of one dimension; with codes if there are centres."""
+def _blocks(
+    rows: DataFrame, values: int, centres: dict[int, np.ndarray] | None, least: int = 1
+) -> DataFrame:
+    """Rows of about ``values`` components of one dimension; with codes if there are centres.
+
+    A vector counts as ``least`` components at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -178,7 +202,7 @@ def _blocks(rows: DataFrame, values: int, centres: dict[int, np.ndarray] | None)
                 "vectors": [vectors.tobytes()],
             }
             if centres is not None:
-                codes, length, correction = encode(vectors, centres[dimension])
+                codes, length, correction = encode(vectors, centre_of(centres, dimension))
                 row |= {
                     "codes": [codes.tobytes()],
                     "length": [length.tobytes()],
@@ -193,7 +217,7 @@ def _blocks(rows: DataFrame, values: int, centres: dict[int, np.ndarray] | None)
                 ids = np.asarray(part.column("id"), np.int64)
                 flat = part.column("vector").flatten().to_numpy(zero_copy_only=False)
                 vectors = flat.reshape(-1, dimension)
-                step = max(1, values // dimension)
+                step = max(1, values // max(dimension, least))
                 for at in range(0, len(ids), step):
                     held.setdefault(dimension, []).append(
                         (ids[at : at + step], vectors[at : at + step])
@@ -210,16 +234,45 @@ def _blocks(rows: DataFrame, values: int, centres: dict[int, np.ndarray] | None)
 
 
 def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Mean of the first ``CENTRE_ROWS`` vectors by hash; zero for other dimensions.
+    """Means of the first ``CENTRE_ROWS`` vectors by hash, by dimension.
 
-    Which dimensions there are comes from all rows.
+    They are looked for among the vectors below a hash that leaves a few times as many, so what
+    the tasks send does not grow with their number; the driver gets the means alone.
     """
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS).collect()
-    centres = {}
-    for (dimension,) in rows.select("dimension").distinct().collect():
-        part = [r["vector"] for r in sample if r["dimension"] == dimension]
-        centres[dimension] = np.mean(part, axis=0) if part else np.zeros(dimension)
-    return centres
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            sizes = np.asarray(batch.column("dimension"))
+            for dimension in np.unique(sizes).tolist():
+                part = batch.filter(pa.array(sizes == dimension)).column("vector")
+                part = part.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+                n, total = sums.get(dimension, (0, np.zeros(dimension)))
+                sums[dimension] = n + len(part), np.vstack([total, part]).sum(0)
+        for dimension, (n, total) in sums.items():
+            columns = [[dimension], [n], [(total / n).tobytes()]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))],
+                names=["dimension", "n", "centre"],
+            )
+
+    hashed = rows.withColumn("hash", F.xxhash64("id"))
+    count = rows.count()
+    share = 4 * CENTRE_ROWS / max(count, 1)
+    while True:
+        some = hashed
+        if share < 1:
+            some = hashed.where(F.col("hash") < F.lit(int(share * 2**64) - 2**63))
+        first = some.orderBy("hash", "id").limit(CENTRE_ROWS).select("dimension", "vector")
+        found = map_arrow(first, mean, "dimension int, n long, centre binary").collect()
+        if share >= 1 or sum(r["n"] for r in found) >= CENTRE_ROWS:
+            return {r["dimension"]: np.frombuffer(r["centre"]) for r in found}
+        share *= 16  # ids repeat, so that few of them are below the hash
+
+
+def centre_of(centres: dict[int, np.ndarray], dimension: int) -> np.ndarray:
+    """Zero for a dimension that no vector of the sample has."""
+    return centres[dimension] if dimension in centres else np.zeros(dimension)
 
 
 def search(
@@ -231,29 +284,32 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, the candidate's id and ``score``, its Euclidean distance.
 
-    Every block of vectors meets every block of queries of its dimension once: query blocks
-    are repeated per vector block and joined by its number. Per pair only k rows a query
-    leave the task.
+    Every block of vectors meets every block of queries of its dimension once: a task holds a part
+    of the queries and reads the blocks of vectors one after the other, so neither is copied or
+    shuffled by pair. Per pair only k rows a query leave the task.
     """
     rows = _rows(candidates, id_column, vector_column)
     centres = centres_of(rows)
     index = pinned(_blocks(rows, BLOCK_VALUES, centres), "codes")
-    asked = pinned(_blocks(_rows(queries, id_column, vector_column), QUERY_VALUES, None), "queries")
-    # Salted, so that no task repeats the query blocks for all vector blocks.
-    salts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    numbers = index.select("dimension", "block").withColumn(
-        "salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
-    )
-    repeated = asked.select(
-        "dimension",
-        F.col("ids").alias("q_ids"),
-        F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    asked = _rows(queries, id_column, vector_column)
+    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    count = asked.select(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.greatest("dimension", F.lit(k)).cast("long")), F.lit(0)).alias("values"),
+    ).first()
+    # Tiles of queries for all tasks if there are as many, and a few blocks in a task at most.
+    parts = max(1, min(-(-count["n"] // QUERY_TILE), tasks))
+    parts = max(parts, -(-count["values"] // (QUERY_BLOCKS * QUERY_VALUES)))
+    asked = _blocks(asked.repartition(parts), QUERY_VALUES, None, k)
+    asked = asked.withColumnsRenamed(
+        {"block": "q_block", "dimension": "q_dimension", "ids": "q_ids", "vectors": "q_vectors"}
     )
-    spread = numbers.join(repeated, ["dimension", "salt"]).drop("dimension", "salt")
-    pairs = index.join(spread, "block")
+    # Few parts of queries meet more parts of the vectors.
+    pairs = every_pair(index.coalesce(-(-tasks // parts)), asked)
+    pairs = pairs.where(F.col("dimension") == F.col("q_dimension"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}  # by block of queries
         for batch in batches:
             for i in range(batch.num_rows):
                 value = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
@@ -269,7 +325,9 @@ def search(
                     "ids": np.frombuffer(value["q_ids"], np.int64),
                     "vectors": np.frombuffer(value["q_vectors"]).reshape(-1, d),
                 }
-                query, vector, squared = nearest_in_block(block, asked, centres[d], k)
+                kept = best.setdefault(value["q_block"], np.full((len(asked["ids"]), k), np.inf))
+                centre = centre_of(centres, d)
+                query, vector, squared = nearest_in_block(block, asked, centre, k, kept)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(asked["ids"][query]),

@@ -334,6 +334,15 @@ def _search_blocks(
     return top_k(hits.drop("rank"), k)
 
 
+def every_pair(streamed: DataFrame, held: DataFrame) -> DataFrame:
+    """Every row of one side beside every row of the other, without a shuffle or a broadcast.
+
+    Each partition of one meets each partition of the other in a task, which holds the rows of
+    ``held`` and reads those of ``streamed`` one after the other; meant for rows that are blocks.
+    """
+    return streamed.hint("shuffle_replicate_nl").crossJoin(held)
+
+
 def search_one(
     catalog: DataFrame,
     vector: Sequence[float],

@@ -279,6 +279,66 @@ def test_bounds_spare_most_vectors():
     assert (low <= limit[:, None]).mean() < 0.2
 
 
+def test_driver_gets_no_vectors(spark, monkeypatch):
+    """The driver gets a mean per dimension, and no table with copies of the queries."""
+    rows = [(i, [float(i % 7 + 1), float(i % 11), float(i % 5)][: 2 + i % 2]) for i in range(900)]
+    df = vectors(spark, rows).repartition(5)
+    sent = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(rotated_codes, "CENTRE_ROWS", 100)
+    ids = rotated_codes._rows(df, "vec_id", "embedding")
+    centres = rotated_codes.centres_of(ids)
+    found = rotated_codes.search(df, df.where(F.col("vec_id") % 3 == 0), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert set(centres) == {2, 3} and max(map(len, sent)) <= 2
+    assert "Broadcast" not in plan and "Generate" not in plan and "CartesianProduct" in plan
+    first = ids.orderBy(F.xxhash64("id"), "id").limit(100).collect()
+    for dimension, centre in centres.items():
+        part = [r["vector"] for r in first if r["dimension"] == dimension]
+        assert np.allclose(centre, np.mean(part, axis=0), rtol=1e-12)
+    got = defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append(r["vec_id"])
+    for q, near in got.items():
+        v = dict(rows)[q]
+        others = [(math.dist(v, w), i) for i, w in rows if i != q and len(w) == len(v)]
+        assert near == [i for _, i in sorted(others)[:4]]
+    assert len(got) == 300
+
+
+def test_limits_hold_over_blocks():
+    """Neighbours in block after block are those of one block, with fewer pairs returned."""
+    rng = np.random.default_rng(3)
+    data, asked = rng.normal(0, 1, (900, 16)), rng.normal(0, 1, (70, 16))
+    centre = data.mean(0)
+
+    def block(part):
+        codes, length, correction = rotated_codes.encode(data[part], centre)
+        return {
+            "ids": np.arange(900)[part],
+            "vectors": data[part],
+            "codes": codes,
+            "length": length,
+            "correction": correction,
+        }
+
+    queries = {"ids": np.arange(1000, 1070), "vectors": asked}
+    best = np.full((70, 3), np.inf)
+    found = []
+    for lo in range(0, 900, 300):
+        part = slice(lo, lo + 300)
+        query, vector, squared = rotated_codes.nearest_in_block(block(part), queries, centre, 3, best)
+        found += zip(query.tolist(), squared.tolist(), (vector + lo).tolist(), strict=True)
+    query, vector, squared = rotated_codes.nearest_in_block(block(slice(0, 900)), queries, centre, 3)
+    whole = sorted(zip(query.tolist(), squared.tolist(), vector.tolist(), strict=True))
+    assert len(found) < 3 * len(whole)
+    kept = [r for q in range(70) for r in sorted(x for x in found if x[0] == q)[:3]]
+    assert kept == whole
+    assert np.array_equal(np.sort(best, axis=1).ravel(), [s for _, s, _ in whole])
+
+
 def test_neighbours_of_nothing(spark):
     df = vectors(spark, [])
     assert rotated_codes.search(df, df).collect() == []
