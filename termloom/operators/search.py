@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +19,11 @@ Encoder = Callable[[DataFrame, str, str], DataFrame]
 # A function from inner products to the scores that are returned; it never falls.
 Link = Callable[[np.ndarray], np.ndarray]
 
-_TILE = 256  # query rows scored at once inside a task
+_TILE = 256  # query rows scored at once inside a task, at most
+_CELLS = 1 << 21  # pairs of a query and an entity scored at once, at most
+_KEPT = 1 << 21  # hits that a task keeps for a block of queries
 _LEAST = np.finfo(np.float32).min
-_PART = 1 << 22  # numbers gathered at once for the exact scores
+_PART = 1 << 16  # pairs whose exact scores are added at once
 _BLOCK_BYTES = 32 << 20  # vectors of a block of entities, in double
 _MIN_BLOCK = 256  # smaller query blocks are not worth another task
 _JOINED_ROWS = 16384  # small blocks of a large table are joined up to so many rows,
@@ -39,18 +41,21 @@ def _matrix(table: pa.Table, column: str) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
+def _columns(matrix: np.ndarray) -> np.ndarray:
+    """Components in double, each beside those of the other rows."""
+    return np.ascontiguousarray(matrix.T, np.float64)
+
+
 def _ordered_dot(q: np.ndarray, e: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Dot products of pairs, added left to right in double as the SQL expression does.
+    """Dot products of pairs of columns, added in order in double as the SQL expression does.
 
     Worked in parts, since many equal vectors make many pairs.
     """
     out = np.zeros(len(rows))
-    part = max(_PART // q.shape[1], 1) if q.shape[1] else len(rows) + 1
-    for lo in range(0, len(rows), part):
-        a = q[rows[lo : lo + part]].astype(np.float64)
-        b = e[cols[lo : lo + part]].astype(np.float64)
-        for j in range(q.shape[1]):
-            out[lo : lo + part] += a[:, j] * b[:, j]
+    for lo in range(0, len(rows), _PART):
+        part = slice(lo, lo + _PART)
+        for x, y in zip(q, e, strict=True):
+            out[part] += x.take(rows[part]) * y.take(cols[part])
     return out
 
 
@@ -71,10 +76,21 @@ class _Entities:
         order = pc.sort_indices(ids)
         self.ids = ids.take(order)
         self.order = order.to_numpy()
-        self.vectors = _matrix(table, "vec")[self.order]
-        self.longest = float(_lengths(self.vectors).max()) if len(self.vectors) else 1.0
-        scaled = (self.vectors / self.longest).astype(np.float32)
-        self.scaled = np.ascontiguousarray(scaled.T)
+        vectors = _matrix(table, "vec")[self.order]
+        self.longest = float(_lengths(vectors).max()) if len(vectors) else 1.0
+        self.columns = _columns(vectors)
+        self.scaled = np.ascontiguousarray((vectors / self.longest).astype(np.float32).T)
+
+
+class _Queries:
+    """Query ids, their vectors as columns, and these in single precision with length 1."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table.column("query_id").combine_chunks()
+        vectors = _matrix(table, "vec")
+        self.lengths = _lengths(vectors)
+        self.columns = _columns(vectors)
+        self.scaled = (vectors / self.lengths[:, None]).astype(np.float32)
 
 
 def _lowest_alike(scores: np.ndarray, link: Link) -> np.ndarray:
@@ -106,73 +122,205 @@ def _low_bound(approx: np.ndarray, k: int) -> np.ndarray:
     return np.partition(approx, groups - k, axis=1)[:, groups - k].astype(np.float64)
 
 
-def _block_top_k(
+def _promising(
+    approx: np.ndarray,
+    k: int,
+    slack: float,
+    scale: np.ndarray,
+    link: Link | None,
+    known: np.ndarray | None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cells that can be among the best ``k`` of their row.
+
+    ``known`` has for each row the least product that counts beside entities scored before.
+    """
+    floor = np.full(len(approx), float(_LEAST))
+    mask = None
+    if known is not None and np.isfinite(known).any():
+        floor = np.fmax(known / scale - slack, floor)
+        mask = approx >= floor[:, None]
+    if mask is None or np.count_nonzero(mask) > 4 * k * len(approx):
+        if approx.shape[1] > k:
+            own = np.maximum(_low_bound(approx, k) - slack, float(_LEAST))
+            if link is not None:
+                # No k-th best product is below the floor; what is scored like it counts too.
+                own = np.minimum(own, _lowest_alike(own * scale, link) / scale - slack)
+            floor = np.maximum(own, floor)
+        mask = approx >= floor[:, None]
+    return np.divmod(np.flatnonzero(mask), approx.shape[1])
+
+
+def _scored(
+    queries: _Queries,
+    entities: _Entities,
+    part: slice,
+    k: int,
+    link: Link | None = None,
+    used: np.ndarray | None = None,
+    seen: np.ndarray | None = None,
+    known: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, entity and inner product of the pairs that can be among the best ``k`` of some queries.
+
+    A float32 matrix product of vectors scaled to length 1 at most finds them, with a margin above
+    its rounding error; they are scored again in double.
+    """
+    if len(queries.columns) != len(entities.columns):
+        raise ValueError("query and entity vectors differ in length")
+    slack = 2.0 * (len(queries.columns) + 8) * 2.0**-23
+    approx = queries.scaled[part] @ (entities.scaled if used is None else entities.scaled[:, used])
+    if seen is not None:
+        approx[~seen] = -np.inf
+    scale = queries.lengths[part] * entities.longest
+    rows, cols = _promising(approx, k, slack, scale, link, known)
+    if used is not None:
+        cols = used[cols]
+    return rows, cols, _ordered_dot(queries.columns[:, part], entities.columns, rows, cols)
+
+
+def _first(rows: np.ndarray, scores: np.ndarray, ties: np.ndarray, k: int, n: int):
+    """Positions of the best ``k`` of each of ``n`` rows in rank order, and their places."""
+    best = np.lexsort((ties, -scores, rows))
+    starts = np.searchsorted(rows[best], np.arange(n))
+    place = np.arange(len(best)) - starts[rows[best]]
+    return best[place < k], place[place < k]
+
+
+def _hits(query_ids: pa.Array, entity_ids: pa.Array, rows, at, scores, place) -> pa.Table:
+    return pa.table(
+        {
+            "query_id": query_ids.take(pa.array(rows)),
+            "entity_id": entity_ids.take(pa.array(at)),
+            "score": pa.array(scores),
+            "rank": pa.array((place + 1).astype(np.int32)),
+        }
+    )
+
+
+def _block_tiles(
     queries: pa.Table,
     entities: _Entities,
     k: int,
     link: Link | None = None,
     reach: tuple[np.ndarray, np.ndarray] | None = None,
-) -> pa.Table:
+) -> Iterator[pa.Table]:
     """Best ``k`` entities of one block for every query of one block, in rank order.
 
-    A float32 matrix product of vectors scaled to length 1 at most finds all pairs that
-    can be among the best k, with a margin above its rounding error; those are scored
-    again in double and ranked on that score. With a ``link``, which can give unequal products
-    one score, all entities with the score of the k-th one are among them.
+    Queries are ranked a few at a time, so that what is held does not grow with their hits. With
+    a ``link``, which can give unequal products one score, all entities with the score of the k-th
+    one are among those ranked.
 
     ``reach`` restricts the pairs: for each query a bit for each part, and the part of each entity.
     """
-    q = _matrix(queries, "vec")
-    by_id, e, e32 = entities.ids, entities.vectors, entities.scaled
-    if q.shape[1] != e.shape[1]:
-        raise ValueError("query and entity vectors differ in length")
-    lengths = _lengths(q)
-    q32 = (q / lengths[:, None]).astype(np.float32)
-    slack = 2.0 * (q.shape[1] + 8) * 2.0**-23
-
-    rows_out, cols_out, scores_out, ranks_out = [], [], [], []
-    for lo in range(0, len(q), _TILE):
+    asked = _Queries(queries)
+    tile = max(1, min(_TILE, _CELLS // max(len(entities.ids), 1)))
+    for lo in range(0, len(asked.ids), tile):
         used, seen = None, None
+        part = slice(lo, lo + tile)
         if reach is not None:
-            bits, part = reach
-            mask = np.unpackbits(bits[lo : lo + _TILE], axis=1, count=int(part.max()) + 1).view(bool)
+            bits, parts = reach
+            mask = np.unpackbits(bits[part], axis=1, count=int(parts.max()) + 1).view(bool)
             if not mask.all():
-                used = np.flatnonzero(mask.any(0)[part])
-                seen = mask[:, part[used]]
-        approx = q32[lo : lo + _TILE] @ (e32 if used is None else e32[:, used])
-        if seen is not None:
-            approx[~seen] = -np.inf
-        floor = np.full(len(approx), float(_LEAST))
-        if approx.shape[1] > k:
-            floor = np.maximum(_low_bound(approx, k) - slack, floor)
-            if link is not None:
-                # No k-th best product is below the floor; what is scored like it counts too.
-                scale = lengths[lo : lo + _TILE] * entities.longest
-                floor = np.minimum(floor, _lowest_alike(floor * scale, link) / scale - slack)
-        rows, cols = np.nonzero(approx >= floor[:, None])
-        if used is not None:
-            cols = used[cols]
-        exact = _ordered_dot(q, e, rows + lo, cols)
+                used = np.flatnonzero(mask.any(0)[parts])
+                seen = mask[:, parts[used]]
+        rows, cols, scores = _scored(asked, entities, part, k, link, used, seen)
         if link is not None:
-            exact = link(exact)
-        best = np.lexsort((cols, -exact, rows))
-        rows, cols, exact = rows[best], cols[best], exact[best]
-        starts = np.searchsorted(rows, np.arange(len(approx)))
-        place = np.arange(len(rows)) - starts[rows]
-        keep = place < k
-        rows_out.append(rows[keep] + lo)
-        cols_out.append(cols[keep])
-        scores_out.append(exact[keep])
-        ranks_out.append(place[keep] + 1)
-    rows, cols = np.concatenate(rows_out), np.concatenate(cols_out)
-    return pa.table(
-        {
-            "query_id": queries.column("query_id").combine_chunks().take(pa.array(rows)),
-            "entity_id": by_id.take(pa.array(cols)),
-            "score": pa.array(np.concatenate(scores_out)),
-            "rank": pa.array(np.concatenate(ranks_out).astype(np.int32)),
-        }
-    )
+            scores = link(scores)
+        best, place = _first(rows, scores, cols, k, tile)
+        yield _hits(asked.ids, entities.ids, rows[best] + lo, cols[best], scores[best], place)
+
+
+def _block_top_k(
+    queries: pa.Table,
+    entities: _Entities,
+    k: int,
+    link: Link | None = None,
+    reach: tuple[np.ndarray, np.ndarray] | None = None,
+) -> pa.Table:
+    """The hits of all tiles of a block of queries."""
+    return pa.concat_tables(_block_tiles(queries, entities, k, link, reach))
+
+
+class _Running:
+    """The best ``k`` entities of each query of a block, while blocks of entities come one by one.
+
+    Kept are the products, by tile of queries, and where the ids of their entities are: about 2 k
+    of each query at most.
+    """
+
+    def __init__(self, queries: pa.Table, k: int, link: Link | None):
+        self.queries, self.k, self.link = _Queries(queries), k, link
+        self.known = np.full(len(self.queries.ids), -np.inf)
+        self.tiles: list[slice] = []
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids: pa.Array | None = None
+        self.ranks: np.ndarray | None = None
+
+    def add(self, entities: _Entities) -> None:
+        if self.ids is None:
+            # Tiles stay as they are: later blocks are about as large.
+            tile = max(1, min(_TILE, _CELLS // max(len(entities.ids), 1)))
+            n = len(self.queries.ids)
+            self.tiles = [slice(lo, min(lo + tile, n)) for lo in range(0, n, tile)]
+            none = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0)
+            self.kept = [none] * len(self.tiles)
+        start = 0 if self.ids is None else len(self.ids)
+        self.ids = entities.ids if self.ids is None else pa.concat_arrays([self.ids, entities.ids])
+        self.ranks = None
+        for number, part in enumerate(self.tiles):
+            known = self.known[part]
+            rows, cols, products = _scored(
+                self.queries, entities, part, self.k, self.link, known=known
+            )
+            new = rows.astype(np.uint16), cols + start, products
+            both = [np.concatenate(x) for x in zip(self.kept[number], new, strict=True)]
+            self.kept[number] = self._cut(part, *both)
+        self._drop_ids()
+
+    def _cut(self, part: slice, rows: np.ndarray, at: np.ndarray, products: np.ndarray):
+        """What can still be among the best of its query; ``known`` rises to the k-th best."""
+        n = part.stop - part.start
+        counts = np.bincount(rows, minlength=n)
+        if counts.max(initial=0) < self.k:
+            return rows, at, products
+        order = np.argsort(rows, kind="stable")
+        rows, at, products = rows[order], at[order], products[order]
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        wide = np.full((n, counts.max()), -np.inf)
+        wide[rows, place] = products
+        floor = np.partition(wide, wide.shape[1] - self.k, axis=1)[:, wide.shape[1] - self.k]
+        full = counts >= self.k
+        if self.link is not None:
+            floor[full] = _lowest_alike(floor[full], self.link)
+        self.known[part] = np.where(full, floor, -np.inf)
+        keep = ~(products < floor[rows])
+        rows, at, products = rows[keep], at[keep], products[keep]
+        if np.bincount(rows, minlength=n).max() > 2 * self.k:
+            best, _ = self._best(n, rows, at, products)
+            rows, at, products = rows[best], at[best], products[best]
+        return rows, at, products
+
+    def _best(self, n: int, rows: np.ndarray, at: np.ndarray, products: np.ndarray):
+        if self.ranks is None:
+            self.ranks = np.empty(len(self.ids), np.int64)
+            self.ranks[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        scores = products if self.link is None else self.link(products)
+        return _first(rows, scores, self.ranks[at], self.k, n)
+
+    def _drop_ids(self) -> None:
+        """Forget ids of entities that are not kept, once they are most of them."""
+        if len(self.ids) > _JOINED_ROWS + 2 * sum(len(at) for _, at, _ in self.kept):
+            used = np.unique(np.concatenate([at for _, at, _ in self.kept]))
+            self.ids, self.ranks = self.ids.take(pa.array(used)), None
+            self.kept = [(r, np.searchsorted(used, at), p) for r, at, p in self.kept]
+
+    def tables(self) -> Iterator[pa.Table]:
+        """The hits in rank order, tile by tile."""
+        for part, (rows, at, products) in zip(self.tiles, self.kept, strict=True):
+            best, place = self._best(part.stop - part.start, rows, at, products)
+            scores = products if self.link is None else self.link(products)
+            of = rows[best].astype(np.int64) + part.start
+            yield _hits(self.queries.ids, self.ids, of, at[best], scores[best], place)
 
 
 def search(
@@ -194,9 +342,10 @@ def search(
 
     Ids must be unique on each side. A catalog whose vectors are counted and found to fit
     in ``broadcast_bytes`` goes to every executor, and the queries are ranked where they
-    are, without a shuffle. A larger one is searched block by block. Every row is sent once to
-    each block of the other side, so blocks of ``block_rows`` are joined, up to a bounded size,
-    where there would be more than a few.
+    are, without a shuffle. A larger one is searched block by block: a task keeps the best of a
+    bounded part of the queries while it reads the blocks of the catalog. Every part reads every
+    block, so blocks of ``block_rows`` are joined, up to a bounded size, where there would be more
+    than a few.
     """
     index = CatalogIndex(catalog, entity, entity_vec, block_rows, broadcast_bytes)
     return index.search(queries, k, query, query_vec, link)
@@ -271,12 +420,42 @@ def _search_broadcast(
         for batch in batches:
             if batch.num_rows:
                 entities = entities or _Entities(shared.value)
-                hits = _block_top_k(pa.Table.from_batches([batch]), entities, k, link)
-                yield from hits.to_batches()
+                for hits in _block_tiles(pa.Table.from_batches([batch]), entities, k, link):
+                    yield from hits.to_batches()
 
     return q.mapInArrow(rank_batches, schema)
 
 
+def _packed(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(number, packed): the rows of each partition in blocks of ``block_rows``, as Arrow bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        held: list[pa.RecordBatch] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as writer:
+                writer.write_table(pa.Table.from_batches(held).combine_chunks())
+            held.clear()
+            columns = [pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["number", "packed"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, block_rows - sum(b.num_rows for b in held)))
+                at += held[-1].num_rows
+                if sum(b.num_rows for b in held) == block_rows:
+                    yield block()
+        if held:
+            yield block()
+
+    return rows.mapInArrow(pack, "number long, packed binary")
+
+
 def _search_blocks(
     q: DataFrame,
     e: DataFrame,
@@ -286,51 +465,43 @@ def _search_blocks(
     sizes: tuple[int, int],
     link: Link | None = None,
 ) -> DataFrame:
-    """Hash both sides into blocks of about ``sizes[0]`` rows and rank pairs of blocks.
+    """Rank parts of the queries, each in one task that reads all blocks of about ``sizes[0]`` entities.
 
-    Many blocks of queries are joined, up to ``sizes[1]`` rows.
-
-    Each pair of blocks meets in one group, which returns only k rows per query. The
-    shuffle carries every query row once per entity block and every entity row once per
-    query block, never a pair of rows.
+    A part has ``sizes[1]`` rows at most, and so many that ``_KEPT`` hits of it are kept. No hits
+    are shuffled but where few queries are ranked by several tasks each, and where ids repeat.
     """
     cores = q.sparkSession.sparkContext.defaultParallelism
     block_rows, joined = sizes
-    n_q = q.select(F.count("*")).scalar()
+    size = q.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids")).first()
     e_blocks = max(-(-n_e // block_rows), 1)
-    # A small catalog would give few groups: then cut the queries finer, up to the cores.
-    spread = F.least(F.ceil(n_q / _MIN_BLOCK), F.lit(-(-cores // e_blocks)))
-    # In blocks of ``block_rows`` if these are few, else in ``_COPIES`` or in joined ones.
-    few = F.greatest(F.lit(_COPIES), F.ceil(n_q / max(block_rows, joined)))
-    q_blocks = F.least(F.ceil(n_q / block_rows), few)
-    q_blocks = F.greatest(q_blocks, spread, F.lit(1)).cast("long")
-    zero = F.lit(0).cast("long")
-
-    left = q.select(
-        "*",
-        F.pmod(F.xxhash64("query_id"), q_blocks).alias("q_block"),
-        F.explode(F.sequence(zero, F.lit(e_blocks - 1).cast("long"))).alias("e_block"),
-    )
-    right = e.select(
-        "*",
-        F.pmod(F.xxhash64("entity_id"), F.lit(e_blocks).cast("long")).alias("e_block"),
-        F.explode(F.sequence(zero, q_blocks - 1)).alias("q_block"),
-    )
+    q_rows = max(1, min(joined, _KEPT // max(1, min(k, n_e))))
+    # Few queries are cut finer, up to the cores, and then the catalog is.
+    parts = max(-(-size["n"] // q_rows), min(-(-size["n"] // _MIN_BLOCK), cores), 1)
+    lanes = min(e_blocks, -(-cores // parts))
 
-    def score_blocks(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
-        if not left_rows.num_rows or not right_rows.num_rows:
-            return pa.table(
-                {
-                    "query_id": left_rows.column("query_id").slice(0, 0),
-                    "entity_id": right_rows.column("entity_id").slice(0, 0),
-                    "score": pa.array([], pa.float64()),
-                    "rank": pa.array([], pa.int32()),
-                }
-            )
-        return _block_top_k(left_rows, _Entities(right_rows), k, link)
+    # Rows are dealt out nearly evenly, not quite: a block may be a little larger.
+    left = _packed(e.repartition(e_blocks), block_rows + block_rows // 4).repartition(lanes)
+    right = _packed(q.repartition(parts), q_rows + q_rows // 4)
+    right = right.withColumnsRenamed({"number": "part", "packed": "asked"})
+
+    def unpacked(cell: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(cell.as_buffer()).read_all()
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Running] = {}
+        for batch in batches:
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if part not in held:
+                    held[part] = _Running(unpacked(batch.column("asked")[i]), k, link)
+                held[part].add(_Entities(unpacked(batch.column("packed")[i])))
+        for part in list(held):
+            for hits in held.pop(part).tables():
+                yield from hits.to_batches()
 
-    keys = ["q_block", "e_block"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score_blocks, schema)
+    pairs = every_pair(left.select("packed"), right)
+    hits = pairs.mapInArrow(rank, schema)
+    if lanes == 1 and size["n"] == size["ids"]:
+        return hits
     return top_k(hits.drop("rank"), k)
 
 

@@ -85,6 +85,66 @@ def test_small_blocks_send_no_row_to_every_block(spark):
     assert report.scored <= report.pairs
 
 
+@pytest.mark.parametrize("logistic", [False, True])
+@pytest.mark.parametrize("equal", [False, True])
+def test_running_hits_stay_few(monkeypatch, logistic, equal):
+    """Blocks come one by one; about 2 k products a query are kept, and the rows are those of a sort."""
+    import pyarrow as pa
+
+    from termloom.operators import search as s
+
+    draw = np.random.default_rng(7)
+    rows = np.ones((600, 4)) if equal else np.round(draw.normal(0, 2, (600, 4)), 1)
+    asked = draw.normal(0, 1, (50, 4))
+    ids = draw.permutation(600)
+    monkeypatch.setattr(s, "_CELLS", 900)
+    monkeypatch.setattr(s, "_JOINED_ROWS", 10)
+    link = classify.logistic(0.0) if logistic else None
+    queries = pa.table({"query_id": np.arange(50), "vec": pa.array(list(asked))})
+    best = s._Running(queries, 3, link)
+    for lo in range(0, 600, 100):
+        part = slice(lo, lo + 100)
+        best.add(s._Entities(pa.table({"entity_id": ids[part], "vec": pa.array(list(rows[part]))})))
+        assert len(best.tiles) == 6
+        assert max(np.bincount(r).max() for r, _, _ in best.kept) <= 6
+    assert len(best.ids) <= 10 + 2 * 50 * 6
+    tables = list(best.tables())
+    assert all(t.num_rows <= 900 for t in tables)
+    found = pa.concat_tables(tables).to_pylist()
+    products = np.zeros((50, 600))
+    for j in range(4):
+        products += asked[:, j, None] * rows[None, :, j]
+    scores = products if link is None else link(products)
+    order = [np.lexsort((ids, -scores[q]))[:3] for q in range(50)]
+    expected = [(q, ids[at], scores[q, at], n + 1) for q in range(50) for n, at in enumerate(order[q])]
+    assert [tuple(r.values()) for r in found] == expected
+
+
+def test_hits_of_many_queries_are_not_shuffled(spark, monkeypatch):
+    """With a large k a task returns the final hits of its queries, a few queries at a time."""
+    from termloom.operators import search as s
+
+    rows = np.random.default_rng(5).normal(0, 1, (400, 5))
+    catalog, queries = vectors(spark, rows, name="entity_id"), vectors(spark, rows, name="query_id")
+    monkeypatch.setattr(s, "_MIN_BLOCK", 20)
+    monkeypatch.setattr(s, "_KEPT", 60 * 40)
+    plain = hits(search(queries, catalog, 60))
+    found = search(queries, catalog, 60, broadcast_bytes=0, block_rows=100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "RoundRobinPartitioning(10)" in plan
+    assert len(plain) == 400 * 60 and hits(found) == plain
+    monkeypatch.setattr(s, "_CELLS", 400 * 3)
+    assert hits(search(queries, catalog, 60)) == plain
+    # A query id that repeats gets the best of all its vectors.
+    twice = queries.unionByName(queries.where("query_id < 3"))
+    again = search(twice, catalog, 2, broadcast_bytes=0, block_rows=100).where("query_id < 4")
+    got = [(r["query_id"], r["rank"], r["score"]) for r in again.collect()]
+    first = {q: plain[q, 1][1] for q in range(4)}
+    assert sorted(got) == sorted(
+        [(q, n, first[q]) for q in range(3) for n in (1, 2)] + [(3, n, plain[3, n][1]) for n in (1, 2)]
+    )
+
+
 def test_bounds_hold(spark):
     rows = clusters(6, 30, 5)
     index = PivotIndex(vectors(spark, rows, name="entity_id"), block_rows=11)
