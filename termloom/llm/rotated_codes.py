@@ -26,17 +26,15 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import map_arrow, table
 from termloom.llm.words import worker_cache
-from termloom.operators.search import every_pair
 from termloom.session import pinned
 
 BLOCK_VALUES = 1 << 19  # vector components in a block
 QUERY_VALUES = 1 << 16  # query components in a block, and distances kept for its queries
-QUERY_BLOCKS = 32  # blocks of queries a task holds
 QUERY_TILE = 64  # queries compared at once
 PAIRS = 1 << 16  # pairs compared exactly at once
 LEAST_BITS = 256
 FIRST_COMPARED = 8  # times k vectors whose true distances set the first limit
-TASKS_PER_CORE = 4  # parts of the queries, as far as there are tiles
+TASKS_PER_CORE = 4  # copies of the query blocks, which vector blocks share
 CENTRE_ROWS = 4096  # the centre is the mean of so many vectors; any centre is right
 BOUND = 4.0
 SEED = 11
@@ -284,29 +282,30 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, the candidate's id and ``score``, its Euclidean distance.
 
-    Every block of vectors meets every block of queries of its dimension once: a task holds a part
-    of the queries and reads the blocks of vectors one after the other, so neither is copied or
-    shuffled by pair. Per pair only k rows a query leave the task.
+    Every block of vectors meets every block of queries of its dimension once: query blocks
+    are repeated per vector block and joined by its number, by sorted shuffles, since the size of
+    repeated blocks is not known when a broadcast is chosen. Per pair only k rows a query leave
+    the task.
     """
     rows = _rows(candidates, id_column, vector_column)
     centres = centres_of(rows)
     index = pinned(_blocks(rows, BLOCK_VALUES, centres), "codes")
     asked = _rows(queries, id_column, vector_column)
-    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
-    count = asked.select(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.greatest("dimension", F.lit(k)).cast("long")), F.lit(0)).alias("values"),
-    ).first()
-    # Tiles of queries for all tasks if there are as many, and a few blocks in a task at most.
-    parts = max(1, min(-(-count["n"] // QUERY_TILE), tasks))
-    parts = max(parts, -(-count["values"] // (QUERY_BLOCKS * QUERY_VALUES)))
-    asked = _blocks(asked.repartition(parts), QUERY_VALUES, None, k)
-    asked = asked.withColumnsRenamed(
-        {"block": "q_block", "dimension": "q_dimension", "ids": "q_ids", "vectors": "q_vectors"}
+    asked = pinned(_blocks(asked, QUERY_VALUES, None, k), "queries")
+    # Salted, so that no task repeats the query blocks for all vector blocks.
+    salts = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    numbers = index.select("dimension", "block").withColumn(
+        "salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")
     )
-    # Few parts of queries meet more parts of the vectors.
-    pairs = every_pair(index.coalesce(-(-tasks // parts)), asked)
-    pairs = pairs.where(F.col("dimension") == F.col("q_dimension"))
+    repeated = asked.select(
+        "dimension",
+        F.col("block").alias("q_block"),
+        F.col("ids").alias("q_ids"),
+        F.col("vectors").alias("q_vectors"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    )
+    spread = numbers.hint("merge").join(repeated.hint("merge"), ["dimension", "salt"])
+    pairs = index.hint("merge").join(spread.drop("dimension", "salt").hint("merge"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, np.ndarray] = {}  # by block of queries

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -316,6 +317,8 @@ class _Running:
 
     def tables(self) -> Iterator[pa.Table]:
         """The hits in rank order, tile by tile."""
+        if self.ids is None:
+            return
         for part, (rows, at, products) in zip(self.tiles, self.kept, strict=True):
             best, place = self._best(part.stop - part.start, rows, at, products)
             scores = products if self.link is None else self.link(products)
@@ -479,41 +482,57 @@ def _search_blocks(
     parts = max(-(-size["n"] // q_rows), min(-(-size["n"] // _MIN_BLOCK), cores), 1)
     lanes = min(e_blocks, -(-cores // parts))
 
+    # A task takes several parts one after the other, so that the catalog is copied for tasks only.
+    tasks = max(1, min(parts, 2 * cores))
+
     # Rows are dealt out nearly evenly, not quite: a block may be a little larger.
-    left = _packed(e.repartition(e_blocks), block_rows + block_rows // 4).repartition(lanes)
+    left = _packed(e.repartition(e_blocks), block_rows + block_rows // 4)
     right = _packed(q.repartition(parts), q_rows + q_rows // 4)
-    right = right.withColumnsRenamed({"number": "part", "packed": "asked"})
+    dealt = F.shiftright("number", 33)
+
+    def numbers(count: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    left = left.select(F.pmod(dealt, F.lit(lanes)).alias("lane"), "packed", numbers(tasks).alias("task"))
+    right = right.select(F.pmod(dealt, F.lit(tasks)).alias("task"), "packed", numbers(lanes).alias("lane"))
+    key = (F.col("task") * lanes + F.col("lane")).alias("key")
+    both = left.select(key, F.lit(False).alias("asked"), "packed").union(
+        right.select(key, F.lit(True).alias("asked"), "packed")
+    )
 
-    def unpacked(cell: pa.Scalar) -> pa.Table:
-        return pa.ipc.open_stream(cell.as_buffer()).read_all()
+    def unpacked(packed: bytes) -> pa.Table:
+        return pa.ipc.open_stream(packed).read_all()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Running] = {}
-        for batch in batches:
-            for i, part in enumerate(batch.column("part").to_pylist()):
-                if part not in held:
-                    held[part] = _Running(unpacked(batch.column("asked")[i]), k, link)
-                held[part].add(_Entities(unpacked(batch.column("packed")[i])))
-        for part in list(held):
-            for hits in held.pop(part).tables():
-                yield from hits.to_batches()
-
-    pairs = every_pair(left.select("packed"), right)
-    hits = pairs.mapInArrow(rank, schema)
+        # Blocks of entities come first; they wait in a file for each block of queries.
+        with tempfile.TemporaryFile() as kept:
+            last, sizes = None, []
+            for batch in batches:
+                cells = zip(batch.column("key").to_pylist(), batch.column("asked").to_pylist(), strict=True)
+                for i, (number, asked) in enumerate(cells):
+                    packed = batch.column("packed")[i].as_py()
+                    if number != last:
+                        last, sizes = number, []
+                        kept.seek(0)
+                        kept.truncate()
+                    if not asked:
+                        kept.write(packed)
+                        sizes.append(len(packed))
+                        continue
+                    best = _Running(unpacked(packed), k, link)
+                    kept.seek(0)
+                    for n in sizes:
+                        best.add(_Entities(unpacked(kept.read(n))))
+                    for hits in best.tables():
+                        yield from hits.to_batches()
+
+    both = both.repartitionByRange(tasks * lanes, "key").sortWithinPartitions("key", "asked")
+    hits = both.mapInArrow(rank, schema)
     if lanes == 1 and size["n"] == size["ids"]:
         return hits
     return top_k(hits.drop("rank"), k)
 
 
-def every_pair(streamed: DataFrame, held: DataFrame) -> DataFrame:
-    """Every row of one side beside every row of the other, without a shuffle or a broadcast.
-
-    Each partition of one meets each partition of the other in a task, which holds the rows of
-    ``held`` and reads those of ``streamed`` one after the other; meant for rows that are blocks.
-    """
-    return streamed.hint("shuffle_replicate_nl").crossJoin(held)
-
-
 def search_one(
     catalog: DataFrame,
     vector: Sequence[float],
